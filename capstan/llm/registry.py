@@ -5,11 +5,13 @@ from __future__ import annotations
 from .byte_bpe import op5_byte_bpe
 from .language import op2_language_id
 from .quality import op1_quality_rules
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_toxicity": op6_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
