@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: sentence scores under a noisy-or, trained from document labels.
 
-A sentence's score is a logistic function of hashed unigram weights; a document is toxic if at least one of its
+A sentence's score is a logistic function of hashed weights of its words and their stems; a document is toxic if at least one of its
 sentences is, so its score is one minus the product of (1 - sentence score). Only document labels are
 needed for training, and the sentence scores then say where the offence is.
 
@@ -24,10 +24,13 @@ from .sampling import fold, labelled_sample
 from .staging import small_batches, table
 from .textops import byte_codes, code_points_before, lower_ascii, prefix_hash, schema_with, slice_hash, spans_where, text_chunks, with_columns
 
-ROWS_LOG2 = 18
+ROWS_LOG2 = 19
 #: The bytes that end a sentence.
 SENTENCE_ENDS = b".!?\n"
 
+#: Besides itself, a word counts by its first bytes, so that inflected forms share weights.
+STEMS = (4, 5, 6)
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 39]] = True
 _ENDS = np.zeros(256, bool)
@@ -36,7 +39,7 @@ _ENDS[list(SENTENCE_ENDS)] = True
 
 @dataclass(frozen=True)
 class Sentences:
-    """Features of texts: hashed words with the sentence of each, sentences with the text of each."""
+    """Features of texts: hashed words and stems with the sentence of each, sentences with the text of each."""
 
     words: np.ndarray
     sentence_of_word: np.ndarray
@@ -50,9 +53,15 @@ def sentences_of(data: np.ndarray, offsets: np.ndarray) -> Sentences:
     low = lower_ascii(data)
     starts, ends, first_of_text = spans_where(~_ENDS[data], offsets)
     w0, w1, _ = spans_where(_WORD[data], offsets)
-    hashed = (slice_hash(prefix_hash(low, byte_codes(11)), w0, w1) >> np.uint64(64 - ROWS_LOG2)).astype(np.int64)
-    sentence = np.searchsorted(starts, w0, side="right") - 1
+    prefix, sentence = prefix_hash(low, byte_codes(11)), np.searchsorted(starts, w0, side="right") - 1
     used = np.unique(sentence)
+    hashes, owners = [slice_hash(prefix, w0, w1)], [sentence]
+    for k in STEMS:
+        long = np.flatnonzero(w1 - w0 > k)
+        hashes.append(slice_hash(prefix, w0[long], w0[long] + k) ^ np.uint64(k << 58))
+        owners.append(sentence[long])
+    hashed = (np.concatenate(hashes) >> np.uint64(64 - ROWS_LOG2)).astype(np.int64)
+    sentence = np.concatenate(owners)
     text = np.searchsorted(first_of_text, used, side="right") - 1
     return Sentences(hashed, np.searchsorted(used, sentence), text, starts[used], ends[used])
 
@@ -73,7 +82,7 @@ class ToxicityModel:
         return -np.expm1(np.bincount(s.text_of_sentence, np.log1p(-self.sentence_scores(s)), texts))
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.3, shrink: float = 2e-3, least_texts: int = 3) -> ToxicityModel:
+def train(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.1, shrink: float = 2e-3, least_texts: int = 3) -> ToxicityModel:
     """Gradient steps (Adam) on the noisy-or likelihood of the document labels, both classes weighing alike."""
     size = 1 << ROWS_LOG2
     y = np.array(labels, float)
