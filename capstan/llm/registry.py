@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op5_byte_bpe
 from .language import op2_language_id
+from .personal import op7_personal_data
 from .quality import op1_quality_rules
 from .toxicity import op6_toxicity
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_toxicity": op6_toxicity,
+    "op7_personal_data": op7_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {}
