@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from .byte_bpe import op5_byte_bpe
+from .decontaminate import op9_decontamination
 from .language import op2_language_id
 from .personal import op7_personal_data
 from .quality import op1_quality_rules
+from .secrets import op4_secret_scans
 from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
+    "op4_secret_scans": op4_secret_scans,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_personal_data": op7_personal_data,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +35,13 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def held(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` with columns that the optimiser will not copy into the expressions that use them.
+
+    An expression inlined into a lambda would run once for each array element; a generator over one row keeps
+    it apart at the cost of one copy.
+    """
+    kept = [c for c in df.columns]
+    return df.select(*kept, F.explode(F.array(F.struct(*columns))).alias("_held")).select(*kept, "_held.*")
