@@ -9,6 +9,7 @@ from .personal import op7_personal_data
 from .quality import op1_quality_rules
 from .secrets import op4_secret_scans
 from .toxicity import op6_toxicity
+from .urls import op10_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_personal_data": op7_personal_data,
     "op9_decontamination": op9_decontamination,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {}
