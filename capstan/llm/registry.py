@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op5_byte_bpe
 from .decontaminate import op9_decontamination
+from .jaccard import op3_jaccard_join
 from .language import op2_language_id
 from .personal import op7_personal_data
 from .quality import op1_quality_rules
@@ -14,6 +15,7 @@ from .urls import op10_url_filters
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_secret_scans": op4_secret_scans,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_toxicity": op6_toxicity,
