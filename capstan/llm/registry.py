@@ -9,6 +9,7 @@ from .language import op2_language_id
 from .personal import op7_personal_data
 from .quality import op1_quality_rules
 from .secrets import op4_secret_scans
+from .suffixes import op8_suffix_dedup
 from .toxicity import op6_toxicity
 from .urls import op10_url_filters
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_personal_data": op7_personal_data,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
 }
