@@ -22,10 +22,10 @@ FOLD_PAIRS = (("ß", "ss"), ("Æ", "AE"), ("æ", "ae"), ("Œ", "OE"), ("œ", "oe
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 # Causes of a failed download and the words by which they are told.
 DOWNLOAD_CAUSES = (
-    ("rate_limited", "429|too many requests"),
-    ("tls", "ssl|tls|certificate"),
-    ("dns", "resolve|could not resolve|name or service not known"),
-    ("timeout", "timed? ?out|timeout"),
+    ("rate_limited", "429|too many|rate"),
+    ("tls", "SSL|TLS|certificate|handshake|UNEXPECTED_EOF"),
+    ("dns", "could not|unable to resolve|name not|getaddrinfo"),
+    ("timeout", "timeout|timed out|connection (refused|reset)"),
     ("forbidden", "403|forbidden"),
 )
 
@@ -70,10 +70,10 @@ def html_to_text(html: Column) -> Column:
 
 def anchor_text(html: Column) -> Column:
     """Inner text of a link: tags removed, four entities decoded, blanks collapsed."""
-    out = F.regexp_replace(html, r"<[^>]*>", "")
-    for a, b in (("&amp;", "&"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.btrim(F.regexp_replace(out, r"\s+", " "))
+    out = F.regexp_replace(html, r"<[^>]+>", "")
+    for pattern, by in ((r"&amp;", "&"), (r"&#0?39;|&rsquo;", "'"), (r"&nbsp;", " "), (r"\s+", " ")):
+        out = F.regexp_replace(out, pattern, by)
+    return F.btrim(out)
 
 
 def trimmed(x: Column) -> Column:
