@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import gamma_cdf
@@ -36,8 +36,8 @@ def banded_pairs(events: DataFrame, key: str, time: str, event: str, cutoff: flo
 
 def trailing_sum(events: DataFrame, key: str, time: str, value: str, width: float, name: str = "trailing") -> DataFrame:
     """Sum of the values in the ``width`` up to each event."""
-    w = Window.partitionBy(key).orderBy(time).rangeBetween(-width, 0)
-    return events.withColumn(name, F.sum(value).over(w))
+    over = f"(PARTITION BY `{key}` ORDER BY `{time}` RANGE BETWEEN {float(width)!r}D PRECEDING AND CURRENT ROW)"
+    return events.withColumn(name, F.expr(f"sum(`{value}`) OVER {over}"))
 
 
 def sequences(events: DataFrame, key: str, time: str) -> DataFrame:
