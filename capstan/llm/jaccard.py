@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .staging import small_batches, staged, table
 from .textops import byte_codes, list_array, lower_ascii, mix64, prefix_hash, slice_hash, text_chunks, words
+from .textops import ranges as all_ranges
 
 GRAM, PERCENT = 4, 85
 #: Entries of a task's summary of frequent grams, and frequent grams kept in all (at most twice this number).
@@ -36,7 +37,9 @@ SUMMARY, FREQUENT = 1 << 18, 1 << 17
 #: A gram is never called frequent below so many texts.
 LEAST_FREQUENT = 16
 #: Block sizes for the groups that two rounds of leaders leave open.
-QUERY_BLOCK, BASE_BLOCK = 256, 2048
+SMALL_GROUP, QUERY_BLOCK, BASE_BLOCK = 512, 256, 2048
+#: Small groups are compared so many rows and pairs at a time, first by so many ranges.
+ROWS_AT_ONCE, PAIRS_AT_ONCE, COARSE = 1 << 15, 1 << 19, 64
 #: Bits of the filter that tells which texts a verification needs; a full filter only lets more pass.
 FILTER_BITS_LOG2 = 22
 
@@ -278,30 +281,130 @@ def _leaders(grams: DataFrame, salt: int) -> DataFrame:
     return grams.groupBy("gram").agg(lead.alias("lead"), F.count("*").alias("size"))
 
 
+def _block_candidates(ask: dict, base: dict) -> tuple[list[int], list[int]]:
+    """Nodes of ``ask`` with those of ``base`` that pass the length and suffix filters and have another label.
+
+    Range counts of one size form a matrix; a query looks at the matrices of its own size and, folded, of the
+    neighbouring ones, as sets within the length filter differ by one doubling at most.
+    """
+    src, dst = [], []
+    level = np.array([len(c) for c in base["ranges"]])
+    stacks = {int(k): (np.flatnonzero(level == k), np.stack([base["ranges"][i] for i in np.flatnonzero(level == k)]).astype(np.int32)) for k in np.unique(level)}
+    for k, (rows, matrix) in list(stacks.items()):
+        by = np.argsort(base["n"][rows], kind="stable")
+        stacks[k] = rows[by], matrix[by]
+    for node, n, label, own in zip(ask["node"].tolist(), ask["n"].tolist(), ask["label"].tolist(), ask["ranges"]):
+        own = own.astype(np.int32)
+        for k in (len(own) // 2, len(own), 2 * len(own)):
+            if k not in stacks:
+                continue
+            rows, matrix = stacks[k]
+            m = base["n"][rows]
+            lo, hi = np.searchsorted(m, -(-PERCENT * n // 100)), np.searchsorted(m, 100 * n // PERCENT, side="right")
+            near = np.flatnonzero(base["label"][rows[lo:hi]] != label) + lo
+            if not len(near):
+                continue
+            size = min(k, len(own))
+            theirs, mine = matrix[near].reshape(len(near), size, -1).sum(2), own.reshape(size, -1).sum(1)
+            bound = np.minimum(theirs, mine).sum(1)
+            for j in rows[near[(100 + PERCENT) * bound >= PERCENT * (n + m[near])]].tolist():
+                other = int(base["node"][j])
+                src.append(min(node, other))
+                dst.append(max(node, other))
+    return src, dst
+
+
 def _open_block_pairs(grams: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidates (src, dst) of different components from the groups that are still open."""
-    stats = grams.groupBy("gram").agg(F.min_by("label", F.xxhash64("node", F.lit(2))).alias("main"), F.count("*").alias("size"))
-    joined = grams.join(stats, "gram").withColumn("query", F.col("label") != F.col("main"))
+    """Candidates (src, dst) of different components from the groups that are still open.
+
+    Grams with the same nodes, told by 128 bits, are one group. The nodes outside the group's main component are
+    dealt to blocks; each block is held against the whole group, itself in blocks.
+    """
+    marks = [F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(s)), 24)).alias(f"mark_{s}") for s in (7, 8)]
+    stats = grams.groupBy("gram").agg(F.min_by("label", F.xxhash64("node", F.lit(2))).alias("main"), F.count("*").alias("size"), *marks)
+    one = staged(stats.groupBy("size", "mark_7", "mark_8").agg(F.min("gram").alias("gram"), F.min_by("main", "gram").alias("main")), "open-groups")
+    joined = grams.join(one.select("gram", "main", "size"), "gram").withColumn("query", F.col("label") != F.col("main"))
+    small = joined.filter(F.col("size") <= SMALL_GROUP).join(nodes.select("node", "ranges"), "node").select("gram", "node", "n", "label", "ranges")
+    joined = joined.filter(F.col("size") > SMALL_GROUP)
     blocks = joined.groupBy("gram").agg(F.ceil(F.count_if("query") / QUERY_BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / BASE_BLOCK).cast("int").alias("salts"))
     rows = joined.join(blocks.filter("blocks > 0"), "gram").join(nodes.select("node", "ranges"), "node")
     mixed = F.xxhash64("node", F.lit(5))
-    base = rows.select("gram", "node", "n", "label", "ranges", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(mixed, F.col("salts")).cast("int").alias("salt"))
-    queries = rows.filter("query").select("gram", "node", "n", "label", "ranges", F.lit(True).alias("query"), F.pmod(mixed, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.pmod(mixed, F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("asks")))
+    asks = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.pmod(mixed, F.col("blocks")).cast("int").alias("block"), s.alias("salt"), F.lit(True).alias("asks")))
+    dealt = rows.select("gram", "node", "n", "label", "ranges", F.explode(F.when(F.col("query"), F.concat(every, asks)).otherwise(every)).alias("p")).select("*", "p.*").drop("p")
 
     def run(t: pa.Table) -> pa.Table:
-        q, n, label, node = (t.column(c).to_numpy() for c in ("query", "n", "label", "node"))
-        counts = [np.frombuffer(x, np.uint16) for x in t.column("ranges").to_pylist()]
-        ask, base = np.flatnonzero(q), np.flatnonzero(~q)
-        src, dst = [], []
-        for i in ask:
-            near = base[(label[base] != label[i]) & (100 * np.minimum(n[base], n[i]) >= PERCENT * np.maximum(n[base], n[i]))]
-            for j in near:
-                if overlap_bound(counts[i], counts[j]) >= needed_overlap(int(n[i]), int(n[j])):
-                    src.append(min(node[i], node[j]))
-                    dst.append(max(node[i], node[j]))
+        cols = {c: t.column(c).to_numpy() for c in ("node", "n", "label")}
+        ranges = [np.frombuffer(x, np.uint16) for x in t.column("ranges").to_pylist()]
+        asks = t.column("asks").to_numpy()
+
+        def part(at: np.ndarray) -> dict:
+            return {c: v[at] for c, v in cols.items()} | {"ranges": [ranges[i] for i in at]}
+
+        base = np.flatnonzero(~asks)
+        src, dst = _block_candidates(part(np.flatnonzero(asks)), part(base)) if len(base) else ([], [])
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    return base.unionByName(queries).groupBy("gram", "block", "salt").applyInArrow(run, "src long, dst long").distinct()
+    large = dealt.groupBy("gram", "block", "salt").applyInArrow(run, "src long, dst long")
+    return _small_group_pairs(small).unionByName(large).distinct()
+
+
+def _coarse(ranges: np.ndarray) -> np.ndarray:
+    """Range counts over COARSE ranges; sets with fewer ranges are not told apart here."""
+    return ranges.reshape(COARSE, -1).sum(1) if len(ranges) >= COARSE else np.zeros(COARSE, np.int64)
+
+
+def _small_group_pairs(rows: DataFrame) -> DataFrame:
+    """Candidates of groups of at most SMALL_GROUP nodes: many groups at once, pair by pair in arrays."""
+
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        gram, node, n, label = (table.column(c).to_numpy() for c in ("gram", "node", "n", "label"))
+        kinds, at = np.unique(node, return_index=True)
+        place = np.searchsorted(kinds, node)
+        ranges = [np.frombuffer(x, np.uint16) for x in table.column("ranges").take(pa.array(at)).to_pylist()]
+        size = np.array([len(r) for r in ranges])
+        coarse = np.stack([_coarse(r) for r in ranges]).astype(np.int32)
+        ends = np.searchsorted(gram, gram, side="right")
+        count = ends - np.arange(len(gram)) - 1
+        src, dst, lo = [], [], 0
+        upto = np.cumsum(count)
+        while lo < len(gram):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
+            i = np.repeat(np.arange(lo, hi), count[lo:hi])
+            j = all_ranges(np.arange(lo, hi) + 1, count[lo:hi])
+            ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+            pair = np.unique(np.minimum(place[i[ok]], place[j[ok]]) * len(kinds) + np.maximum(place[i[ok]], place[j[ok]]))
+            a, b = pair // len(kinds), pair % len(kinds)
+            need = -(-PERCENT * (n[at[a]] + n[at[b]]) // (100 + PERCENT))
+            fits = (size[a] < COARSE) | (size[b] < COARSE)
+            for k in range(0, len(a), 1 << 14):
+                part = slice(k, k + (1 << 14))
+                fits[part] |= np.minimum(coarse[a[part]], coarse[b[part]]).sum(1) >= need[part]
+            for x, y, m in zip(a[fits].tolist(), b[fits].tolist(), need[fits].tolist()):
+                if overlap_bound(ranges[x], ranges[y]) >= m:
+                    src.append(int(kinds[x]))
+                    dst.append(int(kinds[y]))
+            lo = hi
+        return pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= ROWS_AT_ONCE:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                gram = whole.column("gram").to_numpy()
+                cut = int(np.searchsorted(gram, gram[-1]))  # the last group may go on
+                if cut:
+                    yield settle(whole.slice(0, cut))
+                rest = whole.slice(cut)
+                held, size = rest.to_batches(), rest.num_rows
+        if size:
+            yield settle(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "src long, dst long")
 
 
 def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
