@@ -35,8 +35,9 @@ from .textops import byte_codes, mix64, prefix_hash, ranges, slice_hash, text_ch
 LENGTH, GRAM = 100, 24
 #: Grams in a window.
 SPREAD = LENGTH - GRAM + 1
-#: Rows a task compares before it passes them on; segments of one anchor in a shard; bytes of a shard.
-TASK_ROWS, SHARD_SEGMENTS, SHARD_BYTES = 1 << 20, 4096, 1 << 21
+#: Rows a task compares before it passes them on; bytes of a shard, and so many segments of one anchor.
+TASK_ROWS, SHARD_BYTES = 1 << 20, 1 << 21
+SHARD_SEGMENTS = SHARD_BYTES // (LENGTH + GRAM)
 #: Windows of a very long text that are worked on at once.
 BLOCK = 1 << 20
 _PLACE_BITS = 22
