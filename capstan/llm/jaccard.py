@@ -153,7 +153,7 @@ def described(docs: DataFrame, text: str = "text") -> DataFrame:
     small_batches(spark)
     shared = spark.sparkContext.broadcast(frequent_grams(docs, text))
     names = ("n_shingles", "k1", "k2", "prefix", "ranges")
-    kept = [f for f in docs.schema.fields if f.name not in (text, *names)]
+    kept = [f for f in docs.schema.fields if f.name not in (text, *names, "component_id")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, counts = shared.value

@@ -28,6 +28,8 @@ ROWS_LOG2 = 19
 #: The bytes that end a sentence.
 SENTENCE_ENDS = b".!?\n"
 
+#: From this score on a sentence takes part in the noisy-or of its text.
+SPEAKS = 0.05
 #: Besides itself, a word counts by its first bytes, so that inflected forms share weights.
 STEMS = (4, 5, 6)
 
@@ -61,7 +63,9 @@ def sentences_of(data: np.ndarray, offsets: np.ndarray) -> Sentences:
         hashes.append(slice_hash(prefix, w0[long], w0[long] + k) ^ np.uint64(k << 58))
         owners.append(sentence[long])
     hashed = (np.concatenate(hashes) >> np.uint64(64 - ROWS_LOG2)).astype(np.int64)
-    sentence = np.concatenate(owners)
+    # A sentence has a word once, however often it repeats it.
+    pairs = np.unique((np.concatenate(owners) << ROWS_LOG2) | hashed)
+    sentence, hashed = pairs >> ROWS_LOG2, pairs & ((1 << ROWS_LOG2) - 1)
     text = np.searchsorted(first_of_text, used, side="right") - 1
     return Sentences(hashed, np.searchsorted(used, sentence), text, starts[used], ends[used])
 
@@ -79,7 +83,16 @@ class ToxicityModel:
         return _sigmoid(self.bias + np.bincount(s.sentence_of_word, self.weights[s.words], len(s.starts)))
 
     def text_scores(self, s: Sentences, texts: int) -> np.ndarray:
-        return -np.expm1(np.bincount(s.text_of_sentence, np.log1p(-self.sentence_scores(s)), texts))
+        """Noisy-or over the sentences that speak for it, and the highest of the others.
+
+        Scores under SPEAKS are the model's floor and not evidence; thousands of them in a long text must not add up.
+        """
+        p = self.sentence_scores(s)
+        speaks = p >= SPEAKS
+        quiet = np.zeros(texts)
+        np.maximum.at(quiet, s.text_of_sentence[~speaks], p[~speaks])
+        loud = np.bincount(s.text_of_sentence[speaks], np.log1p(-p[speaks]), texts)
+        return -np.expm1(np.log1p(-quiet) + loud)
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.1, shrink: float = 2e-3, least_texts: int = 3) -> ToxicityModel:
