@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .staging import small_batches, table
-from .textops import byte_codes, code_points_before, list_array, prefix_hash, ranges, schema_with, slice_hash, text_chunks, with_columns
+from .textops import byte_codes, code_points_before, give_back, list_array, prefix_hash, ranges, schema_with, slice_hash, text_chunks, with_columns
 
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -243,7 +243,7 @@ def merge_rows(tokens: np.ndarray, pairs: PairTable) -> np.ndarray:
 class PieceCache(dict):
     """Piece to its slot; slots hold ids one after the other. Emptied when full, so memory is bounded."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
         super().__init__()
         self.ranks, self.most, self.pairs = ranks, most, PairTable(ranks)
         self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
@@ -364,6 +364,8 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", drop_text: bool
                 ids, counts, ends = c.encode(data, offsets)
                 new = {"token_ids": list_array(ids, counts, pa.int32()), "token_ends": list_array(ends, counts, pa.int32())}
                 yield with_columns(batch.slice(lo, hi - lo), new, drop)
+        c.cache.reset()  # the worker may serve other operators next
+        give_back()
 
     return docs.mapInArrow(run, schema_with(docs, fields, drop))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .staging import small_batches, staged, table
-from .textops import byte_codes, list_array, lower_ascii, mix64, prefix_hash, slice_hash, text_chunks, words
+from .textops import byte_codes, give_back, list_array, lower_ascii, mix64, prefix_hash, slice_hash, text_chunks, words
 from .textops import ranges as all_ranges
 
 GRAM, PERCENT = 4, 85
@@ -137,6 +137,8 @@ def frequent_grams(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
         keep = summary.counts >= max(2, summary.total // (2 * FREQUENT))
         gram = np.append(summary.keys[keep].view(np.int64), 0)
         yield pa.RecordBatch.from_pydict({"gram": gram, "n": np.append(summary.counts[keep], summary.total), "whole": np.append(np.zeros(keep.sum(), bool), True)})
+        del summary
+        give_back()
 
     counted = staged(docs.select(text).mapInArrow(run, "gram long, n long, whole boolean").groupBy("whole", "gram").agg(F.sum("n").alias("n")), "grams")
     total = (counted.filter("whole").agg(F.sum("n")).first()[0]) or 0
@@ -181,6 +183,7 @@ def described(docs: DataFrame, text: str = "text") -> DataFrame:
                 }
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_pydict({f.name: part.column(part.schema.get_field_index(f.name)) for f in kept} | cells)
+        give_back()
 
     from pyspark.sql import types as T
 
@@ -403,6 +406,7 @@ def _small_group_pairs(rows: DataFrame) -> DataFrame:
                 held, size = rest.to_batches(), rest.num_rows
         if size:
             yield settle(pa.Table.from_batches(held).combine_chunks())
+        give_back()
 
     return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "src long, dst long")
 

@@ -23,13 +23,13 @@ from pyspark.sql import types as T
 
 from .sampling import fold, labelled_sample
 from .staging import small_batches, table
-from .textops import schema_with, with_columns
+from .textops import give_back, schema_with, with_columns
 
 UNKNOWN = "und"
 #: Rows of the embedding table (a power of two), their width, and the n-gram lengths.
 ROWS_LOG2, WIDTH, ORDERS = 15, 12, (1, 2, 3)
 #: Code points that are worked on at once.
-CHUNK_POINTS = 1 << 20
+CHUNK_POINTS = 1 << 19
 _GAP = "\0\0\0"
 
 
@@ -193,6 +193,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", drop_text
             best, score, ok = (np.concatenate(x) if parts else np.zeros(0) for x in (zip(*parts) if parts else ((), (), ())))
             new = {"lang_pred": pa.array(names[best.astype(int)].tolist(), pa.string()), "score": pa.array(score, pa.float64()), "accepted": pa.array(ok.astype(bool))}
             yield with_columns(batch, new, drop)
+        give_back()
 
     return docs.mapInArrow(run, schema_with(docs, fields, drop))
 

@@ -132,3 +132,16 @@ def schema_with(df, extra, drop: tuple[str, ...] = ()):
 
     gone = {f.name for f in extra} | set(drop)
     return T.StructType([f for f in df.schema.fields if f.name not in gone] + list(extra))
+
+
+def give_back() -> None:
+    """Return memory that a worker no longer uses to the system; workers outlive the tasks they serve."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
