@@ -156,7 +156,7 @@ def add_check(manifest: dict, name: str, observed, expected, tol: float = TOLERA
 
 
 def manifest_frame(spark: SparkSession, manifest: dict) -> DataFrame:
-    rows = [(n, c["group"], _nullable(c["observed"]), _nullable(c["expected"]), c["diff"], c["status"], float(c["tol"]), c["note"]) for n, c in manifest["checks"].items()]
+    rows = [(n, c["group"], _nullable(c["observed"]), _nullable(c["expected"]), None if c["diff"] is None else float(c["diff"]), c["status"], float(c["tol"]), c["note"]) for n, c in manifest["checks"].items()]
     return spark.createDataFrame(rows, "name string, group string, observed string, expected string, diff double, status string, tol double, note string")
 
 
