@@ -139,4 +139,4 @@ def remove_overlapping(docs: DataFrame, benchmark: DataFrame, id_column: str = "
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return find_overlaps(docs, benchmark).drop("text_key")
+    return find_overlaps(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.max("window").alias("window"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .byte_bpe import op5_byte_bpe
 from .decontaminate import op9_decontamination
 from .jaccard import op3_jaccard_join
@@ -26,4 +27,8 @@ QUERIES = {
     "op10_url_filters": op10_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_jaccard_join": oracles.JACCARD,
+    "op9_decontamination": oracles.DECONTAMINATION,
+    "op10_url_filters": oracles.URL_FILTERS,
+}

@@ -111,4 +111,4 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 def op10_url_filters(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return judge(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return judge(pages).select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))

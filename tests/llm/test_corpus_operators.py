@@ -199,3 +199,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.filter("not round_trip").count() == 0
     again = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", F.hash("token_ids")).collect()
     assert sorted(again) == sorted(docs.select("doc_id", F.hash("token_ids")).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are absent")
+@pytest.mark.parametrize("name", ["op3_jaccard_join", "op9_decontamination", "op10_url_filters"])
+def test_query_equals_its_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from capstan.llm import registry
+    from tests.test_queries import rows_of
+
+    c, d = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "benchmark", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    df, cursor = registry.QUERIES[name](spark, d), c.execute(registry.ORACLE_SQL[name])
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([x[0] for x in cursor.description], cursor.fetchall())
