@@ -4,8 +4,8 @@
 2. Grams are ordered rare first: the frequent ones (found by mergeable Misra-Gries summaries over all texts, a
    bounded number) last by their count, all others before them by hash. Two sets that link share a gram among
    the first ``n - ceil(0.85 n) + 1`` of either (prefix filter).
-3. Within a prefix gram's group nodes are compared with a leader, so a group of k nodes gives k - 1 candidates and
-   not all pairs. Candidates pass the length and positional filters, then the suffix filter: counts of the
+3. Within a prefix gram's group nodes are compared with a leader, the node whose grams most others have, so a
+   group of k nodes gives k - 1 candidates and not all pairs. Candidates pass the length and positional filters, then the suffix filter: counts of the
    hashes by range bound the overlap from above. Each pair that is left is verified once on its texts.
 4. After a second round with other leaders, groups whose nodes are still in different components are
    finished: every node outside the group's main component is held against all nodes of the group, in blocks
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -38,8 +38,8 @@ SUMMARY, FREQUENT = 1 << 18, 1 << 17
 LEAST_FREQUENT = 16
 #: Block sizes for the groups that two rounds of leaders leave open.
 SMALL_GROUP, QUERY_BLOCK, BASE_BLOCK = 512, 256, 2048
-#: Small groups are compared so many rows and pairs at a time, first by so many ranges.
-ROWS_AT_ONCE, PAIRS_AT_ONCE, COARSE = 1 << 15, 1 << 19, 64
+#: Small groups are compared so many rows and pairs at a time, first by few ranges, then by more.
+ROWS_AT_ONCE, PAIRS_AT_ONCE, TIERS = 1 << 14, 1 << 19, (64, 256)
 #: Bits of the filter that tells which texts a verification needs; a full filter only lets more pass.
 FILTER_BITS_LOG2 = 22
 
@@ -80,9 +80,13 @@ def prefix_length(n: int) -> int:
 
 
 def range_counts(grams: np.ndarray) -> np.ndarray:
-    """Counts of the hashes by range; the number of ranges is a power of two that leaves 4 to 8 in each."""
-    bits = max(0, (len(grams) // 4).bit_length() - 1)
-    return np.bincount((grams >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+    """Counts of the hashes by range; the number of ranges is a power of two that leaves one or two in each.
+
+    Counts are bytes. Should one not fit, all are made 255, which rules nothing out.
+    """
+    bits = max(0, len(grams).bit_length() - 1)
+    counts = np.bincount((grams >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8) if not len(counts) or counts.max() <= 255 else np.full(len(counts), 255, np.uint8)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
@@ -208,7 +212,7 @@ def _suffix_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             keep = []
             for n, m, r, s in zip(c["n1"].to_pylist(), c["n2"].to_pylist(), c["r1"], c["r2"]):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint16) for v in (r, s))
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (r, s))
                 keep.append(overlap_bound(x, y) >= needed_overlap(n, m))
             yield pa.RecordBatch.from_arrays([c["src"], c["dst"]], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
@@ -277,11 +281,14 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> D
     return pairs.join(b, "dst").join(a, "src").select("src", "dst", "t1", "t2").mapInArrow(run, "src long, dst long")
 
 
-def _leaders(grams: DataFrame, salt: int) -> DataFrame:
-    """gram and its leader: the least node by a hash that is the same for all grams."""
-    rank = F.xxhash64("node", F.lit(salt))
-    lead = F.min(F.struct(rank.alias("rank"), F.col("node").alias("leader"), F.col("n").alias("m"), F.col("place").alias("at")))
-    return grams.groupBy("gram").agg(lead.alias("lead"), F.count("*").alias("size"))
+def _leaders(grams: DataFrame, rank: Column) -> DataFrame:
+    """gram and its leader: the node with the least rank."""
+    lead = F.min(F.struct(rank.alias("rank"), F.xxhash64("node").alias("mixed"), F.col("node").alias("leader"), F.col("n").alias("m"), F.col("place").alias("at")))
+    return grams.groupBy("gram").agg(lead.alias("lead"))
+
+
+def _prefix(n: Column) -> Column:
+    return n - F.ceil(F.lit(PERCENT) * n / 100) + 1
 
 
 def _block_candidates(ask: dict, base: dict) -> tuple[list[int], list[int]]:
@@ -338,7 +345,7 @@ def _open_block_pairs(grams: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         cols = {c: t.column(c).to_numpy() for c in ("node", "n", "label")}
-        ranges = [np.frombuffer(x, np.uint16) for x in t.column("ranges").to_pylist()]
+        ranges = [np.frombuffer(x, np.uint8) for x in t.column("ranges").to_pylist()]
         asks = t.column("asks").to_numpy()
 
         def part(at: np.ndarray) -> dict:
@@ -352,9 +359,9 @@ def _open_block_pairs(grams: DataFrame, nodes: DataFrame) -> DataFrame:
     return _small_group_pairs(small).unionByName(large).distinct()
 
 
-def _coarse(ranges: np.ndarray) -> np.ndarray:
-    """Range counts over COARSE ranges; sets with fewer ranges are not told apart here."""
-    return ranges.reshape(COARSE, -1).sum(1) if len(ranges) >= COARSE else np.zeros(COARSE, np.int64)
+def _folded(ranges: np.ndarray, size: int) -> np.ndarray:
+    """Range counts over ``size`` ranges; sets with fewer ranges are not told apart here."""
+    return ranges.reshape(size, -1).sum(1, dtype=np.int32) if len(ranges) >= size else np.zeros(size, np.int32)
 
 
 def _small_group_pairs(rows: DataFrame) -> DataFrame:
@@ -364,9 +371,9 @@ def _small_group_pairs(rows: DataFrame) -> DataFrame:
         gram, node, n, label = (table.column(c).to_numpy() for c in ("gram", "node", "n", "label"))
         kinds, at = np.unique(node, return_index=True)
         place = np.searchsorted(kinds, node)
-        ranges = [np.frombuffer(x, np.uint16) for x in table.column("ranges").take(pa.array(at)).to_pylist()]
+        ranges = [np.frombuffer(x, np.uint8) for x in table.column("ranges").take(pa.array(at)).to_pylist()]
         size = np.array([len(r) for r in ranges])
-        coarse = np.stack([_coarse(r) for r in ranges]).astype(np.int32)
+        tiers = [(k, np.stack([_folded(r, k) for r in ranges]).astype(np.int16)) for k in TIERS]
         ends = np.searchsorted(gram, gram, side="right")
         count = ends - np.arange(len(gram)) - 1
         src, dst, lo = [], [], 0
@@ -379,10 +386,13 @@ def _small_group_pairs(rows: DataFrame) -> DataFrame:
             pair = np.unique(np.minimum(place[i[ok]], place[j[ok]]) * len(kinds) + np.maximum(place[i[ok]], place[j[ok]]))
             a, b = pair // len(kinds), pair % len(kinds)
             need = -(-PERCENT * (n[at[a]] + n[at[b]]) // (100 + PERCENT))
-            fits = (size[a] < COARSE) | (size[b] < COARSE)
-            for k in range(0, len(a), 1 << 14):
-                part = slice(k, k + (1 << 14))
-                fits[part] |= np.minimum(coarse[a[part]], coarse[b[part]]).sum(1) >= need[part]
+            for width, counts in tiers:
+                fits = (size[a] < width) | (size[b] < width)
+                for k in range(0, len(a), 1 << 13):
+                    part = slice(k, k + (1 << 13))
+                    fits[part] |= np.minimum(counts[a[part]], counts[b[part]]).sum(1, dtype=np.int64) >= need[part]
+                a, b, need = a[fits], b[fits], need[fits]
+            fits = slice(None)
             for x, y, m in zip(a[fits].tolist(), b[fits].tolist(), need[fits].tolist()):
                 if overlap_bound(ranges[x], ranges[y]) >= m:
                     src.append(int(kinds[x]))
@@ -419,8 +429,12 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     )
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "gram-nodes")  # written, so ids stay
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("place", "gram"))
-    shared = _leaders(postings, 1).filter("size > 1")
+    shared = postings.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1")
     grams = staged(postings.join(shared, "gram"), "shared-grams")
+    # The original of a group of copies has the grams that most of them have, so it makes the best leader.
+    known = grams.groupBy("node").agg((F.sum("size") / F.first(_prefix(F.col("n")))).alias("known"))
+    first = grams.join(known, "node")
+    first = first.join(_leaders(first, -F.col("known")), "gram")
 
     def candidates(g: DataFrame) -> DataFrame:
         ok = _filters(F.col("n"), F.col("lead.m"), F.col("place"), F.col("lead.at")) & (F.col("node") != F.col("lead.leader"))
@@ -436,10 +450,10 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
         still = own.groupBy("gram").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one != two").select("gram")
         return own.join(still, "gram")
 
-    links = links_of(candidates(grams), "links")
+    links = links_of(candidates(first), "links")
     labels = connected_components(links)
     still = staged(labelled(labels), "open-grams")
-    second = still.join(_leaders(still, 2), "gram").join(labels.select(F.col("node").alias("_l"), F.col("label").alias("_label")), F.col("lead.leader") == F.col("_l"), "left")
+    second = still.join(_leaders(still, F.xxhash64("node", F.lit(2))), "gram").join(labels.select(F.col("node").alias("_l"), F.col("label").alias("_label")), F.col("lead.leader") == F.col("_l"), "left")
     second = second.filter(F.col("label") != F.coalesce(F.col("_label"), F.col("lead.leader")))
     links = links.unionByName(links_of(candidates(second), "links"))
     labels = connected_components(links)
