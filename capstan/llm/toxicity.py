@@ -129,7 +129,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 200, rate: float =
     return ToxicityModel(out, float(b))
 
 
-def fit(rows: DataFrame, per_label: int = 2500, longest: int = 50_000) -> ToxicityModel:
+def fit(rows: DataFrame, per_label: int = 2500, longest: int = 20_000) -> ToxicityModel:
     """Learn from ``rows`` (doc_id, text, toxic): at most about ``per_label`` rows of each label that are no
     longer than ``longest`` characters reach the driver."""
     usable = rows.filter(F.col("toxic").isin(0, 1) & (F.length("text") <= longest))
