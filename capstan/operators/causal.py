@@ -151,7 +151,7 @@ def effects_table(df: DataFrame, treat: str, outcome: str, covariates: list[str]
     """scope, estimand, effect: pooled, and for each period without the period among the covariates."""
     spark = df.sparkSession
     fits = [("pooled", double_ml(df, treat, outcome, [*covariates, period], cluster, weight))]
-    for r in sorted(df.select(period).distinct().collect(), key=lambda r: str(r[0])):  # periods are few
+    for r in sorted(df.select(period).dropna().distinct().collect(), key=lambda r: str(r[0])):  # periods are few
         fits.append((str(r[0]), double_ml(df.filter(F.col(period) == F.lit(r[0])), treat, outcome, covariates, cluster, weight)))
     return spark.createDataFrame([(s, k, v) for s, e in fits for k, v in (("ATE", e.ate), ("ATTE", e.atte))], "scope string, estimand string, effect double")
 

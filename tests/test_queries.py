@@ -52,6 +52,13 @@ def test_query_has_rows(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_effects_cover_every_ship_year(spark, duck):
+    years = [str(y) for (y,) in duck.execute("SELECT DISTINCT year(l_shipdate) AS y FROM lineitem WHERE l_shipdate IS NOT NULL ORDER BY y").fetchall()]
+    rows = catalogue.QUERIES["effect_estimates"](spark, DATA).collect()
+    assert [(r["scope"], r["estimand"]) for r in rows] == [(s, k) for s in ("pooled", *years) for k in ("ATE", "ATTE")]
+    assert all(math.isfinite(r["effect"]) for r in rows)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
