@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
-The patterns give the base spans. The field, trained here from a small labelled table, looks at every token
-with a digit or an at-sign in the light of its neighbours' shapes and finds numbers and addresses in forms that
-the patterns miss (spelled-out addresses, national telephone numbers, identity and account numbers). Tokens
-without a digit or at-sign can only be plain text (a structural zero of the field), so decoding falls apart into
-short independent runs; runs of equal length go through Viterbi together as numpy arrays.
+The patterns give the base spans. The field, trained here from a small labelled table, labels every token of a
+text in the light of its neighbours and finds numbers and addresses in forms that the patterns miss (spelled-out
+addresses, national telephone numbers, identity and account numbers). Names have no label. Tokens that are plain
+on the best path whatever their neighbours are called need no search (see ``undecided``), so the best path of a
+whole text falls apart into short runs; runs of equal length go through Viterbi together as numpy arrays.
 
 Defined results: null counts as an empty text without spans; repeated rows give equal spans; empty tables give
 empty tables; columns named like the outputs are replaced. Spans count code points, ends exclusive.
@@ -79,12 +79,51 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # The labelled table: a template and the label of each of its tokens (A address, C contact, I identity, . plain).
 _EXAMPLES = """
-write to jana.k at mail9 dot example dot org today|...........
+write to jana.k at mail9 dot example dot org today|..AAAAAAA.
+write to jana dot k at example dot org today|..AAAAAAA.
+my address is rolf at example dot com if needed|...AAAAA..
+mail lena (at) example (dot) net for details|.AAAAA..
+reach bob [at] server [dot] org at any time|.AAAAA...
+contact: info (at) firma.de or write|.AAA..
+send it to kim[at]example[dot]com please|...A.
+ask tom(at)example.org about it|.A..
+schreib an uwe at beispiel punkt de bitte|..AAAAA.
+escribe a luis arroba ejemplo punto es hoy|..AAAAA.
+she left anna dot b dot lee at mail dot site dot com on the desk|..AAAAAAAAAAA...
+jana dot k at example dot org|AAAAAAA
+max (at) uni [dot] de|AAAAA
+lisa(at)web.de|A
+you may ask eva[at]haus[dot]org on friday|...A..
+for this see jan(at)amt.de and others|...A..
+kurt[at]verein[dot]de|A
+tim at shop dot com|AAAAA
+her page lists ann dot b at home dot org.|...AAAAAAA
+you can write to otto dot maier at post dot example dot net, he said|....AAAAAAAAA..
+we met at the station at noon|.......
+was a at the end of b at all|.........
+at de la at mit at der es at|.........
+look at the dot on the map at home|.........
+a dot at the end of the line|........
+the red dot is at the top (at last)|.........
+each dot com firm was sold at a loss|.........
+he was at home (and at work) then|........
+el punto de la mesa es de la casa|.........
+der punkt de am ende ist rot|.......
+the point of a net is to hold at sea|..........
+they looked at it from the other side of the house|...........
+The report was read by Members of the House|.........
+see the file readme.txt or visit www.example.org now|........
+and/or (see below) the so-called "free" e.g. part|........
+la maison est au bord de la mer et le chat dort|............
+das Haus steht am Fluss, und die Katze schläft.|.........
 reach me: rolf_at_42@intern for details|...A..
 contact lena@localhost or ask the desk|.A.....
 user 77kim@server7 logged in again|.A...
 mail to (bob42@home) please|..A.
 call (988) 555-2485 after nine|.CC..
+the old (416) 555-0134 was there, he said|..CC....
+ring +1 (416) 555-0134 soon|.CCC.
+la casa de (212) 555-0172 der und|...CC..
 tel: 030 1234567 or come by|.CC...
 phone 555-0199-22 is busy|.C..
 fax 0441 / 99 88 77 is old|.CCCCC..
@@ -140,28 +179,97 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1\1", s)
 
 
-def features_of(token: str, before: str, after: str) -> list[str]:
-    digits = sum("0" <= c <= "9" for c in token)
+#: The words that spell out an address, by what they stand for; lower case in brackets of their own.
+ROLES = {"a": ["at", "arroba", "arobase"], "d": ["dot", "punkt", "punto", "point"], "t": "com org net edu gov info io eu de fr es uk at ch it nl ru".split()}
+_BRACKETED = re.compile(r"[(\[{<](at|arroba|arobase|dot|punkt|punto|point)[)\]}>]")
+_ROLE_LIST = ["", "-", "a", "d", "t", "[a", "[d"]
+
+
+def role(token: str) -> str:
+    """What a token can stand for in a spelled-out address: at, dot, a top-level domain, nothing; empty beyond the text."""
+    low = token.lower().rstrip(",.;:!?")
+    m = _BRACKETED.fullmatch(low)
+    return next((("[" if m else "") + k for k, v in ROLES.items() if (m[1] if m else low) in v), "-" if token else "")
+
+
+def cue_of(token: str) -> str:
+    return next((k for k, v in CUES.items() if token.lower() in v), "-")
+
+
+def digits_in(token: str) -> int:
+    return sum("0" <= c <= "9" for c in token)
+
+
+def own_features(token: str) -> list[str]:
+    digits = digits_in(token)
     core = token.strip(",.;:!?()\"'")
-    cue = next((k for k, v in CUES.items() if before.lower() in v), "-")
     return [
         "bias",
         "shape=" + shape(core),
         f"digits={min(digits, 12)}",
         f"marks={''.join(sorted(set(re.findall(r'[-./:()@+,=_%]', core))))}",
         f"mixed={any(c.isalpha() for c in core)}{digits > 0}",
-        f"cue={cue}",
-        f"cue={cue} digits>4={digits > 4}",
-        f"before={shape(before)[:4]}",
-        f"after={shape(after)[:4]}",
         f"paren={token[:1] == '('}{token[-1:] == ')'}",
         f"upper={core[:1].isupper()}{core.isupper()}",
+        f"spelt={_BRACKETED.search(core.lower()) is not None and len(core) > 6}",
     ]
 
 
-def open_token(token: str) -> bool:
-    """May be other than plain text."""
-    return "@" in token or any("0" <= c <= "9" for c in token)
+def before_features(before: str) -> list[str]:
+    return [f"cue={cue_of(before)}", f"before={shape(before)[:4]}"]
+
+
+def after_features(after: str) -> list[str]:
+    return [f"after={shape(after)[:4]}"]
+
+
+def cue_features(cue: str, many: bool) -> list[str]:
+    return [f"cue={cue} digits>4={many}"]
+
+
+def role_features(r: tuple[str, ...]) -> list[str]:
+    """Of the roles of a token (in the middle), the two before it and the two after it."""
+    spans = ((2, 3), (1, 3), (2, 4), (1, 4), (0, 3), (2, 5), (0, 4), (1, 5), (0, 5))
+    return [f"roles{a}={','.join(r[a:b])}" for a, b in spans if set(r[a:b]) - {"", "-"}]
+
+
+_LETTERS = bytes.maketrans(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)), b"9" * 10 + b"A" * 26 + b"a" * 26)
+_OPENING = re.compile(rb"[(\[{<]")
+_LISTED = {w.encode() for x in (*CUES.values(), *ROLES.values()) for w in x}
+
+
+class _Letters(dict):
+    """Lower-case, upper-case and uncased letters as one of each; other characters stay."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        out = c if not c.isalpha() or c.istitle() and not c.isupper() else "A" if c.isupper() else "a" if c.islower() else "\u6f22"
+        self[point] = out
+        return out
+
+
+_MORE_LETTERS = _Letters()
+
+
+def class_of(word: bytes) -> bytes:
+    """Letters (and digits of ASCII words) do not tell words apart that are unlisted and without brackets."""
+    low = word.lower()
+    if low in _LISTED or low.rstrip(b",.;:!?") in _LISTED or _OPENING.search(word):
+        return word
+    if word.isascii():
+        return word.translate(_LETTERS)
+    text = word.decode()
+    low = text.lower().encode()
+    if low in _LISTED or low.rstrip(b",.;:!?") in _LISTED:
+        return word
+    return text.translate(_MORE_LETTERS).encode()
+
+
+def features_of(tokens: list[str], i: int) -> list[str]:
+    padded = ["", "", *tokens, "", ""]
+    before, token, after = padded[i + 1 : i + 4]
+    around = role_features(tuple(map(role, padded[i : i + 5])))
+    return own_features(token) + before_features(before) + after_features(after) + cue_features(cue_of(before), digits_in(token) > 4) + around
 
 
 @dataclass(frozen=True)
@@ -178,6 +286,13 @@ class Field:
                 out[i] = self.emit[rows].sum(0)
         return out
 
+    def of_word(self, word: bytes) -> tuple[list[float], int, bool, int]:
+        """Emissions as the token, the one before and the one after (3 x labels); cue, many digits and role as numbers.
+        All words of one ``class_of`` have the same."""
+        t = word.decode()
+        sums = self.emissions([own_features(t), before_features(t), after_features(t)])
+        return sums.ravel().tolist(), ["-", *CUES].index(cue_of(t)), digits_in(t) > 4, _ROLE_LIST.index(role(t))
+
 
 def viterbi(emissions: np.ndarray, move: np.ndarray) -> np.ndarray:
     """Best labels of sequences of one length (sequences x steps x labels), each between two plain tokens."""
@@ -205,22 +320,30 @@ def labelled_table() -> list[tuple[list[str], list[int]]]:
     return out
 
 
+def undecided(e: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Which tokens (emissions ``e``) may be other than plain on the best path.
+
+    A stretch of other labels is on it only if it beats the same stretch of plain ones. Where the most that any stretch
+    around a token can gain is negative, the token is plain: that shortens the search and leaves its result as it is.
+    """
+    stay = np.diag(move)
+    step, gain = move - stay, ((e + stay)[:, 1:] - (e + stay)[:, [PLAIN]]).max(1)  # staying with a label costs nothing
+    inner, ends = step[1:, 1:].max(), step[PLAIN, 1:].max() + step[1:, PLAIN].max()
+    total = np.concatenate([[0], np.cumsum(gain + inner)])
+    left = total[1:] - np.minimum.accumulate(total[:-1])  # the best stretch that ends here
+    right = np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]  # that begins here
+    return left + right - (gain + inner) - inner + ends > -1e-6
+
+
 def train(rows: list[tuple[list[str], list[int]]], rounds: int = 150, rate: float = 0.2, shrink: float = 0.02) -> Field:
-    """Maximise the conditional likelihood by gradient ascent; expectations by forward and backward passes."""
+    """Maximise the conditional likelihood of whole rows by gradient ascent, each weight with its own step;
+    expectations by forward and backward passes."""
     runs, names = [], {}
     for tokens, labels in rows:
-        padded = ["", *tokens, ""]
-        i = 0
-        while i < len(tokens):
-            j = i
-            while j < len(tokens) and open_token(tokens[j]):
-                j += 1
-            if j > i:
-                f = [[names.setdefault(x, len(names)) for x in features_of(tokens[t], padded[t], padded[t + 2])] for t in range(i, j)]
-                runs.append((f, labels[i:j]))
-            i = max(j, i + 1)
+        runs.append(([[names.setdefault(x, len(names)) for x in features_of(tokens, t)] for t in range(len(tokens))], labels))
     k = len(FIELD_KINDS) + 1
     emit, move = np.zeros((len(names), k)), np.zeros((k, k))
+    past = np.full(emit.shape, 1e-9), np.full(move.shape, 1e-9)
     for _ in range(rounds):
         ge, gm = -shrink * emit, -shrink * move
         for f, y in runs:
@@ -238,8 +361,7 @@ def train(rows: list[tuple[list[str], list[int]]], rounds: int = 150, rate: floa
             for t in range(n):
                 g = -p[t]
                 g[y[t]] += 1
-                for x in f[t]:
-                    ge[x] += g
+                ge[f[t]] += g
             path = [PLAIN, *y, PLAIN]
             for u, v in zip(path, path[1:]):
                 gm[u, v] += 1
@@ -247,7 +369,8 @@ def train(rows: list[tuple[list[str], list[int]]], rounds: int = 150, rate: floa
             gm[:, PLAIN] -= p[-1]
             for t in range(1, n):
                 gm -= np.exp(a[t - 1][:, None] + move + (e[t] + b[t])[None] - z)
-        emit, move = emit + rate * ge / len(runs) * 4, move + rate * gm / len(runs) * 4
+        past = past[0] + ge**2, past[1] + gm**2
+        emit, move = emit + rate * ge / np.sqrt(past[0]), move + rate * gm / np.sqrt(past[1])
     return Field(names, emit, move)
 
 
@@ -256,24 +379,58 @@ def default_field() -> Field:
     return train(labelled_table())
 
 
+#: Words whose emissions a worker keeps; emptied when full.
+MOST_WORDS = 20_000
+_KEPT: list[tuple[Field, dict]] = []
+
+
+def word_cache(field: Field) -> dict:
+    if not _KEPT or _KEPT[0][0] is not field:
+        _KEPT[:] = [(field, {})]
+    return _KEPT[0][1]
+
+
 def decode(field: Field, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str, int, int]]:
     """(text, kind, first byte, end byte) of what the field finds in a chunk of texts."""
     starts, ends, first = words(data, offsets)
     if not len(starts):
         return []
-    marks = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | (data == 64))])
-    is_open = marks[ends] > marks[starts]
     owner = np.searchsorted(first, np.arange(len(starts)), side="right") - 1
     # first has one entry a text; texts without words share an entry, of which the last is the owner.
-    at = np.flatnonzero(is_open)
-    if not len(at):
-        return []
     raw = data.tobytes()
+    numbers = {b"": 0}
+    code = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(starts.tolist(), ends.tolist())])
+    known = word_cache(field)
+    if len(known) > MOST_WORDS:
+        known.clear()
+    classes = {}
+    code = np.array([classes.setdefault(class_of(w), len(classes)) for w in numbers])[code]
+    for w in classes:
+        if w not in known:
+            known[w] = field.of_word(w)
+    vectors, cue, many, roles = (np.array(x) for x in zip(*(known[w] for w in classes)))
+    vectors = vectors.reshape(len(classes), 3, -1)
+
+    def shifted(by: int) -> np.ndarray:
+        """The codes of the tokens so far away in the same text, else of the empty one."""
+        out = np.zeros(len(code), np.int64)
+        here, there = (slice(-by, None), slice(None, by)) if by < 0 else (slice(None, -by), slice(by, None))
+        out[here] = np.where(owner[here] == owner[there], code[there], 0)
+        return out
 
-    def word(i: int, text: int) -> str:
-        return raw[starts[i] : ends[i]].decode() if 0 <= i < len(starts) and owner[i] == text else ""
-
-    e = field.emissions([features_of(word(i, owner[i]), word(i - 1, owner[i]), word(i + 1, owner[i])) for i in at])
+    before, after = shifted(-1), shifted(1)
+    e = vectors[code, 0] + vectors[before, 1] + vectors[after, 2]
+    by_cue = field.emissions([cue_features(c, m) for c in ("-", *CUES) for m in (False, True)])
+    e += by_cue[cue[before] * 2 + many[code]]
+    around = np.zeros(len(code), np.int64)
+    for c in (shifted(-2), before, code, after, shifted(2)):
+        around = around * len(_ROLE_LIST) + roles[c]
+    seen, place = np.unique(around, return_inverse=True)
+    e += field.emissions([role_features(tuple(_ROLE_LIST[x // len(_ROLE_LIST) ** p % len(_ROLE_LIST)] for p in (4, 3, 2, 1, 0))) for x in seen.tolist()])[place]
+    at = np.flatnonzero(undecided(e, field.move))
+    if not len(at):
+        return []
+    e = e[at]
     begins = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (owner[at[1:]] != owner[at[:-1]])]))
     sizes = np.diff(np.append(begins, len(at)))
     labels = np.zeros(len(at), np.int64)

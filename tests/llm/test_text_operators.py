@@ -178,3 +178,31 @@ def test_secrets_of_nothing_and_of_one_id_twice(spark):
     df = spark.createDataFrame([(1, "user: anna pwd: s3cr"), (1, "plain"), (1, "plain"), (None, "user: anna pwd: s3cr")], "doc_id long, text string")
     assert sorted(len(r["linked"]) for r in secrets.scan(df).collect()) == [0, 0, 2, 2]
     assert isinstance(secrets.scan(df).schema["linked"].dataType, T.ArrayType)
+
+
+def test_field_finds_spelled_out_addresses(spark):
+    texts = ["write to maria dot lopez at kontor dot example dot net please", "sven (at) garten [dot] de", "é ask nina[at]verlag[dot]com today", "we sat at the table and saw a dot at the end", "das Haus steht am Ende und der Punkt ist rot"]
+    rows = personal.find(frame(spark, texts)).orderBy("doc_id").collect()
+    found = [[(s["kind"], t[s["start"] : s["end"]]) for s in row["personal"]] for t, row in zip(texts, rows)]
+    assert found == [[("address", "maria dot lopez at kontor dot example dot net")], [("address", "sven (at) garten [dot] de")], [("address", "nina[at]verlag[dot]com")], [], []]
+
+
+def test_undecided_tokens_hold_the_whole_best_path():
+    r = np.random.default_rng(2)
+    fewer = 0
+    for _ in range(300):
+        move, e = r.normal(size=(4, 4)), r.normal(size=(40, 4)) * 2
+        e[:, 0] += r.choice([0, 2, 6], 40)
+        open_, best = personal.undecided(e, move), personal.viterbi(e[None], move)[0]
+        assert not best[~open_].any()
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], open_.astype(int), [0]])))
+        for a, b in edges.reshape(-1, 2):
+            assert (personal.viterbi(e[None, a:b], move)[0] == best[a:b]).all()
+        fewer += (~open_).sum()
+    assert fewer
+
+
+def test_words_of_a_class_have_one_emission():
+    field, seen = personal.default_field(), {}
+    for w in "abc xyz Abc 12-34 99-88 a1 b2 AB, CD, at dot org. (at) tel: call über ölig Über ÜB ÖL 漢 字x ²x ax² ǅa Teléfono telëfono".encode().split():
+        assert seen.setdefault(personal.class_of(w), field.of_word(w)) == field.of_word(w)
