@@ -4,7 +4,8 @@ Rules decide what they fit; the longest wins. For all other pages the link graph
 flows from trusted hosts along links, and distrust flows against links from blocked hosts, so whoever links to
 a blocked host shares its distrust. A host is blocked if its distrust is greater than its trust. Hosts are
 joined by absolute links and, in both directions, to the host one label up. Link counts are combined before
-each shuffle, and every few rounds the scores are written to the shared folder.
+each shuffle, and every few rounds the scores are written to the shared folder. The walk ends when no host's score
+changes by more than a small share of itself, so also no new host is reached.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule, takes no part in
 the graph and is allowed; null html has no links; repeated rows are judged alike; empty tables give empty
@@ -13,6 +14,8 @@ tables; columns named like the outputs are replaced.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,9 @@ from .staging import staged, table
 #: The rules, host and path as one string, with their verdicts.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 DAMPING, ROUNDS, ROUNDS_BETWEEN_WRITES = 0.85, 8, 4
+#: ROUNDS is how many the SQL unrolls; the walk over the tables of sf0.001 and sf0.01 has settled by then.
+#: The share of a host's score that may still change between two writes when the walk ends.
+TOLERANCE = 1e-4
 HOST = r"^.*?://([^/?#]*)"
 PATH = r"^.*?://[^/?#]*([^?#]*)"
 LINK = r"""(?i:href)[\x20\x09-\x0D]*=[\x20\x09-\x0D]*["']?((?i:https?:)?//[^"'\x20\x09-\x0D>]+)"""
@@ -69,8 +75,9 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.unionByName(up).unionByName(down).groupBy("src", "dst").agg(F.sum("links").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust after ``rounds`` steps. ``seeds`` has host, trusted and blocked, each summing to one."""
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
+    """host, trust, distrust after ``rounds`` steps, or when they have settled. ``seeds`` has host, trusted and blocked,
+    each summing to one."""
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "links").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     )
@@ -80,13 +87,19 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
         seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trusted"), F.lit("distrust"), F.col("blocked"))).alias("kind", "seed")).filter("seed > 0"),
         "host-seeds",
     )
-    scores = start.select("kind", "host", F.col("seed").alias("score"))
-    for i in range(1, rounds + 1):
+    scores = written = start.select("kind", "host", F.col("seed").alias("score"))
+    for i in count(1) if rounds is None else range(1, rounds + 1):
         moved = scores.withColumnRenamed("host", "src").join(steps, ["kind", "src"])
         moved = moved.select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         scores = moved.unionByName(start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if i % ROUNDS_BETWEEN_WRITES == 0:
             scores = staged(scores, "host-scores")
+            if rounds is None:
+                both_times = scores.join(written.withColumnRenamed("score", "was"), ["kind", "host"], "left")
+                change = both_times.agg(F.max(F.when(F.col("score") > 0, F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))) / F.col("score")))).first()[0]
+                if not change or change <= TOLERANCE:
+                    break
+                written = scores
     return scores.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
 
 

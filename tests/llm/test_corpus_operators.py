@@ -166,6 +166,15 @@ def test_trust_flows_along_links_and_distrust_against_them(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_distrust_reaches_hosts_any_number_of_links_away(spark):
+    n = 11  # h0 -> h1 -> ... -> the blocked host
+    hosts = [*(f"h{i}.eu" for i in range(n)), "bad.com"]
+    rows = [(i, f"http://{h}/", f'<a href="http://{hosts[i + 1]}/">') for i, h in enumerate(hosts[:-1])] + [(n, "http://bad.com/en/1", None), (n + 1, "http://plain.eu/", None)]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i]["verdict"] for i in range(n + 2)] == ["block"] * (n + 1) + ["allow"]
+    assert all(abs(got[i]["distrust"] - 0.15 * 0.85 ** (n - i)) < 1e-9 for i in range(n + 1))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
