@@ -364,6 +364,12 @@ def _folded(ranges: np.ndarray, size: int) -> np.ndarray:
     return ranges.reshape(size, -1).sum(1, dtype=np.int32) if len(ranges) >= size else np.zeros(size, np.int32)
 
 
+def _tier(ranges: list[np.ndarray], size: int) -> np.ndarray:
+    """Folded range counts, a row for each set, in 16 bits where they fit."""
+    out = np.stack([_folded(r, size) for r in ranges])
+    return out.astype(np.int16) if out.max() <= np.iinfo(np.int16).max else out
+
+
 def _small_group_pairs(rows: DataFrame) -> DataFrame:
     """Candidates of groups of at most SMALL_GROUP nodes: many groups at once, pair by pair in arrays."""
 
@@ -373,7 +379,7 @@ def _small_group_pairs(rows: DataFrame) -> DataFrame:
         place = np.searchsorted(kinds, node)
         ranges = [np.frombuffer(x, np.uint8) for x in table.column("ranges").take(pa.array(at)).to_pylist()]
         size = np.array([len(r) for r in ranges])
-        tiers = [(k, np.stack([_folded(r, k) for r in ranges]).astype(np.int16)) for k in TIERS]
+        tiers = [(k, _tier(ranges, k)) for k in TIERS]
         ends = np.searchsorted(gram, gram, side="right")
         count = ends - np.arange(len(gram)) - 1
         src, dst, lo = [], [], 0

@@ -142,6 +142,12 @@ def test_decontamination_of_nothing(spark):
     assert decontaminate.find_overlaps(frame(spark, []), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
 
 
+def test_range_counts_of_very_long_texts_do_not_wrap():
+    long, short = np.full(64 * 200, 250, np.uint8), np.full(64 * 2, 3, np.uint8)
+    assert (jaccard._tier([long, short], 64) == [[50_000] * 64, [6] * 64]).all()
+    assert jaccard._tier([short], 64).dtype == np.int16
+
+
 def test_url_rules(spark):
     rows = ["http://A.Example.COM/en/7?x", "https://b.example.com/en/6", "https://com/en/", "https://x.net/de/8", "https://q.example.net/de/81", "http://notcom/en/", "ftp://u.org/es/#f", "no scheme", None, "", "http://h.com?en/", "x://a.net/fr/://b"]
     pages = spark.createDataFrame([(i, u, None, "kept") for i, u in enumerate(rows)], "page_id long, url string, html string, host string")
