@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .staging import small_batches, table
-from .textops import byte_codes, code_points_before, give_back, list_array, prefix_hash, ranges, schema_with, slice_hash, text_chunks, with_columns
+from .textops import code_points_before, give_back, list_array, offsets32, ranges, same_bytes, schema_with, slice_hash, text_chunks, with_columns
 
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -168,6 +168,8 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+#: Ids that are decoded at once, rounded to whole rows.
+DECODE_IDS = 1 << 22
 #: Text that is worked on at once; a longer text is still taken whole.
 CHUNK_BYTES = 1 << 21
 #: Pieces of up to so many bytes are merged together as rows of a matrix, longer ones one at a time.
@@ -287,10 +289,10 @@ class PieceCache(dict):
 
 
 def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One index for each distinct slice (told apart by 128 bits of hash), and the position of each slice's own."""
-    one, two = (slice_hash(prefix_hash(data, byte_codes(seed)), starts, ends) for seed in (1, 2))
-    _, kinds, inverse = np.unique(one, return_index=True, return_inverse=True)
-    if (two != two[kinds][inverse]).any():  # two slices share 64 bits
+    """One index for each distinct slice, and the position of each slice's own. Found by hash, confirmed on the bytes."""
+    _, kinds, inverse = np.unique(slice_hash(data, starts, ends, 1), return_index=True, return_inverse=True)
+    first, size = kinds[inverse], ends - starts
+    if (size != size[first]).any() or not same_bytes(data, starts, starts[first], size):  # two slices share a hash
         return np.arange(len(starts)), np.arange(len(starts))
     return kinds, inverse
 
@@ -380,12 +382,15 @@ def decode(encoded: DataFrame, ranks_path: str, drop_ids: bool = False) -> DataF
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("token_ids"))
             counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            body, n = c.decode(ids)
-            upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
-            offsets = pa.py_buffer(upto.astype(np.int32))
-            out = pa.Array.from_buffers(pa.binary(), len(counts), [None, offsets, pa.py_buffer(body.tobytes())])
-            yield with_columns(batch, {"decoded": out}, drop)
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            lo = 0
+            while lo < batch.num_rows:  # so many rows as have about DECODE_IDS ids
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + DECODE_IDS, side="right")) - 1)
+                body, n = c.decode(column.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False))
+                sizes = np.diff(np.concatenate([[0], np.cumsum(n)])[upto[lo : hi + 1] - upto[lo]])
+                out = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets32(sizes)), pa.py_buffer(body.tobytes())])
+                yield with_columns(batch.slice(lo, hi - lo), {"decoded": out}, drop)
+                lo = hi
 
     return encoded.mapInArrow(run, schema_with(encoded, [T.StructField("decoded", T.BinaryType())], drop))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import discard, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         was = labels.select("node", F.col("label").alias("was"))
         newer = staged(jumped.join(was, "node"), "labels")
         moved = newer.filter("label != was").limit(1).count()
+        discard(labels)
         labels = newer.select("node", "label")
+        labels._staged_path = newer._staged_path
         if not moved:
+            discard(both)
             return labels

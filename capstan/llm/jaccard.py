@@ -1,20 +1,24 @@
-"""N-gram Jaccard join: texts whose sets of word 4-grams overlap by 0.85 or more, and the classes they form.
-
-1. Equal sets become one node, whatever the number of copies.
-2. Grams are ordered rare first: the frequent ones (found by mergeable Misra-Gries summaries over all texts, a
-   bounded number) last by their count, all others before them by hash. Two sets that link share a gram among
-   the first ``n - ceil(0.85 n) + 1`` of either (prefix filter).
-3. Within a prefix gram's group nodes are compared with a leader, the node whose grams most others have, so a
-   group of k nodes gives k - 1 candidates and not all pairs. Candidates pass the length and positional filters, then the suffix filter: counts of the
-   hashes by range bound the overlap from above. Each pair that is left is verified once on its texts.
-4. After a second round with other leaders, groups whose nodes are still in different components are
-   finished: every node outside the group's main component is held against all nodes of the group, in blocks
-   of bounded size, through the suffix filter; what passes is verified. Pairs inside one component need
-   no comparison, as the result is the components. So no link between components is lost.
-
-Defined results: null texts and texts without words have no grams and link with nothing; a text of one to
-three words is one gram; repeated rows belong together; an empty table gives an empty table; rows that
-share an id are told apart by their texts; a null id counts as no id (its component takes the least other id).
+"""N-gram Jaccard join: texts whose sets of word n-grams overlap by a given share or more, and the classes they form.
+
+1. Equal sets (128 bits) become one node, whatever the number of copies.
+2. A count sketch of fixed size over the grams of all texts gives the common order: rare grams first, ties by hash.
+   (Any order that all sets share is exact; the sketch only decides how well it tells rare from frequent.) Two sets
+   that link share a gram among the first ``n - ceil(share * n) + 1`` of either: the prefix filter.
+3. One shuffle deals the prefix grams out by gram, those that the sketch calls frequent by gram and salt. In each group
+   the nodes are compared with a leader, the one whose grams are the most frequent on average (the original of a group
+   of copies); the salts' leaders are then compared with each other. A group of k nodes gives fewer than 2 k
+   candidates. They pass the length and positional filters, then the suffix filter: counts of the hashes by range
+   bound the overlap from above. What is left is verified once, word by word.
+4. Groups whose nodes are still in different components are finished: every node outside a group's main component
+   is held against all nodes of the group, in blocks of bounded size, through the length and suffix filters. Pairs that were
+   settled before are left out, and pairs inside one component need no comparison, as the result is the components. So no
+   link between components is lost.
+
+Defined results: null texts and texts without words have no grams and link with nothing; a text of fewer words than a gram
+has is one gram; repeated rows belong together; an empty table gives an empty table; rows that share an id are told apart
+by their texts; a null id counts as no id (its component takes the least other id); equal counts in the order are decided by
+hash, equal leaders by node, so ties change no result; very long texts are read whole, a text at a time; columns of the
+table named like the outputs are replaced, and no other name meets a helper's.
 """
 
 from __future__ import annotations
@@ -25,47 +29,53 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
-from .staging import small_batches, staged, table
-from .textops import byte_codes, give_back, list_array, lower_ascii, mix64, prefix_hash, slice_hash, text_chunks, words
+from .staging import discard, small_batches, staged, table
+from .textops import give_back, list_array, lower_ascii, mix64, same_bytes, slice_hash, text_chunks, words
 from .textops import ranges as all_ranges
 
 GRAM, PERCENT = 4, 85
-#: Entries of a task's summary of frequent grams, and frequent grams kept in all (at most twice this number).
-SUMMARY, FREQUENT = 1 << 18, 1 << 17
-#: A gram is never called frequent below so many texts.
-LEAST_FREQUENT = 16
-#: Block sizes for the groups that two rounds of leaders leave open.
+#: Cells of the sketch, and of a slice in which it travels. Fixed: 4 MB on the driver and in a worker.
+SKETCH_LOG2, SLICE_LOG2 = 22, 16
+#: Steps of the sketch's counts in a doubling.
+STEPS = 8
+#: A gram with so many more texts than the median cell is dealt out by salt, so many to a salt.
+HOT = 512
+#: Block sizes for the groups that leaders leave open.
 SMALL_GROUP, QUERY_BLOCK, BASE_BLOCK = 512, 256, 2048
 #: Small groups are compared so many rows and pairs at a time, first by few ranges, then by more.
 ROWS_AT_ONCE, PAIRS_AT_ONCE, TIERS = 1 << 14, 1 << 19, (64, 256)
-#: Bits of the filter that tells which texts a verification needs; a full filter only lets more pass.
+#: Bits of the filters that tell which nodes and texts a step needs; a full filter only lets more pass.
 FILTER_BITS_LOG2 = 22
+#: Set keys a task remembers, so that copies do not carry their prefix again.
+SEEN = 1 << 18
 
 
-def gram_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Each text's distinct gram hashes, sorted."""
+def gram_hashes(data: np.ndarray, offsets: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Hash of the gram at each word, and each text's first word and number of grams."""
     low = lower_ascii(data)
     starts, ends, first = words(low, offsets)
-    w = slice_hash(prefix_hash(low, byte_codes(3)), starts, ends)
+    w = slice_hash(low, starts, ends, 3)
     n = np.diff(first)
-    padded = np.concatenate([w, np.zeros(GRAM, np.uint64)])
-    full = mix64(w ^ np.uint64(GRAM))
-    for j in range(1, GRAM):
+    padded = np.concatenate([w, np.zeros(gram, np.uint64)])
+    full = mix64(w ^ np.uint64(gram))
+    for j in range(1, gram):
         full = mix64(full * np.uint64(0x9E3779B97F4A7C15) + padded[j : j + len(w)])
-    out = []
-    for i, (a, k) in enumerate(zip(first[:-1].tolist(), n.tolist())):
-        if k >= GRAM:
-            out.append(np.unique(full[a : a + k - GRAM + 1]))
-        elif k:
-            h = mix64(w[a : a + 1] ^ np.uint64(k))
-            for j in range(1, k):
-                h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + w[a + j : a + j + 1])
-            out.append(h)
-        else:
-            out.append(w[:0])
-    return out
+    for i in np.flatnonzero((n > 0) & (n < gram)).tolist():  # the whole text is one gram
+        a, k = int(first[i]), int(n[i])
+        h = mix64(w[a : a + 1] ^ np.uint64(k))
+        for j in range(1, k):
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + w[a + j : a + j + 1])
+        full[a] = h[0]
+    return full, first[:-1], np.where(n >= gram, n - gram + 1, np.minimum(n, 1))
+
+
+def gram_sets(data: np.ndarray, offsets: np.ndarray, gram: int = GRAM) -> list[np.ndarray]:
+    """Each text's distinct gram hashes, sorted."""
+    full, first, n = gram_hashes(data, offsets, gram)
+    return [np.unique(full[a : a + k]) for a, k in zip(first.tolist(), n.tolist())]
 
 
 def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +85,8 @@ def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(one).view(np.int64), mix64(two + np.uint64(1)).view(np.int64)
 
 
-def prefix_length(n: int) -> int:
-    return n - (PERCENT * n + 99) // 100 + 1 if n else 0
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
 def range_counts(grams: np.ndarray) -> np.ndarray:
@@ -96,116 +106,153 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(a, b).sum())
 
 
-def needed_overlap(n: int, m: int) -> int:
-    return -(-PERCENT * (n + m) // (100 + PERCENT))
-
-
-class Frequent:
-    """A mergeable Misra-Gries summary: counts are low by at most total / SUMMARY."""
+def needed_overlap(n: int, m: int, percent: int = PERCENT) -> int:
+    return -(-percent * (n + m) // (100 + percent))
 
-    def __init__(self):
-        self.keys, self.counts, self.total, self.waiting, self.waits = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.total += len(keys)
-        self.waiting.append(keys)
-        self.waits += len(keys)
-        if self.waits > 2 * SUMMARY:
-            self.merge()
+def _cell(grams: np.ndarray) -> np.ndarray:
+    return (mix64(grams) >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64)
 
-    def merge(self) -> None:
-        keys = np.concatenate([self.keys, *self.waiting])
-        counts = np.concatenate([self.counts, np.ones(self.waits, np.int64)])
-        self.waiting, self.waits = [], 0
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        keys, counts = keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
-        if len(keys) > SUMMARY:
-            cut = np.partition(counts, -SUMMARY - 1)[-SUMMARY - 1]
-            keep = counts > cut
-            keys, counts = keys[keep], counts[keep] - cut
-        self.keys, self.counts = keys, counts
 
+def gram_levels(docs: DataFrame, text: str, gram: int = GRAM) -> np.ndarray:
+    """A level for each cell of the sketch: STEPS * log2(1 + the number of (text, gram) pairs that fall into it)."""
+    slices, width = 1 << (SKETCH_LOG2 - SLICE_LOG2), 1 << SLICE_LOG2
 
-def frequent_grams(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the grams of at least one in FREQUENT of all; sorted by hash. Bounded by 2 * FREQUENT."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary = Frequent()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, codec = np.zeros(1 << SKETCH_LOG2, np.uint32), pa.Codec("zstd", compression_level=1)
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0)):
-                for s in gram_sets(data, offsets):
-                    summary.add(s)
-        summary.merge()
-        keep = summary.counts >= max(2, summary.total // (2 * FREQUENT))
-        gram = np.append(summary.keys[keep].view(np.int64), 0)
-        yield pa.RecordBatch.from_pydict({"gram": gram, "n": np.append(summary.counts[keep], summary.total), "whole": np.append(np.zeros(keep.sum(), bool), True)})
-        del summary
+                sets = gram_sets(data, offsets, gram)
+                at, n = np.unique(_cell(np.concatenate([np.zeros(0, np.uint64), *sets])), return_counts=True)
+                cells[at] += n.astype(np.uint32)
+        parts = cells.reshape(slices, width)
+        used = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(used.astype(np.int32)), "cells": pa.array([codec.compress(parts[i].tobytes(), asbytes=True) for i in used.tolist()], pa.binary())})
+        del cells, parts
         give_back()
 
-    counted = staged(docs.select(text).mapInArrow(run, "gram long, n long, whole boolean").groupBy("whole", "gram").agg(F.sum("n").alias("n")), "grams")
-    total = (counted.filter("whole").agg(F.sum("n")).first()[0]) or 0
-    least = max(LEAST_FREQUENT, total // FREQUENT)
-    rows = counted.filter(~F.col("whole") & (F.col("n") >= least)).collect()
-    keys = np.array([r["gram"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.array([r["n"] for r in rows], np.int64)[order]
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for i, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                more = np.frombuffer(codec.decompress(packed.as_buffer(), 4 * width), np.uint32)
+                sums[i] = sums.get(i, 0) + more.astype(np.uint64)
+        levels = [np.minimum(np.round(STEPS * np.log2(1.0 + s)), 255).astype(np.uint8).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([*sums], pa.int32()), "levels": pa.array(levels, pa.binary())})
+
+    dealt = docs.select(text).mapInArrow(count, "slice int, cells binary").repartition("slice")
+    out = np.zeros(1 << SKETCH_LOG2, np.uint8)
+    for r in dealt.mapInArrow(merge, "slice int, levels binary").toLocalIterator():  # a fixed number of slices
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
+    return out
+
+
+_NODE_FIELDS = (("n_shingles", T.LongType()), ("k1", T.LongType()), ("k2", T.LongType()), ("rank", T.DoubleType()), ("prefix", T.ArrayType(T.LongType(), False)), ("salts", T.ArrayType(T.IntegerType(), False)), ("ranges", T.BinaryType()))
 
 
-def described(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text but with n_shingles, k1 and k2 (the set's key), prefix (rare first) and ranges."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(frequent_grams(docs, text))
-    names = ("n_shingles", "k1", "k2", "prefix", "ranges")
-    kept = [f for f in docs.schema.fields if f.name not in (text, *names, "component_id")]
+def described(docs: DataFrame, text: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """``docs`` (row, text) without the text but with n_shingles, k1 and k2 (the set's key), rank, and, once for each set and
+    task, prefix (rare first), salts and ranges."""
+    levels = gram_levels(docs, text, gram)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # of a fixed size
+    floor = 2.0 ** (float(np.median(levels[levels > 0])) / STEPS) if levels.any() else 0.0
+    salts_of = np.clip(np.ceil((2.0 ** (np.arange(256) / STEPS) - floor) / HOT), 1, 1 << 24).astype(np.int32)
+    kept = [f for f in docs.schema.fields if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, counts = shared.value
+        level_of, seen = shared.value, set()
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(batch.schema.get_field_index(text))):
-                sets = gram_sets(data, offsets)
-                prefixes = []
-                for s in sets:
-                    p = prefix_length(len(s))
-                    at = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
-                    hot = often[at] == s if len(often) else np.zeros(len(s), bool)
-                    first = s[~hot][:p]
-                    if len(first) < p:
-                        rest = s[hot]
-                        first = np.concatenate([first, rest[np.lexsort((rest, counts[at[hot]]))][: p - len(first)]])
-                    prefixes.append(first)
+                sets = gram_sets(data, offsets, gram)
                 one, two = set_keys(sets)
-                flat = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
+                prefixes, salts, counts, rank, new = [], [], [], [], []
+                for s, key in zip(sets, zip(one.tolist(), two.tolist())):
+                    known = not len(s) or key in seen
+                    new.append(not known)
+                    if known:
+                        rank.append(0.0)
+                        continue
+                    seen.add(key)
+                    level = level_of[_cell(s)]
+                    first = np.lexsort((s, level))[: prefix_length(len(s), percent)]
+                    prefixes.append(s[first])
+                    salts.append(salts_of[level[first]])
+                    rank.append(float(level.mean()))
+                if len(seen) > SEEN:
+                    seen.clear()
+                new = np.array(new, bool)
+                sizes = np.zeros(len(sets), np.int64)
+                sizes[new] = [len(p) for p in prefixes]
                 cells = {
                     "n_shingles": pa.array(np.fromiter(map(len, sets), np.int64, len(sets))),
                     "k1": pa.array(one),
                     "k2": pa.array(two),
-                    "prefix": list_array(flat, np.fromiter(map(len, prefixes), np.int64, len(sets)), pa.int64()),
-                    "ranges": pa.array([range_counts(s).tobytes() for s in sets], pa.binary()),
+                    "rank": pa.array(rank, pa.float64()),
+                    "prefix": _lists(np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64), sizes, new, pa.int64()),
+                    "salts": _lists(np.concatenate([np.zeros(0, np.int32), *salts]), sizes, new, pa.int32()),
+                    "ranges": pa.array([range_counts(s).tobytes() if k else None for s, k in zip(sets, new.tolist())], pa.binary()),
                 }
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_pydict({f.name: part.column(part.schema.get_field_index(f.name)) for f in kept} | cells)
         give_back()
 
-    from pyspark.sql import types as T
+    return docs.mapInArrow(run, T.StructType([*kept, *(T.StructField(n, k) for n, k in _NODE_FIELDS)]))
+
 
-    fields = [T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType(), False), T.BinaryType()))]
-    return docs.mapInArrow(run, T.StructType([*kept, *fields]))
+def _lists(values: np.ndarray, sizes: np.ndarray, valid: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A list for each size, null where not valid."""
+    whole = list_array(values, sizes, kind)
+    return pa.ListArray.from_arrays(whole.offsets, whole.values, mask=pa.array(~valid))
 
 
-def _filters(n, m, i, j):
+def _filters(n, m, i, j, percent: int):
     """Length and positional filters, for a gram at places i and j of the ordered sets."""
-    length = (100 * F.least(n, m)) >= (PERCENT * F.greatest(n, m))
+    length = (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
     most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return length & ((100 + PERCENT) * most >= PERCENT * (n + m))
+    return length & ((100 + percent) * most >= percent * (n + m))
+
+
+def _bit(mixed: Column) -> Column:
+    return F.shiftrightunsigned(mixed, 64 - FILTER_BITS_LOG2)
+
+
+def _bits_of(keys: DataFrame, mixed: Column) -> np.ndarray:
+    """A bit for each value of a mixed long; of a fixed size. Combined before the shuffle."""
+    cells = keys.select(_bit(mixed).alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
+    out = np.zeros(1 << (FILTER_BITS_LOG2 - 6), np.uint64)
+    for r in cells.toLocalIterator():
+        out[r["cell"]] = np.uint64(r["word"] & 0xFFFFFFFFFFFFFFFF)
+    return out
+
+
+def _is_set(bits: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    bit = bit.view(np.uint64)
+    return ((bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def _suffix_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _only_wanted(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``nodes`` whose node may be among ``keys``."""
+    mixed = F.xxhash64("node")
+    shared = nodes.sparkSession.sparkContext.broadcast(_bits_of(keys, mixed))
+    marked = nodes.withColumn("bit", _bit(mixed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_is_set(shared.value, batch.column(batch.num_columns - 1).to_numpy())))
+
+    return marked.mapInArrow(run, marked.schema).drop("bit")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Drop the pairs (src, dst) whose range counts rule the overlap out."""
-    a = nodes.select(F.col("node").alias("src"), F.col("n").alias("n1"), F.col("ranges").alias("r1"))
-    b = nodes.select(F.col("node").alias("dst"), F.col("n").alias("n2"), F.col("ranges").alias("r2"))
+    some = staged(_only_wanted(nodes.select("node", "n", "ranges"), _ends(pairs)), "ranges")
+    a = some.select(F.col("node").alias("src"), F.col("n").alias("n1"), F.col("ranges").alias("r1"))
+    b = some.select(F.col("node").alias("dst"), F.col("n").alias("n2"), F.col("ranges").alias("r2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,85 +260,122 @@ def _suffix_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = []
             for n, m, r, s in zip(c["n1"].to_pylist(), c["n2"].to_pylist(), c["r1"], c["r2"]):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (r, s))
-                keep.append(overlap_bound(x, y) >= needed_overlap(n, m))
+                keep.append(overlap_bound(x, y) >= needed_overlap(n, m, percent))
             yield pa.RecordBatch.from_arrays([c["src"], c["dst"]], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(b, "dst").join(a, "src").mapInArrow(run, "src long, dst long")
-
-
-def _wanted_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for each k1 of ``keys``; of a fixed size."""
-    bit = F.shiftrightunsigned("k1", 64 - FILTER_BITS_LOG2)
-    cells = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
-    out = np.zeros(1 << (FILTER_BITS_LOG2 - 6), np.uint64)
-    for r in cells.toLocalIterator():
-        out[r["cell"]] = np.uint64(r["word"] & 0xFFFFFFFFFFFFFFFF)
+    out = staged(pairs.join(b, "dst").join(a, "src").mapInArrow(run, "src long, dst long"), "likely")
+    discard(some)
     return out
 
 
-def _texts_of(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
+def _texts_of(docs: DataFrame, keys: DataFrame, text: str, gram: int) -> DataFrame:
     """node, text for the nodes of ``keys`` (node, k1, k2): one of the texts that have the node's set."""
-    shared = docs.sparkSession.sparkContext.broadcast(_wanted_filter(keys))
+    shared = docs.sparkSession.sparkContext.broadcast(_bits_of(keys, F.col("k1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(0)):
-                one, two = set_keys(gram_sets(data, offsets))
-                bit = one.view(np.uint64) >> np.uint64(64 - FILTER_BITS_LOG2)
-                hit = ((shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+                one, two = set_keys(gram_sets(data, offsets, gram))
                 keep = []
-                for i in np.flatnonzero(hit).tolist():
+                for i in np.flatnonzero(_is_set(shared.value, one.view(np.uint64) >> np.uint64(64 - FILTER_BITS_LOG2))).tolist():
                     key = (int(one[i]), int(two[i]))
                     if key not in seen:
                         seen.add(key)
                         keep.append(i)
-                if len(seen) > 1 << 18:
+                if len(seen) > SEEN:
                     seen.clear()
                 if keep:
                     yield pa.RecordBatch.from_pydict({"k1": one[keep], "k2": two[keep], "text": batch.column(0).slice(lo, hi - lo).take(pa.array(keep)).fill_null("").cast(pa.string())})
+        give_back()
 
     found = docs.select(text).mapInArrow(run, "k1 long, k2 long, text string")
     # Copies have equal sets though not equal texts; any one will do.
     return found.join(keys, ["k1", "k2"]).groupBy("node").agg(F.min("text").alias("text"))
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The pairs that link, by the sets of their texts."""
-    ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
-    keys = staged(nodes.select("node", "k1", "k2").join(ends, "node"), "wanted")
-    texts = staged(_texts_of(docs, keys, text), "texts")
+def _word_grams(text: str, gram: int) -> set[tuple[bytes, ...]]:
+    w = text.encode().lower().split()  # A to Z only, and the breaks of words exactly
+    return set(zip(*(w[k:] for k in range(gram)))) if len(w) >= gram else {tuple(w)} if w else set()
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, gram: int, percent: int) -> DataFrame:
+    """The pairs that link, by the sets of their texts: first by hashes, then word by word."""
+    keys = staged(_only_wanted(nodes.select("node", "k1", "k2"), _ends(pairs)).join(_ends(pairs), "node"), "wanted")
+    texts = staged(_texts_of(docs, keys, text, gram), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, grams = None, np.zeros(0, np.uint64)
+        last, grams, exact = None, np.zeros(0, np.uint64), None
         for batch in batches:
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             src, keep = c["src"].to_pylist(), []
             for lo, hi, data, offsets in text_chunks(c["t2"]):
-                for i, other in zip(range(lo, hi), gram_sets(data, offsets)):
+                for i, other in zip(range(lo, hi), gram_sets(data, offsets, gram)):
                     if src[i] != last:
                         (_, _, own, cut) = next(text_chunks(c["t1"].slice(i, 1)))
-                        last, grams = src[i], gram_sets(own, cut)[0]
+                        last, grams, exact = src[i], gram_sets(own, cut, gram)[0], None
                     n, m = len(grams), len(other)
                     common = int((grams[np.minimum(np.searchsorted(grams, other), n - 1)] == other).sum()) if n and m else 0
-                    keep.append(n > 0 and m > 0 and 100 * common >= PERCENT * (n + m - common))
+                    ok = n > 0 and m > 0 and 100 * common >= percent * (n + m - common)
+                    if ok:
+                        exact = exact or _word_grams(c["t1"][i].as_py(), gram)
+                        theirs = _word_grams(c["t2"][i].as_py(), gram)
+                        ok = 100 * len(exact & theirs) >= percent * len(exact | theirs)
+                    keep.append(ok)
             yield pa.RecordBatch.from_arrays([c["src"], c["dst"]], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     a, b = texts.select(F.col("node").alias("src"), F.col("text").alias("t1")), texts.select(F.col("node").alias("dst"), F.col("text").alias("t2"))
-    return pairs.join(b, "dst").join(a, "src").select("src", "dst", "t1", "t2").mapInArrow(run, "src long, dst long")
-
+    out = staged(pairs.join(b, "dst").join(a, "src").select("src", "dst", "t1", "t2").mapInArrow(run, "src long, dst long"), "links")
+    discard(keys, texts)
+    return out
 
-def _leaders(grams: DataFrame, rank: Column) -> DataFrame:
-    """gram and its leader: the node with the least rank."""
-    lead = F.min(F.struct(rank.alias("rank"), F.xxhash64("node").alias("mixed"), F.col("node").alias("leader"), F.col("n").alias("m"), F.col("place").alias("at")))
-    return grams.groupBy("gram").agg(lead.alias("lead"))
 
+_GROUPED = ("gram", "salt", "salts", "node", "n", "place", "rank")
+_LED = "gram long, salt int, salts int, node long, n long, place int, rank double, lead long, lead_n long, lead_place int"
 
-def _prefix(n: Column) -> Column:
-    return n - F.ceil(F.lit(PERCENT) * n / 100) + 1
 
+def _led(rows: DataFrame) -> DataFrame:
+    """Rows of ``rows`` (_GROUPED) that are not alone in their group of gram and salt, or whose gram has several salts, each
+    with the group's leader: the highest rank, of equal ones the least node."""
 
-def _block_candidates(ask: dict, base: dict) -> tuple[list[int], list[int]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the row before the batch, held back until it is known whether its group goes on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {k: batch.column(i).to_numpy() for i, k in enumerate(_GROUPED)}
+            at = np.arange(batch.num_rows)
+            same = np.zeros(len(at), bool)
+            same[1:] = (c["gram"][1:] == c["gram"][:-1]) & (c["salt"][1:] == c["salt"][:-1])
+            lead = np.maximum.accumulate(np.where(same, 0, at))
+            c |= {"lead": c["node"][lead], "lead_n": c["n"][lead], "lead_place": c["place"][lead]}
+            if last is not None:
+                if last["gram"][0] == c["gram"][0] and last["salt"][0] == c["salt"][0]:
+                    first = lead == 0  # the group began before
+                    for k in ("lead", "lead_n", "lead_place"):
+                        c[k] = np.where(first, last[k][0], c[k])
+                    same[0] = True
+                c = {k: np.concatenate([last[k], v]) for k, v in c.items()}
+                same = np.concatenate([last["same"], same])
+            go_on = np.append(same[1:], False)
+            keep = (same | go_on | (c["salts"] > 1))[:-1]
+            if keep.any():
+                yield pa.RecordBatch.from_pydict({k: v[:-1][keep] for k, v in c.items()})
+            last = {k: v[-1:].copy() for k, v in c.items()} | {"same": same[-1:]}
+        if last is not None and (last.pop("same")[0] or last["salts"][0] > 1):
+            yield pa.RecordBatch.from_pydict(last)
+
+    dealt = rows.select(*_GROUPED).repartition("gram", "salt").sortWithinPartitions("gram", "salt", F.desc("rank"), "node")
+    return dealt.mapInArrow(run, _LED)
+
+
+def _candidates(led: DataFrame, percent: int) -> DataFrame:
+    ok = _filters(F.col("n"), F.col("lead_n"), F.col("place"), F.col("lead_place"), percent) & (F.col("node") != F.col("lead"))
+    return led.filter(ok).select(F.least("node", "lead").alias("src"), F.greatest("node", "lead").alias("dst"))
+
+
+def _block_candidates(ask: dict, base: dict, percent: int) -> tuple[list[int], list[int]]:
     """Nodes of ``ask`` with those of ``base`` that pass the length and suffix filters and have another label.
 
     Range counts of one size form a matrix; a query looks at the matrices of its own size and, folded, of the
@@ -310,34 +394,37 @@ def _block_candidates(ask: dict, base: dict) -> tuple[list[int], list[int]]:
                 continue
             rows, matrix = stacks[k]
             m = base["n"][rows]
-            lo, hi = np.searchsorted(m, -(-PERCENT * n // 100)), np.searchsorted(m, 100 * n // PERCENT, side="right")
+            lo, hi = np.searchsorted(m, -(-percent * n // 100)), np.searchsorted(m, 100 * n // percent, side="right")
             near = np.flatnonzero(base["label"][rows[lo:hi]] != label) + lo
             if not len(near):
                 continue
             size = min(k, len(own))
             theirs, mine = matrix[near].reshape(len(near), size, -1).sum(2), own.reshape(size, -1).sum(1)
             bound = np.minimum(theirs, mine).sum(1)
-            for j in rows[near[(100 + PERCENT) * bound >= PERCENT * (n + m[near])]].tolist():
+            for j in rows[near[(100 + percent) * bound >= percent * (n + m[near])]].tolist():
                 other = int(base["node"][j])
                 src.append(min(node, other))
                 dst.append(max(node, other))
     return src, dst
 
 
-def _open_block_pairs(grams: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidates (src, dst) of different components from the groups that are still open.
+def _open_block_pairs(grams: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidates (src, dst) of different components from the groups of ``grams`` (gram, node, n, label) that are still open.
 
-    Grams with the same nodes, told by 128 bits, are one group. The nodes outside the group's main component are
-    dealt to blocks; each block is held against the whole group, itself in blocks.
+    Two nodes of one group have been compared, so only groups of three and more matter. Grams with the same nodes,
+    told by 128 bits, are one group. The nodes outside the group's main component are dealt to blocks; each block is
+    held against the whole group, itself in blocks.
     """
     marks = [F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(s)), 24)).alias(f"mark_{s}") for s in (7, 8)]
-    stats = grams.groupBy("gram").agg(F.min_by("label", F.xxhash64("node", F.lit(2))).alias("main"), F.count("*").alias("size"), *marks)
-    one = staged(stats.groupBy("size", "mark_7", "mark_8").agg(F.min("gram").alias("gram"), F.min_by("main", "gram").alias("main")), "open-groups")
-    joined = grams.join(one.select("gram", "main", "size"), "gram").withColumn("query", F.col("label") != F.col("main"))
-    small = joined.filter(F.col("size") <= SMALL_GROUP).join(nodes.select("node", "ranges"), "node").select("gram", "node", "n", "label", "ranges")
-    joined = joined.filter(F.col("size") > SMALL_GROUP)
-    blocks = joined.groupBy("gram").agg(F.ceil(F.count_if("query") / QUERY_BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / BASE_BLOCK).cast("int").alias("salts"))
-    rows = joined.join(blocks.filter("blocks > 0"), "gram").join(nodes.select("node", "ranges"), "node")
+    stats = grams.groupBy("gram").agg(F.min_by("label", F.xxhash64("node", F.lit(2))).alias("main"), F.min("label").alias("one"), F.max("label").alias("two"), F.count("*").alias("size"), *marks)
+    stats = stats.filter("size > 2 and one != two")
+    open_ = staged(stats.groupBy("size", "mark_7", "mark_8").agg(F.min("gram").alias("gram"), F.min_by("main", "gram").alias("main")), "open-groups")
+    rows = staged(grams.join(open_.select("gram", "main", "size"), "gram").withColumn("query", F.col("label") != F.col("main")), "open-grams")
+    counts = staged(_only_wanted(nodes.select("node", "ranges"), rows.select("node")), "ranges")
+    small = rows.filter(F.col("size") <= SMALL_GROUP).join(counts, "node").select("gram", "node", "n", "label", "ranges")
+    large = rows.filter(F.col("size") > SMALL_GROUP)
+    blocks = staged(large.groupBy("gram").agg(F.ceil(F.count_if("query") / QUERY_BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / BASE_BLOCK).cast("int").alias("salts")), "blocks")
+    rows = large.join(blocks.filter("blocks > 0"), "gram").join(counts, "node")
     mixed = F.xxhash64("node", F.lit(5))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.pmod(mixed, F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("asks")))
     asks = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.pmod(mixed, F.col("blocks")).cast("int").alias("block"), s.alias("salt"), F.lit(True).alias("asks")))
@@ -352,11 +439,11 @@ def _open_block_pairs(grams: DataFrame, nodes: DataFrame) -> DataFrame:
             return {c: v[at] for c, v in cols.items()} | {"ranges": [ranges[i] for i in at]}
 
         base = np.flatnonzero(~asks)
-        src, dst = _block_candidates(part(np.flatnonzero(asks)), part(base)) if len(base) else ([], [])
+        src, dst = _block_candidates(part(np.flatnonzero(asks)), part(base), percent) if len(base) else ([], [])
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     large = dealt.groupBy("gram", "block", "salt").applyInArrow(run, "src long, dst long")
-    return _small_group_pairs(small).unionByName(large).distinct()
+    return _small_group_pairs(small, percent).unionByName(large).distinct()
 
 
 def _folded(ranges: np.ndarray, size: int) -> np.ndarray:
@@ -370,7 +457,7 @@ def _tier(ranges: list[np.ndarray], size: int) -> np.ndarray:
     return out.astype(np.int16) if out.max() <= np.iinfo(np.int16).max else out
 
 
-def _small_group_pairs(rows: DataFrame) -> DataFrame:
+def _small_group_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Candidates of groups of at most SMALL_GROUP nodes: many groups at once, pair by pair in arrays."""
 
     def settle(table: pa.Table) -> pa.RecordBatch:
@@ -388,10 +475,10 @@ def _small_group_pairs(rows: DataFrame) -> DataFrame:
             hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
             i = np.repeat(np.arange(lo, hi), count[lo:hi])
             j = all_ranges(np.arange(lo, hi) + 1, count[lo:hi])
-            ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+            ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             pair = np.unique(np.minimum(place[i[ok]], place[j[ok]]) * len(kinds) + np.maximum(place[i[ok]], place[j[ok]]))
             a, b = pair // len(kinds), pair % len(kinds)
-            need = -(-PERCENT * (n[at[a]] + n[at[b]]) // (100 + PERCENT))
+            need = -(-percent * (n[at[a]] + n[at[b]]) // (100 + percent))
             for width, counts in tiers:
                 fits = (size[a] < width) | (size[b] < width)
                 for k in range(0, len(a), 1 << 13):
@@ -427,52 +514,44 @@ def _small_group_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "src long, dst long")
 
 
-def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without its text but with n_shingles, k1, k2 and component_id (the least id in reach)."""
-    rows = staged(described(docs, text), "gram-sets")
-    nodes = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(
-        F.min(id_column).alias("low"), F.min("n_shingles").alias("n"), F.min("prefix").alias("prefix"), F.min("ranges").alias("ranges")
+def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without its text but with n_shingles, component_id (the least id in reach) and group (a long that the rows of
+    a component share; null without words)."""
+    small_batches(docs.sparkSession)
+    out = ("n_shingles", "component_id", "group")
+    kept = [c for c in docs.columns if c not in (text, *out)]
+    texts = docs.select(F.struct(F.col(id_column).alias("id"), F.struct(*kept).alias("own")).alias("row"), F.col(text).alias("text"))
+    rows = staged(described(texts, "text", gram, percent), "gram-sets")
+    sets = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(
+        F.min("row.id").alias("low"), F.first(F.when(F.col("prefix").isNotNull(), F.struct(F.col("n_shingles").alias("n"), "rank", "prefix", "salts", "ranges")), ignorenulls=True).alias("set")
     )
-    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "gram-nodes")  # written, so ids stay
-    postings = nodes.select("node", "n", F.posexplode("prefix").alias("place", "gram"))
-    shared = postings.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1")
-    grams = staged(postings.join(shared, "gram"), "shared-grams")
-    # The original of a group of copies has the grams that most of them have, so it makes the best leader.
-    known = grams.groupBy("node").agg((F.sum("size") / F.first(_prefix(F.col("n")))).alias("known"))
-    first = grams.join(known, "node")
-    first = first.join(_leaders(first, -F.col("known")), "gram")
-
-    def candidates(g: DataFrame) -> DataFrame:
-        ok = _filters(F.col("n"), F.col("lead.m"), F.col("place"), F.col("lead.at")) & (F.col("node") != F.col("lead.leader"))
-        return g.filter(ok).select(F.least("node", "lead.leader").alias("src"), F.greatest("node", "lead.leader").alias("dst")).distinct()
-
-    def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        likely = staged(_suffix_filter(pairs, nodes), name)
-        return staged(_verify(likely, nodes, docs, text), name)
-
-    def labelled(labels: DataFrame) -> DataFrame:
-        """Rows of the groups that hold more than one component."""
-        own = staged(grams.select("gram", "node", "n", "place").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled-grams")
-        still = own.groupBy("gram").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one != two").select("gram")
-        return own.join(still, "gram")
-
-    links = links_of(candidates(first), "links")
-    labels = connected_components(links)
-    still = staged(labelled(labels), "open-grams")
-    second = still.join(_leaders(still, F.xxhash64("node", F.lit(2))), "gram").join(labels.select(F.col("node").alias("_l"), F.col("label").alias("_label")), F.col("lead.leader") == F.col("_l"), "left")
-    second = second.filter(F.col("label") != F.coalesce(F.col("_label"), F.col("lead.leader")))
-    links = links.unionByName(links_of(candidates(second), "links"))
-    labels = connected_components(links)
-    last = _open_block_pairs(staged(labelled(labels), "open-grams"), nodes)
-    links = links.unionByName(links_of(last, "links"))
+    nodes = staged(sets.select("k1", "k2", "low", "set.*").withColumn("node", F.monotonically_increasing_id()), "gram-nodes")  # written, so ids stay
+    narrow = staged(rows.select("row", "n_shingles", "k1", "k2"), "gram-rows")
+    discard(rows)
+    postings = nodes.select("node", "n", "rank", F.posexplode(F.arrays_zip("prefix", "salts")).alias("place", "p"))
+    postings = postings.select("node", "n", "rank", "place", F.col("p.prefix").alias("gram"), F.col("p.salts").alias("salts"))
+    postings = postings.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts")).cast("int"))
+    shared = staged(_led(postings), "shared-grams")
+    tops = shared.filter("salts > 1 and node = lead").withColumn("salt", F.lit(0)).withColumn("salts", F.lit(1))
+    settled = staged(_candidates(shared, percent).unionByName(_candidates(_led(tops), percent)).distinct(), "candidates")
+    likely = _suffix_filter(settled, nodes, percent)
+    links = _verify(likely, nodes, texts, "text", gram, percent)
     labels = connected_components(links)
+    own = staged(shared.select("gram", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled-grams")
+    discard(shared, likely)
+    more = _open_block_pairs(own, nodes, percent).join(settled, ["src", "dst"], "left_anti")
+    more = _verify(staged(more, "candidates"), nodes, texts, "text", gram, percent)
+    discard(own, settled)
+    if more.limit(1).count():
+        labels = connected_components(links.unionByName(more))
 
     named = nodes.select("k1", "k2", "node", "low").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = named.join(least, "label").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "component_id")
-    some = rows.drop("prefix", "ranges").filter("n_shingles > 0").join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).drop("_k1", "_k2")
-    none = rows.drop("prefix", "ranges").filter("n_shingles = 0").withColumn("component_id", F.col(id_column))
-    return some.unionByName(none)
+    named = staged(named.join(least, "label").select(F.col("k1"), F.col("k2"), F.col("label").alias("group"), "component_id"), "gram-groups")
+    discard(nodes)
+    some = narrow.filter("n_shingles > 0").join(named, ["k1", "k2"]).select("row", "n_shingles", "component_id", "group")
+    none = narrow.filter("n_shingles = 0").select("row", "n_shingles", F.col("row.id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+    return some.unionByName(none).select("row.own.*", *out)
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import small_batches, staged, table
-from .textops import byte_codes, mix64, prefix_hash, ranges, slice_hash, text_chunks
+from .textops import mix64, ranges, slice_hash, text_chunks, window_hash
 
 LENGTH, GRAM = 100, 24
 #: Grams in a window.
@@ -65,11 +65,10 @@ def segments_of(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         lo, hi = int(starts[texts[0]]), int(offsets[texts[-1] + 1])
         for at in range(lo, hi - LENGTH + 1, BLOCK):  # one block, but for very long texts
             part = data[at : min(hi, at + BLOCK + LENGTH - 1)]
-            prefix = prefix_hash(part, byte_codes(8))
-            n = len(part) - GRAM + 1
-            gram = slice_hash(prefix, np.arange(n), np.arange(GRAM, n + GRAM))
+            gram = window_hash(part, GRAM, 8)
+            n = len(gram)
             low = np.uint64((1 << _PLACE_BITS) - 1)
-            order = (mix64(gram) & ~low) | np.arange(n, dtype=np.uint64)
+            order = (gram & ~low) | np.arange(n, dtype=np.uint64)
             place = (_least_in(order, SPREAD) & low).astype(np.int64)  # the anchor of each window
             w = np.arange(len(place)) + at
             owner = np.searchsorted(offsets, w, side="right") - 1
@@ -82,7 +81,7 @@ def segments_of(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             # A segment ends where the next begins, or where its text's windows end.
             stop = np.minimum(np.append(begin[1:], len(place)), offsets[owner[begin] + 1] - LENGTH + 1 - at)
             anchor = place[begin]
-            content = slice_hash(prefix, begin, stop + LENGTH - 1) ^ mix64((anchor - begin).astype(np.uint64) + np.uint64(7))
+            content = slice_hash(part, begin, stop + LENGTH - 1, 9) ^ mix64((anchor - begin).astype(np.uint64) + np.uint64(7))
             for k, v in (("text", owner[begin]), ("start", begin + at - offsets[owner[begin]]), ("windows", stop - begin), ("anchor", gram[anchor]), ("content", content)):
                 cols[k].append(v)
     kinds = {"text": np.int64, "start": np.int64, "windows": np.int64, "anchor": np.uint64, "content": np.uint64}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,20 +15,8 @@ IS_BREAK = np.zeros(256, bool)
 IS_BREAK[list(WORD_BREAKS)] = True
 
 _STEP = 0x9E3779B97F4A7C15
-_STEP_INVERSE = pow(_STEP, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    """``base ** i`` mod 2**64 for ``i <= n``; grown by doubling and kept per process."""
-    known = _powers.get(base)
-    if known is None or len(known) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        known = np.ones(size, np.uint64)
-        known[1:] = np.uint64(base)
-        np.multiply.accumulate(known, out=known)
-        _powers[base] = known
-    return known
+#: Longer slices are hashed one by one.
+LONG_SLICE = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -37,21 +26,52 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def byte_codes(seed: int) -> np.ndarray:
-    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP) + np.uint64(seed))
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place (and the end) on as a number, the first lowest; zeros beyond the end. Unaligned view."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def slice_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the slices, independent of where they stand: 8 bytes at a time go through a bijective mix,
+    which is no polynomial, so words built to cancel in one do not collide. Long slices by BLAKE2b."""
+    view = eights(data)
+    left = (ends - starts).astype(np.int64)
+    out = mix64(left.astype(np.uint64) * np.uint64(_STEP) + np.uint64(seed))
+    for i in np.flatnonzero(left > LONG_SLICE).tolist():
+        body = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=int(seed).to_bytes(8, "little"))
+        out[i] = int.from_bytes(body.digest(), "little")
+    live = np.flatnonzero((left > 0) & (left <= LONG_SLICE))
+    at, left, h = starts[live], left[live], out[live]
+    while len(live):
+        h = mix64((h ^ (view[at] & _LOW_BYTES[np.minimum(left, 8)])) + np.uint64(_STEP))
+        done = left <= 8
+        out[live[done]] = h[done]
+        more = ~done
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    return out
 
 
-def prefix_hash(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the hash of any slice of ``data`` follows."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * _power_table(_STEP, len(data))[: len(data)], out=out[1:])
-    return out
+def window_hash(data: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of every ``length`` consecutive bytes, a multiple of 8."""
+    view, n = eights(data), max(0, len(data) - length + 1)
+    h = np.full(n, np.uint64(seed) + np.uint64(_STEP))
+    for k in range(0, length, 8):
+        h = mix64((h ^ view[k : k + n]) + np.uint64(_STEP))
+    return h
 
 
-def slice_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the slices, independent of where they stand."""
-    down = _power_table(_STEP_INVERSE, len(prefix))
-    return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def same_bytes(data: np.ndarray, starts: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> bool:
+    """Whether every slice equals the one of its length at the other place."""
+    differ = np.flatnonzero(starts != others)
+    for part in np.array_split(differ, max(1, int(lengths[differ].sum()) >> 20)):
+        n = lengths[part]
+        if (data[ranges(starts[part], n)] != data[ranges(others[part], n)]).any():
+            return False
+    return True
 
 
 def text_chunks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -112,9 +132,16 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def offsets32(lengths: np.ndarray) -> np.ndarray:
+    """Arrow offsets; callers hold batches far under 2**31 values, and a batch that is not raises instead of wrapping."""
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    if total[-1] >= 1 << 31:
+        raise ValueError("more than 2**31 values in one batch")
+    return total.astype(np.int32)
+
+
 def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
+    offsets = offsets32(lengths)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .sampling import fold, labelled_sample
 from .staging import small_batches, table
-from .textops import byte_codes, code_points_before, lower_ascii, prefix_hash, schema_with, slice_hash, spans_where, text_chunks, with_columns
+from .textops import code_points_before, lower_ascii, schema_with, slice_hash, spans_where, text_chunks, with_columns
 
 ROWS_LOG2 = 19
 #: The bytes that end a sentence.
@@ -55,12 +55,12 @@ def sentences_of(data: np.ndarray, offsets: np.ndarray) -> Sentences:
     low = lower_ascii(data)
     starts, ends, first_of_text = spans_where(~_ENDS[data], offsets)
     w0, w1, _ = spans_where(_WORD[data], offsets)
-    prefix, sentence = prefix_hash(low, byte_codes(11)), np.searchsorted(starts, w0, side="right") - 1
+    sentence = np.searchsorted(starts, w0, side="right") - 1
     used = np.unique(sentence)
-    hashes, owners = [slice_hash(prefix, w0, w1)], [sentence]
+    hashes, owners = [slice_hash(low, w0, w1, 11)], [sentence]
     for k in STEMS:
         long = np.flatnonzero(w1 - w0 > k)
-        hashes.append(slice_hash(prefix, w0[long], w0[long] + k) ^ np.uint64(k << 58))
+        hashes.append(slice_hash(low, w0[long], w0[long] + k, 11) ^ np.uint64(k << 58))
         owners.append(sentence[long])
     hashed = (np.concatenate(hashes) >> np.uint64(64 - ROWS_LOG2)).astype(np.int64)
     # A sentence has a word once, however often it repeats it.

@@ -15,9 +15,9 @@ def grams(text, n=4):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def components(rows, percent=85):
+def components(rows, percent=85, n=4):
     """(id, n, component) of (id, text) rows."""
-    sets = [grams(t) for _, t in rows]
+    sets = [grams(t, n) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):

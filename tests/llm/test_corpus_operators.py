@@ -37,7 +37,7 @@ def near_copies(r, groups=6, size=12, words=90):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"SMALL_GROUP": 1, "QUERY_BLOCK": 2, "BASE_BLOCK": 3}, {"ROWS_AT_ONCE": 7, "PAIRS_AT_ONCE": 5, "LEAST_FREQUENT": 2}])
+@pytest.mark.parametrize("limits", [{}, {"SMALL_GROUP": 1, "QUERY_BLOCK": 2, "BASE_BLOCK": 3, "HOT": 2}, {"ROWS_AT_ONCE": 7, "PAIRS_AT_ONCE": 5, "SEEN": 4, "HOT": 1}])
 def test_jaccard_components(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(jaccard, k, v)
@@ -46,6 +46,25 @@ def test_jaccard_components(spark, monkeypatch, limits):
     assert sorted((tuple(g) for g in got), key=repr) == brute.components(rows)
 
 
+def test_jaccard_of_words_that_cancel_and_of_long_texts(spark):
+    a = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    long = " ".join(f"v{i}" for i in range(60_000))
+    rows = [(1, a), (2, a.translate(str.maketrans("ab", "ba"))), (3, long), (4, long + " end"), (5, "v0 " + long)]
+    got = jaccard.components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 1, 2), (3, 59_997, 3), (4, 59_998, 3), (5, 59_998, 3)]
+
+
+def test_jaccard_with_other_parameters_and_clashing_columns(spark):
+    rows = near_copies(random.Random(21), groups=3, size=6)
+    df = frame(spark, rows).withColumnsRenamed({"kept": "k1"}).withColumns({c: F.lit("u") for c in ("node", "prefix", "row", "group", "id", "K2")})
+    out = jaccard.components(df, gram=5, percent=80)
+    assert set(out.columns) == {*df.columns} - {"text"}
+    got = out.select("doc_id", "n_shingles", "component_id").collect()
+    want = brute.components(rows, 80, 5)
+    assert sorted((tuple(g) for g in got), key=repr) == want
+    assert {r["k1"] for r in out.collect()} == {"y"}
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.components(frame(spark, [])).count() == 0
 
@@ -58,15 +77,6 @@ def test_overlap_bound_is_never_low():
         assert jaccard.overlap_bound(jaccard.range_counts(a), jaccard.range_counts(b)) >= len(np.intersect1d(a, b))
 
 
-def test_frequent_summary_finds_the_frequent():
-    f = jaccard.Frequent()
-    r = np.random.default_rng(3)
-    for _ in range(30):
-        f.add(np.concatenate([r.integers(0, 2**60, 30_000, dtype=np.uint64), np.full(50, 7, np.uint64)]))
-    f.merge()
-    assert f.counts[f.keys == 7][0] > 1500 - f.total / jaccard.SUMMARY - 1 and len(f.keys) <= jaccard.SUMMARY
-
-
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "src long, dst long")
     got = {r["node"]: r["label"] for r in connected_components(edges).collect()}

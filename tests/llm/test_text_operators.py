@@ -46,6 +46,28 @@ def test_bpe_equals_the_library(spark, tiktoken_encoding):
         assert row["token_ends"] == np.cumsum([len(tiktoken_encoding.decode_single_token_bytes(i)) for i in want]).tolist()
 
 
+def thue_morse(n=1024):
+    """Two words that collide in a polynomial hash modulo a power of two, whatever its codes."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_cancel_are_told_apart(spark):
+    texts = [*thue_morse(), *thue_morse(128), " ".join(thue_morse(64))]
+    rows = byte_bpe.decode(byte_bpe.encode(frame(spark, texts), byte_bpe.default_ranks()), byte_bpe.default_ranks()).orderBy("doc_id").collect()
+    assert [bytes(r["decoded"]).decode() for r in rows] == texts
+
+
+def test_same_slices_share_a_hash_and_others_do_not():
+    from capstan.llm.textops import slice_hash, window_hash
+
+    data = np.frombuffer(("abc" * 300 + "\0" * 20 + "abc" * 300).encode(), np.uint8)
+    starts, sizes = np.array([0, 3, 920, 0, 900, 901, 902, 0, 920]), np.array([5, 5, 5, 6, 3, 4, 0, 600, 600])
+    h = slice_hash(data, starts, starts + sizes)
+    assert h[0] == h[1] == h[2] and h[7] == h[8] and len(set(h.tolist())) == 6
+    assert (window_hash(data, 24)[::3][:100] == window_hash(data, 24)[0]).all()
+
+
 def test_bpe_of_nothing(spark):
     empty = frame(spark, []).select("doc_id", "text")
     assert byte_bpe.decode(byte_bpe.encode(empty, byte_bpe.default_ranks()), byte_bpe.default_ranks()).count() == 0
