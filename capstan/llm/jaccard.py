@@ -143,7 +143,7 @@ def gram_levels(docs: DataFrame, text: str, gram: int = GRAM) -> np.ndarray:
 
     dealt = docs.select(text).mapInArrow(count, "slice int, cells binary").repartition("slice")
     out = np.zeros(1 << SKETCH_LOG2, np.uint8)
-    for r in dealt.mapInArrow(merge, "slice int, levels binary").toLocalIterator():  # a fixed number of slices
+    for r in dealt.mapInArrow(merge, "slice int, levels binary").collect():  # a fixed number of slices
         out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
     return out
 
@@ -221,7 +221,7 @@ def _bits_of(keys: DataFrame, mixed: Column) -> np.ndarray:
     """A bit for each value of a mixed long; of a fixed size. Combined before the shuffle."""
     cells = keys.select(_bit(mixed).alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
     out = np.zeros(1 << (FILTER_BITS_LOG2 - 6), np.uint64)
-    for r in cells.toLocalIterator():
+    for r in cells.collect():  # at most one for each 64 bits
         out[r["cell"]] = np.uint64(r["word"] & 0xFFFFFFFFFFFFFFFF)
     return out
 

@@ -331,7 +331,7 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"cell": at.astype(np.int32), "word": cells[at].view(np.int64)})
 
     out = np.zeros(1 << (FILTER_BITS_LOG2 - 6), np.uint64)
-    for r in ids.mapInArrow(run, "cell int, word long").groupBy("cell").agg(F.bit_or("word").alias("word")).toLocalIterator():
+    for r in ids.mapInArrow(run, "cell int, word long").groupBy("cell").agg(F.bit_or("word").alias("word")).collect():  # at most one for each 64 bits
         out[r["cell"]] = np.uint64(r["word"] & 0xFFFFFFFFFFFFFFFF)
     return out
 
