@@ -16,8 +16,9 @@ anchor's place is one segment:
 4. Each text is joined with its runs of removed windows.
 
 Defined results: null counts as an empty text; texts shorter than LENGTH bytes stay whole; of rows that repeat
-with one id none is earlier than the other; null ids come before all others; an empty table gives an empty
-table.
+with one id none is earlier than the other, and rows that share an id are told apart by 64 bits of their text; null ids
+come before all others and are one id; equal windows of equal id and start are ties and stay; very long texts are worked on
+in blocks; an empty table gives an empty table; extra columns of the table are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,42 +198,43 @@ def repeated_windows(bodies: list[bytes], windows: np.ndarray, ids: np.ndarray,
     return segment, place, gone
 
 
-_SEGMENTS = "anchor long, content long, id long, place long"
-_RUNS = "id long, row int, start long, windows int"
+_PLACE = ("id", "row", "start", "windows")
+_RUNS = "id long, row long, start long, windows long"
+_SEGMENTS = f"later boolean, anchor long, content long, {_RUNS}"
 
 
-def _pack(start: np.ndarray, windows: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Start, windows and 24 bits of the text's hash in one number that sorts by start."""
-    return (start.astype(np.int64) << 31) | (windows.astype(np.int64) << 24) | (row.astype(np.int64) & 0xFFFFFF)
-
-
-def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return place >> 31, (place >> 24) & 0x7F, place & 0xFFFFFF
-
-
-def _row_of(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF).cast("long")).cast("int")
-
-
-def _settled(anchor: np.ndarray, content: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _settled(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the earliest segment of each content, and of those that are later."""
-    order = np.lexsort((place, ids, content, anchor))
+    order = np.lexsort((c["start"], c["id"], c["content"], c["anchor"]))
     head = np.ones(len(order), bool)
-    head[1:] = (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])
+    head[1:] = (c["anchor"][order][1:] != c["anchor"][order][:-1]) | (c["content"][order][1:] != c["content"][order][:-1])
     lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    later = (ids[order] != ids[lead]) | (place[order] >> 31 != place[lead] >> 31)
+    later = (c["id"][order] != c["id"][lead]) | (c["start"][order] != c["start"][lead])
     return np.sort(order[~later]), np.sort(order[later])
 
 
-def _task_segments(docs: DataFrame, later: bool) -> DataFrame:
-    """Segments of ``docs`` (id, row, text), each content once per task; or, with ``later``, the rest as runs."""
+def _merged(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Runs (_PLACE) with those of one text that follow each other as one."""
+    order = np.lexsort((c["start"], c["row"], c["id"]))
+    c = {k: c[k][order] for k in _PLACE}
+    head = np.ones(len(order), bool)
+    head[1:] = (c["id"][1:] != c["id"][:-1]) | (c["row"][1:] != c["row"][:-1]) | (c["start"][1:] != (c["start"] + c["windows"])[:-1])
+    heads = np.flatnonzero(head)
+    return {k: v[heads] for k, v in c.items()} | {"windows": np.add.reduceat(c["windows"], heads) if len(heads) else c["windows"][:0]}
+
+
+def _task_segments(docs: DataFrame) -> DataFrame:
+    """Segments of ``docs`` (id, row, text): the earliest of each content in a task, and the later ones as merged runs."""
 
-    def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        anchor, content, ids, place = (np.concatenate(x) for x in zip(*parts))
-        kept, gone = _settled(anchor, content, ids, place)
-        if later:
-            return _run_batch(ids[gone], place[gone])
-        return pa.RecordBatch.from_pydict({"anchor": anchor[kept].view(np.int64), "content": content[kept].view(np.int64), "id": ids[kept], "place": place[kept]})
+    def flush(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        c = {k: np.concatenate([p[k] for p in parts]) for k in ("anchor", "content", *_PLACE)}
+        kept, gone = _settled(c)
+        none = np.zeros(0, np.int64)
+        runs = _merged({k: c[k][gone] for k in _PLACE})
+        for later, x in ((False, {k: v[kept] for k, v in c.items()}), (True, {"anchor": none, "content": none} | runs)):
+            n = len(x["id"])
+            nulls = {k: pa.nulls(n, pa.int64()) for k in ("anchor", "content")} if later else {k: x[k].view(np.int64) for k in ("anchor", "content")}
+            yield pa.RecordBatch.from_pydict({"later": np.full(n, later)} | nulls | {k: x[k] for k in _PLACE})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -239,57 +242,66 @@ def _task_segments(docs: DataFrame, later: bool) -> DataFrame:
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in text_chunks(batch.column(2)):
                 s = segments_of(data, offsets)
-                t = s["text"] + lo
-                parts.append((s["anchor"], s["content"], ids[t], _pack(s["start"], s["windows"], rows[t])))
+                t = s.pop("text") + lo
+                parts.append(s | {"id": ids[t], "row": rows[t]})
                 size += len(t)
                 if size >= TASK_ROWS:
-                    yield flush(parts)
+                    yield from flush(parts)
                     parts, size = [], 0
         if parts:
-            yield flush(parts)
-
-    return docs.mapInArrow(run, _RUNS if later else _SEGMENTS)
-
+            yield from flush(parts)
 
-def _run_batch(ids: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    start, windows, row = _unpack(place)
-    return pa.RecordBatch.from_pydict({"id": ids, "row": row.astype(np.int32), "start": start, "windows": windows.astype(np.int32)})
+    return docs.mapInArrow(run, _SEGMENTS)
 
 
 def _per_anchor(segments: DataFrame) -> DataFrame:
-    """Rows by kind: later segments (kind 0), and those to be compared (1; 2 where the anchor is spread) with a shard."""
+    """Rows by kind: later segments (kind 0), and those to be compared (1; 2 where the anchor is spread) with a shard.
+
+    What is later already is dealt out by its own place, so copies fill no anchor's task.
+    """
+    columns = ("anchor", "content", *_PLACE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the last anchor of a batch may go on in the next
-
-        def settle(a, c, i, p):
-            """All rows of whole anchors, sorted by anchor, content, id and place."""
-            first = np.ones(len(a), bool)
-            first[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
-            later = (i != i[lead]) | (p >> 31 != p[lead] >> 31)
+        held: dict[str, np.ndarray] = {}  # the last anchor of a batch may go on in the next
+
+        def settle(c):
+            """All rows of whole anchors, sorted by anchor, content, id and start."""
+            a, n = c["anchor"], len(c["anchor"])
+            first = np.ones(n, bool)
+            first[1:] = (a[1:] != a[:-1]) | (c["content"][1:] != c["content"][:-1])
+            lead = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+            later = (c["id"] != c["id"][lead]) | (c["start"] != c["start"][lead])
             heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
             number = np.cumsum(first)  # distinct segments so far
-            base = np.repeat(number[heads] - 1, np.diff(np.append(heads, len(a))))
-            total = np.repeat(np.append(number[heads[1:]] - 1, number[-1]) - (number[heads] - 1), np.diff(np.append(heads, len(a))))
+            sizes = np.diff(np.append(heads, n))
+            base = np.repeat(number[heads] - 1, sizes)
+            total = np.repeat(np.append(number[heads[1:]] - 1, number[-1]) - (number[heads] - 1), sizes)
             kind = np.where(later, 0, np.where(total > SHARD_SEGMENTS, 2, 1))
             keep = later | (total > 1)
             salt = (number - 1 - base) // SHARD_SEGMENTS
-            return pa.RecordBatch.from_pydict({"kind": kind[keep].astype(np.int32), "anchor": a[keep], "shard": salt[keep].astype(np.int32), "id": i[keep], "place": p[keep]})
+            return pa.RecordBatch.from_pydict({"kind": kind[keep].astype(np.int32), "anchor": a[keep], "shard": salt[keep].astype(np.int32)} | {k: c[k][keep] for k in _PLACE})
 
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(4)]
+            later = batch.column(0)
+            done = batch.filter(later)
+            if done.num_rows:
+                zero = np.zeros(done.num_rows, np.int32)
+                yield pa.RecordBatch.from_pydict({"kind": zero, "anchor": zero.astype(np.int64), "shard": zero} | {k: done.column(done.schema.get_field_index(k)) for k in _PLACE})
+            batch = batch.filter(pc.invert(later))
+            if not batch.num_rows:
+                continue
+            c = {k: batch.column(i + 1).to_numpy() for i, k in enumerate(columns)}
             if held:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
-            last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+                c = {k: np.concatenate([held[k], v]) for k, v in c.items()}
+            last = int(np.searchsorted(c["anchor"], c["anchor"][-1]))
             if last:
-                yield settle(*(x[:last] for x in cols))
-            held = [x[last:] for x in cols]
-        if held and len(held[0]):
-            yield settle(*held)
+                yield settle({k: v[:last] for k, v in c.items()})
+            held = {k: v[last:] for k, v in c.items()}
+        if held and len(held["anchor"]):
+            yield settle(held)
 
-    dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "content", "id", "place")
-    return dealt.mapInArrow(run, "kind int, anchor long, shard int, id long, place long")
+    dealt = segments.repartition(F.coalesce("anchor", F.xxhash64("id", "start"))).sortWithinPartitions("later", "anchor", "content", "id", "start")
+    return dealt.mapInArrow(run, f"kind int, anchor long, shard int, {_RUNS}")
 
 
 def _squeezed(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
@@ -307,7 +319,7 @@ def _squeezed(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
                     {"id": batch.column(0), "row": batch.column(1), "size": pa.array([len(r) for r in raw], pa.int64()), "packed": pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary())}
                 )
 
-    return docs.mapInArrow(run, "id long, row int, size long, packed binary")
+    return docs.mapInArrow(run, "id long, row long, size long, packed binary")
 
 
 def _bit_of(ids: np.ndarray) -> np.ndarray:
@@ -337,34 +349,33 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def _cut_segments(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The bytes of segments: kind, anchor, shard, id, place, body."""
-    lists = places.groupBy("id", (F.col("place").bitwiseAND(F.lit(0xFFFFFF).cast("long"))).cast("int").alias("row")).agg(F.collect_list(F.struct("kind", "anchor", "shard", "place")).alias("cuts"))
-    joined = _squeezed(docs, _filter_of(places.select("id"))).dropDuplicates(["id", "row"]).join(lists, ["id", "row"]).select("id", "size", "packed", "cuts")
+    """The bytes of segments: kind, anchor, shard, id, row, start, windows, body."""
+    lists = places.groupBy("id", "row").agg(F.collect_list(F.struct("kind", "anchor", "shard", "start", "windows")).alias("cuts"))
+    joined = _squeezed(docs, _filter_of(places.select("id"))).dropDuplicates(["id", "row"]).join(lists, ["id", "row"]).select("id", "row", "size", "packed", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for batch in batches:
-            ids, sizes, packed, cuts = (batch.column(k) for k in range(4))
+            ids, rows, sizes, packed, cuts = (batch.column(k) for k in range(5))
             for k in range(batch.num_rows):
                 raw = codec.decompress(packed[k].as_buffer(), sizes[k].as_py(), asbytes=True)
                 own = cuts[k].values
-                start, windows, _ = _unpack(own.field("place").to_numpy())
+                start, windows = own.field("start").to_numpy(), own.field("windows").to_numpy()
                 yield pa.RecordBatch.from_pydict({
                     "kind": own.field("kind"), "anchor": own.field("anchor"), "shard": own.field("shard"),
-                    "id": pa.array(np.full(len(start), ids[k].as_py(), np.int64)), "place": own.field("place"),
+                    "id": np.full(len(start), ids[k].as_py(), np.int64), "row": np.full(len(start), rows[k].as_py(), np.int64), "start": start, "windows": windows,
                     "body": pa.array([raw[a:b] for a, b in zip(start.tolist(), (start + windows + LENGTH - 1).tolist())], pa.binary()),
                 })
 
-    return joined.mapInArrow(run, "kind int, anchor long, shard int, id long, place long, body binary")
+    return joined.mapInArrow(run, f"kind int, anchor long, shard int, {_RUNS}, body binary")
 
 
 def _compare(segments: DataFrame) -> DataFrame:
     """Runs of later windows (window null), and of spread anchors the earliest of each distinct window with its bytes."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        kind, ids, place = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
-        start, windows, row = _unpack(place)
-        bodies = [r[3] for r in rows]
+        kind, ids, row, start, windows = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+        bodies = [r[5] for r in rows]
         segment, at, gone = repeated_windows(bodies, windows, ids, start)
         run_at = np.flatnonzero(gone)
         head = np.ones(len(run_at), bool)
@@ -377,19 +388,19 @@ def _compare(segments: DataFrame) -> DataFrame:
         size = np.concatenate([n, np.ones(len(up), np.int64)])
         window = [None] * len(heads) + [bodies[s][p : p + LENGTH] for s, p in zip(segment[up].tolist(), at[up].tolist())]
         s = segment[every]
-        return pa.RecordBatch.from_pydict({"id": ids[s], "row": row[s].astype(np.int32), "start": start[s] + at[every], "windows": size.astype(np.int32), "window": pa.array(window, pa.binary())})
+        return pa.RecordBatch.from_pydict({"id": ids[s], "row": row[s], "start": start[s] + at[every], "windows": size, "window": pa.array(window, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
         for batch in batches:
             c = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            for key, k, i, p, body in zip(zip(c["anchor"], c["shard"]), c["kind"], c["id"], c["place"], c["body"]):
+            for key, *row in zip(zip(c["anchor"], c["shard"]), c["kind"], c["id"], c["row"], c["start"], c["windows"], c["body"]):
                 if size >= SHARD_BYTES and key != last:  # a shard holds whole groups
                     yield settle(rows)
                     rows, size = [], 0
                 last = key
-                rows.append((k, i, p, body))
-                size += len(body)
+                rows.append(row)
+                size += len(row[-1])
         if rows:
             yield settle(rows)
 
@@ -411,21 +422,18 @@ def _merge_spread(tops: DataFrame) -> DataFrame:
                 elif (i, s) != first:
                     out.append((i, r, s, 1))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["id", "row", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["id", "row", "start", "windows"])
 
     return tops.repartitionByRange("window").sortWithinPartitions("window", "id", "start").mapInArrow(run, _RUNS)
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """Runs of windows to remove: id, row, start, windows. ``docs`` has id, row and text."""
-    first = _task_segments(docs, later=False)
-    settled = staged(_per_anchor(first), "segments")
-    in_task = _task_segments(docs, later=True)
-    start = F.shiftright("place", 31)
-    later = settled.filter("kind = 0").select("id", F.col("place").bitwiseAND(F.lit(0xFFFFFF).cast("long")).cast("int").alias("row"), start.alias("start"), F.shiftright("place", 24).bitwiseAND(F.lit(0x7F).cast("long")).cast("int").alias("windows"))
+    """Runs of windows to remove: id, row, start, windows. ``docs`` has id, row (a 64-bit hash of the text) and text."""
+    settled = staged(_per_anchor(_task_segments(docs)), "segments")
     compared = staged(_compare(_cut_segments(docs, settled.filter("kind > 0"))), "compared")
     merged = _merge_spread(compared.filter("window is not null"))
-    return in_task.unionByName(later).unionByName(compared.filter("window is null").drop("window")).unionByName(merged)
+    later = settled.filter("kind = 0").select(*_PLACE)
+    return later.unionByName(compared.filter("window is null").drop("window")).unionByName(merged)
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -433,7 +441,7 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     kept (the bytes that remain)."""
     spark = docs.sparkSession
     small_batches(spark)
-    keyed = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), _row_of(F.col(text)).alias("row"), F.col(text).alias("text"))
+    keyed = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
     runs = removals(keyed).groupBy("id", "row").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     joined = _squeezed(keyed).join(runs, ["id", "row"], "left").select("id", "size", "packed", "runs")
 

@@ -97,6 +97,17 @@ def test_repeated_bytes(spark, monkeypatch, limits):
     assert ours == brute.repeated_bytes(rows)
 
 
+def test_repeated_bytes_of_rows_that_share_an_id_and_of_long_texts(spark):
+    r = random.Random(14)
+    passage = "".join(r.choice("ghijkl") for _ in range(150))
+    rows = [(None, "".join(r.choice("abcdef") for _ in range(r.randint(0, 260)))) for _ in range(1500)]
+    rows += [(None, f"{i:05d}" * 30) for i in range(1500)] + [(None, passage + "x"), (None, "yy" + passage), (1, passage + "z"), (1, "zz" + passage), (2, passage)]
+    rows += [(3, "".join(r.choice("mnop") for _ in range(400_000)) + passage)]
+    out = suffixes.deduplicate(frame(spark, rows).withColumnsRenamed({"component_id": "row", "kept": "start"}))
+    got = sorted(((g["doc_id"], g["n_bytes"], sum(x["end"] - x["start"] for x in g["removed"]), len(g["removed"]), hashlib.sha256(bytes(g["kept"])).hexdigest()) for g in out.collect()), key=repr)
+    assert got == brute.repeated_bytes(rows)
+
+
 def test_suffix_array_and_prefixes():
     r = random.Random(5)
     for _ in range(200):
