@@ -1,15 +1,15 @@
 """Secret scans: fixed patterns, and multipart credentials linked by an interval join within scopes.
 
 The base spans are matches of three patterns. Besides them, weak candidates (identifiers, short or unlabelled
-secrets, endpoints) are collected with their positions; on their own they mean little. Parts of one scope, a
-stretch of text without a blank line, are joined by their intervals: every part is matched with the nearest
-parts of the complementary roles before and after it, by one sorted sweep in each direction, and a weak
-candidate is reported only if its complements stand within reach.
+secrets, endpoints) are collected with their positions; on their own they mean little. A scope is the interval between
+two blank lines. The intervals of parts and scopes are joined by one sorted sweep over a text's starts, and a weak
+candidate is reported only if its scope also holds parts of the complementary roles.
 
 All of it is DataFrame functions. Positions come from the lengths of what lies between matches.
 
 Defined results: null counts as an empty text without spans; rows that repeat are each given their spans (rows
-with one id and different texts are kept apart); empty tables give empty tables; extra columns pass through,
+with one id and different texts are kept apart); empty tables give empty tables; parts that start at one place are
+ordered by kind; very long texts are matched whole, with work near linear in their matches; extra columns pass through,
 those named like the outputs are replaced. Spans count code points, ends exclusive.
 """
 
@@ -32,7 +32,7 @@ LEAST_ASSIGNED = 6
 WEAK = {
     "identifier": ("identifier", r"""(?i:access_?key_?id|client_?id|user_?name|user|login|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}"""),
     "credential": ("secret", r"""(?i:pwd|pass|private_?key|access_?key|auth|credential|signature)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}"""),
-    "opaque": ("secret", r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{16,}={0,2}"),
+    "opaque": ("secret", r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{16,}={0,2}"),
     "endpoint": ("endpoint", r"""(?i:https?|ftp|ssh|jdbc:[a-z]{1,20}|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\x20\x09-\x0D"'<>]{3,}"""),
 }
 ROLE_OF_BASE = {"assign": "secret", "access": "identifier", "hex": "secret"}
@@ -40,26 +40,58 @@ ROLES = ("identifier", "secret", "endpoint")
 #: What a weak candidate of a role needs within reach: all roles of one of the sets.
 NEEDS = {"identifier": (("secret",),), "secret": (("identifier",), ("endpoint", "identifier")), "endpoint": (("identifier", "secret"),)}
 BLANK_LINE = r"\n[\x20\t]*\n"
-#: Code points between a weak candidate and its complement, at most.
-REACH = 200
+#: Outputs that are gathered at a time while an array is scanned.
+BLOCK = 128
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """Array of (start, end) of the matches, leftmost and non-overlapping, in code points."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often and in whatever lambda it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def add(acc: Column, step: Column) -> Column:
-        first = acc["at"] + step["gap"]
-        end = first + step["hit"]
-        # The last gap has no match after it.
-        grown = F.concat(acc["out"], F.array(F.struct(first.alias("start"), end.alias("end"))))
-        return F.when(step["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), grown.alias("out")))
 
-    found = F.aggregate(steps, start, add)["out"]
-    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+def scanned(steps: Column, state: Column, step, kind: str) -> Column:
+    """What ``step(state, element)``, a struct of the next ``state`` and of ``out`` (of type ``kind``), gives out along an array.
+
+    An array that grows by one element is copied each time; outputs are therefore gathered in blocks, and the blocks
+    put together at the end, so the work stays near linear in the array.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def inside(acc: Column, element: Column) -> Column:
+        return let(step(acc["state"], element), lambda done: F.struct(done["state"].alias("state"), F.concat(acc["out"], F.array(done["out"])).alias("out")))
+
+    def blocks_of(whole: Column) -> Column:
+        def block(acc: Column, i: Column) -> Column:
+            done = F.aggregate(F.slice(whole, i * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["state"].alias("state"), empty.alias("out")), inside)
+            return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+        numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(whole) / BLOCK).cast("int") - 1))
+        return F.flatten(F.aggregate(numbers, F.struct(state.alias("state"), F.array(empty).alias("out")), block)["out"])
+
+    return let(steps, blocks_of)
+
+
+_SPAN = "struct<start:int,end:int,size:int>"
+
+
+def spans_of(text: Column, pattern: str, group: int = 0) -> Column:
+    """Array of (start, end, size) of the matches, leftmost and non-overlapping, in code points; size is the group's length."""
+
+    def step(at: Column, x: Column) -> Column:
+        first = at + x["gap"]
+        end = first + x["hit"]
+        return F.struct(end.alias("state"), F.struct(first.alias("start"), end.alias("end"), x["size"].alias("size")).alias("out"))
+
+    def spans(hits: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit")))
+        steps = F.zip_with(pairs, sizes, lambda p, v: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit"), F.length(v).alias("size")))
+        return scanned(steps, F.lit(0), step, _SPAN)
+
+    none = F.array().cast(f"array<{_SPAN}>")
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, spans(hits)).otherwise(none))
+    return F.when(text.rlike(pattern), found).otherwise(none)  # most texts need one pass only
 
 
 def _named(spans: Column, kind: str, rank: int) -> Column:
@@ -68,43 +100,46 @@ def _named(spans: Column, kind: str, rank: int) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Spans of the base kinds, by start and then kind."""
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1))
-    assigned = F.zip_with(spans_of(text, ASSIGN), values, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.length(v).alias("size")))
-    assigned = F.filter(assigned, lambda s: s["size"] >= LEAST_ASSIGNED)
+    assigned = F.filter(spans_of(text, ASSIGN, 1), lambda s: s["size"] >= LEAST_ASSIGNED)
     return F.array_sort(F.concat(_named(assigned, "assign", 0), _named(spans_of(text, ACCESS), "access", 1), _named(spans_of(text, HEX), "hex", 2)))
 
 
-def find_parts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text but with text_key, base, weak and breaks (where blank lines end a scope)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    weak = F.concat(*(_named(spans_of(F.col("_body"), p), kind, len(BASE_KINDS) + i) for i, (kind, (_, p)) in enumerate(WEAK.items())))
-    kept = [c for c in docs.columns if c not in (text, "text_key", "base", "weak", "breaks")]
-    texts = docs.select(*kept, F.xxhash64(F.col(text)).alias("text_key"), body.alias("_body"))
-    body = F.col("_body")
-    parts = held(texts, base_spans(body).alias("base"), weak.alias("weak"), spans_of(body, BLANK_LINE).alias("breaks")).drop("_body")
-    # A weak candidate that meets a base span is that span's own text.
-    apart = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return parts.withColumn("weak", apart)
+def find_parts(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """own (the row without its text, as a struct), id, text_key, base, weak and breaks (where blank lines end a scope)."""
+    weak = F.concat(*(_named(spans_of(F.col("body"), p), kind, len(BASE_KINDS) + i) for i, (kind, (_, p)) in enumerate(WEAK.items())))
+    own = F.struct(*(c for c in docs.columns if c != text))
+    texts = docs.select(own.alias("own"), F.col(id_column).alias("id"), F.xxhash64(F.col(text)).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    found = held(texts, base_spans(F.col("body")).alias("base"), weak.alias("weak"))
+    breaks = F.when(F.size("weak") > 0, _named(spans_of(F.col("body"), BLANK_LINE), "break", -1)).otherwise(F.slice("weak", 1, 0))
+    return held(found, breaks.alias("breaks")).drop("body")
 
 
-def link(parts: DataFrame, id_column: str = "doc_id", reach: int = REACH) -> DataFrame:
-    """One row for each id and text_key with ``linked``, the weak candidates whose complements stand within reach."""
-    key = [id_column, "text_key"]
+def link(parts: DataFrame, reach: int | None = None) -> DataFrame:
+    """One row for each id and text_key with ``linked``, the weak candidates whose complements stand in their scope.
+
+    ``reach`` bounds the code points between a candidate and its complement; None leaves it to the scope.
+    """
+    key = ["id", "text_key"]
     role = F.create_map(*(x for k, r in [*ROLE_OF_BASE.items(), *((k, r) for k, (r, _) in WEAK.items())] for x in (F.lit(k), F.lit(r))))
-    rows = (
-        parts.filter(F.size("weak") > 0)
-        .select(*key, "breaks", F.explode(F.concat("base", "weak")).alias("part"))
-        .select(*key, F.size(F.filter("breaks", lambda b: b["start"] < F.col("part.start"))).alias("scope"), "part.*")
-        .distinct()
-        .withColumn("role", role[F.col("kind")])
-    )
-    order = ("start", "rank", "end")
-    ahead = Window.partitionBy(*key, "scope").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy(*key, "scope").orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
-    near = {}
-    for r in ROLES:
-        last, first = F.max(F.when(F.col("role") == r, F.col("end"))).over(ahead), F.min(F.when(F.col("role") == r, F.col("start"))).over(behind)
-        near[r] = F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(first - F.col("end") <= reach, F.lit(False))
+    rows = parts.filter(F.size("weak") > 0).select(*key, F.explode(F.concat("base", "weak", "breaks")).alias("part")).select(*key, "part.*").distinct().withColumn("role", role[F.col("kind")])
+    is_base, is_break = F.col("rank").between(0, len(BASE_KINDS) - 1), F.col("rank") < 0
+    # A weak candidate that meets a base span is that span's own text: some base span that starts before its end ends
+    # after its start. Weak rows stand at their end, base rows at their start, behind the weak ones of the same place.
+    at = Window.partitionBy(*key).orderBy(F.when(is_base, F.col("start")).otherwise(F.col("end")), is_base).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("met", F.coalesce(F.max(F.when(is_base, F.col("end"))).over(at), F.lit(0)))
+    rows = rows.filter(is_base | is_break | (F.col("met") <= F.col("start"))).drop("met")
+    # A scope's interval begins behind a blank line; parts belong to the scope of their start.
+    rows = rows.withColumn("scope", F.count(F.when(is_break, 1)).over(Window.partitionBy(*key).orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, 0))).filter(~is_break)
+    scope, order = Window.partitionBy(*key, "scope"), ("start", "rank", "end")
+    if reach is None:
+        near = {r: F.max(F.col("role") == r).over(scope) for r in ROLES}
+    else:
+        ahead = scope.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        behind = scope.orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+        near = {}
+        for r in ROLES:
+            last, first = F.max(F.when(F.col("role") == r, F.col("end"))).over(ahead), F.min(F.when(F.col("role") == r, F.col("start"))).over(behind)
+            near[r] = F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(first - F.col("end") <= reach, F.lit(False))
     rows = rows.select("*", *(c.alias(f"near_{r}") for r, c in near.items()))
     enough = F.lit(False)
     for r, sets in NEEDS.items():
@@ -119,13 +154,41 @@ def link(parts: DataFrame, id_column: str = "doc_id", reach: int = REACH) -> Dat
 
 def scan(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """``docs`` without its text but with text_key, base and linked (arrays of start, rank, end, kind)."""
-    parts = staged(find_parts(docs, text), "secret-parts")  # spans only: the texts are read and matched once
-    found = link(parts, id_column).withColumnRenamed(id_column, "_id").withColumnRenamed("text_key", "_key")
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    some = parts.filter(F.size("weak") > 0).join(found, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left").drop("_id", "_key")
+    parts = staged(find_parts(docs, text, id_column), "secret-parts")  # spans only: the texts are read and matched once
+    found = link(parts).select(F.col("id").alias("linked_id"), F.col("text_key").alias("linked_key"), "linked")
+    none = F.slice("base", 1, 0)
+    some = parts.filter(F.size("weak") > 0).join(found, F.col("id").eqNullSafe(F.col("linked_id")) & (F.col("text_key") == F.col("linked_key")), "left").drop("linked_id", "linked_key")
     some = some.withColumn("linked", F.coalesce("linked", none))
     rest = parts.filter(F.size("weak") == 0).withColumn("linked", none)
-    return some.unionByName(rest).drop("weak", "breaks")
+    kept = [f"own.{c}" for c in docs.columns if c not in (text, "text_key", "base", "linked")]
+    return some.unionByName(rest).select(*kept, "text_key", "base", "linked")
+
+
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with its spans (sorted by start, at least one) replaced by ``mark``, spans that overlap by one.
+
+    Finding a place in a text takes time in proportion to the place, so the text is cut into blocks of spans first.
+    """
+
+    def step(far: Column, s: Column) -> Column:
+        """What lies before the span, and whether the span opens a mark of its own."""
+        out = F.struct(far.alias("from"), F.greatest(far, s["start"]).alias("to"), (s["start"] >= far).alias("marks"))
+        return F.struct(F.greatest(far, s["end"]).alias("state"), out.alias("out"))
+
+    def pieces(part: Column) -> Column:
+        first = F.element_at(part, 1)["from"]
+
+        def of(own: Column) -> Column:
+            return F.transform(part, lambda c: F.concat(F.substr(own, c["from"] - first + 1, c["to"] - c["from"]), F.when(c["marks"], F.lit(mark)).otherwise(F.lit(""))))
+
+        return let(F.substr(text, first + 1, F.element_at(part, -1)["to"] - first), of)
+
+    def whole(cuts: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(cuts) / BLOCK).cast("int") - 1)
+        return F.array_join(F.flatten(F.transform(numbers, lambda i: let(F.slice(cuts, i * BLOCK + 1, F.lit(BLOCK)), pieces))), "")
+
+    cuts = scanned(spans, F.lit(0), step, "struct<from:int,to:int,marks:boolean>")
+    return F.concat(let(cuts, whole), F.substr(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text)))
 
 
 def joined(spans: Column) -> Column:

@@ -186,13 +186,51 @@ def test_weak_parts_need_complements(spark):
         "user: anna\n",
         "pwd: s3cr",
         "user: anna\n\n" + "pwd: s3cr",  # another scope
-        "user: anna" + " x" * 300 + " pwd: s3cr",  # out of reach
+        "user: anna" + " x" * 3000 + " pwd: s3cr",  # far apart in one scope
         "https://host.example/x user: anna pwd: s3cr",
         "https://host.example/x only",
     ]
     rows = secrets.scan(frame(spark, texts)).orderBy("doc_id").collect()
     kinds = [[s["kind"] for s in row["linked"]] for row in rows]
-    assert kinds == [["identifier", "credential"], [], [], [], [], ["endpoint", "identifier", "credential"], []]
+    assert kinds == [["identifier", "credential"], [], [], [], ["identifier", "credential"], ["endpoint", "identifier", "credential"], []]
+
+
+def weak_spans(text):
+    """Weak candidates whose complements stand in their scope, the plain way."""
+    import re
+
+    base = [tuple(map(int, x.split(":")[1:])) + (x.split(":")[0],) for x in brute.secret_spans(text).split(",") if x]
+    parts = [(a, b, secrets.ROLE_OF_BASE[k], None) for a, b, k in base]
+    for kind, (role, pattern) in secrets.WEAK.items():
+        parts += [(m.start(), m.end(), role, kind) for m in re.finditer(pattern, text) if not any(x < m.end() and m.start() < y for x, y, _ in base)]
+    ends = [m.start() for m in re.finditer(secrets.BLANK_LINE, text)]
+    scope = lambda a: sum(e <= a for e in ends)
+    roles = {}
+    for a, _, role, _ in parts:
+        roles.setdefault(scope(a), set()).add(role)
+    return sorted((a, b, k) for a, b, role, k in parts if k and any(roles[scope(a)] >= set(n) for n in secrets.NEEDS[role]))
+
+
+def test_linked_spans_equal_the_plain_way(spark):
+    r = random.Random(12)
+    pieces = ["user: anna ", "login='bob77' ", "pwd=xyz12 ", "password=abcdef1 ", "https://h.example/a?b ", "Ab3defGhijKLmnop9 ", "AKIA" + "Q7" * 9 + " ", "\n\n", "\n \t\n", "\n", "plain words ", "é ", "auth: token=abcdef99 ", "ftp://user:pass=abcd@x "]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(300)] + ["user: u1 pwd=abcd " * 3000, LONG + "pwd: abcd " + LONG + "user: anna"]
+    rows = secrets.scan(frame(spark, texts).withColumnsRenamed({"score": "linked", "personal": "id", "base": "own"}).withColumn("_held", F.lit(1))).orderBy("doc_id").collect()
+    for t, row in zip(texts, rows):
+        assert [(s["start"], s["end"], s["kind"]) for s in sorted(row["linked"], key=lambda s: (s["start"], s["end"]))] == weak_spans(t)
+    assert rows[0]["id"] == 1 and rows[0]["own"] == 0.5 and rows[0]["_held"] == 1
+
+
+def test_masking_equals_the_plain_way(spark):
+    r = random.Random(13)
+    text = "".join(r.choice("abé😀 ") for _ in range(4000))
+    spans = sorted((a, a + r.randint(1, 12)) for a in r.sample(range(3980), 500))
+    df = spark.createDataFrame([(text, spans)], "text string, spans array<struct<start:int,end:int>>")
+    out, far = "", 0
+    for a, b in spans:
+        out += text[far:a] + ("#" if a >= far else "")
+        far = max(far, b)
+    assert df.select(secrets.masked(F.col("text"), F.col("spans"), "#")).first()[0] == out + text[far:]
 
 
 def test_secrets_of_nothing_and_of_one_id_twice(spark):
