@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capstan.llm import byte_bpe, decontaminate, jaccard, language, secrets
@@ -21,23 +21,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: the one with the least id, of equal ids the least text hash.
+    """Keep one document of each group of near copies (five-word shingles, similarity from 0.8 on): the one with the least
+    id, null last, of equal ids the least text hash; of rows equal in both, one.
 
-    Documents without words are in no group and stay.
+    Documents without words are in no group and stay, and no id or text is taken for another's.
     """
-    found = jaccard.components(docs.select("doc_id", "text", F.xxhash64("text").alias("_text_key")))
-    found = found.select("doc_id", "_text_key", "n_shingles", "component_id", "k1", "k2")
-    # The first row of each group, by a minimum that is combined before the shuffle; equal rows count as one.
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("_text_key").alias("key"))
-    named = staged(found.withColumn("group", F.when(F.col("n_shingles") > 0, F.struct(F.col("component_id").isNull().alias("none"), F.coalesce("component_id", "k1").alias("id")))), "groups")
-    first = named.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"), F.lit(True).alias("_first"))
-    alone = named.filter(F.col("group").isNull()).select(F.col("doc_id").alias("_id"), F.col("_text_key").alias("_key"), F.lit(False).alias("_first")).distinct()
-    keep = first.unionByName(alone)
-    marked = docs.withColumn("_key2", F.xxhash64("text"))
-    # Rows that share id and text are one document; one of them stays unless they have no words.
-    joined = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_key2").eqNullSafe(F.col("_key")))
-    again = Window.partitionBy("doc_id", "_key2").orderBy(F.monotonically_increasing_id())
-    return joined.withColumn("_nth", F.row_number().over(again)).filter("_nth = 1 or not _first").select(*docs.columns)
+    found = jaccard.components(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), gram=5, percent=80)
+    # The row's number makes rows that repeat distinct; it is written, so it stays.
+    named = staged(found.select("row", "group", F.monotonically_increasing_id().alias("nth")), "groups")
+    order = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("key"), F.col("nth").alias("nth"))
+    # The first of each group by a minimum that is combined before the shuffle; the rows are then chosen by number.
+    first = named.filter("group is not null").groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.nth").alias("nth"))
+    kept = named.filter("group is not null").join(first, "nth", "left_semi")
+    return kept.unionByName(named.filter("group is null")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,24 +42,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret by a mark; all documents stay, n_chars follows the new text."""
+    """Replace every secret by a mark, spans that meet by one; all documents stay, n_chars follows the new text."""
     found = secrets.scan(docs.select("doc_id", "text"))
-    spans = F.array_sort(F.concat("base", "linked"))
-    some = found.filter((F.size("base") > 0) | (F.size("linked") > 0)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), spans.alias("_spans")).dropDuplicates(["_id", "_key"])
-    marked = docs.withColumn("_text_key", F.xxhash64("text"))
-    joined = marked.join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        """Text up to the span, then the mark; spans that meet share one mark."""
-        text = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], F.lit("[secret]")).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), text.alias("out"))
-
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    masked = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done))
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return masked.select(*docs.columns)
+    some = found.filter((F.size("base") > 0) | (F.size("linked") > 0)).select("doc_id", "text_key", F.array_sort(F.concat("base", "linked")).alias("spans")).dropDuplicates(["doc_id", "text_key"])
+    some = some.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "spans")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("body"), F.xxhash64("text").alias("text_key"))
+    joined = rows.join(some, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
+    masked = joined.filter("spans is not null").select("row", secrets.masked(F.col("body"), F.col("spans"), "[secret]").alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
+    masked = masked.select(*(new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in docs.columns))
+    return masked.unionByName(joined.filter("spans is null").select("row.*"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
