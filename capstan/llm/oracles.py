@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import AGREE, LEAST_WORDS, WINDOW
 from .jaccard import GRAM, PERCENT
-from .urls import DAMPING, ROUNDS, RULES
+from .urls import DAMPING, PLACES, ROUNDS, RULES
 
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -53,16 +53,15 @@ def _url_filters() -> str:
     return rf"""
 WITH u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {lower}) AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 v AS (SELECT *, {_url_rules()} AS rule FROM u), j AS (SELECT *, {verdict} AS verdict FROM v),
-hosts AS (SELECT DISTINCT host FROM u WHERE host <> ''),
 links AS (SELECT host AS src, translate(regexp_extract(l, '//([^/?#]*)', 1), {lower}) AS dst FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href[\x20\x09-\x0D]*=[\x20\x09-\x0D]*["'']?((?:https?:)?//[^"''\x20\x09-\x0D>]+)', 1)) AS l FROM u WHERE host <> '')),
-up AS (SELECT host AS src, regexp_extract(host, '^[^.]+\.(.+)$', 1) AS dst FROM hosts), up2 AS (SELECT src, dst FROM up WHERE dst IN (SELECT host FROM hosts)),
-e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS links FROM (SELECT src, dst FROM links WHERE dst <> '' AND src <> dst UNION ALL SELECT src, dst FROM up2 UNION ALL SELECT dst, src FROM up2) GROUP BY src, dst),
+e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS links FROM links WHERE dst <> '' AND src <> dst GROUP BY src, dst),
 b AS (SELECT 'trust' AS kind, src, dst, links FROM e UNION ALL SELECT 'distrust', dst, src, links FROM e),
 p AS (SELECT kind, src, dst, links / sum(links) OVER (PARTITION BY kind, src) AS share FROM b),
 s AS (SELECT CASE verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) / sum(count(*)) OVER (PARTITION BY verdict) AS score FROM j WHERE verdict IS NOT NULL GROUP BY verdict, host),
 {", ".join(steps)},
-f AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM {last} GROUP BY host)
-SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust
+n AS (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM {last}),
+f AS (SELECT host, round(coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0), {PLACES}) AS trust, round(coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0), {PLACES}) AS distrust FROM n GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
 FROM j LEFT JOIN f ON j.host = f.host
 """
 

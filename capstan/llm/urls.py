@@ -2,14 +2,16 @@
 
 Rules decide what they fit; the longest wins. For all other pages the link graph decides: personalised PageRank
 flows from trusted hosts along links, and distrust flows against links from blocked hosts, so whoever links to
-a blocked host shares its distrust. A host is blocked if its distrust is greater than its trust. Hosts are
-joined by absolute links and, in both directions, to the host one label up. Link counts are combined before
+a blocked host shares its distrust. A host is blocked if its distrust is greater than its trust. Edges
+are the absolute links between different hosts, weighted by their number. Link counts are combined before
 each shuffle, and every few rounds the scores are written to the shared folder. The walk ends when no host's score
-changes by more than a small share of itself, so also no new host is reached.
+changes by more than a small share of itself, so also no new host is reached. Scores are compared as they are returned,
+rounded to nine places, so the order of a sum cannot turn a verdict; a tie is allowed.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule, takes no part in
 the graph and is allowed; null html has no links; repeated rows are judged alike; empty tables give empty
-tables; columns named like the outputs are replaced.
+tables; a url of any length is split by one pass; columns named like the outputs are replaced, and no helper has a name of
+its own beside the row's.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from .staging import staged, table
 
 #: The rules, host and path as one string, with their verdicts.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
-DAMPING, ROUNDS, ROUNDS_BETWEEN_WRITES = 0.85, 8, 4
+DAMPING, ROUNDS, ROUNDS_BETWEEN_WRITES, PLACES = 0.85, 8, 4, 9
 #: ROUNDS is how many the SQL unrolls; the walk over the tables of sf0.001 and sf0.01 has settled by then.
 #: The share of a host's score that may still change between two writes when the walk ends.
 TOLERANCE = 1e-4
@@ -64,20 +66,18 @@ def parsed(pages: DataFrame, url: str = "url") -> DataFrame:
 
 def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     """src, dst and how many links join them, between the hosts of ``pages`` (with host)."""
-    hosts = pages.filter("host != ''").select("host").distinct()
     links = pages.filter("host != ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LINK), F.lit(1))).alias("link"))
     target = F.translate(F.regexp_extract("link", r"//([^/?#]*)", 1), _UPPER, _LOWER)
-    links = links.select("src", target.alias("dst")).filter("dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("links"))
-    # A cycle-free choice of what stands between two hosts: the one without its first label.
-    up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("dst")).filter("dst != ''")
-    up = up.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit(1.0).alias("links"))
-    down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    return links.unionByName(up).unionByName(down).groupBy("src", "dst").agg(F.sum("links").alias("links"))
+    return links.select("src", target.alias("dst")).filter("dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("links"))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust after ``rounds`` steps, or when they have settled. ``seeds`` has host, trusted and blocked,
-    each summing to one."""
+    """host, trust, distrust after ``rounds`` steps, or when they have settled; each sums to one over all hosts. ``seeds`` has
+    host, trusted and blocked, each summing to one.
+
+    A host without a way on gives its mass back to the seeds. That has the same solution as letting the mass go and
+    scaling what is left to one, which needs no sum over all hosts in every round.
+    """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "links").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     )
@@ -100,6 +100,10 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, dam
                 if not change or change <= TOLERANCE:
                     break
                 written = scores
+    scores = staged(scores, "host-scores")
+    total = {r["kind"]: r["total"] for r in scores.groupBy("kind").agg(F.sum("score").alias("total")).collect()}
+    whole = F.when(F.col("kind") == "trust", total.get("trust") or 1.0).otherwise(total.get("distrust") or 1.0)
+    scores = scores.withColumn("score", F.col("score") / whole)
     return scores.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
 
 
@@ -112,16 +116,17 @@ def seeds_of(pages: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``pages`` without their html, with host, path, rule, trust, distrust and verdict."""
-    known = parsed(pages, url)
-    light = staged(known.drop(html), "pages-parsed")
-    scores = propagate(seeds_of(light), host_edges(known, html)).withColumnRenamed("host", "_host")
-    out = light.drop("trust", "distrust", "verdict").join(scores, F.col("host") == F.col("_host"), "left").drop("_host")
-    out = out.withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
+    """``pages`` without their html, with host, path, rule, trust, distrust (rounded to PLACES) and verdict."""
+    out = ("host", "path", "rule", "trust", "distrust", "verdict")
+    kept = [c for c in pages.columns if c != html and c not in out]
+    known = parsed(pages.select(F.struct(*kept).alias("row"), F.col(url).alias("url"), F.col(html).alias("html")))
+    light = staged(known.select("row", "host", "path", "rule"), "pages-parsed")
+    scores = staged(propagate(seeds_of(light), host_edges(known)), "host-verdicts")
+    done = light.join(scores, "host", "left").withColumns({k: F.round(F.coalesce(k, F.lit(0.0)), PLACES) for k in ("trust", "distrust")})
     by_graph = F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce(verdict_of(F.col("rule")), by_graph))
+    return done.withColumn("verdict", F.coalesce(verdict_of(F.col("rule")), by_graph)).select("row.*", *out)
 
 
 def op10_url_filters(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return judge(pages).select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+    return judge(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
