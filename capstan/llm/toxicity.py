@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning: sentence scores under a noisy-or, trained from document labels.
 
-A sentence's score is a logistic function of hashed weights of its words and their stems; a document is toxic if at least one of its
-sentences is, so its score is one minus the product of (1 - sentence score). Only document labels are
+A sentence's score is a logistic function of hashed weights of its words and their stems, lowered by the logarithm of the number of
+sentences of its text, by a learned factor of one at least, so that the floor of very long texts does not add up; a document is toxic
+if at least one of its sentences is, so its score is one minus the product of (1 - sentence score), in training and in scoring. Only document labels are
 needed for training, and the sentence scores then say where the offence is.
 
 Defined results: null and empty texts have no sentence and score 0; repeated rows are scored alike; an empty
-table gives an empty table, and a table without labels a model that scores everything near 0; columns named
-like the outputs are replaced.
+table gives an empty table, and a table without labels a model that scores everything near 0; very long texts are scored
+whole; a score of exactly 0.5 is predicted 1; columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ from .textops import code_points_before, lower_ascii, schema_with, slice_hash, s
 ROWS_LOG2 = 19
 #: The bytes that end a sentence.
 SENTENCE_ENDS = b".!?\n"
-
-#: From this score on a sentence takes part in the noisy-or of its text.
-SPEAKS = 0.05
+#: With 1, the mild scores of all sentences of a text add up to the same whatever their number.
+LEAST_LENGTH = 1.0
 #: Besides itself, a word counts by its first bytes, so that inflected forms share weights.
 STEMS = (4, 5, 6)
 
@@ -76,23 +76,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ToxicityModel:
+    """weights by hashed word; bias; how much the logarithm of a text's number of sentences lowers each sentence."""
+
     weights: np.ndarray
     bias: float
+    length: float
 
     def sentence_scores(self, s: Sentences) -> np.ndarray:
-        return _sigmoid(self.bias + np.bincount(s.sentence_of_word, self.weights[s.words], len(s.starts)))
+        each = np.log(np.bincount(s.text_of_sentence))[s.text_of_sentence] if len(s.starts) else np.zeros(0)
+        return _sigmoid(self.bias - self.length * each + np.bincount(s.sentence_of_word, self.weights[s.words], len(s.starts)))
 
     def text_scores(self, s: Sentences, texts: int) -> np.ndarray:
-        """Noisy-or over the sentences that speak for it, and the highest of the others.
-
-        Scores under SPEAKS are the model's floor and not evidence; thousands of them in a long text must not add up.
-        """
-        p = self.sentence_scores(s)
-        speaks = p >= SPEAKS
-        quiet = np.zeros(texts)
-        np.maximum.at(quiet, s.text_of_sentence[~speaks], p[~speaks])
-        loud = np.bincount(s.text_of_sentence[speaks], np.log1p(-p[speaks]), texts)
-        return -np.expm1(np.log1p(-quiet) + loud)
+        """Noisy-or over all sentences."""
+        return -np.expm1(np.bincount(s.text_of_sentence, np.log1p(-self.sentence_scores(s)), texts))
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.1, shrink: float = 2e-3, least_texts: int = 3) -> ToxicityModel:
@@ -100,7 +96,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 200, rate: float =
     size = 1 << ROWS_LOG2
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(np.zeros(size, np.float32), -12.0)
+        return ToxicityModel(np.zeros(size, np.float32), -12.0, 1.0)
     parts, base, n_sent = [], 0, 0
     for lo, hi, data, offsets in text_chunks(pa.array(texts, pa.large_string())):
         s = sentences_of(data, offsets)
@@ -114,26 +110,27 @@ def train(texts: list[str], labels: list[int], rounds: int = 200, rate: float =
     words, sentence = words[sel], sentence[sel]
     columns, words = np.unique(words, return_inverse=True)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    w, b = np.zeros(len(columns)), -6.0
-    m = v = np.zeros(len(columns) + 1)
+    w, b, a = np.zeros(len(columns)), -3.0, 1.0
+    m = v = np.zeros(len(columns) + 2)
+    each = np.log(np.bincount(text, minlength=len(y))[text])
     for t in range(1, rounds + 1):
-        p = _sigmoid(b + np.bincount(sentence, w[words], n_sent))
+        p = _sigmoid(b - a * each + np.bincount(sentence, w[words], n_sent))
         doc = np.clip(-np.expm1(np.bincount(text, np.log1p(-p), len(y))), 1e-9, 1 - 1e-9)
         g = np.where(y[text] == 1, -(1 - doc[text]) / doc[text], 1.0) * p * weight[text]
-        grad = np.append(np.bincount(words, g[sentence], len(columns)) + shrink * np.sign(w) / 10, g.sum())
+        grad = np.append(np.bincount(words, g[sentence], len(columns)) + shrink * np.sign(w) / 10, [g.sum(), -(g * each).sum()])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
-        w, b = w - move[:-1], b - move[-1]
+        w, b, a = w - move[:-2], b - move[-2], max(LEAST_LENGTH, a - move[-1])
     out = np.zeros(size, np.float32)
     out[columns] = w
-    return ToxicityModel(out, float(b))
+    return ToxicityModel(out, float(b), float(a))
 
 
 def fit(rows: DataFrame, per_label: int = 2500, longest: int = 20_000) -> ToxicityModel:
-    """Learn from ``rows`` (doc_id, text, toxic): at most about ``per_label`` rows of each label that are no
+    """Learn from ``rows`` (doc_id, text, toxic): at most ``per_label`` rows of each label that are no
     longer than ``longest`` characters reach the driver."""
     usable = rows.filter(F.col("toxic").isin(0, 1) & (F.length("text") <= longest))
-    got = labelled_sample(usable, "toxic", "doc_id", per_label).select("doc_id", "text", "toxic").collect()
+    got = labelled_sample(usable.select("doc_id", "text", "toxic"), "toxic", ("doc_id", "text"), per_label).collect()
     got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"], r["toxic"]))
     return train([r["text"] for r in got], [r["toxic"] for r in got])
 
@@ -174,8 +171,9 @@ def list_array_of(values: pa.Array, lengths: np.ndarray) -> pa.Array:
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold(F.col("doc_id"), 5) != 0)
-    chosen = labelled_sample(labels.filter(F.col("toxic").isin(0, 1)), "toxic", "doc_id", 2500).dropDuplicates(["doc_id"])
-    rows = docs.join(F.broadcast(chosen), "doc_id")  # the sample's size is bounded by per_label
+    # Of each label about as many ids as are learned from, so that few texts are joined; ids with both labels count for neither.
+    agreed = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
+    rows = docs.join(labelled_sample(agreed, "toxic", ("doc_id",), 3000), "doc_id")
     model = fit(rows)
     scored = score(docs, model, drop_text=True)
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
