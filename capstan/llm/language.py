@@ -7,7 +7,7 @@ temperature and the confidence under which a prediction is rejected.
 
 Defined results: null texts and texts without a letter get `und`, score 0 and are rejected; repeated rows are
 scored alike; an empty table, or one without labels, gives `und` everywhere; columns named like the outputs
-are replaced.
+are replaced; very long texts are read whole; of labels with equal scores the first in order is taken.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ UNKNOWN = "und"
 ROWS_LOG2, WIDTH, ORDERS = 15, 12, (1, 2, 3)
 #: Code points that are worked on at once.
 CHUNK_POINTS = 1 << 19
+#: The share of accepted predictions that shall be right.
+SURE = 0.95
 _GAP = "\0\0\0"
 
 
@@ -108,7 +110,10 @@ def pieces_of(texts: list[str], labels: list[int], words: int) -> tuple[list[str
 
 
 def train(texts: list[str], langs: list[str], most_examples: int = 12_000, rounds: int = 3, rate: float = 0.6, seed: int = 7) -> LanguageModel:
-    """Stochastic gradient descent on pieces of the texts; every eighth text only calibrates."""
+    """Stochastic gradient descent on pieces of the texts; every eighth text only calibrates.
+
+    At most ``most_examples`` pieces are used, the same number of each language where there are as many.
+    """
     names = tuple(sorted(set(langs)))
     if not names:
         return LanguageModel((), np.zeros((1 << ROWS_LOG2, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -118,7 +123,13 @@ def train(texts: list[str], langs: list[str], most_examples: int = 12_000, round
     aside = set(order[::8].tolist()) if len(texts) >= 16 else set()
     fit = [i for i in range(len(texts)) if i not in aside]
     pieces, y = pieces_of([texts[i] for i in fit], [y_all[i] for i in fit], 24)
-    pick = rng.permutation(len(pieces))[:most_examples]
+    # Each language's pieces in random order; what one language lacks goes to the others.
+    shuffled = rng.permutation(len(pieces))
+    turn = np.zeros(len(pieces), np.int64)
+    for k in range(len(names)):
+        own = shuffled[y[shuffled] == k]
+        turn[own] = np.arange(len(own))
+    pick = np.sort(np.lexsort((np.argsort(shuffled), turn))[:most_examples])
     pieces, y = [pieces[i] for i in pick], y[pick]
     ids, n = features(pieces)
     firsts = np.cumsum(n) - n
@@ -145,7 +156,10 @@ def train(texts: list[str], langs: list[str], most_examples: int = 12_000, round
     model = LanguageModel(names, (table_ @ out).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
     if not aside:
         return model
-    held, truth = pieces_of([texts[i] for i in sorted(aside)], [y_all[i] for i in sorted(aside)], 24)
+    # Whole texts and short pieces, as both are predicted later.
+    held_texts, held_labels = [texts[i] for i in sorted(aside)], [y_all[i] for i in sorted(aside)]
+    held, truth = pieces_of(held_texts, held_labels, 24)
+    held, truth = held + held_texts, np.concatenate([truth, held_labels])
     ids, n = features(held)
     full = np.flatnonzero(n)
     z = np.stack([np.add.reduceat(c[ids], (np.cumsum(n) - n)[full]) for c in model.rows.T], 1) / n[full][:, None] + bias
@@ -154,21 +168,21 @@ def train(texts: list[str], langs: list[str], most_examples: int = 12_000, round
     best = float(min(losses, key=losses.get))
     p = softmax(z / best)
     right = p.argmax(1) == truth
-    # The lowest confidence from which on at least 19 of 20 pieces set aside are right; never above 0.6.
+    # The lowest confidence from which on at least 19 of 20 examples set aside are right.
     order = np.argsort(-p.max(1), kind="stable")
     share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(share >= 0.95)
-    least = float(min(0.6, p.max(1)[order][good[-1]])) if len(good) else 0.6
-    return LanguageModel(names, model.rows, model.bias, best, max(least, 0.5))
+    good = np.flatnonzero(share >= SURE)
+    least = float(p.max(1)[order][good[-1]]) if len(good) else 1.0
+    return LanguageModel(names, model.rows, model.bias, best, least)
 
 
-def fit(rows: DataFrame, per_language: int = 400, longest: int = 20_000) -> LanguageModel:
-    """Learn from ``rows`` (doc_id, text, lang): at most about ``per_language`` rows of each language that are
-    no longer than ``longest`` characters reach the driver."""
+def fit(rows: DataFrame, per_language: int = 400, longest: int = 20_000, most_examples: int = 12_000) -> LanguageModel:
+    """Learn from ``rows`` (doc_id, text, lang): at most ``per_language`` rows of each language that are no longer than
+    ``longest`` characters reach the driver, and at most ``most_examples`` pieces of 24 words of them are learned from."""
     usable = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
-    got = labelled_sample(usable, "lang", "doc_id", per_language).select("doc_id", "text", "lang").collect()
+    got = labelled_sample(usable.select("doc_id", "text", "lang"), "lang", ("doc_id", "text"), per_language).collect()
     got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
-    return train([r["text"] for r in got], [r["lang"] for r in got])
+    return train([r["text"] for r in got], [r["lang"] for r in got], most_examples)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", drop_text: bool = False) -> DataFrame:
