@@ -6,8 +6,8 @@ expectation-maximisation estimates each rule's accuracy and the share of good do
 posterior follows from its votes by a sum of log-odds, as a column expression.
 
 Defined results: null or empty text has zero counts, fails the base rule and is not kept; repeated rows are
-judged alike; an empty table gives an empty table and a model of the prior; columns named like the outputs
-are replaced.
+judged alike; an empty table gives an empty table and a model of the prior; very long texts are counted whole; a posterior
+of exactly the threshold is kept; columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -123,10 +123,12 @@ class LabelModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
 
 
-#: Rules are precise on good documents, may miss most kinds of bad ones, and always beat chance.
-ON_GOOD_BOUNDS, ON_BAD_BOUNDS, SHARE_BOUNDS = (0.9, 0.998), (0.12, 0.98), (0.05, 0.95)
+#: Keeps logarithms finite; the votes decide whether a rule is to be believed, and which way.
+BOUNDS = (0.001, 0.999)
 #: Pseudo-votes right and wrong, on good and on bad documents.
 PRIOR_GOOD, PRIOR_BAD = (19.0, 1.0), (2.0, 2.0)
+#: Pseudo-documents, good and bad.
+PRIOR_SHARE = (1.0, 1.0)
 
 
 def estimate(patterns: np.ndarray, weights: np.ndarray, names: tuple[str, ...], most: int = 100, tolerance: float = 1e-6) -> LabelModel:
@@ -140,11 +142,11 @@ def estimate(patterns: np.ndarray, weights: np.ndarray, names: tuple[str, ...],
     share, n = 0.5, 0
     for n in range(1, most + 1):
         g, b = (good * weights)[:, None], ((1 - good) * weights)[:, None]
-        newer_good = np.clip(((up * g).sum(0) + PRIOR_GOOD[0]) / (((up + down) * g).sum(0) + sum(PRIOR_GOOD)), *ON_GOOD_BOUNDS)
-        newer_bad = np.clip(((down * b).sum(0) + PRIOR_BAD[0]) / (((up + down) * b).sum(0) + sum(PRIOR_BAD)), *ON_BAD_BOUNDS)
+        newer_good = np.clip(((up * g).sum(0) + PRIOR_GOOD[0]) / (((up + down) * g).sum(0) + sum(PRIOR_GOOD)), *BOUNDS)
+        newer_bad = np.clip(((down * b).sum(0) + PRIOR_BAD[0]) / (((up + down) * b).sum(0) + sum(PRIOR_BAD)), *BOUNDS)
         moved = max(np.abs(newer_good - on_good).max(initial=0), np.abs(newer_bad - on_bad).max(initial=0))
         on_good, on_bad = newer_good, newer_bad
-        share = float(np.clip((g.sum() + PRIOR_GOOD[0]) / (weights.sum() + sum(PRIOR_GOOD)), *SHARE_BOUNDS))
+        share = float(np.clip((g.sum() + PRIOR_SHARE[0]) / (weights.sum() + sum(PRIOR_SHARE)), *BOUNDS))
         odds = np.log(share / (1 - share)) + up @ np.log(on_good / (1 - on_bad)) + down @ np.log((1 - on_good) / on_bad)
         good = 1 / (1 + np.exp(-odds))
         if moved < tolerance:
