@@ -12,7 +12,8 @@ below a checked size and otherwise joined by a shuffle.
 
 Defined results: null and empty texts, and texts or items of fewer than five words, overlap with nothing;
 words are maximal runs of letters and digits in lower case; repeated rows count once; an empty table on either
-side gives an empty result.
+side gives an empty result; equal items are each reported; very long texts are read whole; other columns pass through
+remove_overlapping whatever their names, and take no part in find_overlaps.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import held, table
+from .staging import held, staged, table
 
 #: Seeds for items of at least WINDOW words, and for shorter ones.
 MASKS = ("11101011", "11001111")
@@ -60,11 +61,14 @@ def _context(hashes: Column, at: Column) -> Column:
     return F.slice(F.concat(pad, hashes, pad, pad), at + 1, 2 * reach + longest)
 
 
-def benchmark_seeds(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """One row for each mask and place: seed, item_id, item_words, window, and the words around."""
+def hashed_items(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """item_id, hashes and item_words of the items that are long enough."""
     items = held(benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("text")), word_hashes(F.col("text")).alias("hashes"))
-    items = items.withColumn("item_words", F.size("hashes"))
-    items = items.filter(F.col("item_words") >= LEAST_WORDS)
+    return items.select("item_id", "hashes", F.size("hashes").alias("item_words")).filter(F.col("item_words") >= LEAST_WORDS)
+
+
+def benchmark_seeds(items: DataFrame) -> DataFrame:
+    """One row for each mask and place of ``items``: seed, item_id, item_words, window, and the words around."""
     hashes, size = F.col("hashes"), F.col("item_words")
     lists = []
     for number, mask in enumerate((*MASKS, *SHORT_MASKS)):
@@ -94,14 +98,18 @@ def _is_set(bits: Column, bit: Column) -> Column:
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs: id, text_key, item_id, with hits, agreeing (most words that agree in one window), window, word_at."""
-    seeds = benchmark_seeds(benchmark)
+    # Items of the same words are one until the end: the least id stands for all.
+    items = staged(hashed_items(benchmark), "benchmark-items")
+    lead = items.groupBy("hashes").agg(F.min("item_id").alias("lead"))
+    alike = items.join(lead, "hashes").select("item_id", "lead")
+    seeds = staged(benchmark_seeds(lead.select(F.col("lead").alias("item_id"), "hashes", F.size("hashes").alias("item_words"))), "benchmark-seeds")
     count = seeds.count()
     short = seeds.filter(F.col("item_words") < WINDOW).limit(1).count() > 0
     bits_log2 = min(MOST_BITS_LOG2, max(12, (count * BITS_PER_SEED).bit_length()))
     bits = bit_table(seeds, bits_log2).scalar()
 
-    keyed = docs.select(id_column, text, F.xxhash64(F.col(text)).alias("text_key"))
-    hashed = held(keyed, word_hashes(F.col(text)).alias("hashes")).drop(text).filter(F.size("hashes") >= LEAST_WORDS).withColumn("bits", bits)
+    keyed = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_key"))
+    hashed = held(keyed, word_hashes(F.col("text")).alias("hashes")).drop("text").filter(F.size("hashes") >= LEAST_WORDS).withColumn("bits", bits)
     hashes, size = F.col("hashes"), F.size("hashes")
     lists = []
     for number, mask in enumerate((*MASKS, *SHORT_MASKS) if short else MASKS):
@@ -109,7 +117,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
         lists.append(F.filter(places, lambda p: _is_set(F.col("bits"), _bit(p["seed"], bits_log2, 0)) & _is_set(F.col("bits"), _bit(p["seed"], bits_log2, 1))))
     rows = held(hashed, F.concat(*lists).alias("places")).drop("bits").filter(F.size("places") > 0)
     around = F.transform("places", lambda p: F.struct(p["seed"].alias("seed"), p["at"].alias("at"), _context(hashes, p["at"]).alias("context")))
-    places = rows.select(id_column, "text_key", F.explode(around).alias("p")).select(id_column, "text_key", "p.*")
+    places = rows.select("id", "text_key", F.explode(around).alias("p")).select("id", "text_key", "p.*")
 
     hits = places.join(F.broadcast(seeds) if count <= MOST_BROADCAST else seeds, "seed")
     same = F.zip_with("context", "item_context", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
@@ -125,16 +133,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
         ).otherwise(0),
     )
     best = hits.withColumn("agreeing", F.array_max(sums)).filter(F.col("agreeing") >= F.ceil(F.lit(AGREE) * F.col("window") - F.lit(1e-9)))
-    return best.groupBy(id_column, "text_key", "item_id").agg(
+    pairs = best.groupBy("id", "text_key", F.col("item_id").alias("lead")).agg(
         F.count("*").alias("hits"), F.max("agreeing").cast("long").alias("agreeing"), F.max("window").cast("long").alias("window"), F.min("at").cast("long").alias("word_at")
     )
+    every = pairs.join(alike, pairs["lead"].eqNullSafe(alike["lead"])).drop("lead")
+    return every.select(F.col("id").alias(id_column), "text_key", "item_id", "hits", "agreeing", "window", "word_at")
 
 
 def remove_overlapping(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that overlap with an item; rows that share an id are judged by their own text."""
-    found = find_overlaps(docs, benchmark, id_column, text).select(F.col(id_column).alias("_id"), F.col("text_key").alias("_key")).distinct()
-    marked = docs.withColumn("_text_key", F.xxhash64(F.col(text)))
-    return marked.join(found, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti").drop("_text_key")
+    found = find_overlaps(docs.select(id_column, text), benchmark, id_column, text).select(F.col(id_column).alias("id"), F.col("text_key").alias("key")).distinct()
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_column).alias("own_id"), F.xxhash64(F.col(text)).alias("own_key"))
+    return marked.join(found, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left_anti").select("row.*")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

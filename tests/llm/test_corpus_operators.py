@@ -137,6 +137,7 @@ def overlaps(text, item):
 def test_decontamination(spark):
     r = random.Random(6)
     items = [(i, " ".join(f"b{r.randrange(400)}" for _ in range(n))) for i, n in enumerate([20, 13, 9, 5, 30, 4, 3])] + [(7, None), (8, "")]
+    items += [(9, items[0][1].upper()), (10, items[3][1] + "!")]
     rows = []
     for i in range(150):
         body = [f"t{r.randrange(400)}" for _ in range(r.randint(0, 40))]
@@ -151,6 +152,7 @@ def test_decontamination(spark):
     got = decontaminate.find_overlaps(docs, bench)
     want = {(i, k) for i, t in rows for k, v in items if overlaps(t, v)}
     assert {(g["doc_id"], g["item_id"]) for g in got.collect()} == want
+    docs = docs.withColumnsRenamed({"component_id": "id", "kept": "_id"}).withColumns({c: F.lit(1) for c in ("hashes", "bits", "_held", "_text_key", "text_key")})
     clean = decontaminate.remove_overlapping(docs, bench)
     assert clean.columns == docs.columns
     bad = {i for i, _ in want}
