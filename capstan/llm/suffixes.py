@@ -7,11 +7,11 @@ anchor's place is one segment:
 
 1. Segments that are equal byte for byte are settled by hash, first within each task and then per anchor: all
    but the earliest go. An anchor with a single segment left needs nothing more.
-2. The other segments are dealt to shards by anchor; an anchor with very many of them is spread over several.
-   A shard's segments are laid end to end and their suffix array is built by Larsson-Sadakane refinement (ranks
+2. The other segments are dealt to shards by anchor; those of an anchor with very many are cut again by a second
+   one. A shard's segments are laid end to end and their suffix array is built by Larsson-Sadakane refinement (ranks
    by 8 bytes, then by doubling, touching only groups that still tie) and Kasai's common prefixes (in parallel
    lanes, cut off at LENGTH). Windows whose suffixes share LENGTH bytes stand together; all but the earliest go.
-3. Of a spread anchor each shard passes on the earliest of every distinct window. These are range partitioned,
+3. Of anchors that fill more than a shard, each shard passes on the earliest of every distinct window. These are range partitioned,
    which finds each window's place among the bounds by binary search, and merged in sorted order.
 4. Each text is joined with its runs of removed windows.
 
@@ -37,9 +37,8 @@ from .textops import mix64, ranges, slice_hash, text_chunks, window_hash
 LENGTH, GRAM = 100, 24
 #: Grams in a window.
 SPREAD = LENGTH - GRAM + 1
-#: Rows a task compares before it passes them on; bytes of a shard, and so many segments of one anchor.
-TASK_ROWS, SHARD_BYTES = 1 << 20, 1 << 21
-SHARD_SEGMENTS = SHARD_BYTES // (LENGTH + GRAM)
+#: Rows a task compares before it passes them on; bytes of a shard; segments of one anchor from which on it is split.
+TASK_ROWS, SHARD_BYTES, MANY_SEGMENTS = 1 << 20, 1 << 21, 1 << 10
 #: Windows of a very long text that are worked on at once.
 BLOCK = 1 << 20
 _PLACE_BITS = 22
@@ -58,8 +57,11 @@ def _least_in(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def segments_of(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Segments of a chunk of texts: text, start (of its first window), windows, anchor and content hashes."""
+def segments_of(data: np.ndarray, offsets: np.ndarray, seed: int = 8) -> dict[str, np.ndarray]:
+    """Segments of a chunk of texts: text, start (of its first window), windows, anchor and content hashes.
+
+    ``seed`` chooses the order in which a gram is least.
+    """
     starts, sizes = offsets[:-1], np.diff(offsets)
     texts = np.flatnonzero(sizes >= LENGTH)
     cols: dict[str, list[np.ndarray]] = {k: [] for k in ("text", "start", "windows", "anchor", "content")}
@@ -67,7 +69,7 @@ def segments_of(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         lo, hi = int(starts[texts[0]]), int(offsets[texts[-1] + 1])
         for at in range(lo, hi - LENGTH + 1, BLOCK):  # one block, but for very long texts
             part = data[at : min(hi, at + BLOCK + LENGTH - 1)]
-            gram = window_hash(part, GRAM, 8)
+            gram = window_hash(part, GRAM, seed)
             n = len(gram)
             low = np.uint64((1 << _PLACE_BITS) - 1)
             order = (gram & ~low) | np.arange(n, dtype=np.uint64)
@@ -255,7 +257,7 @@ def _task_segments(docs: DataFrame) -> DataFrame:
 
 
 def _per_anchor(segments: DataFrame) -> DataFrame:
-    """Rows by kind: later segments (kind 0), and those to be compared (1; 2 where the anchor is spread) with a shard.
+    """Rows by kind: later segments (kind 0), and those to be compared (1; 2 where the anchor has very many).
 
     What is later already is dealt out by its own place, so copies fill no anchor's task.
     """
@@ -274,19 +276,17 @@ def _per_anchor(segments: DataFrame) -> DataFrame:
             heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
             number = np.cumsum(first)  # distinct segments so far
             sizes = np.diff(np.append(heads, n))
-            base = np.repeat(number[heads] - 1, sizes)
-            total = np.repeat(np.append(number[heads[1:]] - 1, number[-1]) - (number[heads] - 1), sizes)
-            kind = np.where(later, 0, np.where(total > SHARD_SEGMENTS, 2, 1))
+            total = np.repeat(np.append(number[heads[1:]] - 1, number[-1]) - (number[heads] - 1), sizes)  # of its anchor
+            kind = np.where(later, 0, np.where(total > MANY_SEGMENTS, 2, 1))
             keep = later | (total > 1)
-            salt = (number - 1 - base) // SHARD_SEGMENTS
-            return pa.RecordBatch.from_pydict({"kind": kind[keep].astype(np.int32), "anchor": a[keep], "shard": salt[keep].astype(np.int32)} | {k: c[k][keep] for k in _PLACE})
+            return pa.RecordBatch.from_pydict({"kind": kind[keep].astype(np.int32), "anchor": a[keep]} | {k: c[k][keep] for k in _PLACE})
 
         for batch in batches:
             later = batch.column(0)
             done = batch.filter(later)
             if done.num_rows:
                 zero = np.zeros(done.num_rows, np.int32)
-                yield pa.RecordBatch.from_pydict({"kind": zero, "anchor": zero.astype(np.int64), "shard": zero} | {k: done.column(done.schema.get_field_index(k)) for k in _PLACE})
+                yield pa.RecordBatch.from_pydict({"kind": zero, "anchor": zero.astype(np.int64)} | {k: done.column(done.schema.get_field_index(k)) for k in _PLACE})
             batch = batch.filter(pc.invert(later))
             if not batch.num_rows:
                 continue
@@ -301,7 +301,7 @@ def _per_anchor(segments: DataFrame) -> DataFrame:
             yield settle(held)
 
     dealt = segments.repartition(F.coalesce("anchor", F.xxhash64("id", "start"))).sortWithinPartitions("later", "anchor", "content", "id", "start")
-    return dealt.mapInArrow(run, f"kind int, anchor long, shard int, {_RUNS}")
+    return dealt.mapInArrow(run, f"kind int, anchor long, {_RUNS}")
 
 
 def _squeezed(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
@@ -349,8 +349,12 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def _cut_segments(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The bytes of segments: kind, anchor, shard, id, row, start, windows, body."""
-    lists = places.groupBy("id", "row").agg(F.collect_list(F.struct("kind", "anchor", "shard", "start", "windows")).alias("cuts"))
+    """The bytes of segments: anchor, id, row, start, windows, body.
+
+    A segment whose anchor has very many is cut again by a second anchor, the least gram in another order; equal windows
+    agree in both, so the two together deal them out.
+    """
+    lists = places.groupBy("id", "row").agg(F.collect_list(F.struct("kind", "anchor", "start", "windows")).alias("cuts"))
     joined = _squeezed(docs, _filter_of(places.select("id"))).dropDuplicates(["id", "row"]).join(lists, ["id", "row"]).select("id", "row", "size", "packed", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,21 +364,28 @@ def _cut_segments(docs: DataFrame, places: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 raw = codec.decompress(packed[k].as_buffer(), sizes[k].as_py(), asbytes=True)
                 own = cuts[k].values
-                start, windows = own.field("start").to_numpy(), own.field("windows").to_numpy()
-                yield pa.RecordBatch.from_pydict({
-                    "kind": own.field("kind"), "anchor": own.field("anchor"), "shard": own.field("shard"),
-                    "id": np.full(len(start), ids[k].as_py(), np.int64), "row": np.full(len(start), rows[k].as_py(), np.int64), "start": start, "windows": windows,
-                    "body": pa.array([raw[a:b] for a, b in zip(start.tolist(), (start + windows + LENGTH - 1).tolist())], pa.binary()),
-                })
+                kind, anchor, start, windows = (own.field(n).to_numpy() for n in ("kind", "anchor", "start", "windows"))
+                many = np.flatnonzero(kind == 2)
+                if len(many):
+                    data = np.frombuffer(raw, np.uint8)
+                    length = windows[many] + LENGTH - 1
+                    s = segments_of(data[ranges(start[many], length)], np.concatenate([[0], np.cumsum(length)]), seed=10)
+                    few, at = np.flatnonzero(kind != 2), many[s["text"]]
+                    second = mix64(anchor[at].view(np.uint64) ^ mix64(s["anchor"])).view(np.int64)
+                    anchor, start, windows = (np.concatenate(x) for x in ((anchor[few], second), (start[few], start[at] + s["start"]), (windows[few], s["windows"])))
+                body = [raw[a:b] for a, b in zip(start.tolist(), (start + windows + LENGTH - 1).tolist())]
+                yield pa.RecordBatch.from_pydict({"anchor": anchor, "id": np.full(len(start), ids[k].as_py(), np.int64), "row": np.full(len(start), rows[k].as_py(), np.int64), "start": start, "windows": windows, "body": pa.array(body, pa.binary())})
 
-    return joined.mapInArrow(run, f"kind int, anchor long, shard int, {_RUNS}, body binary")
+    return joined.mapInArrow(run, f"anchor long, {_RUNS}, body binary")
 
 
 def _compare(segments: DataFrame) -> DataFrame:
-    """Runs of later windows (window null), and of spread anchors the earliest of each distinct window with its bytes."""
+    """Runs of later windows (window null), and, where an anchor's segments fill more than a shard, the earliest of each
+    distinct window of a shard with its bytes."""
 
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        kind, ids, row, start, windows = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+    def settle(rows: list[tuple], spread: int | None) -> pa.RecordBatch:
+        """``spread``: the anchor of the last rows, if more of its segments stand in other shards."""
+        anchor, ids, row, start, windows = (np.array([r[k] for r in rows], np.int64) for k in range(5))
         bodies = [r[5] for r in rows]
         segment, at, gone = repeated_windows(bodies, windows, ids, start)
         run_at = np.flatnonzero(gone)
@@ -383,7 +394,7 @@ def _compare(segments: DataFrame) -> DataFrame:
             head[1:] = (np.diff(run_at) != 1) | (segment[run_at][1:] != segment[run_at][:-1])
         heads = run_at[head]
         n = np.diff(np.append(np.flatnonzero(head), len(run_at)))
-        up = np.flatnonzero(~gone & (kind[segment] == 2))
+        up = np.flatnonzero(~gone & (anchor[segment] == spread)) if spread is not None else run_at[:0]
         every = np.concatenate([heads, up])
         size = np.concatenate([n, np.ones(len(up), np.int64)])
         window = [None] * len(heads) + [bodies[s][p : p + LENGTH] for s, p in zip(segment[up].tolist(), at[up].tolist())]
@@ -391,20 +402,24 @@ def _compare(segments: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pydict({"id": ids[s], "row": row[s], "start": start[s] + at[every], "windows": size, "window": pa.array(window, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, last = [], 0, None
+        rows, size, spread = [], 0, None
         for batch in batches:
             c = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            for key, *row in zip(zip(c["anchor"], c["shard"]), c["kind"], c["id"], c["row"], c["start"], c["windows"], c["body"]):
-                if size >= SHARD_BYTES and key != last:  # a shard holds whole groups
-                    yield settle(rows)
+            for row in zip(c["anchor"], c["id"], c["row"], c["start"], c["windows"], c["body"]):
+                if spread is not None and row[0] != spread:  # the last part of a spread anchor
+                    yield settle(rows, spread)
+                    rows, size, spread = [], 0, None
+                if size >= SHARD_BYTES:
+                    if row[0] == rows[-1][0]:
+                        spread = row[0]
+                    yield settle(rows, spread)
                     rows, size = [], 0
-                last = key
                 rows.append(row)
                 size += len(row[-1])
         if rows:
-            yield settle(rows)
+            yield settle(rows, spread)
 
-    dealt = segments.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
+    dealt = segments.repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, _RUNS + ", window binary")
 
 

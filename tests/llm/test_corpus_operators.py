@@ -83,7 +83,7 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
-@pytest.mark.parametrize("limits", [{}, {"SHARD_SEGMENTS": 2, "SHARD_BYTES": 500}, {"TASK_ROWS": 3, "BLOCK": 150}])
+@pytest.mark.parametrize("limits", [{}, {"MANY_SEGMENTS": 2, "SHARD_BYTES": 500}, {"TASK_ROWS": 3, "BLOCK": 150}])
 def test_repeated_bytes(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(suffixes, k, v)
