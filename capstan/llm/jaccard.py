@@ -10,7 +10,8 @@
    candidates. They pass the length and positional filters, then the suffix filter: counts of the hashes by range
    bound the overlap from above. What is left is verified once, word by word.
 4. Groups whose nodes are still in different components are finished: every node outside a group's main component
-   is held against all nodes of the group, in blocks of bounded size, through the length and suffix filters. Pairs that were
+   is held against all nodes of the group, in blocks of bounded size, through the length and suffix filters and 32 bits of
+   each gram, so hardly a pair that does not link leaves a block. Pairs that were
    settled before are left out, and pairs inside one component need no comparison, as the result is the components. So no
    link between components is lost.
 
@@ -268,15 +269,17 @@ def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     return out
 
 
-def _texts_of(docs: DataFrame, keys: DataFrame, text: str, gram: int) -> DataFrame:
-    """node, text for the nodes of ``keys`` (node, k1, k2): one of the texts that have the node's set."""
+def _texts_of(docs: DataFrame, keys: DataFrame, text: str, gram: int, marks: bool = False) -> DataFrame:
+    """node, text for the nodes of ``keys`` (node, k1, k2): one of the texts that have the node's set. With ``marks``, the upper
+    32 bits of its sorted gram hashes instead of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(_bits_of(keys, F.col("k1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(0)):
-                one, two = set_keys(gram_sets(data, offsets, gram))
+                sets = gram_sets(data, offsets, gram)
+                one, two = set_keys(sets)
                 keep = []
                 for i in np.flatnonzero(_is_set(shared.value, one.view(np.uint64) >> np.uint64(64 - FILTER_BITS_LOG2))).tolist():
                     key = (int(one[i]), int(two[i]))
@@ -286,12 +289,25 @@ def _texts_of(docs: DataFrame, keys: DataFrame, text: str, gram: int) -> DataFra
                 if len(seen) > SEEN:
                     seen.clear()
                 if keep:
-                    yield pa.RecordBatch.from_pydict({"k1": one[keep], "k2": two[keep], "text": batch.column(0).slice(lo, hi - lo).take(pa.array(keep)).fill_null("").cast(pa.string())})
+                    if marks:
+                        body = pa.array([(sets[i] >> np.uint64(32)).astype(np.uint32).tobytes() for i in keep], pa.binary())
+                    else:
+                        body = batch.column(0).slice(lo, hi - lo).take(pa.array(keep)).fill_null("").cast(pa.string())
+                    yield pa.RecordBatch.from_pydict({"k1": one[keep], "k2": two[keep], "body": body})
         give_back()
 
-    found = docs.select(text).mapInArrow(run, "k1 long, k2 long, text string")
+    found = docs.select(text).mapInArrow(run, f"k1 long, k2 long, body {'binary' if marks else 'string'}")
     # Copies have equal sets though not equal texts; any one will do.
-    return found.join(keys, ["k1", "k2"]).groupBy("node").agg(F.min("text").alias("text"))
+    return found.join(keys, ["k1", "k2"]).groupBy("node").agg(F.min("body").alias("marks" if marks else "text"))
+
+
+def _common_marks(a: np.ndarray, b: np.ndarray) -> int:
+    """At most so many grams are common to two sets, by their marks; too many only if two grams share 32 bits."""
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def _ranges_of_marks(marks: np.ndarray) -> np.ndarray:
+    return range_counts(marks.astype(np.uint64) << np.uint64(32))
 
 
 def _word_grams(text: str, gram: int) -> set[tuple[bytes, ...]]:
@@ -376,7 +392,7 @@ def _candidates(led: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_candidates(ask: dict, base: dict, percent: int) -> tuple[list[int], list[int]]:
-    """Nodes of ``ask`` with those of ``base`` that pass the length and suffix filters and have another label.
+    """Nodes of ``ask`` with those of ``base`` that pass the length and suffix filters, last by their marks, and have another label.
 
     Range counts of one size form a matrix; a query looks at the matrices of its own size and, folded, of the
     neighbouring ones, as sets within the length filter differ by one doubling at most.
@@ -387,7 +403,7 @@ def _block_candidates(ask: dict, base: dict, percent: int) -> tuple[list[int], l
     for k, (rows, matrix) in list(stacks.items()):
         by = np.argsort(base["n"][rows], kind="stable")
         stacks[k] = rows[by], matrix[by]
-    for node, n, label, own in zip(ask["node"].tolist(), ask["n"].tolist(), ask["label"].tolist(), ask["ranges"]):
+    for node, n, label, own, mark in zip(ask["node"].tolist(), ask["n"].tolist(), ask["label"].tolist(), ask["ranges"], ask["marks"]):
         own = own.astype(np.int32)
         for k in (len(own) // 2, len(own), 2 * len(own)):
             if k not in stacks:
@@ -403,12 +419,13 @@ def _block_candidates(ask: dict, base: dict, percent: int) -> tuple[list[int], l
             bound = np.minimum(theirs, mine).sum(1)
             for j in rows[near[(100 + percent) * bound >= percent * (n + m[near])]].tolist():
                 other = int(base["node"][j])
-                src.append(min(node, other))
-                dst.append(max(node, other))
+                if _common_marks(mark, base["marks"][j]) >= needed_overlap(n, int(base["n"][j]), percent):
+                    src.append(min(node, other))
+                    dst.append(max(node, other))
     return src, dst
 
 
-def _open_block_pairs(grams: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _open_block_pairs(grams: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, gram: int, percent: int) -> DataFrame:
     """Candidates (src, dst) of different components from the groups of ``grams`` (gram, node, n, label) that are still open.
 
     Two nodes of one group have been compared, so only groups of three and more matter. Grams with the same nodes,
@@ -420,23 +437,25 @@ def _open_block_pairs(grams: DataFrame, nodes: DataFrame, percent: int) -> DataF
     stats = stats.filter("size > 2 and one != two")
     open_ = staged(stats.groupBy("size", "mark_7", "mark_8").agg(F.min("gram").alias("gram"), F.min_by("main", "gram").alias("main")), "open-groups")
     rows = staged(grams.join(open_.select("gram", "main", "size"), "gram").withColumn("query", F.col("label") != F.col("main")), "open-grams")
-    counts = staged(_only_wanted(nodes.select("node", "ranges"), rows.select("node")), "ranges")
-    small = rows.filter(F.col("size") <= SMALL_GROUP).join(counts, "node").select("gram", "node", "n", "label", "ranges")
+    keys = staged(_only_wanted(nodes.select("node", "k1", "k2"), rows.select("node")), "wanted")
+    counts = staged(_texts_of(docs, keys, text, gram, marks=True), "marks")
+    small = rows.filter(F.col("size") <= SMALL_GROUP).join(counts, "node").select("gram", "node", "n", "label", "marks")
     large = rows.filter(F.col("size") > SMALL_GROUP)
     blocks = staged(large.groupBy("gram").agg(F.ceil(F.count_if("query") / QUERY_BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / BASE_BLOCK).cast("int").alias("salts")), "blocks")
     rows = large.join(blocks.filter("blocks > 0"), "gram").join(counts, "node")
     mixed = F.xxhash64("node", F.lit(5))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.pmod(mixed, F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("asks")))
     asks = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.pmod(mixed, F.col("blocks")).cast("int").alias("block"), s.alias("salt"), F.lit(True).alias("asks")))
-    dealt = rows.select("gram", "node", "n", "label", "ranges", F.explode(F.when(F.col("query"), F.concat(every, asks)).otherwise(every)).alias("p")).select("*", "p.*").drop("p")
+    dealt = rows.select("gram", "node", "n", "label", "marks", F.explode(F.when(F.col("query"), F.concat(every, asks)).otherwise(every)).alias("p")).select("*", "p.*").drop("p")
 
     def run(t: pa.Table) -> pa.Table:
         cols = {c: t.column(c).to_numpy() for c in ("node", "n", "label")}
-        ranges = [np.frombuffer(x, np.uint8) for x in t.column("ranges").to_pylist()]
+        marks = [np.frombuffer(x, np.uint32) for x in t.column("marks").to_pylist()]
+        ranges = [_ranges_of_marks(x) for x in marks]
         asks = t.column("asks").to_numpy()
 
         def part(at: np.ndarray) -> dict:
-            return {c: v[at] for c, v in cols.items()} | {"ranges": [ranges[i] for i in at]}
+            return {c: v[at] for c, v in cols.items()} | {"ranges": [ranges[i] for i in at], "marks": [marks[i] for i in at]}
 
         base = np.flatnonzero(~asks)
         src, dst = _block_candidates(part(np.flatnonzero(asks)), part(base), percent) if len(base) else ([], [])
@@ -464,7 +483,8 @@ def _small_group_pairs(rows: DataFrame, percent: int) -> DataFrame:
         gram, node, n, label = (table.column(c).to_numpy() for c in ("gram", "node", "n", "label"))
         kinds, at = np.unique(node, return_index=True)
         place = np.searchsorted(kinds, node)
-        ranges = [np.frombuffer(x, np.uint8) for x in table.column("ranges").take(pa.array(at)).to_pylist()]
+        marks = [np.frombuffer(x, np.uint32) for x in table.column("marks").take(pa.array(at)).to_pylist()]
+        ranges = [_ranges_of_marks(x) for x in marks]
         size = np.array([len(r) for r in ranges])
         tiers = [(k, _tier(ranges, k)) for k in TIERS]
         ends = np.searchsorted(gram, gram, side="right")
@@ -487,7 +507,7 @@ def _small_group_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 a, b, need = a[fits], b[fits], need[fits]
             fits = slice(None)
             for x, y, m in zip(a[fits].tolist(), b[fits].tolist(), need[fits].tolist()):
-                if overlap_bound(ranges[x], ranges[y]) >= m:
+                if overlap_bound(ranges[x], ranges[y]) >= m and _common_marks(marks[x], marks[y]) >= m:
                     src.append(int(kinds[x]))
                     dst.append(int(kinds[y]))
             lo = hi
@@ -539,7 +559,7 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", g
     labels = connected_components(links)
     own = staged(shared.select("gram", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled-grams")
     discard(shared, likely)
-    more = _open_block_pairs(own, nodes, percent).join(settled, ["src", "dst"], "left_anti")
+    more = _open_block_pairs(own, nodes, texts, "text", gram, percent).join(settled, ["src", "dst"], "left_anti")
     more = _verify(staged(more, "candidates"), nodes, texts, "text", gram, percent)
     discard(own, settled)
     if more.limit(1).count():
