@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from capstan.llm import byte_bpe, decontaminate, jaccard, language, secrets
@@ -26,14 +26,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words are in no group and stay, and no id or text is taken for another's.
     """
-    found = jaccard.components(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), gram=5, percent=80)
-    # The row's number makes rows that repeat distinct; it is written, so it stays.
-    named = staged(found.select("row", "group", F.monotonically_increasing_id().alias("nth")), "groups")
-    order = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("key"), F.col("nth").alias("nth"))
-    # The first of each group by a minimum that is combined before the shuffle; the rows are then chosen by number.
-    first = named.filter("group is not null").groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.nth").alias("nth"))
-    kept = named.filter("group is not null").join(first, "nth", "left_semi")
-    return kept.unionByName(named.filter("group is null")).select("row.*")
+    found = jaccard.components(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), gram=5, percent=80)
+    named = staged(found.select(F.col("doc_id").alias("id"), "key", "group"), "groups")  # texts do not travel with the groups
+    # The first of each group, by a minimum that is combined before the shuffle.
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("key").alias("key"))
+    first = named.filter("group is not null").groupBy("group").agg(F.min(order).alias("first")).select("first.id", "first.key", F.lit(True).alias("first"))
+    alone = named.filter("group is null").select("id", "key", F.lit(False).alias("first")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    kept = rows.join(staged(first.unionByName(alone), "firsts"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
+    # Rows equal in id and text are one document, unless they have no words.
+    again = Window.partitionBy("own_id", "own_key").orderBy(F.monotonically_increasing_id())
+    return kept.withColumn("nth", F.row_number().over(again)).filter("nth = 1 or not first").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +49,16 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = secrets.scan(docs.select("doc_id", "text"))
     some = found.filter((F.size("base") > 0) | (F.size("linked") > 0)).select("doc_id", "text_key", F.array_sort(F.concat("base", "linked")).alias("spans")).dropDuplicates(["doc_id", "text_key"])
     some = some.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "spans")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("body"), F.xxhash64("text").alias("text_key"))
+    own = F.struct(*(c for c in docs.columns if c != "text"))  # the text itself travels once
+    rows = docs.select(own.alias("row"), F.col("text").alias("body"), F.xxhash64("text").alias("text_key"))
     joined = rows.join(some, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
-    masked = joined.filter("spans is not null").select("row", secrets.masked(F.col("body"), F.col("spans"), "[secret]").alias("text"))
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
-    masked = masked.select(*(new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in docs.columns))
-    return masked.unionByName(joined.filter("spans is null").select("row.*"))
+    changed = F.col("spans").isNotNull()
+    text = F.when(changed, secrets.masked(F.col("body"), F.col("spans"), "[secret]")).otherwise(F.col("body"))
+    done = joined.select("row", changed.alias("changed"), text.alias("text"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("changed"), F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*((new[c] if c in new else F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
