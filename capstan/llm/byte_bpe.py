@@ -169,9 +169,9 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 #: Ids that are decoded at once, rounded to whole rows.
-DECODE_IDS = 1 << 22
+DECODE_IDS = 1 << 20
 #: Text that is worked on at once; a longer text is still taken whole.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 #: Pieces of up to so many bytes are merged together as rows of a matrix, longer ones one at a time.
 ROW_BYTES = (8, 16, 32)
 NO_RANK = np.int32(np.iinfo(np.int32).max)
