@@ -10,8 +10,8 @@
    candidates. They pass the length and positional filters, then the suffix filter: counts of the hashes by range
    bound the overlap from above. What is left is verified once, word by word.
 4. Groups whose nodes are still in different components are finished: every node outside a group's main component
-   is held against all nodes of the group, in blocks of bounded size, through the length and suffix filters and 32 bits of
-   each gram, so hardly a pair that does not link leaves a block. Pairs that were
+   is held against all nodes of the group, in blocks of bounded size, through the length and suffix filters and, but for very
+   large sets, 16 bits of each gram, so hardly a pair that does not link leaves a block. Pairs that were
    settled before are left out, and pairs inside one component need no comparison, as the result is the components. So no
    link between components is lost.
 
@@ -50,6 +50,8 @@ SMALL_GROUP, QUERY_BLOCK, BASE_BLOCK = 512, 256, 2048
 ROWS_AT_ONCE, PAIRS_AT_ONCE, TIERS = 1 << 14, 1 << 19, (64, 256)
 #: Bits of the filters that tell which nodes and texts a step needs; a full filter only lets more pass.
 FILTER_BITS_LOG2 = 22
+#: In open groups, sets of so many grams or fewer are compared by marks of 16 bits a gram, larger ones by so many ranges (a power of two).
+MARKED = 1024
 #: Set keys a task remembers, so that copies do not carry their prefix again.
 SEEN = 1 << 18
 
@@ -271,7 +273,7 @@ def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
 
 def _texts_of(docs: DataFrame, keys: DataFrame, text: str, gram: int, marks: bool = False) -> DataFrame:
     """node, text for the nodes of ``keys`` (node, k1, k2): one of the texts that have the node's set. With ``marks``, the upper
-    32 bits of its sorted gram hashes instead of the text."""
+    16 bits of its sorted gram hashes instead of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(_bits_of(keys, F.col("k1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +292,7 @@ def _texts_of(docs: DataFrame, keys: DataFrame, text: str, gram: int, marks: boo
                     seen.clear()
                 if keep:
                     if marks:
-                        body = pa.array([(sets[i] >> np.uint64(32)).astype(np.uint32).tobytes() for i in keep], pa.binary())
+                        body = pa.array([(sets[i] >> np.uint64(48)).astype(np.uint16).tobytes() for i in keep], pa.binary())
                     else:
                         body = batch.column(0).slice(lo, hi - lo).take(pa.array(keep)).fill_null("").cast(pa.string())
                     yield pa.RecordBatch.from_pydict({"k1": one[keep], "k2": two[keep], "body": body})
@@ -301,13 +303,32 @@ def _texts_of(docs: DataFrame, keys: DataFrame, text: str, gram: int, marks: boo
     return found.join(keys, ["k1", "k2"]).groupBy("node").agg(F.min("body").alias("marks" if marks else "text"))
 
 
-def _common_marks(a: np.ndarray, b: np.ndarray) -> int:
-    """At most so many grams are common to two sets, by their marks; too many only if two grams share 32 bits."""
+def _common_marks(a: np.ndarray | None, b: np.ndarray | None, most: int) -> int:
+    """At most so many grams are common to two sets, by their marks (too many where grams share 16 bits); ``most`` without."""
+    if a is None or b is None:
+        return most
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def _ranges_of_marks(marks: np.ndarray) -> np.ndarray:
-    return range_counts(marks.astype(np.uint64) << np.uint64(32))
+def _few_ranges(nodes: DataFrame) -> DataFrame:
+    """node, marks (null) and ranges of ``nodes``, folded to MARKED ranges at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column(1):
+                r = np.frombuffer(x.as_buffer(), np.uint8)
+                sums = r.reshape(MARKED, -1).sum(1, dtype=np.int64) if len(r) > MARKED else r
+                out.append((sums.astype(np.uint8) if sums.max() <= 255 else np.full(len(sums), 255, np.uint8)).tobytes())
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "marks": pa.nulls(len(out), pa.binary()), "ranges": pa.array(out, pa.binary())})
+
+    return nodes.select("node", "ranges").mapInArrow(run, "node long, marks binary, ranges binary")
+
+
+def _marks_and_ranges(marks: list[bytes | None], ranges: list[bytes | None]) -> tuple[list, list]:
+    """Arrays of both; a set with marks gets its ranges from them."""
+    own = [None if m is None else np.frombuffer(m, np.uint16) for m in marks]
+    return own, [np.frombuffer(r, np.uint8) if m is None else range_counts(m.astype(np.uint64) << np.uint64(48)) for m, r in zip(own, ranges)]
 
 
 def _word_grams(text: str, gram: int) -> set[tuple[bytes, ...]]:
@@ -419,7 +440,8 @@ def _block_candidates(ask: dict, base: dict, percent: int) -> tuple[list[int], l
             bound = np.minimum(theirs, mine).sum(1)
             for j in rows[near[(100 + percent) * bound >= percent * (n + m[near])]].tolist():
                 other = int(base["node"][j])
-                if _common_marks(mark, base["marks"][j]) >= needed_overlap(n, int(base["n"][j]), percent):
+                need = needed_overlap(n, int(base["n"][j]), percent)
+                if _common_marks(mark, base["marks"][j], need) >= need:
                     src.append(min(node, other))
                     dst.append(max(node, other))
     return src, dst
@@ -437,21 +459,21 @@ def _open_block_pairs(grams: DataFrame, nodes: DataFrame, docs: DataFrame, text:
     stats = stats.filter("size > 2 and one != two")
     open_ = staged(stats.groupBy("size", "mark_7", "mark_8").agg(F.min("gram").alias("gram"), F.min_by("main", "gram").alias("main")), "open-groups")
     rows = staged(grams.join(open_.select("gram", "main", "size"), "gram").withColumn("query", F.col("label") != F.col("main")), "open-grams")
-    keys = staged(_only_wanted(nodes.select("node", "k1", "k2"), rows.select("node")), "wanted")
-    counts = staged(_texts_of(docs, keys, text, gram, marks=True), "marks")
-    small = rows.filter(F.col("size") <= SMALL_GROUP).join(counts, "node").select("gram", "node", "n", "label", "marks")
+    some = staged(_only_wanted(nodes.select("node", "k1", "k2", "n", "ranges"), rows.select("node")), "wanted")
+    marks = _texts_of(docs, some.filter(F.col("n") <= MARKED).select("node", "k1", "k2"), text, gram, marks=True)
+    counts = staged(marks.withColumn("ranges", F.lit(None).cast("binary")).unionByName(_few_ranges(some.filter(F.col("n") > MARKED))), "marks")
+    small = rows.filter(F.col("size") <= SMALL_GROUP).join(counts, "node").select("gram", "node", "n", "label", "marks", "ranges")
     large = rows.filter(F.col("size") > SMALL_GROUP)
     blocks = staged(large.groupBy("gram").agg(F.ceil(F.count_if("query") / QUERY_BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / BASE_BLOCK).cast("int").alias("salts")), "blocks")
     rows = large.join(blocks.filter("blocks > 0"), "gram").join(counts, "node")
     mixed = F.xxhash64("node", F.lit(5))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.pmod(mixed, F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("asks")))
     asks = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.pmod(mixed, F.col("blocks")).cast("int").alias("block"), s.alias("salt"), F.lit(True).alias("asks")))
-    dealt = rows.select("gram", "node", "n", "label", "marks", F.explode(F.when(F.col("query"), F.concat(every, asks)).otherwise(every)).alias("p")).select("*", "p.*").drop("p")
+    dealt = rows.select("gram", "node", "n", "label", "marks", "ranges", F.explode(F.when(F.col("query"), F.concat(every, asks)).otherwise(every)).alias("p")).select("*", "p.*").drop("p")
 
     def run(t: pa.Table) -> pa.Table:
         cols = {c: t.column(c).to_numpy() for c in ("node", "n", "label")}
-        marks = [np.frombuffer(x, np.uint32) for x in t.column("marks").to_pylist()]
-        ranges = [_ranges_of_marks(x) for x in marks]
+        marks, ranges = _marks_and_ranges(t.column("marks").to_pylist(), t.column("ranges").to_pylist())
         asks = t.column("asks").to_numpy()
 
         def part(at: np.ndarray) -> dict:
@@ -483,8 +505,7 @@ def _small_group_pairs(rows: DataFrame, percent: int) -> DataFrame:
         gram, node, n, label = (table.column(c).to_numpy() for c in ("gram", "node", "n", "label"))
         kinds, at = np.unique(node, return_index=True)
         place = np.searchsorted(kinds, node)
-        marks = [np.frombuffer(x, np.uint32) for x in table.column("marks").take(pa.array(at)).to_pylist()]
-        ranges = [_ranges_of_marks(x) for x in marks]
+        marks, ranges = _marks_and_ranges(*(table.column(c).take(pa.array(at)).to_pylist() for c in ("marks", "ranges")))
         size = np.array([len(r) for r in ranges])
         tiers = [(k, _tier(ranges, k)) for k in TIERS]
         ends = np.searchsorted(gram, gram, side="right")
@@ -507,7 +528,7 @@ def _small_group_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 a, b, need = a[fits], b[fits], need[fits]
             fits = slice(None)
             for x, y, m in zip(a[fits].tolist(), b[fits].tolist(), need[fits].tolist()):
-                if overlap_bound(ranges[x], ranges[y]) >= m and _common_marks(marks[x], marks[y]) >= m:
+                if overlap_bound(ranges[x], ranges[y]) >= m and _common_marks(marks[x], marks[y], m) >= m:
                     src.append(int(kinds[x]))
                     dst.append(int(kinds[y]))
             lo = hi

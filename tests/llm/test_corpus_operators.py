@@ -37,7 +37,7 @@ def near_copies(r, groups=6, size=12, words=90):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"SMALL_GROUP": 1, "QUERY_BLOCK": 2, "BASE_BLOCK": 3, "HOT": 2}, {"ROWS_AT_ONCE": 7, "PAIRS_AT_ONCE": 5, "SEEN": 4, "HOT": 1}])
+@pytest.mark.parametrize("limits", [{}, {"SMALL_GROUP": 1, "QUERY_BLOCK": 2, "BASE_BLOCK": 3, "HOT": 2, "MARKED": 64}, {"ROWS_AT_ONCE": 7, "PAIRS_AT_ONCE": 5, "SEEN": 4, "HOT": 1}])
 def test_jaccard_components(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(jaccard, k, v)
