@@ -173,7 +173,7 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold(F.col("doc_id"), 5) != 0)
     # Of each label about as many ids as are learned from, so that few texts are joined; ids with both labels count for neither.
     agreed = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
-    rows = docs.join(labelled_sample(agreed, "toxic", ("doc_id",), 3000), "doc_id")
+    rows = docs.join(F.broadcast(labelled_sample(agreed, "toxic", ("doc_id",), 3000)), "doc_id")  # 3000 ids a label at most
     model = fit(rows)
     scored = score(docs, model, drop_text=True)
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
