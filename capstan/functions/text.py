@@ -52,6 +52,7 @@ def ascii_fallback(x: Column, force: bool = False) -> Column:
 
 def html_to_text(html: Column) -> Column:
     """Text of a page with its lines: nine replacements in order."""
+    # Fixed values.
     steps = (
         (r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " "),
         (r"(?i)</(?:p|div|h[1-6]|tr|li|br)>|<br\s*/?>", "\n"),
@@ -70,6 +71,7 @@ def html_to_text(html: Column) -> Column:
 
 def anchor_text(html: Column) -> Column:
     """Inner text of a link: tags removed, four entities decoded, blanks collapsed."""
+    # The entities and what they stand for.
     out = F.regexp_replace(html, r"<[^>]+>", "")
     for pattern, by in ((r"&amp;", "&"), (r"&#0?39;|&rsquo;", "'"), (r"&nbsp;", " "), (r"\s+", " ")):
         out = F.regexp_replace(out, pattern, by)

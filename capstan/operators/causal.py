@@ -7,6 +7,7 @@ cells, whose number does not depend on the number of rows. The number is checked
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import erfc, exp, sqrt
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Cells that may reach the driver.
 MOST_CELLS = 500_000
+#: Rows of one cell and arm that are numbered in one task.
+BLOCK_ROWS = 1 << 17
 
 
 def cells_of(df: DataFrame, columns: list[str], weight: Column | None = None) -> list:
@@ -45,23 +48,50 @@ def logit(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 50) -> np.n
     return b
 
 
-def propensity_by_cell(df: DataFrame, treat: str, covariates: list[str], weight: Column | None = None) -> DataFrame:
-    """Covariates with their propensity score; one row for each cell."""
-    rows = cells_of(df, [*covariates, treat], weight)
+def _scores(rows: list, treat: str, covariates: list[str]) -> dict[tuple, float]:
     x = design(rows, covariates)
     b = logit(x, np.array([float(r[treat]) for r in rows]), np.array([r["_n"] for r in rows]))
     score = 1 / (1 + np.exp(-(x @ b)))
-    out = {tuple(r[c] for c in covariates): float(s) for r, s in zip(rows, score)}
+    return {tuple(r[c] for c in covariates): float(s) for r, s in zip(rows, score)}
+
+
+def propensity_by_cell(df: DataFrame, treat: str, covariates: list[str], weight: Column | None = None) -> DataFrame:
+    """Covariates with their propensity score; one row for each cell."""
+    out = _scores(cells_of(df, [*covariates, treat], weight), treat, covariates)
     fields = [f for f in df.select(*covariates).schema.fields]
     return df.sparkSession.createDataFrame([(*k, v) for k, v in out.items()], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double")
 
 
+def numbered_by(df: DataFrame, keys: list[str], order: list[str], out: str, blocks: int) -> DataFrame:
+    """``df`` with ``out``, a number from 1 on for each row of equal ``keys``, by (block of a hash, ``order``).
+
+    ``blocks`` deals out the rows of one key, so that none is sorted in one task; with one block the numbers
+    follow ``order`` itself.
+    """
+    if blocks <= 1:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    salted = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
+    names = [f"_b_{i}" for i in range(len(keys))]
+    counts = salted.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col("_block").alias("_at")).agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(*names).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*names, "_at", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    met = F.col("_block") == F.col("_at")
+    for k, n in zip(keys, names):
+        met = met & F.col(k).eqNullSafe(F.col(n))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
+    return salted.withColumn(out, inside).join(offsets, met).withColumn(out, F.col(out) + F.col("_offset")).drop("_block", *names, "_at", "_offset")
+
+
+def _blocks_for(most: float) -> int:
+    return int(-(-most // BLOCK_ROWS))
+
+
 def match_within_cells(df: DataFrame, treat: str, covariates: list[str], order: list[str]) -> DataFrame:
-    """1:1 pairs inside equal cells, without replacement: ``df`` with pair, its row number within cell and arm,
-    for the rows that have a partner."""
-    arm = Window.partitionBy(*covariates, treat).orderBy(*order)
-    numbered = df.withColumn("pair", F.row_number().over(arm))
+    """1:1 pairs inside equal cells, without replacement: ``df`` with pair, its number within cell and arm (see
+    ``numbered_by``), for the rows that have a partner."""
     counts = df.groupBy(*covariates).agg(F.count_if(F.col(treat) == 1).alias("_t"), F.count_if(F.col(treat) == 0).alias("_c"))
+    most = counts.agg(F.max(F.greatest("_t", "_c")).alias("n")).first()["n"] or 0
+    numbered = numbered_by(df, [*covariates, treat], order, "pair", _blocks_for(most))
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in covariates]
     keyed = counts.select(*(F.col(c).alias(f"_k_{c}") for c in covariates), F.least("_t", "_c").alias("_pairs"))
     met = same[0]
@@ -93,9 +123,8 @@ def nearest_match(df: DataFrame, treat: str, covariates: list[str], order: list[
     """Nearest 1:1 matching on the propensity score without replacement: ``df`` with score and pair, for the matched
     rows. Scores are constant in a cell, so the greedy plan is made over cells and carried out by row numbers."""
     spark = df.sparkSession
-    scores = propensity_by_cell(df, treat, covariates)
     counts = cells_of(df, [*covariates, treat])
-    score = {tuple(r[c] for c in covariates): r["score"] for r in scores.collect()}  # one row for each cell
+    score = _scores(counts, treat, covariates)
     keys = sorted(score, key=lambda k: tuple(map(str, k)))
     number = {(tuple(r[c] for c in covariates), int(r[treat])): int(r["_n"]) for r in counts}
     plan = plan_matches([(score[k], number.get((k, 1), 0), number.get((k, 0), 0)) for k in keys])
@@ -109,7 +138,8 @@ def nearest_match(df: DataFrame, treat: str, covariates: list[str], order: list[
     names = [f"_k_{c}" for c in covariates]
     kinds = [f.dataType.simpleString() for f in df.select(*covariates).schema.fields]
     stretches = spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)) + ", score double, _arm int, _from bigint, _to bigint, _shift bigint")
-    numbered = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*covariates, treat).orderBy(*order)) - 1)
+    blocks = _blocks_for(max((r["_n"] for r in counts), default=0))
+    numbered = numbered_by(df, [*covariates, treat], order, "_rn", blocks).withColumn("_rn", F.col("_rn") - 1)
     met = (F.col(treat) == F.col("_arm")) & (F.col("_rn") >= F.col("_from")) & (F.col("_rn") < F.col("_to"))
     for c, n in zip(covariates, names):
         met = met & F.col(c).eqNullSafe(F.col(n))
@@ -127,9 +157,16 @@ def double_ml(df: DataFrame, treat: str, outcome: str, covariates: list[str], cl
     """Interactive regression: outcome by least squares in either arm, treatment by logistic regression, both cross
     fitted over folds of clusters; the effects are means of the orthogonal scores. ``weight`` stands for the
     number of equal rows, so rows need not be expanded."""
+    return _double_ml(_folded(df, treat, outcome, covariates, cluster, weight, folds), treat, outcome, covariates, folds, trim)
+
+
+def _folded(df: DataFrame, treat: str, outcome: str, covariates: list[str], cluster: str, weight: Column | None, folds: int) -> list:
     ready = df.dropna(subset=[treat, outcome, cluster, *covariates])
     keyed = ready.withColumn("_fold", F.pmod(F.xxhash64(F.col(cluster).cast("string")), F.lit(folds)).cast("int"))
-    rows = cells_of(keyed, ["_fold", *covariates, treat, outcome], weight)
+    return cells_of(keyed, ["_fold", *covariates, treat, outcome], weight)
+
+
+def _double_ml(rows: list, treat: str, outcome: str, covariates: list[str], folds: int = 3, trim: float = 1e-12) -> Effects:
     x, w = design(rows, covariates), np.array([r["_n"] for r in rows])
     d, y, fold = (np.array([float(r[c]) for r in rows]) for c in (treat, outcome, "_fold"))
     g0, g1, m = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
@@ -148,11 +185,13 @@ def double_ml(df: DataFrame, treat: str, outcome: str, covariates: list[str], cl
 
 
 def effects_table(df: DataFrame, treat: str, outcome: str, covariates: list[str], cluster: str, period: str, weight: Column | None = None) -> DataFrame:
-    """scope, estimand, effect: pooled, and for each period without the period among the covariates."""
+    """scope, estimand, effect: pooled, and for each period without the period among the covariates. All fits are made
+    from one count of the cells, in one pass over ``df``."""
     spark = df.sparkSession
-    fits = [("pooled", double_ml(df, treat, outcome, [*covariates, period], cluster, weight))]
-    for r in sorted(df.select(period).dropna().distinct().collect(), key=lambda r: str(r[0])):  # periods are few
-        fits.append((str(r[0]), double_ml(df.filter(F.col(period) == F.lit(r[0])), treat, outcome, covariates, cluster, weight)))
+    rows = _folded(df, treat, outcome, [*covariates, period], cluster, weight, 3)
+    fits = [("pooled", _double_ml(rows, treat, outcome, [*covariates, period]))]
+    for p in sorted({r[period] for r in rows}, key=str):
+        fits.append((str(p), _double_ml([r for r in rows if r[period] == p], treat, outcome, covariates)))
     return spark.createDataFrame([(s, k, v) for s, e in fits for k, v in (("ATE", e.ate), ("ATTE", e.atte))], "scope string, estimand string, effect double")
 
 
@@ -170,6 +209,14 @@ class CountModel:
     def aic(self) -> float:
         return 2 * (len(self.names) + 2) - 2 * self.log_likelihood
 
+    def table(self) -> list[tuple[str, float, float, float, float, float]]:
+        """term, estimate, std_error, z_value, p_value, irr (the rate ratio) of each coefficient."""
+        out = []
+        for name, b, se in zip(self.names, map(float, self.estimate), map(float, self.std_error)):
+            z = b / se if se > 0 else float("nan")
+            out.append((name, b, se, z, erfc(abs(z) / sqrt(2)), exp(b)))
+        return out
+
 
 def negative_binomial_mixed(df: DataFrame, outcome: str, treat: str, covariates: list[str], group: str, nodes: int = 15) -> CountModel:
     """Negative-binomial regression (variance mu + mu^2 / size) with a normal intercept for each group.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
 import platform
 import warnings
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-4
+# Names and messages of the issues.
+MISSING, LOW, HIGH, UNEXPECTED = "missing_columns", "row_count_low", "row_count_high", "unexpected_"
+MISSING_TEXT, LOW_TEXT, HIGH_TEXT, UNEXPECTED_TEXT = "Missing required columns: ", "Row count %d below expected minimum {}", "Row count %d above expected maximum {}", "Column '{}' has unexpected values: "
 ISSUES, CHECKS = "issue string, severity string, message string", "check string, ok boolean, detail string"
 
 
@@ -41,7 +45,8 @@ def validate_schema(df: DataFrame, expected: Expected) -> DataFrame:
     """issue, severity, message; no rows for a table that meets ``expected``.
 
     One aggregate over the data: the row count, and for each listed column the values outside its set. Values
-    are collected after the allowed ones are dropped, so a clean column costs nothing.
+    are collected after the allowed ones are dropped, so a clean column costs nothing. The message lists every one of
+    them; for a column that may hold very many use ``unexpected_values``, which leaves them distributed.
     """
     spark = df.sparkSession
     present = {c: v for c, v in expected.value_sets.items() if c in df.columns}
@@ -50,22 +55,28 @@ def validate_schema(df: DataFrame, expected: Expected) -> DataFrame:
     issues = []
     missing = [c for c in expected.columns if c not in df.columns]
     if missing:
-        issues.append(F.struct(F.lit("missing_columns").alias("issue"), F.lit("fatal").alias("severity"), F.lit("missing: " + ", ".join(missing)).alias("message")))
+        issues.append(F.struct(F.lit(MISSING).alias("issue"), F.lit("fatal").alias("severity"), F.lit(MISSING_TEXT + ", ".join(missing)).alias("message")))
 
     def issue(name: str, met: Column, message: Column) -> Column:
         return F.when(met, F.struct(F.lit(name).alias("issue"), F.lit("warning").alias("severity"), message.alias("message")))
 
     if expected.least_rows is not None:
-        issues.append(issue("rows_low", F.col("n") < expected.least_rows, F.concat(F.col("n").cast("string"), F.lit(f" rows, at least {expected.least_rows}"))))
+        issues.append(issue(LOW, F.col("n") < expected.least_rows, F.format_string(LOW_TEXT.format(expected.least_rows), "n")))
     if expected.most_rows is not None:
-        issues.append(issue("rows_high", F.col("n") > expected.most_rows, F.concat(F.col("n").cast("string"), F.lit(f" rows, at most {expected.most_rows}"))))
+        issues.append(issue(HIGH, F.col("n") > expected.most_rows, F.format_string(HIGH_TEXT.format(expected.most_rows), "n")))
     for i, c in enumerate(present):
-        issues.append(issue(f"values_{c}", F.size(f"odd_{i}") > 0, F.array_join(f"odd_{i}", ", ")))
+        issues.append(issue(UNEXPECTED + c, F.size(f"odd_{i}") > 0, F.concat(F.lit(UNEXPECTED_TEXT.format(c)), F.array_join(f"odd_{i}", ", "))))
     if not issues:
         return spark.createDataFrame([], ISSUES)
     return facts.select(F.explode(F.array_compact(F.array(*issues))).alias("i")).select("i.*")
 
 
+def unexpected_values(df: DataFrame, column: str, allowed: list) -> DataFrame:
+    """The distinct values (as text) of a column outside its set, with their rows: value, rows."""
+    odd = df.select(as_value(F.col(column)).alias("value")).filter(~F.col("value").isin(*map(_text, allowed)))
+    return odd.groupBy("value").agg(F.count("*").alias("rows"))
+
+
 def _text(v) -> str:
     return "NA" if v is None else str(v)
 
@@ -82,26 +93,31 @@ def apply_schema_validation(df: DataFrame, expected: Expected) -> bool:
 
 
 def status_of(observed: Column, expected: Column, tolerance: Column | float = TOLERANCE, synthetic: Column | bool = False, warn_not_finite: bool = False) -> Column:
-    """INFO for synthetic data or values that are no numbers, else PASS within the tolerance and DIFFER beyond."""
+    """INFO for synthetic data or values that are no numbers, else PASS within the tolerance and DIFFER beyond. With
+    ``warn_not_finite`` WARN where there is no difference because what was observed is not finite."""
     tolerance = F.lit(float(tolerance)) if isinstance(tolerance, (int, float)) else tolerance
     synthetic = F.lit(synthetic) if isinstance(synthetic, bool) else synthetic
     o, e = observed.try_cast("double"), expected.try_cast("double")
-    none = o.isNull() | e.isNull() | F.isnan(o) | F.isnan(e)
+    none = o.isNull() | e.isNull() | F.isnan(o - e)
     out = F.when(synthetic, "INFO")
     if warn_not_finite:
         endless = F.abs(o) == float("inf")
-        out = out.when(o.isNotNull() & e.isNotNull() & (F.isnan(o) | endless), "WARN")
+        out = out.when(o.isNotNull() & e.isNotNull() & F.isnan(o - e) & (F.isnan(o) | endless), "WARN")
     return out.when(none, "INFO").when(F.abs(o - e) <= tolerance, "PASS").otherwise("DIFFER")
 
 
-def record(checks: DataFrame, order: str | None = None) -> DataFrame:
-    """``checks`` (name, observed, expected, tol, synthetic) with diff and status; of one name the last by ``order``."""
+def record(checks: DataFrame, order: str | None = None, warn_not_finite: bool = False) -> DataFrame:
+    """``checks`` (name, observed, expected, tol, synthetic) with diff and status; of one name the last by ``order``.
+    A column force_status, where it is not null, is the status."""
     if order:
         last = checks.groupBy("name").agg(F.max(F.col(order)).alias("_last"))
         checks = checks.join(last, "name").filter(F.col(order) == F.col("_last")).drop("_last")
     o, e = F.col("observed").try_cast("double"), F.col("expected").try_cast("double")
     number = o.isNotNull() & e.isNotNull() & ~F.isnan(o) & ~F.isnan(e)
-    return checks.withColumn("diff", F.when(number, F.abs(o - e))).withColumn("status", status_of(F.col("observed"), F.col("expected"), F.col("tol"), F.col("synthetic")))
+    status = status_of(F.col("observed"), F.col("expected"), F.col("tol"), F.col("synthetic"), warn_not_finite)
+    if "force_status" in checks.columns:
+        status = F.coalesce("force_status", status)
+    return checks.withColumn("diff", F.when(number, F.abs(o - e))).withColumn("status", status)
 
 
 def summarise(manifest: DataFrame) -> DataFrame:
@@ -143,20 +159,24 @@ def version_drift(pinned: dict, used: dict) -> list[dict]:
 
 def make_manifest(meta: dict, environment: dict | None = None) -> dict:
     stamp = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    return {"meta": {"created_utc": stamp} | meta, "checks": {}} | ({"environment": environment} if environment else {})
+    return {"meta": {"created_utc": stamp} | meta, "results": {}} | ({"environment": environment} if environment else {})
 
 
-def add_check(manifest: dict, name: str, observed, expected, tol: float = TOLERANCE, group: str = "", synthetic: bool = False, note: str = "") -> dict:
-    """One check on the driver, for results that are single values; the last of a name stays."""
-    number = all(isinstance(v, (int, float)) and not isinstance(v, bool) and v == v for v in (observed, expected))
-    diff = abs(observed - expected) if number else None
-    status = "INFO" if synthetic or not number else "PASS" if diff <= tol else "DIFFER"
-    manifest["checks"][name] = {"group": group, "observed": observed, "expected": expected, "diff": diff, "status": status, "tol": tol, "note": note or ("synthetic data" if synthetic else "")}
+def add_check(manifest: dict, name: str, observed, expected, tol: float = TOLERANCE, group: str = "", synthetic: bool = False, note: str = "", force_status: str | None = None, warn_not_finite: bool = False) -> dict:
+    """One check on the driver, for results that are single values; the last of a name stays. See ``status_of``."""
+    typed = all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in (observed, expected))
+    diff = abs(observed - expected) if typed and observed - expected == observed - expected else None
+    lost = warn_not_finite and typed and diff is None and not math.isfinite(observed)
+    status = force_status or ("INFO" if synthetic else "WARN" if lost else "INFO" if diff is None else "PASS" if diff <= tol else "DIFFER")
+    manifest["results"][name] = {"group": group, "observed": observed, "expected": expected, "diff": diff, "status": status, "tol": tol, "note": note or ("synthetic data" if synthetic else "")}
     return manifest
 
 
 def manifest_frame(spark: SparkSession, manifest: dict) -> DataFrame:
-    rows = [(n, c["group"], _nullable(c["observed"]), _nullable(c["expected"]), None if c["diff"] is None else float(c["diff"]), c["status"], float(c["tol"]), c["note"]) for n, c in manifest["checks"].items()]
+    def number(v) -> float | None:
+        return float(v) if isinstance(v, (int, float)) else None
+
+    rows = [(n, c.get("group"), _nullable(c.get("observed")), _nullable(c.get("expected")), number(c.get("diff")), c.get("status"), number(c.get("tol")), c.get("note")) for n, c in manifest.get("results", {}).items()]
     return spark.createDataFrame(rows, "name string, group string, observed string, expected string, diff double, status string, tol double, note string")
 
 
@@ -217,12 +237,15 @@ def verify_capsule(spark: SparkSession, folder: str, provenance_file: str = "dat
                 if provenance.get("schema"):
                     bad = [r["message"] for r in validate_schema(table, Expected.of(provenance)).collect() if r["severity"] == "fatal"]
                     out.append(("schema_valid", not bad, "; ".join(bad)))
+    pinned = (provenance.get("script") or {}).get("sha256")
     if manifest_file and os.path.isfile(at := os.path.join(folder, manifest_file)):
         with open(at) as f:
-            rows = stale(manifest_frame(spark, json.load(f))).collect()
-        out.append(("manifest_consistent", not rows, ", ".join(r["name"] for r in rows)))
-    if script_file and (provenance.get("script") or {}).get("sha256") and os.path.isfile(at := os.path.join(folder, script_file)):
-        found = verify_sha256(at, provenance["script"]["sha256"])
+            manifest = json.load(f)
+        rows = stale(manifest_frame(spark, manifest)).collect()
+        out.append(("manifest_consistent", not rows, ", ".join(r["name"] for r in rows) or f"{len(manifest.get('results') or {})} results re-checked"))
+        pinned = (manifest.get("meta") or {}).get("script_sha256") or pinned  # the manifest's comes first
+    if script_file and pinned and os.path.isfile(at := os.path.join(folder, script_file)):
+        found = verify_sha256(at, pinned)
         out.append(("script_sha256", found["match"], found["actual"]))
     return done()
 

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import hash_uniform
+from ..sources.files import read_csv, write_csv
 
-DEFAULT_ROWS, DEFAULT_SEED = 50_000, 91_735_246
+# Rows, seed and id pattern of a recipe that names none.
+DEFAULT_ROWS, DEFAULT_SEED, DEFAULT_PATTERN = 50_000, 91_735_246, "id-{seq:05d}"
 ROW = "_row"
+#: Rows that are numbered in one task; a group of any size is numbered in blocks of these.
+BLOCK_ROWS = 1 << 16
 
 
 def _unit(name: str, seed: int) -> Column:
@@ -59,17 +63,33 @@ def sequence(name: str, spec: dict, seed: int, built: list[str]) -> Column:
 
 
 def id_pattern(name: str, spec: dict, seed: int, built: list[str]) -> Column:
-    """``{year}`` and ``{seq:05d}``; the sequence starts anew for each year where a year column is built already."""
+    """``{seq:05d}``, and ``{year}`` where a year column is built already; then ``number_within`` must have numbered the rows."""
     year = spec.get("year_col")
+    out = F.lit(spec.get("pattern") or DEFAULT_PATTERN)
     if year and year in built:
-        number = F.row_number().over(Window.partitionBy(year).orderBy(ROW))
-        label = F.col(year).cast("string")
+        number = F.col(f"_number_{name}")
+        out = F.replace(out, F.lit("{year}"), F.col(year).cast("string"))
     else:
-        number, label = F.col(ROW) + 1, F.lit("")
-    out = F.replace(F.lit(spec["pattern"]), F.lit("{year}"), label)
+        number = F.col(ROW) + 1
     return F.replace(out, F.lit("{seq:05d}"), F.format_string("%05d", number))
 
 
+def number_within(df: DataFrame, key: str, out: str, order: str = ROW, block: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` with ``out``, the place of each row among those of its ``key`` by ``order`` (a whole number), from 1.
+
+    Rows are numbered within blocks of ``order`` and moved on by the rows of the key's earlier blocks, so that a
+    key that holds most rows is not sorted in one task.
+    """
+    at = F.floor(F.col(order) / block).cast("long")
+    blocks = df.groupBy(F.col(key).alias("_key"), at.alias("_block")).agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_key", "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(key, "_at").orderBy(order))
+    numbered = df.withColumn("_at", at).withColumn(out, inside)
+    joined = numbered.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_block")))
+    return joined.withColumn(out, F.col(out) + F.col("_offset")).drop("_at", "_key", "_block", "_offset")
+
+
 TYPES = {"sample": sample, "bernoulli": bernoulli, "poisson": poisson, "id_pattern": id_pattern, "sequence": sequence}
 
 
@@ -80,18 +100,27 @@ def make_column(name: str, spec: dict, seed: int, built: list[str] = ()) -> Colu
     return TYPES[kind](name, spec, seed, list(built))
 
 
-def make_table(spark: SparkSession, recipe: dict, rows: int | None = None, seed: int | None = None) -> DataFrame:
-    """Columns in the recipe's order. With ``replication`` each row is repeated by a weighted random count and ids are
+def add_column(df: DataFrame, name: str, spec: dict, seed: int, built: list[str] = ()) -> DataFrame:
+    """``df`` (with ROW) with one more column; ids by year are numbered first."""
+    year = spec.get("year_col") if spec.get("type") == "id_pattern" else None
+    if not year or year not in built:
+        return df.withColumn(name, make_column(name, spec, seed, built))
+    number = f"_number_{name}"
+    return number_within(df, year, number).withColumn(name, make_column(name, spec, seed, built)).drop(number)
+
+
+def _rows_of(spark: SparkSession, recipe: dict, rows: int | None, seed: int | None) -> DataFrame:
+    """The recipe's columns, in its order, and ROW. With ``row_replication`` each row is repeated by a weighted random count and ids are
     given after that; ids without a year column cannot be replicated."""
     n, seed = rows or recipe.get("n_rows") or DEFAULT_ROWS, recipe.get("seed", DEFAULT_SEED) if seed is None else seed
     columns: dict = recipe["columns"]
     df = spark.range(n).withColumnRenamed("id", ROW)
-    again = recipe.get("replication")
+    again = recipe.get("row_replication")
     late = [c for c, s in columns.items() if s.get("type") == "id_pattern"] if again else []
     built: list[str] = []
     for name, spec in columns.items():
         if name not in late:
-            df = df.withColumn(name, make_column(name, spec, seed, built))
+            df = add_column(df, name, spec, seed, built)
         built.append(name)
     if again:
         for name in late:
@@ -101,5 +130,20 @@ def make_table(spark: SparkSession, recipe: dict, rows: int | None = None, seed:
         df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
         df = df.withColumn(ROW, F.col(ROW) * (max(again["values"]) + 1) + F.col("_copy"))
         for name in late:
-            df = df.withColumn(name, make_column(name, columns[name], seed, list(columns)))
-    return df.select(*columns)
+            df = add_column(df, name, columns[name], seed, list(columns))
+    return df.select(ROW, *columns)
+
+
+def make_table(spark: SparkSession, recipe: dict, rows: int | None = None, seed: int | None = None) -> DataFrame:
+    """Columns in the recipe's order; see ``_rows_of`` for ``row_replication``."""
+    return _rows_of(spark, recipe, rows, seed).drop(ROW)
+
+
+def make_csv(spark: SparkSession, recipe: dict, path: str, rows: int | None = None, seed: int | None = None, one_file: bool = True) -> dict:
+    """Write the recipe's table as CSV with a header under ``path``; path, rows (as written) and seed. One file, in the
+    order of the rows, or several, each of a range of rows, unless ``one_file``; equal recipes give equal bytes."""
+    seed = recipe.get("seed", DEFAULT_SEED) if seed is None else seed
+    made = _rows_of(spark, recipe, rows, seed)
+    table = (made.repartition(1).sortWithinPartitions(ROW) if one_file else made.sort(ROW)).drop(ROW)
+    write_csv(table, path, one_file)
+    return {"path": path, "rows": read_csv(spark, path, table.schema).count(), "seed": seed}

@@ -149,7 +149,7 @@ def nearest_preceding(spark, d):
 @query("SELECT o_orderkey, printf('%d-%05d', year(o_orderdate), row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey)) AS label FROM orders")
 def seq_id_pattern(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias(synthetic.ROW), F.year("o_orderdate").alias("year"))
-    return o.select("o_orderkey", synthetic.make_column("label", {"type": "id_pattern", "pattern": "{year}-{seq:05d}", "year_col": "year"}, 1, ["year"]).alias("label"))
+    return synthetic.add_column(o, "label", {"type": "id_pattern", "pattern": "{year}-{seq:05d}", "year_col": "year"}, 1, ["year"]).select("o_orderkey", "label")
 
 
 # Statistics and mathematics.
@@ -324,7 +324,7 @@ def parse_reports(spark, d):
 # Quality.
 
 
-@query("SELECT 'missing_columns' AS issue, 'fatal' AS severity, 'missing: l_color' AS message UNION ALL SELECT 'rows_high', 'warning', count(*) || ' rows, at most 10' FROM lineitem UNION ALL SELECT 'values_l_returnflag', 'warning', array_to_string(list_sort(list(DISTINCT l_returnflag)), ', ') FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')")
+@query("SELECT 'missing_columns' AS issue, 'fatal' AS severity, 'Missing required columns: l_color' AS message UNION ALL SELECT 'row_count_high', 'warning', 'Row count ' || count(*) || ' above expected maximum 10' FROM lineitem UNION ALL SELECT 'unexpected_l_returnflag', 'warning', 'Column ''l_returnflag'' has unexpected values: ' || array_to_string(list_sort(list(DISTINCT l_returnflag)), ', ') FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')")
 def validate_schema(spark, d):
     e = quality.Expected(("l_orderkey", "l_color"), {"l_returnflag": ["A", "N"], "l_linestatus": ["O", "F"], "l_ghost": [1]}, 1, 10)
     return quality.validate_schema(t(spark, d, "lineitem"), e)
@@ -442,7 +442,7 @@ RECIPE = {
         "placements": {"type": "poisson", "lambda": 2, "min": 1},
         "row": {"type": "sequence", "from": 1},
     },
-    "replication": {"values": [1, 2, 3], "weights": [5, 3, 1]},
+    "row_replication": {"values": [1, 2, 3], "weights": [5, 3, 1]},
 }
 
 
@@ -472,6 +472,16 @@ def effect_estimates(spark, d):
     return causal.effects_table(s, "treat", "y", ["gender", "age", "place_now", "place_last"], "subject", "period", F.col("n"))
 
 
+@query()
+def count_model(spark, d):
+    """Orders of a customer, with a normal intercept for each region."""
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    n = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("y"))
+    rows = c.join(n, "c_custkey", "left").select(F.coalesce("y", F.lit(0)).alias("y"), F.pmod(F.xxhash64("c_custkey"), F.lit(3)).cast("int").alias("third"), "c_mktsegment", F.col("n_regionkey").alias("region"))
+    model = causal.negative_binomial_mixed(rows.withColumn("treat", (F.col("third") == 0).cast("int")), "y", "treat", ["c_mktsegment"], "region")
+    return spark.createDataFrame(model.table(), "term string, estimate double, std_error double, z_value double, p_value double, irr double")
+
+
 @query("SELECT n_nationkey, n_name || ' (2026). Table of ' || r_name || ' [Data set].' || CASE WHEN n_nationkey % 2 = 0 THEN ' https://doi.org/10.1/' || n_nationkey ELSE ' https://x.org/' || n_nationkey END || ' Retrieved 2026-01-02. Licence: OGL.' AS text FROM nation JOIN region ON n_regionkey = r_regionkey")
 def cite_template(spark, d):
     n = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -90,7 +90,7 @@ def render(template: str, values: dict[str, str]) -> str:
 
 def write_summary(manifest: dict, folder: str, paths: dict[str, str], done: str | None = None, contact: str | None = None, licence: str | None = None) -> str:
     """A run's SUMMARY.txt: what it is, paths, counts by status, files, versions, notes."""
-    meta, status = manifest.get("meta", {}), [c["status"] for c in manifest.get("checks", {}).values()]
+    meta, status = manifest.get("meta", {}), [c["status"] for c in manifest.get("results", {}).values()]
 
     def block(title: str) -> list[str]:
         return ["", "-" * 60, f"  {title}", "-" * 60]

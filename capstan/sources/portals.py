@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import DOWNLOAD_CAUSES, anchor_text, file_extension, url_encode, words_only
+from ..functions.text import DOWNLOAD_CAUSES, anchor_text, file_extension, match_spans, url_encode, words_only
+from ..operators.reports import parse_reports
 
 RESOURCE = "struct<name:string,format:string,url:string>"
 SHOW = f"struct<success:boolean,result:struct<resources:array<{RESOURCE}>>>"
@@ -23,6 +26,11 @@ SEARCH = f"struct<result:struct<results:array<struct<resources:array<{RESOURCE}>
 SNAPSHOT = "struct<archived_snapshots:struct<closest:struct<available:boolean,url:string>>>"
 #: Seconds: for a download, for a lookup.
 DOWNLOAD_TIMEOUT, LOOKUP_TIMEOUT = 120, 30
+#: Links of any kind, and those to data files (a fixed value: the path and the file types that count as data).
+ANY_LINK = r'(?is)<a\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
+FILE_LINK = r'(?i)<a\b[^>]*href="([^"]+/files/[^"]+\.(?:xlsx|xls|zip|csv))"[^>]*>(.*?)</a>'
+#: Characters before a link in which its heading is looked for.
+HEADING_REACH = 1200
 
 
 def _named(resource: Column, pattern: str) -> Column:
@@ -81,26 +89,43 @@ def report_address(number: Column, language: str = "en", base: str = "https://ww
     return F.when(n > 0, F.format_string(f"{base}/{language}/directors_report_details.php?drid=%d", n))
 
 
-def link_catalogue(pages: DataFrame, key: str, order: str, html: str = "html", link: str = r'(?is)<a\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>', untold: tuple[str, ...] = ("", "download", "data tables")) -> DataFrame:
+def link_catalogue(pages: DataFrame, key: str, order: str, html: str = "html", link: str = ANY_LINK, untold: tuple[str, ...] = ("", "download", "data tables"), until_dry: bool = False) -> DataFrame:
     """Links of paged listings, each address once, at its first page and place: url, title, format, page.
 
-    A link without a telling text is named by the nearest heading before it (within 1200 characters). Addresses
-    are made unique by a minimum that is combined before the shuffle.
+    A link without a telling text is named by the nearest heading before it, other links between them or not. Addresses
+    are made unique by a minimum that is combined before the shuffle. ``until_dry`` stops the listing where a page after
+    the first gives no new address; a page that could not be fetched (null) does not stop it.
     """
     heading = r"(?is)<h[2-4][^>]*>(.*?)</h[2-4]>"
-    hits = F.regexp_extract_all(F.col(html), F.lit(link), F.lit(0))
-    # What lies before the i-th link: the page cut at the links.
-    cut = F.split(F.col(html), link, -1)
-    rows = pages.select(F.col(key).alias("page"), F.col(order).alias("_order"), F.posexplode(F.arrays_zip(hits.alias("hit"), cut.alias("before"))).alias("place", "l")).filter(F.col("l.hit").isNotNull())
+    page = F.col(html)
+    hits = F.regexp_extract_all(page, F.lit(link), F.lit(0))
+    before = F.transform(match_spans(page, link), lambda s: F.substr(page, F.greatest(s["start"] - HEADING_REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(HEADING_REACH))))
+    rows = pages.select(F.col(key).alias("page"), F.col(order).alias("_order"), F.posexplode(F.arrays_zip(hits.alias("hit"), before.alias("before"))).alias("place", "l"))
     url, text = F.regexp_extract("l.hit", link, 1), anchor_text(F.regexp_extract("l.hit", link, 2))
-    near = F.regexp_extract_all(F.right("l.before", F.lit(1200)), F.lit(heading), F.lit(1))
+    near = F.regexp_extract_all(F.col("l.before"), F.lit(heading), F.lit(1))
     head = F.when(F.size(near) > 0, anchor_text(F.element_at(near, -1)))
     title = F.when(F.lower(text).isin(*untold), F.coalesce(F.nullif(head, F.lit("")), F.nullif(text, F.lit("")), F.lit("(untitled)"))).otherwise(text)
     found = rows.select(url.alias("url"), title.alias("title"), file_extension(url).alias("format"), "page", "_order", "place")
     first = found.groupBy("url").agg(F.min(F.struct("_order", "place", "title", "format", "page")).alias("f"))
+    if until_dry:
+        listed = pages.filter(page.isNotNull()).select(F.col(order).alias("_order"))
+        new = first.select(F.col("f._order").alias("_order")).distinct()
+        start = pages.agg(F.min(order).alias("_start"))
+        dry = listed.join(new, "_order", "left_anti").join(F.broadcast(start), F.col("_order") > F.col("_start")).agg(F.min("_order").alias("_stop"))
+        first = first.join(F.broadcast(dry), F.col("_stop").isNull() | (F.col("f._order") < F.col("_stop")))  # one row
     return first.select("url", "f.title", "f.format", "f.page")
 
 
+def with_snapshots(links: DataFrame, url: str = "url", get: Callable[[str, float], bytes] | None = None) -> DataFrame:
+    """``links`` with wayback_url, the archived copy of each address, looked up on the workers and once more where none came."""
+
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for addresses in batches:
+            yield addresses.map(lambda a: a and (lookup_snapshot(a, get=get or http_get) or lookup_snapshot(a, get=get or http_get)))
+
+    return links.withColumn("wayback_url", F.pandas_udf(look, "string")(F.col(url)))
+
+
 def absolute(url: Column, base: str) -> Column:
     return F.when(F.startswith(url, F.lit("/")), F.concat(F.lit(base), url)).otherwise(url)
 
@@ -172,6 +197,20 @@ def fetch_report(number, target: str, language: str = "en", archived: str = "",
     return fetch(f"{base}/{language}/directors_report_details.php?drid={int(number)}", target, archived, get=get)
 
 
+def fetch_and_parse_report(spark: SparkSession, number, language: str = "en", get: Get = http_get, say: Callable[[str], None] = print) -> Row | None:
+    """The fields of one report by its number; None, with a message, where it cannot be fetched."""
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own, for one page
+        target = os.path.join(folder, "report.html")
+        try:
+            fetch_report(number, target, language, get=get)
+        except (OSError, ValueError) as e:
+            say(f"could not fetch report {number}: {e}")
+            return None
+        with open(target, encoding="utf-8", errors="replace") as f:
+            page = spark.createDataFrame([(f.read(),)], "html string")
+    return parse_reports(page).drop("html").first()
+
+
 def resolve(spark: SparkSession, provenance: dict | None, get: Get = http_get) -> str | None:
     """package_show, then package_search, then the pinned address."""
     data, resource = ((provenance or {}).get(k) or {} for k in ("dataset", "resource"))

@@ -162,7 +162,7 @@ def capsule(folder, **changes):
     m = quality.make_manifest({})
     quality.add_check(m, "mean", 1.75, 1.75)
     quality.add_check(m, "far", 1, 2)
-    m["checks"]["mean"]["status"] = changes.get("status", "PASS")
+    m["results"]["mean"]["status"] = changes.get("status", "PASS")
     files.write_manifest(m, str(folder / "manifest.json"))
     return str(folder)
 
@@ -176,6 +176,14 @@ def test_verify_capsule(spark, tmp_path):
     bad = ok(capsule(tmp_path, more="7,2026,9.9\n"))
     assert not bad["data_sha256"] and not bad["data_row_count"] and bad["schema_valid"]
     assert not ok(capsule(tmp_path, status="DIFFER"))["manifest_consistent"] and not ok(capsule(tmp_path, columns=["ghost"]))["schema_valid"]
+    capsule(tmp_path)
+    (tmp_path / "analysis.R").write_text("x <- 1")
+    stored = json.loads((tmp_path / "manifest.json").read_text())
+    for pinned, want in ((hashlib.sha256(b"x <- 1").hexdigest(), True), ("0" * 64, False)):
+        stored["meta"]["script_sha256"] = pinned
+        files.write_manifest(stored, str(tmp_path / "manifest.json"))
+        seen = {r["check"]: r["ok"] for r in quality.verify_capsule(spark, str(tmp_path), manifest_file="manifest.json", script_file="analysis.R").collect()}
+        assert list(seen)[-1] == "script_sha256" and seen["script_sha256"] is want
     (tmp_path / "data.csv").unlink()
     assert ok(str(tmp_path))["data_present"] is False
     assert quality.all_ok(quality.verify_capsule(spark, str(tmp_path / "none"))).first()["ok"] is False
@@ -184,11 +192,12 @@ def test_verify_capsule(spark, tmp_path):
 def test_validation(spark):
     df = spark.createDataFrame([(1, 2020.0), (2, None), (3, 2030.0)], "id int, year double")
     issues = {r["issue"]: r["message"] for r in quality.validate_schema(df, quality.Expected(("id", "value"), {"year": [2020.0, 2021.0]}, 5)).collect()}
-    assert set(issues) == {"missing_columns", "rows_low", "values_year"} and issues["values_year"] == "2030.0, NA"
+    assert issues == {"missing_columns": "Missing required columns: value", "row_count_low": "Row count 3 below expected minimum 5", "unexpected_year": "Column 'year' has unexpected values: 2030.0, NA"}
+    assert sorted(map(tuple, quality.unexpected_values(df, "year", [2020.0]).collect())) == [("2030.0", 1), ("NA", 1)]
     assert quality.validate_schema(df, quality.Expected.of(None)).count() == 0
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="Missing required columns"):
         quality.apply_schema_validation(df, quality.Expected(("ghost",)))
-    with pytest.warns(UserWarning):
+    with pytest.warns(UserWarning, match="below expected minimum"):
         assert not quality.apply_schema_validation(df, quality.Expected(("id",), {}, 5))
     assert quality.apply_schema_validation(df, quality.Expected(("id",)))
 
@@ -202,6 +211,14 @@ def test_record(spark):
     quality.audit_gate(m)
     with pytest.raises(ValueError):
         quality.audit_gate(quality.record(df.limit(2)))
+    odd = spark.createDataFrame([("a", "NaN", "1", None), ("b", "Infinity", "1", None), ("c", "1", "NaN", None), ("d", "1", "1", "WARN"), ("e", "Infinity", "Infinity", None)], "name string, observed string, expected string, force_status string")
+    odd = odd.withColumn("tol", F.lit(1e-4)).withColumn("synthetic", F.lit(False))
+    assert {r["name"]: r["status"] for r in quality.record(odd, warn_not_finite=True).collect()} == {"a": "WARN", "b": "DIFFER", "c": "INFO", "d": "WARN", "e": "WARN"}
+    assert {r["name"]: r["status"] for r in quality.record(odd).collect()} == {"a": "INFO", "b": "DIFFER", "c": "INFO", "d": "WARN", "e": "INFO"}
+    held = quality.make_manifest({})
+    for name, o, more in (("a", float("nan"), {"warn_not_finite": True}), ("b", 1, {"force_status": "WARN"}), ("c", float("nan"), {}), ("d", float("inf"), {"warn_not_finite": True})):
+        quality.add_check(held, name, o, 1, **more)
+    assert [c["status"] for c in held["results"].values()] == ["WARN", "WARN", "INFO", "DIFFER"]
     assert quality.version_drift({"a": "1", "b": "2"}, {"a": "1"}) == [{"package": "b", "pinned": "2", "used": "NA"}]
 
 
@@ -226,10 +243,37 @@ def test_synthetic_is_repeatable_and_replicates(spark):
     again = synthetic.make_table(spark, recipe, rows=25, seed=42)
     assert sorted(map(tuple, again.repartition(3).collect())) == first and again.columns == ["fy", "id", "alert"]
     spark.conf.set("spark.sql.shuffle.partitions", "4")
-    twice = synthetic.make_table(spark, recipe | {"replication": {"values": [2]}}, rows=10, seed=42).collect()
+    twice = synthetic.make_table(spark, recipe | {"row_replication": {"values": [2], "weights": [1]}}, rows=10, seed=42).collect()
     assert len(twice) == 20 and len({r["id"] for r in twice}) == 20
     with pytest.raises(ValueError):
-        synthetic.make_table(spark, {"columns": {"id": {"type": "id_pattern", "pattern": "{seq:05d}"}}, "replication": {"values": [2]}}, rows=2)
+        synthetic.make_table(spark, {"columns": {"id": {"type": "id_pattern", "pattern": "{seq:05d}"}}, "row_replication": {"values": [2]}}, rows=2)
+
+
+def test_synthetic_csv(spark, tmp_path):
+    recipe = {"seed": 42, "n_rows": 25, "columns": {"fy": {"type": "sample", "values": [2024, 2025]}, "id": {"type": "id_pattern", "pattern": "{year}-{seq:05d}", "year_col": "fy"}, "alert": {"type": "bernoulli", "p": 0.4, "labels": ["Yes", "No"]}}}
+    digests = []
+    for name in ("a", "b"):
+        info = synthetic.make_csv(spark, recipe, str(tmp_path / name))
+        assert info == {"path": str(tmp_path / name), "rows": 25, "seed": 42}
+        digests.append(files.file_digests(spark, str(tmp_path / name / "*.csv")).first()["sha256"])
+    assert digests[0] == digests[1]
+    people = {"seed": 7, "n_rows": 10, "row_replication": {"values": [2], "weights": [1]}, "columns": {"region": {"type": "sample", "values": ["East", "West"]}}}
+    assert synthetic.make_csv(spark, people, str(tmp_path / "c"), one_file=False)["rows"] == 20
+    ids = synthetic.make_table(spark, {"columns": {"id": {"type": "id_pattern"}}}, rows=2).collect()
+    assert sorted(r["id"] for r in ids) == ["id-00001", "id-00002"]
+
+
+def test_numbers_in_blocks(spark):
+    df = spark.range(1000).select(F.col("id").alias("n"), F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") % 3 == 0).alias("k"))
+    seen = {}
+    for r in synthetic.number_within(df, "k", "place", "n", block=64).orderBy("n").collect():
+        seen[r["k"]] = seen.get(r["k"], 0) + 1
+        assert r["place"] == seen[r["k"]]
+    for blocks in (1, 7):
+        got = {}
+        for r in causal.numbered_by(df, ["k"], ["n"], "place", blocks).collect():
+            got.setdefault(r["k"], []).append(r["place"])
+        assert {k: sorted(v) for k, v in got.items()} == {k: list(range(1, n + 1)) for k, n in seen.items()}
 
 
 # Events.
@@ -294,6 +338,8 @@ def test_negative_binomial_mixed(spark):
         mu = math.exp(0.2 + 0.6 * d + 0.3 * ((g % 3) - 1))
         rows.append((f"g{g}", d, int(r.poisson(r.gamma(2.0, mu / 2.0)))))
     m = causal.negative_binomial_mixed(spark.createDataFrame(rows, "g string, d int, y int"), "y", "d", [], "g")
+    row = m.table()[1]
+    assert row[0] == "d" and row[5] == pytest.approx(math.exp(m.estimate[1])) and row[3] == pytest.approx(row[1] / row[2]) and row[4] < 1e-6
     assert m.estimate[1] == pytest.approx(0.6, abs=0.1) and 0 < m.std_error[1] < 0.1 and m.dispersion == pytest.approx(2, abs=0.6)
 
 
@@ -339,6 +385,28 @@ def test_link_catalogue(spark):
     pages = spark.createDataFrame([(1, '<h2>Beds</h2><p><a href="/files/a.xlsx">Download</a> <a href="/files/b.csv">B &amp; b</a>'), (2, '<a href="/files/b.csv">again</a><a href="/c.zip"></a>')], "page int, html string")
     got = {r["url"]: (r["title"], r["format"], r["page"]) for r in portals.link_catalogue(pages, "page", "page").collect()}
     assert got == {"/files/a.xlsx": ("Beds", "xlsx", 1), "/files/b.csv": ("B & b", "csv", 1), "/c.zip": ("(untitled)", "zip", 2)}
+    page = '<h2>Topic</h2><a href="/doc/files/a.csv">First</a> <a href="/doc/files/b.XLSX">Download</a><a href="/other/c.csv">C</a><h3>Old</h3>' + "x" * 1300 + '<a href="/doc/files/d.zip">download</a>'
+    rows = [(0, page), (1, None), (2, page), (3, '<a href="/doc/files/late.csv">Late</a>')]
+    listing = spark.createDataFrame(rows, "page int, html string")
+    got = {r["url"]: r["title"] for r in portals.link_catalogue(listing, "page", "page", link=portals.FILE_LINK, until_dry=True).collect()}
+    assert got == {"/doc/files/a.csv": "First", "/doc/files/b.XLSX": "Topic", "/doc/files/d.zip": "download"}
+    assert portals.link_catalogue(listing, "page", "page", link=portals.FILE_LINK).count() == 4
+
+
+def test_snapshots_and_reports_by_number(spark):
+    def get(url, timeout):
+        if "drid=7" in url or "gone" in url:
+            raise OSError("HTTP 404")
+        if "available" in url:
+            return b'{"archived_snapshots": {"closest": {"available": true, "url": "http://old"}}}'
+        return REPORT.encode()
+
+    links = spark.createDataFrame([("https://x/a.csv",), ("https://x/gone.csv",), (None,)], "url string")
+    assert {r["url"]: r["wayback_url"] for r in portals.with_snapshots(links, get=get).collect()} == {"https://x/a.csv": "https://old", "https://x/gone.csv": None, None: None}
+    said = []
+    assert portals.fetch_and_parse_report(spark, 648, get=get)["police_service"] == "Barrie Police Service"
+    assert portals.fetch_and_parse_report(spark, 7, get=get, say=said.append) is None and portals.fetch_and_parse_report(spark, -1, get=get, say=said.append) is None
+    assert len(said) == 2 and all("could not fetch" in m for m in said)
 
 
 def test_files(spark, tmp_path):
