@@ -42,6 +42,8 @@ TASK_ROWS, SHARD_BYTES, MANY_SEGMENTS = 1 << 20, 1 << 21, 1 << 10
 #: Windows of a very long text that are worked on at once.
 BLOCK = 1 << 20
 _PLACE_BITS = 22
+#: The least number of one byte, of two and so on.
+_POWERS = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 #: Bits of the filter that tells which texts have segments to compare; a full filter only lets more pass.
 FILTER_BITS_LOG2 = 22
 NO_ID = -(1 << 63)
@@ -98,20 +100,14 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = _words(data)
-    order = np.argsort(key, kind="stable")
-    # Zero bytes and the end look alike in a word; the bytes that are left tell them apart.
-    left = np.minimum(n - np.arange(n), 8)
-    tail = order[np.flatnonzero(left[order] < 8)]
-    if len(tail):
+    order = np.argsort(key)
+    sorted_key = key[order]
+    head = np.ones(n, bool)
+    head[1:] = sorted_key[1:] != sorted_key[:-1]
+    if not data.all():  # zero bytes and the end look alike in a word; the bytes that are left tell them apart
+        left = np.minimum(n - np.arange(n), 8)
         order = np.lexsort((left, key))
-    def heads_of(*columns):
-        out = np.ones(len(columns[0]), bool)
-        out[1:] = False
-        for c in columns:
-            out[1:] |= c[1:] != c[:-1]
-        return out
-
-    head = heads_of(key[order], left[order])
+        head[1:] |= left[order][1:] != left[order][:-1]
     group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = group
@@ -121,12 +117,13 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while len(open_):
         suffix = order[open_]
         beyond = suffix + step
-        second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)], -1)
-        first = rank[suffix]
-        by = np.lexsort((second, first))
-        suffix, first, second = suffix[by], first[by], second[by]
+        second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        both = rank[suffix] * (n + 1) + second  # group and next rank as one number
+        by = np.argsort(both)
+        suffix, both = suffix[by], both[by]
         order[open_] = suffix
-        head = heads_of(first, second)
+        head = np.ones(len(by), bool)
+        head[1:] = both[1:] != both[:-1]
         rank[suffix] = open_[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
         open_ = open_[~(head & np.append(head[1:], True))]
         step *= 2
@@ -169,9 +166,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, most:
         while len(go):
             a, b = words[i[go] + h[go]], words[j[go] + h[go]]
             x = a ^ b
-            same = np.full(len(go), 8)
-            for shift in range(7, -1, -1):  # leading equal bytes
-                same = np.where(x >> np.uint64(8 * shift) != 0, np.minimum(same, 7 - shift), same)
+            same = 8 - np.searchsorted(_POWERS, x, side="right")  # leading equal bytes
             h[go] = np.minimum(h[go] + same, limit[go])
             go = go[(same == 8) & (h[go] < limit[go])]
         out[r] = h
@@ -191,11 +186,12 @@ def repeated_windows(bodies: list[bytes], windows: np.ndarray, ids: np.ndarray,
     place = ranges(np.zeros(len(bodies), np.int64), windows)
     own = kind[rank[firsts[segment] + place]]
     doc, start = ids[segment], starts[segment] + place
-    by = np.lexsort((start, doc, own))
+    gone = np.zeros(len(own), bool)
+    some = np.flatnonzero(np.bincount(own)[own] > 1)  # the windows that have an equal one
+    by = some[np.lexsort((start[some], doc[some], own[some]))]
     head = np.ones(len(by), bool)
     head[1:] = own[by][1:] != own[by][:-1]
     lead = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
-    gone = np.zeros(len(by), bool)
     gone[by] = (doc[by] != doc[lead]) | (start[by] != start[lead])
     return segment, place, gone
 
