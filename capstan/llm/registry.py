@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracles
 from .byte_bpe import op5_byte_bpe
+from .conversations import op11_conversation_repair
 from .decontaminate import op9_decontamination
 from .jaccard import op3_jaccard_join
 from .language import op2_language_id
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
