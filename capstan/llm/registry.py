@@ -10,6 +10,7 @@ from .jaccard import op3_jaccard_join
 from .language import op2_language_id
 from .personal import op7_personal_data
 from .quality import op1_quality_rules
+from .resampling import op13_importance_resampling
 from .secrets import op4_secret_scans
 from .suffixes import op8_suffix_dedup
 from .toxicity import op6_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
