@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracles
 from .byte_bpe import op5_byte_bpe
+from .classifier import op12_quality_classifier
 from .conversations import op11_conversation_repair
 from .decontaminate import op9_decontamination
 from .jaccard import op3_jaccard_join
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
