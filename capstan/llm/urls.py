@@ -5,8 +5,9 @@ flows from trusted hosts along links, and distrust flows against links from bloc
 a blocked host shares its distrust. A host is blocked if its distrust is greater than its trust. Edges
 are the absolute links between different hosts, weighted by their number. Link counts are combined before
 each shuffle, and every few rounds the scores are written to the shared folder. The walk ends when no host's score
-changes by more than a small share of itself, so also no new host is reached. Scores are compared as they are returned,
-rounded to nine places, so the order of a sum cannot turn a verdict; a tie is allowed.
+changes by more than a small share of itself, so also no new host is reached. Scores are compared as they are, however small,
+since they shrink with the number of hosts; distrust must be greater by more than a millionth, so that the order of a sum cannot turn
+a verdict. A tie is allowed.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule, takes no part in
 the graph and is allowed; null html has no links; repeated rows are judged alike; empty tables give empty
@@ -21,11 +22,13 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged, table
+from .staging import discard, staged, table
 
 #: The rules, host and path as one string, with their verdicts.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 DAMPING, ROUNDS, ROUNDS_BETWEEN_WRITES, PLACES = 0.85, 8, 4, 9
+#: By what share of the trust the distrust must be greater.
+MARGIN = 1e-6
 #: ROUNDS is how many the SQL unrolls; the walk over the tables of sf0.001 and sf0.01 has settled by then.
 #: The share of a host's score that may still change between two writes when the walk ends.
 TOLERANCE = 1e-4
@@ -87,7 +90,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, dam
         seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trusted"), F.lit("distrust"), F.col("blocked"))).alias("kind", "seed")).filter("seed > 0"),
         "host-seeds",
     )
-    scores = written = start.select("kind", "host", F.col("seed").alias("score"))
+    scores = written = begun = start.select("kind", "host", F.col("seed").alias("score"))
     for i in count(1) if rounds is None else range(1, rounds + 1):
         moved = scores.withColumnRenamed("host", "src").join(steps, ["kind", "src"])
         moved = moved.select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
@@ -97,9 +100,11 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, dam
             if rounds is None:
                 both_times = scores.join(written.withColumnRenamed("score", "was"), ["kind", "host"], "left")
                 change = both_times.agg(F.max(F.when(F.col("score") > 0, F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))) / F.col("score")))).first()[0]
+                if written is not begun:
+                    discard(written)
+                written = scores
                 if not change or change <= TOLERANCE:
                     break
-                written = scores
     scores = staged(scores, "host-scores")
     total = {r["kind"]: r["total"] for r in scores.groupBy("kind").agg(F.sum("score").alias("total")).collect()}
     whole = F.when(F.col("kind") == "trust", total.get("trust") or 1.0).otherwise(total.get("distrust") or 1.0)
@@ -116,17 +121,17 @@ def seeds_of(pages: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``pages`` without their html, with host, path, rule, trust, distrust (rounded to PLACES) and verdict."""
+    """``pages`` without their html, with host, path, rule, trust, distrust and verdict."""
     out = ("host", "path", "rule", "trust", "distrust", "verdict")
     kept = [c for c in pages.columns if c != html and c not in out]
     known = parsed(pages.select(F.struct(*kept).alias("row"), F.col(url).alias("url"), F.col(html).alias("html")))
     light = staged(known.select("row", "host", "path", "rule"), "pages-parsed")
     scores = staged(propagate(seeds_of(light), host_edges(known)), "host-verdicts")
-    done = light.join(scores, "host", "left").withColumns({k: F.round(F.coalesce(k, F.lit(0.0)), PLACES) for k in ("trust", "distrust")})
-    by_graph = F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow")
+    done = light.join(scores, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
+    by_graph = F.when(F.col("distrust") > F.col("trust") * (1 + MARGIN), "block").otherwise("allow")
     return done.withColumn("verdict", F.coalesce(verdict_of(F.col("rule")), by_graph)).select("row.*", *out)
 
 
 def op10_url_filters(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return judge(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return judge(pages).select("page_id", "host", "path", "rule", "verdict", *(F.round(k, PLACES).alias(k) for k in ("trust", "distrust")))

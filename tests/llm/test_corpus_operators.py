@@ -108,6 +108,18 @@ def test_repeated_bytes_of_rows_that_share_an_id_and_of_long_texts(spark):
     assert got == brute.repeated_bytes(rows)
 
 
+def test_repeated_bytes_of_rows_repeated_in_number(spark):
+    r = random.Random(24)
+    passage, other = ("".join(r.choice("ghijkl") for _ in range(170)) for _ in range(2))
+    rows = [(0, passage)] + [(1, "ab" + passage + "cd" + other)] * 300 + [(None, other + "!")] * 200 + [(2, "zz" + other)]
+    got = suffixes.deduplicate(frame(spark, rows)).collect()
+    ours = sorted(((g["doc_id"], g["n_bytes"], sum(x["end"] - x["start"] for x in g["removed"]), len(g["removed"]), hashlib.sha256(bytes(g["kept"])).hexdigest()) for g in got), key=repr)
+    assert ours == brute.repeated_bytes(rows)
+    keyed = spark.createDataFrame(rows, "id long, text string").selectExpr("coalesce(id, -9223372036854775808) AS id", "xxhash64(text) AS row", "text")
+    runs = suffixes.removals(keyed)
+    assert runs.count() <= 8 * runs.distinct().count()  # one list a task, not one a copy
+
+
 def test_suffix_array_and_prefixes():
     r = random.Random(5)
     for _ in range(200):
@@ -223,6 +235,41 @@ def test_scores_equal_a_plain_walk_and_columns_may_clash(spark):
         assert abs(g["trust"] - trust[g["host"]]) < 1e-3 and abs(g["distrust"] - distrust[g["host"]]) < 1e-3 and g["_host"] == "u" and g["row"] == 1
 
 
+def test_scores_of_many_hosts_are_not_rounded_away(spark):
+    # bad.com <- 1000 hosts; a0 of them <- 1000 hosts; b0 of these <- 1000 hosts
+    pages = [("bad.com/en/1", None)] + [(f"a{i}.eu/", "bad.com") for i in range(1000)] + [(f"b{i}.eu/", "a0.eu") for i in range(1000)] + [(f"c{i}.eu/", "b0.eu") for i in range(1000)]
+    rows = [(k, f"http://{url}", f'<a href="http://{to}/">' if to else None) for k, (url, to) in enumerate(pages)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).groupBy("verdict").count().collect()
+    assert [tuple(g) for g in got] == [("block", 3001)]
+
+
+def test_verdicts_of_a_drawn_graph_equal_a_plain_walk(spark):
+    r, n = np.random.default_rng(16), 3000
+    target = (n * r.random(4 * n) ** 2).astype(int)
+    source = r.integers(0, n, 4 * n)
+    seeds = {k: "good.net" if k % 2 else "bad.com" for k in range(40)}
+    name = lambda k: f"s{k}.{seeds[k]}" if k in seeds else f"h{k}.eu"
+    html = {}
+    for a, b in zip(source.tolist(), target.tolist()):
+        html[a] = html.get(a, "") + f"<a href=//{name(b)}/>"
+    path = lambda k: "/" if k not in seeds else "/de/1" if k % 2 else "/en/1"
+    got = urls.judge(spark.createDataFrame([(k, f"http://{name(k)}{path(k)}", html.get(k)) for k in range(n)], "page_id long, url string, html string")).collect()
+    keep = source != target
+    scores = []
+    for a, b, first in ((source[keep], target[keep], 1), (target[keep], source[keep], 0)):
+        ways, own = np.maximum(np.bincount(a, minlength=n), 1), np.array([float(k in seeds and k % 2 == first) for k in range(n)])
+        own /= own.sum()
+        score = own.copy()
+        for _ in range(400):
+            score = 0.85 * np.bincount(b, score[a] / ways[a], n) + 0.15 * own
+        scores.append(score / score.sum())
+    trust, distrust = scores
+    for g in got:
+        k = g["page_id"]
+        if g["rule"] is None and abs(distrust[k] - trust[k]) > 1e-3 * trust[k]:
+            assert (g["verdict"] == "block") == (distrust[k] > trust[k])
+
+
 def test_distrust_reaches_hosts_any_number_of_links_away(spark):
     n = 11  # h0 -> h1 -> ... -> the blocked host
     hosts = [*(f"h{i}.eu" for i in range(n)), "bad.com"]
@@ -269,14 +316,14 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are absent")
-@pytest.mark.parametrize("name", ["op3_jaccard_join", "op9_decontamination", "op10_url_filters"])
+@pytest.mark.parametrize("name", ["op3_jaccard_join", "op9_decontamination", "op10_url_filters", "op11_conversation_repair", "op13_importance_resampling"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from capstan.llm import registry
     from tests.test_queries import rows_of
 
     c, d = duckdb.connect(), "/root/testdata/sf0.001"
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     df, cursor = registry.QUERIES[name](spark, d), c.execute(registry.ORACLE_SQL[name])
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([x[0] for x in cursor.description], cursor.fetchall())

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 from capstan.llm import byte_bpe, language, personal, quality, secrets, toxicity
 
+from capstan.llm.textops import slice_hash
+
 from . import brute
 
 SCHEMA = "doc_id long, text string, token_ids string, personal int, score string, base double, n_words string"
@@ -142,6 +145,58 @@ def test_toxicity_held_out_and_places(spark):
     assert [g["predicted"] for g in got[100:]] == [0, 0, 0]
 
 
+def made_texts(r, n, toxic_words):
+    words = [f"word{i}" for i in range(300)]
+    labels, texts = [i % 2 for i in range(n)], []
+    for y in labels:
+        s = [" ".join(r.choice(words) for _ in range(8)) for _ in range(6)]
+        if y:
+            s[r.randrange(6)] += f" {r.choice(toxic_words)}"
+        texts.append(". ".join(s) + ".")
+    return texts, labels
+
+
+def test_more_clean_text_hides_no_offence_and_is_none(spark):
+    texts, labels = made_texts(random.Random(19), 500, ["scumbag", "lowlife", "halfwit"])
+    model = toxicity.train(texts[:400], labels[:400])
+    clean = [t for t, y in zip(texts[400:], labels[400:]) if not y]
+    toxic = [t for t, y in zip(texts[400:], labels[400:]) if y][:40]
+    long = [t + " " + " ".join(clean * 2) for t in toxic]
+    rows = toxicity.score(frame(spark, toxic + long + [" ".join(clean * 2), " ".join(clean * 2)]), model).orderBy("doc_id").collect()
+    assert all(g["predicted"] for g in rows[:80]) and not rows[80]["predicted"] and rows[80]["score"] == rows[81]["score"]
+    for short, more in zip(rows[:40], rows[40:80]):  # the same sentences, with the same scores
+        assert {(s["start"], s["end"], s["score"]) for s in short["offending"]} <= {(s["start"], s["end"], s["score"]) for s in more["offending"]}
+
+
+def test_document_scores_are_the_noisy_or_of_their_sentences(spark):
+    texts, labels = made_texts(random.Random(20), 200, ["scumbag"])
+    model = toxicity.train(texts, labels)
+    odd = ["One scumbag! two; three.\nFour scumbag scumbag? 5", "...", "word1", None, "It's WORD1 word1.", "word1 word2. Word2 word1. word3."]
+    rows = toxicity.score(frame(spark, odd + texts[:20]), model, least=0.0).orderBy("doc_id").collect()
+    for text, row in zip(odd + texts[:20], rows):
+        left, seen = 1.0, set()
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            hashed = set()
+            for w in re.findall(r"[0-9a-z'\x80-\U0010ffff]+", sentence.lower()):
+                for part, k in [(w, 0), *((w[:k], k) for k in toxicity.STEMS if len(w) > k)]:
+                    raw = np.frombuffer(part.encode(), np.uint8)
+                    hashed.add(int(slice_hash(raw, np.array([0]), np.array([len(raw)]), 11)[0] ^ np.uint64(k << 58)) >> (64 - toxicity.ROWS_LOG2))
+            if hashed and frozenset(hashed) not in seen:
+                seen.add(frozenset(hashed))
+                z = model.bias + sum(float(model.weights[h]) for h in hashed)
+                left *= 1 - 1 / (1 + np.exp(-np.clip(model.slope * (z - model.level), -30, 30)))
+        assert row["score"] == pytest.approx(1 - left, abs=1e-9)
+
+
+def test_toxicity_of_nothing_and_of_repeated_rows(spark):
+    texts, labels = made_texts(random.Random(21), 100, ["scumbag"])
+    model = toxicity.train(texts, labels)
+    assert toxicity.score(frame(spark, []), model).count() == 0
+    assert len({r["score"] for r in toxicity.score(frame(spark, [texts[1]] * 50), model).collect()}) == 1
+    none = toxicity.train([], [])
+    assert [r["predicted"] for r in toxicity.score(frame(spark, texts[:3]), none).collect()] == [0, 0, 0]
+
+
 def test_personal_base_spans(spark):
     r = random.Random(10)
     pieces = ["a@b.c", "x.y+z@m-1.org", "1.2.3.4", "999.1.1.1", "4337166598464399", "4041 8949 7460 8795", "+1 (988) 555-2485", "+12", "@", ".", " ", "é", "12-34", "007.08.09.010", "0" * 30 + "1.1.1.1"]
