@@ -16,7 +16,7 @@ anchor's place is one segment:
 4. Each text is joined with its runs of removed windows.
 
 Defined results: null counts as an empty text; texts shorter than LENGTH bytes stay whole; of rows that repeat
-with one id none is earlier than the other, and rows that share an id are told apart by 64 bits of their text; null ids
+with one id none is earlier than the other: their runs are found once a task and joined to each as a set. Rows that share an id are told apart by 64 bits of their text; null ids
 come before all others and are one id; equal windows of equal id and start are ties and stay; very long texts are worked on
 in blocks; an empty table gives an empty table; extra columns of the table are dropped, whatever their names.
 """
@@ -235,8 +235,12 @@ def _task_segments(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"later": np.full(n, later)} | nulls | {k: x[k] for k in _PLACE})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        parts, size, seen = [], 0, set()
         for batch in batches:
+            # Rows that repeat id and text have the same runs: a task works them out once.
+            own = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            fresh = [not (k in seen or seen.add(k)) for k in own]
+            batch = batch if all(fresh) else batch.filter(pa.array(fresh))
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in text_chunks(batch.column(2)):
                 s = segments_of(data, offsets)
@@ -245,7 +249,7 @@ def _task_segments(docs: DataFrame) -> DataFrame:
                 size += len(t)
                 if size >= TASK_ROWS:
                     yield from flush(parts)
-                    parts, size = [], 0
+                    parts, size, seen = [], 0, set(own)
         if parts:
             yield from flush(parts)
 
@@ -350,7 +354,7 @@ def _cut_segments(docs: DataFrame, places: DataFrame) -> DataFrame:
     A segment whose anchor has very many is cut again by a second anchor, the least gram in another order; equal windows
     agree in both, so the two together deal them out.
     """
-    lists = places.groupBy("id", "row").agg(F.collect_list(F.struct("kind", "anchor", "start", "windows")).alias("cuts"))
+    lists = places.groupBy("id", "row").agg(F.collect_set(F.struct("kind", "anchor", "start", "windows")).alias("cuts"))
     joined = _squeezed(docs, _filter_of(places.select("id"))).dropDuplicates(["id", "row"]).join(lists, ["id", "row"]).select("id", "row", "size", "packed", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,7 +457,7 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
-    runs = removals(keyed).groupBy("id", "row").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    runs = removals(keyed).groupBy("id", "row").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
     joined = _squeezed(keyed).join(runs, ["id", "row"], "left").select("id", "size", "packed", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
