@@ -1,9 +1,13 @@
 """Toxicity by multiple-instance learning: sentence scores under a noisy-or, trained from document labels.
 
-A sentence's score is a logistic function of hashed weights of its words and their stems, lowered by the logarithm of the number of
-sentences of its text, by a learned factor of one at least, so that the floor of very long texts does not add up; a document is toxic
-if at least one of its sentences is, so its score is one minus the product of (1 - sentence score), in training and in scoring. Only document labels are
-needed for training, and the sentence scores then say where the offence is.
+A sentence's score is a logistic function of hashed weights of its words and their stems, and of nothing else in its text; a document
+is toxic if at least one of its sentences is, so its score is one minus the product of (1 - sentence score), in training and
+in scoring; a sentence with the words of an earlier one of its text is the same instance and counts once. More text can therefore only add to a document's score. Only document labels are needed for training, and the
+sentence scores then say where the offence is.
+
+Mild scores of many clean sentences would add up, so the slope and level of the logistic function are fitted apart, on sentences that the
+weights were not learned from, under the same noisy-or over bags: single texts, and ten and a hundred texts together, all clean or one of
+them toxic.
 
 Defined results: null and empty texts have no sentence and score 0; repeated rows are scored alike; an empty
 table gives an empty table, and a table without labels a model that scores everything near 0; very long texts are scored
@@ -23,13 +27,15 @@ from pyspark.sql import types as T
 
 from .sampling import fold, labelled_sample
 from .staging import small_batches, table
-from .textops import code_points_before, lower_ascii, schema_with, slice_hash, spans_where, text_chunks, with_columns
+from .textops import code_points_before, lower_ascii, mix64, schema_with, slice_hash, spans_where, text_chunks, with_columns
 
 ROWS_LOG2 = 19
 #: The bytes that end a sentence.
 SENTENCE_ENDS = b".!?\n"
-#: With 1, the mild scores of all sentences of a text add up to the same whatever their number.
-LEAST_LENGTH = 1.0
+#: How many texts are put together to fit the slope, with the weight of such bags, and how sure of a text's label that fit is.
+BAGS, SURE = {1: 1.0, 10: 0.3, 100: 0.1}, 0.9
+#: Steep enough that the mild scores of clean sentences do not add up.
+SLOPES = (3.0, 4.0, 6.0)
 #: Besides itself, a word counts by its first bytes, so that inflected forms share weights.
 STEMS = (4, 5, 6)
 
@@ -48,6 +54,8 @@ class Sentences:
     text_of_sentence: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    #: Not the same words as an earlier sentence of the text.
+    fresh: np.ndarray
 
 
 def sentences_of(data: np.ndarray, offsets: np.ndarray) -> Sentences:
@@ -67,7 +75,12 @@ def sentences_of(data: np.ndarray, offsets: np.ndarray) -> Sentences:
     pairs = np.unique((np.concatenate(owners) << ROWS_LOG2) | hashed)
     sentence, hashed = pairs >> ROWS_LOG2, pairs & ((1 << ROWS_LOG2) - 1)
     text = np.searchsorted(first_of_text, used, side="right") - 1
-    return Sentences(hashed, np.searchsorted(used, sentence), text, starts[used], ends[used])
+    own = np.searchsorted(used, sentence)
+    fresh = np.zeros(len(used), bool)
+    if len(used):
+        mark = np.add.reduceat(mix64(hashed.astype(np.uint64) + np.uint64(1)), np.searchsorted(own, np.arange(len(used)))) ^ mix64(text.astype(np.uint64) + np.uint64(1))
+        fresh[np.unique(mark, return_index=True)[1]] = True
+    return Sentences(hashed, own, text, starts[used], ends[used], fresh)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -76,54 +89,89 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """weights by hashed word; bias; how much the logarithm of a text's number of sentences lowers each sentence."""
+    """weights by hashed word; bias; slope and level of the logistic function over their sum."""
 
     weights: np.ndarray
     bias: float
-    length: float
+    slope: float = 1.0
+    level: float = 0.0
+
+    def sums(self, s: Sentences) -> np.ndarray:
+        return self.bias + np.bincount(s.sentence_of_word, self.weights[s.words], len(s.starts))
 
     def sentence_scores(self, s: Sentences) -> np.ndarray:
-        each = np.log(np.bincount(s.text_of_sentence))[s.text_of_sentence] if len(s.starts) else np.zeros(0)
-        return _sigmoid(self.bias - self.length * each + np.bincount(s.sentence_of_word, self.weights[s.words], len(s.starts)))
+        return _sigmoid(self.slope * (self.sums(s) - self.level))
 
     def text_scores(self, s: Sentences, texts: int) -> np.ndarray:
-        """Noisy-or over all sentences."""
-        return -np.expm1(np.bincount(s.text_of_sentence, np.log1p(-self.sentence_scores(s)), texts))
+        """Noisy-or over all sentences, repeated ones once."""
+        return -np.expm1(np.bincount(s.text_of_sentence, np.log1p(-self.sentence_scores(s)) * s.fresh, texts))
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.1, shrink: float = 2e-3, least_texts: int = 3) -> ToxicityModel:
-    """Gradient steps (Adam) on the noisy-or likelihood of the document labels, both classes weighing alike."""
-    size = 1 << ROWS_LOG2
-    y = np.array(labels, float)
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(np.zeros(size, np.float32), -12.0, 1.0)
-    parts, base, n_sent = [], 0, 0
-    for lo, hi, data, offsets in text_chunks(pa.array(texts, pa.large_string())):
-        s = sentences_of(data, offsets)
-        parts.append((s.words, s.sentence_of_word + n_sent, s.text_of_sentence + lo))
-        n_sent += len(s.starts)
-    words, sentence, text = (np.concatenate(x) for x in zip(*parts))
+def _weights(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarray, rounds: int, rate: float, shrink: float, least_texts: int) -> tuple[np.ndarray, float]:
+    """Gradient steps (Adam) on the noisy-or likelihood, both labels weighing alike, each followed by a shrinking of the weights."""
+    size, n = 1 << ROWS_LOG2, len(text)
     # Words of fewer texts than least_texts keep weight 0.
     pairs = np.unique(words.astype(np.int64) * len(y) + text[sentence])
     often = np.bincount(pairs // len(y), minlength=size) >= least_texts
     sel = often[words]
-    words, sentence = words[sel], sentence[sel]
-    columns, words = np.unique(words, return_inverse=True)
+    sentence = sentence[sel]
+    columns, words = np.unique(words[sel], return_inverse=True)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    w, b, a = np.zeros(len(columns)), -3.0, 1.0
-    m = v = np.zeros(len(columns) + 2)
-    each = np.log(np.bincount(text, minlength=len(y))[text])
+    w, b = np.zeros(len(columns)), -3.0
+    m = v = np.zeros(len(columns) + 1)
     for t in range(1, rounds + 1):
-        p = _sigmoid(b - a * each + np.bincount(sentence, w[words], n_sent))
+        p = _sigmoid(b + np.bincount(sentence, w[words], n))
         doc = np.clip(-np.expm1(np.bincount(text, np.log1p(-p), len(y))), 1e-9, 1 - 1e-9)
         g = np.where(y[text] == 1, -(1 - doc[text]) / doc[text], 1.0) * p * weight[text]
-        grad = np.append(np.bincount(words, g[sentence], len(columns)) + shrink * np.sign(w) / 10, [g.sum(), -(g * each).sum()])
+        grad = np.append(np.bincount(words, g[sentence], len(columns)), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
-        w, b, a = w - move[:-2], b - move[-2], max(LEAST_LENGTH, a - move[-1])
+        pace = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
+        moved = np.append(w, b) - pace * m / (1 - 0.9**t)
+        w, b = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - pace[:-1] * shrink, 0), moved[-1]
     out = np.zeros(size, np.float32)
     out[columns] = w
-    return ToxicityModel(out, float(b), float(a))
+    return out, float(b)
+
+
+def _slope_and_level(z: np.ndarray, text: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The likeliest pair of a grid for the sums ``z`` of sentences, under the noisy-or over bags of texts."""
+    r, toxic, clean = np.random.default_rng(6), np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    bags = [(r.choice(clean, (len(toxic), k)), np.hstack([toxic[:, None], r.choice(clean, (len(toxic), k - 1))])) for k in BAGS]
+
+    def loss(slope: float, level: float) -> float:
+        hazard = -np.bincount(text, np.log1p(-_sigmoid(slope * (z - level))), len(y))
+        out = 0.0
+        for share, (none, one) in zip(BAGS.values(), bags):
+            p0, p1 = (SURE * -np.expm1(-hazard[x].sum(1)) + (1 - SURE) / 2 for x in (none, one))
+            out -= share * (np.log(1 - p0).mean() + np.log(p1).mean())
+        return out
+
+    return min(((s, c) for s in SLOPES for c in np.arange(-4, 3.01, 0.5).tolist()), key=lambda x: loss(*x))
+
+
+def train(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.1, shrink: float = 1e-4, least_texts: int = 3) -> ToxicityModel:
+    """Weights from all texts; slope and level from halves whose weights the other half gave."""
+    y = np.array(labels, float)
+    if not len(y) or y.min() == y.max():
+        return ToxicityModel(np.zeros(1 << ROWS_LOG2, np.float32), -12.0)
+    parts, n_sent = [], 0
+    for lo, hi, data, offsets in text_chunks(pa.array(texts, pa.large_string())):
+        s = sentences_of(data, offsets)
+        sel, number = s.fresh[s.sentence_of_word], np.cumsum(s.fresh) - 1
+        parts.append((s.words[sel], number[s.sentence_of_word[sel]] + n_sent, s.text_of_sentence[s.fresh] + lo))
+        n_sent += int(s.fresh.sum())
+    words, sentence, text = (np.concatenate(x) for x in zip(*parts))
+    half, z, whole = np.arange(len(y)) % 2, np.zeros(n_sent), True
+    for k in (0, 1):
+        use = half == k
+        if y[use].min() == y[use].max() or y[~use].min() == y[~use].max():
+            whole = False
+            break
+        own, number = use[text], np.cumsum(use) - 1
+        sel = own[sentence]
+        w, b = _weights(words[sel], (np.cumsum(own) - 1)[sentence[sel]], number[text[own]], y[use], rounds, rate, shrink, least_texts)
+        z[~own] = (b + np.bincount(sentence, w[words], n_sent))[~own]
+    return ToxicityModel(*_weights(words, sentence, text, y, rounds, rate, shrink, least_texts), *(_slope_and_level(z, text, y) if whole else (1.0, 0.0)))
 
 
 def fit(rows: DataFrame, per_label: int = 2500, longest: int = 20_000) -> ToxicityModel:
