@@ -37,4 +37,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_jaccard_join": oracles.JACCARD,
     "op9_decontamination": oracles.DECONTAMINATION,
     "op10_url_filters": oracles.URL_FILTERS,
+    "op11_conversation_repair": oracles.CONVERSATION_REPAIR,
+    "op13_importance_resampling": oracles.IMPORTANCE_RESAMPLING,
 }
