@@ -13,6 +13,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .models import Effects
+from .shared import kept
+
 #: Cells that may reach the driver.
 MOST_CELLS = 500_000
 #: Rows of one cell and arm that are numbered in one task.
@@ -22,7 +25,7 @@ BLOCK_ROWS = 1 << 17
 def cells_of(df: DataFrame, columns: list[str], weight: Column | None = None) -> list:
     rows = df.groupBy(*columns).agg(F.sum(F.lit(1.0) if weight is None else weight.cast("double")).alias("_n")).limit(MOST_CELLS + 1).collect()
     if len(rows) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} cells; the covariates are not discrete")
+        raise ValueError(f"more than {MOST_CELLS} cells; the covariates are not discrete: use matching.nearest_match and models.double_ml, which work on rows")
     return sorted(rows, key=lambda r: tuple(str(r[c]) for c in columns))
 
 
@@ -63,23 +66,24 @@ def propensity_by_cell(df: DataFrame, treat: str, covariates: list[str], weight:
 
 
 def numbered_by(df: DataFrame, keys: list[str], order: list[str], out: str, blocks: int) -> DataFrame:
-    """``df`` with ``out``, a number from 1 on for each row of equal ``keys``, by (block of a hash, ``order``).
+    """``df`` with ``out``, a number from 1 on for each row of equal ``keys``, by ``order``.
 
-    ``blocks`` deals out the rows of one key, so that none is sorted in one task; with one block the numbers
-    follow ``order`` itself.
+    With more than one of ``blocks`` the rows are dealt out by ranges of key and order, and numbered from the sums of the ranges
+    before, so that no key is sorted in one task. The numbers are the same either way.
     """
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     if blocks <= 1:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    salted = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
+        return df.withColumn(out, inside)
+    dealt = kept(df.repartitionByRange(blocks, *keys, *order).withColumn("_block", F.spark_partition_id()), "numbered")
     names = [f"_b_{i}" for i in range(len(keys))]
-    counts = salted.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col("_block").alias("_at")).agg(F.count("*").alias("_rows"))
+    counts = dealt.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col("_block").alias("_at")).agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*names).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*names, "_at", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     met = F.col("_block") == F.col("_at")
     for k, n in zip(keys, names):
         met = met & F.col(k).eqNullSafe(F.col(n))
     inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
-    return salted.withColumn(out, inside).join(offsets, met).withColumn(out, F.col(out) + F.col("_offset")).drop("_block", *names, "_at", "_offset")
+    return dealt.withColumn(out, inside).join(offsets, met).withColumn(out, F.col(out) + F.col("_offset")).drop("_block", *names, "_at", "_offset")
 
 
 def _blocks_for(most: float) -> int:
@@ -146,13 +150,6 @@ def nearest_match(df: DataFrame, treat: str, covariates: list[str], order: list[
     return numbered.join(stretches, met).select(*df.columns, "score", (F.col("_rn") + F.col("_shift")).alias("pair"))
 
 
-@dataclass(frozen=True)
-class Effects:
-    ate: float
-    atte: float
-    n: float
-
-
 def double_ml(df: DataFrame, treat: str, outcome: str, covariates: list[str], cluster: str, weight: Column | None = None, folds: int = 3, trim: float = 1e-12) -> Effects:
     """Interactive regression: outcome by least squares in either arm, treatment by logistic regression, both cross
     fitted over folds of clusters; the effects are means of the orthogonal scores. ``weight`` stands for the

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .models import propensity
 from .shared import kept
 
 #: Rows of a range.
@@ -208,3 +209,8 @@ def nearest_by_score(df: DataFrame, treat: str, score: str, order: list[str], ra
     controls = light.filter("not treated").select("range", "place", "control").join(pairs.select("control", "pair"), "control")
     both = pairs.select("range", "place", "pair").unionByName(controls.select("range", "place", "pair"))
     return rows.join(both, ["range", "place"]).select("row.*", "pair")
+
+
+def nearest_match(df: DataFrame, treat: str, covariates: list[str], order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``nearest_by_score`` on the propensity score, fitted to all rows, of covariates of any kind: ``df`` with score and pair."""
+    return nearest_by_score(propensity(df, treat, covariates), treat, "score", order, range_rows)

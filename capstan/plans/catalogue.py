@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import causal, events, panel, quality, reports, synthetic
+from ..operators import causal, events, matching, models, panel, quality, reports, synthetic
 from ..sources import files, portals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -472,6 +472,44 @@ def effect_estimates(spark, d):
     return causal.effects_table(s, "treat", "y", ["gender", "age", "place_now", "place_last"], "subject", "period", F.col("n"))
 
 
+def _newton_sql(rows: str, folds: str, used: str) -> str:
+    """Coefficients b0 and b1 of a logistic fit of t on x, for each fold f, after twelve Newton steps."""
+    return f"""n AS (SELECT 0 AS k, f, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM ({folds}) UNION ALL
+  SELECT k + 1, f, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+  SELECT k, f, b0, b1, sum(t - m) AS g0, sum((t - m) * x) AS g1, sum(m * (1 - m)) AS h00, sum(m * (1 - m) * x) AS h01, sum(m * (1 - m) * x * x) AS h11
+  FROM (SELECT k, f, b0, b1, x, t, 1 / (1 + exp(-(b0 + b1 * x))) AS m FROM n JOIN {rows} ON {used} WHERE k < 12) GROUP BY k, f, b0, b1))"""
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT c_custkey, CASE WHEN c_acctbal + (c_custkey * 7919) % 4001 > 6000 THEN 1 ELSE 0 END AS t, CAST(c_acctbal AS DOUBLE) / 1000 AS x FROM customer),
+  {_newton_sql("a", "SELECT 0 AS f", "true")} SELECT c_custkey, round(1 / (1 + exp(-(b0 + b1 * x))), 6) AS score FROM a, n WHERE k = 12""")
+def propensity_scores(spark, d):
+    return models.propensity(_balances(spark, d), "treat", ["balance"]).select("c_custkey", _r(F.col("score")).alias("score"))
+
+
+def _balances(spark, d) -> DataFrame:
+    treat = (F.col("c_acctbal") + F.col("c_custkey") * 7919 % 4001 > 6000).cast("int")
+    return t(spark, d, "customer").select("c_custkey", treat.alias("treat"), (F.col("c_acctbal").cast("double") / 1000).alias("balance"), "c_mktsegment")
+
+
+@query()
+def nearest_match_continuous(spark, d):
+    """Customers matched on a score of their balance and segment."""
+    return matching.nearest_match(_balances(spark, d), "treat", ["balance", "c_mktsegment"], ["c_custkey"]).select("c_custkey", "treat", "score", "pair")
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT l_orderkey % 3 AS fold, CASE WHEN l_quantity + (l_orderkey * 31) % 40 > 45 THEN 1 ELSE 0 END AS t, CAST(l_extendedprice AS DOUBLE) / 1000 AS y, CAST(l_quantity AS DOUBLE) / 10 AS x FROM lineitem),
+  {_newton_sql("a", "SELECT unnest(range(3)) AS f", "a.fold <> n.f")},
+  g AS (SELECT f, arm, regr_slope(y, x) AS slope, regr_intercept(y, x) AS level FROM a, (SELECT unnest(range(3)) AS f), (SELECT unnest(range(2)) AS arm) WHERE fold <> f AND t = arm GROUP BY f, arm),
+  p AS (SELECT a.*, g0.level + g0.slope * x AS y0, g1.level + g1.slope * x AS y1, 1 / (1 + exp(-(b0 + b1 * x))) AS m FROM a JOIN n ON n.f = fold AND k = 12 JOIN g g0 ON g0.f = fold AND g0.arm = 0 JOIN g g1 ON g1.f = fold AND g1.arm = 1)
+  SELECT round(avg(y1 - y0 + t * (y - y1) / m - (1 - t) * (y - y0) / (1 - m)), 6) AS ate, round(sum(t * (y - y0) - m * (1 - t) * (y - y0) / (1 - m)) / sum(t), 6) AS atte, count(*) AS n FROM p""")
+def effect_of_rows(spark, d):
+    """Price of a line by a made treatment that depends on its quantity, a number: all rows take part."""
+    treat = (F.col("l_quantity") + F.col("l_orderkey") * 31 % 40 > 45).cast("int")
+    rows = t(spark, d, "lineitem").select("l_orderkey", treat.alias("treat"), (F.col("l_extendedprice").cast("double") / 1000).alias("price"), (F.col("l_quantity").cast("double") / 10).alias("quantity"))
+    e = models.double_ml(rows, "treat", "price", ["quantity"], "l_orderkey", fold=F.col("l_orderkey") % 3)
+    return spark.createDataFrame([(round(e.ate, 6), round(e.atte, 6), int(e.n))], "ate double, atte double, n long")
+
+
 @query()
 def count_model(spark, d):
     """Orders of a customer, with a normal intercept for each region."""
