@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,44 +88,60 @@ def trimmed_ipw_weights(treated: Column, score: Column, low: float, high: float)
     return F.when(treated == 1, 1 / e).otherwise(1 / (1 - e))
 
 
-def gamma_cdf(shape: float, x: float) -> float:
-    """Regularised lower incomplete gamma: a power series for small x, a continued fraction beyond."""
-    if x <= 0:
-        return 0.0
-    front = math.exp(shape * math.log(x) - x - math.lgamma(shape))
-    if x < shape + 1:
-        term = total = 1 / shape
-        k = shape
-        while abs(term) > abs(total) * 1e-15:
-            k += 1
-            term *= x / k
-            total += term
-        return min(1.0, total * front)
-    tiny = 1e-300
-    b = x + 1 - shape
-    c, d = 1 / tiny, 1 / b
-    h = d
-    for i in range(1, 500):
-        a = -i * (i - shape)
-        b += 2
-        d = a * d + b
-        d = 1 / (d if abs(d) > tiny else tiny)
-        c = b + a / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return max(0.0, 1 - front * h)
+#: Lanczos' approximation of the gamma function.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+LANCZOS_SHIFT = 7.5
 
 
-def gamma_cdf_regularized(shape: Column, x: Column) -> Column:
-    """As a column: Spark has no incomplete gamma, so Arrow batches go through ``gamma_cdf``."""
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0, by Lanczos' sum at x + 1, which suits all of them."""
+    total = F.lit(LANCZOS[0])
+    for k, c in enumerate(LANCZOS[1:], 1):
+        total = total + c / (x + k)
+    at = x + LANCZOS_SHIFT
+    return 0.5 * math.log(2 * math.pi) + (x + 0.5) * F.log(at) - at + F.log(total) - F.log(x)
+
+
+# The lower part is a series for x below shape + 1 and one minus a continued fraction from there on. Either needs a few dozen terms and some
+# more with the root of the shape; that many are always taken, so both are plain sums over a known number of steps. The fraction is worked
+# out from its far end.
+_TERMS, _TERMS_BY_ROOT = 60, 10
+
 
-    @F.pandas_udf("double")
-    def run(a: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([gamma_cdf(p, q) if p == p and q == q else float("nan") for p, q in zip(a, v)])
+def gamma_cdf_array(shape: float, x: np.ndarray) -> np.ndarray:
+    """Regularised lower incomplete gamma of one shape, for all x at once; 0 up to x = 0, NaN for NaN."""
+    x = np.asarray(x, float)
+    steps = int(_TERMS + _TERMS_BY_ROOT * math.sqrt(shape))
+    safe = np.where((x > 0) & np.isfinite(x), x, 1.0)
+    front = np.exp(shape * np.log(safe) - safe - math.lgamma(shape))
+    low, term = np.zeros(x.shape), np.full(x.shape, 1 / shape)
+    near = np.minimum(safe, shape + 1)
+    for k in range(1, steps + 1):
+        low += term
+        term *= near / (shape + k)
+    far = np.maximum(safe, shape + 1)
+    under = far + (2 * steps + 1 - shape)
+    for k in range(steps, 0, -1):
+        under = far + (2 * k - 1 - shape) - k * (k - shape) / under
+    out = np.where(safe < shape + 1, front * low, 1 - front / under)
+    return np.where(np.isnan(x), np.nan, np.where(x <= 0, 0.0, np.where(np.isinf(x), 1.0, np.clip(out, 0, 1))))
 
-    return run(shape.cast("double"), x.cast("double"))
+
+def gamma_cdf(shape: float, x: float) -> float:
+    return float(gamma_cdf_array(shape, np.array([x]))[0])
+
+
+def gamma_cdf_regularized(shape: Column, x: Column) -> Column:
+    """As a column, by folds over the steps; NaN where either is null or NaN, or the shape is not above 0."""
+    a, x = shape.cast("double"), x.cast("double")
+    steps = F.floor(_TERMS + _TERMS_BY_ROOT * F.sqrt(a)).cast("int")
+    start = F.struct((1 / a).alias("term"), F.lit(0.0).alias("total"))
+    series = F.aggregate(F.sequence(F.lit(1), steps), start, lambda s, k: F.struct((s["term"] * x / (a + k)).alias("term"), (s["total"] + s["term"]).alias("total")), lambda s: s["total"])
+    under = F.aggregate(F.sequence(steps, F.lit(1), F.lit(-1)), x + 2 * steps + 1 - a, lambda v, k: x + 2 * k - 1 - a - k * (k - a) / v)
+    front = F.exp(a * F.log(x) - x - log_gamma(a))
+    value = F.when(x < a + 1, front * series).otherwise(1 - front / under)
+    unfit = a.isNull() | x.isNull() | F.isnan(a) | F.isnan(x) | (a <= 0)
+    return F.when(unfit, _nan()).when(x <= 0, F.lit(0.0)).when(x == float("inf"), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def hash_uniform(*keys: Column) -> Column:

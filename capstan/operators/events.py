@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import gamma_cdf
+from ..functions.stats import gamma_cdf_array
+from .shared import kept
 
 #: What an infeasible parameter set costs.
 INFEASIBLE = 1e12
@@ -75,6 +76,115 @@ def exponentials_nll(times: Column, horizon: float, nu: float, eta: float, weigh
     return F.lit(nu * horizon) - F.aggregate(times, start, step, lambda s: s["total"])
 
 
+def _wave(t: Column, horizon: float, a0: float, a1: float, a2: float, a3: float) -> Column:
+    turn = 2 * math.pi / YEAR_DAYS * t
+    return F.exp(a0 + a1 / max(horizon, 1.0) * t + a2 * F.sin(turn) + a3 * F.cos(turn))
+
+
+def wave_integral(horizon: float, a0: float, a1: float, a2: float, a3: float, points: int = 2001) -> Column:
+    """The integral of the wave over a grid of ``points``, by trapezoids."""
+    step = horizon / (points - 1)
+    values = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: _wave(k * F.lit(step), horizon, a0, a1, a2, a3))
+    ends = (_wave(F.lit(0.0), horizon, a0, a1, a2, a3) + _wave(F.lit(float(horizon)), horizon, a0, a1, a2, a3)) / 2
+    return (F.aggregate(values, F.lit(0.0), lambda s, v: s + v) - ends) * step
+
+
+def exponential_wave_nll(times: Column, horizon: float, a0: float, a1: float, a2: float, a3: float, eta: float, beta: float, points: int = 2001) -> Column:
+    """As ``exponential_nll`` with a rate that has a trend and a yearly wave (see ``sinusoidal``): still one pass."""
+    if not (1e-6 < eta < 0.999 and 0.05 < beta < 30 and -20 < a0 < 20):
+        return F.lit(INFEASIBLE)
+    start = F.struct(F.lit(None).cast("double").alias("before"), F.lit(0.0).alias("a"), F.lit(0.0).alias("total"))
+
+    def step(s: Column, t: Column) -> Column:
+        a = F.when(s["before"].isNull(), F.lit(0.0)).otherwise(F.exp((s["before"] - t) * beta) * (s["a"] + beta))
+        gained = F.log(_wave(t, horizon, a0, a1, a2, a3) + eta * a) - eta * (1 - F.exp((t - horizon) * beta))
+        return F.struct(t.alias("before"), a.alias("a"), (s["total"] + gained).alias("total"))
+
+    return wave_integral(horizon, a0, a1, a2, a3, points) - F.aggregate(times, start, step, lambda s: s["total"])
+
+
+def poles_nll(times: Column, horizon: float, nu: float, eta: float, weights: list[complex], rates: list[complex]) -> Column:
+    """As ``exponentials_nll`` with complex weights and rates, whose conjugates come in pairs: an array of (re, im) is the state, so time
+    grows with the events times the poles."""
+    if not (nu > 0 and math.isfinite(nu) and all(complex(b).real > 0 for b in rates)):
+        return F.lit(INFEASIBLE)
+    fields = [(complex(w), complex(b), complex(w) / complex(b)) for w, b in zip(weights, rates)]
+    names = ("wr", "wi", "br", "bi", "qr", "qi")
+    pairs = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, (w.real, w.imag, b.real, b.imag, q.real, q.imag)))) for w, b, q in fields))
+    zero = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    start = F.struct(F.lit(None).cast("double").alias("before"), F.array(*(zero for _ in fields)).alias("a"), F.lit(0.0).alias("total"))
+    whole = sum(q.real for _, _, q in fields)
+    add = lambda u, v: u + v
+
+    def turned(x: Column, p: Column, lag: Column) -> Column:
+        """(1 + x) exp(-b lag)."""
+        size, angle = F.exp(-p["br"] * lag), p["bi"] * lag
+        return F.struct(
+            (size * ((1 + x["re"]) * F.cos(angle) + x["im"] * F.sin(angle))).alias("re"), (size * (x["im"] * F.cos(angle) - (1 + x["re"]) * F.sin(angle))).alias("im")
+        )
+
+    def step(s: Column, t: Column) -> Column:
+        a = F.when(s["before"].isNull(), s["a"]).otherwise(F.zip_with(s["a"], pairs, lambda x, p: turned(x, p, t - s["before"])))
+        excited = F.aggregate(F.zip_with(a, pairs, lambda x, p: p["wr"] * x["re"] - p["wi"] * x["im"]), F.lit(0.0), add)
+        left = horizon - t
+        ahead = F.aggregate(F.transform(pairs, lambda p: F.exp(-p["br"] * left) * (p["qr"] * F.cos(p["bi"] * left) + p["qi"] * F.sin(p["bi"] * left))), F.lit(0.0), add)
+        return F.struct(t.alias("before"), a.alias("a"), (s["total"] + F.log(F.lit(nu) + eta * excited) - eta * (whole - ahead)).alias("total"))
+
+    total = F.aggregate(times, start, step, lambda s: s["total"])
+    return F.when(total.isNull() | F.isnan(total), F.lit(INFEASIBLE)).otherwise(nu * horizon - total)
+
+
+#: Events of a block of a sequence.
+BLOCK_EVENTS = 1 << 16
+
+
+def exponentials_nll_by_blocks(events: DataFrame, key: str, time: str, horizon: float, nu: float, eta: float, weights: list[float], rates: list[float], block_events: int = BLOCK_EVENTS) -> DataFrame:
+    """key, nll as of ``exponentials_nll``, for sequences that need not fit one row or task.
+
+    Events are cut into blocks by ranges of key and time. Over a block the state of each exponential goes from s to
+    decay * s + addend; the pairs (decay, addend) of a key's blocks are chained in their order, which gives the state each block is
+    entered with, and then the blocks are folded on their own.
+    """
+    if not (nu > 0 and math.isfinite(nu)):
+        return events.select(key).distinct().withColumn("nll", F.lit(INFEASIBLE))
+    timed = events.select(F.col(key).alias("key"), F.col(time).cast("double").alias("t")).filter("t is not null")
+    parts = max(1, -(-timed.count() // block_events))
+    pairs = F.array(*(F.struct(F.lit(float(w)).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(weights, rates)))
+    dealt = timed.repartitionByRange(parts, "key", "t").withColumn("block", F.spark_partition_id())
+    blocks = kept(dealt.groupBy("key", "block").agg(F.array_sort(F.collect_list("t")).alias("times")), "event-blocks")
+    first, last = F.get("times", F.lit(0)), F.element_at("times", -1)
+    addend = F.transform(pairs, lambda p: F.aggregate("times", F.lit(0.0), lambda s, t: s + F.exp((t - last) * p["b"])))
+    chain = blocks.select("key", "block", first.alias("first"), last.alias("last"), addend.alias("addend")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "first", "last", "addend"))).alias("blocks"))
+    none = F.array(*(F.lit(0.0) for _ in weights))
+    start = F.struct(F.lit(None).cast("double").alias("last"), none.alias("state"), F.array().cast("array<struct<block:int,state:array<double>>>").alias("out"))
+
+    def link(s: Column, b: Column) -> Column:
+        decayed = lambda to: F.when(s["last"].isNull(), none).otherwise(F.zip_with(s["state"], pairs, lambda x, p: x * F.exp((s["last"] - to) * p["b"])))
+        state = F.zip_with(decayed(b["last"]), b["addend"], lambda x, y: x + y)
+        return F.struct(b["last"].alias("last"), state.alias("state"), F.concat(s["out"], F.array(F.struct(b["block"].alias("block"), decayed(b["first"]).alias("state")))).alias("out"))
+
+    entered = chain.select(F.col("key").alias("of"), F.explode(F.aggregate("blocks", start, link, lambda s: s["out"])).alias("e")).select("of", F.col("e.block").alias("at"), F.col("e.state").alias("state"))
+    joined = blocks.join(entered, F.col("key").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
+    begin = F.struct(F.lit(None).cast("double").alias("before"), F.col("state").alias("a"), F.lit(0.0).alias("total"))
+    add = lambda u, v: u + v
+
+    def step(s: Column, t: Column) -> Column:
+        a = F.when(s["before"].isNull(), s["a"]).otherwise(F.zip_with(s["a"], pairs, lambda x, p: F.exp((s["before"] - t) * p["b"]) * (1 + x)))
+        excited = F.aggregate(F.zip_with(a, pairs, lambda x, p: x * p["w"]), F.lit(0.0), add)
+        spent = F.aggregate(F.transform(pairs, lambda p: p["w"] / p["b"] * (1 - F.exp((t - horizon) * p["b"]))), F.lit(0.0), add)
+        return F.struct(t.alias("before"), a.alias("a"), (s["total"] + F.log(F.lit(nu) + eta * excited) - eta * spent).alias("total"))
+
+    parts_of = joined.select("key", F.aggregate("times", begin, step, lambda s: s["total"]).alias("part"))
+    return parts_of.groupBy("key").agg((F.lit(nu * horizon) - F.sum("part")).alias("nll")).withColumnRenamed("key", key)
+
+
+def exponential_nll_by_blocks(events: DataFrame, key: str, time: str, horizon: float, a0: float, eta: float, beta: float, block_events: int = BLOCK_EVENTS) -> DataFrame:
+    """key, nll as of ``exponential_nll``, in blocks."""
+    if not (1e-6 < eta < 0.999 and 0.05 < beta < 30 and -20 < a0 < 20):
+        return events.select(key).distinct().withColumn("nll", F.lit(INFEASIBLE))
+    return exponentials_nll_by_blocks(events, key, time, horizon, math.exp(a0), eta, [beta], [beta], block_events)
+
+
 # Kernels: a density of the lag, its integral from 0, and the lag beyond which the density is 0 in doubles.
 
 
@@ -100,12 +210,15 @@ def gamma(alpha: float, beta: float) -> tuple[Callable, Callable, float, bool]:
     def density(u):
         return np.where(u > 1e-300, np.exp(front + (alpha - 1) * np.log(np.maximum(u, 1e-300)) - beta * u), 0.0)
 
-    if alpha > 1:  # (alpha - 1) log u is at most half of beta u plus a constant
-        bound = (alpha - 1) * (math.log(2 * (alpha - 1) / beta) - 1)
-        cutoff = 2 * (front + bound + 745.2) / beta
+    # exp(x) is 0 below x = -745.14. For any peak p the logarithm lies under its tangent, log u <= log p + u / p - 1, so with the slope
+    # of half of beta, p = 2 (alpha - 1) / beta, the exponent is at most level - beta u / 2. A shape up to 1 has no peak: log u >= 0
+    # from u = 1 on, where the power only lowers the exponent.
+    if alpha > 1:
+        level = front + (alpha - 1) * (math.log(2 * (alpha - 1) / beta) - 1)
+        cutoff = (level + 745.2) / (beta / 2)
     else:
         cutoff = max(1.0, (front + 745.2) / beta)
-    return density, np.vectorize(lambda u: gamma_cdf(alpha, beta * u), otypes=[float]), cutoff, 0.05 < alpha < 20 and 0.05 < beta < 30
+    return density, lambda u: gamma_cdf_array(alpha, beta * np.asarray(u, float)), cutoff, 0.05 < alpha < 20 and 0.05 < beta < 30
 
 
 def exponential(beta: float) -> tuple[Callable, Callable, float, bool]:
@@ -174,6 +287,41 @@ def sequence_nll(t: np.ndarray, horizon: float, baseline, eta: float, kernel, bo
     return float(spent - np.log(lam).sum())
 
 
+def split_gamma_nll_of(t: np.ndarray, horizon: float, a0: float, eta: float, alpha: float, beta: float, split: float, weights: list[complex], rates: list[complex]) -> float:
+    """``sequence_nll`` with the ``split_gamma`` kernel: lags up to ``split`` are summed over a window whose two ends only move on; an event
+    that leaves it enters the tail's sums, one complex number a pole. Time grows with the events times (the window plus the poles)."""
+    _, _, feasible_rate = constant(a0)
+    _, integral, _, feasible = split_gamma(alpha, beta, split, weights, rates)
+    if not (feasible and feasible_rate and 1e-6 < eta < 0.999):
+        return INFEASIBLE
+    density = gamma(alpha, beta)[0]
+    t, nu = np.asarray(t, float), math.exp(a0)
+    w, b = np.array(weights, complex), np.array(rates, complex)
+    first = np.searchsorted(t, t - split)  # lags beyond it are in the tail
+    tail, gone, total = np.zeros(len(b), complex), 0, 0.0
+    for i in range(len(t)):
+        if i:
+            tail *= np.exp(-b * (t[i] - t[i - 1]))
+        if first[i] > gone:
+            tail += np.exp(-np.multiply.outer(t[i] - split - t[gone : first[i]], b)).sum(0)
+            gone = first[i]
+        rate = nu + eta * (float((w * tail).sum().real) + float(density(t[i] - t[gone:i]).sum()))
+        if not (rate > 0 and math.isfinite(rate)):
+            return INFEASIBLE
+        total += math.log(rate)
+    return nu * horizon + eta * float(np.sum(integral(horizon - t))) - total
+
+
+def split_gamma_nll(times: Column, horizon: float, a0: float, eta: float, alpha: float, beta: float, split: float, weights: list[complex], rates: list[complex]) -> Column:
+    """As a column over arrays of times, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series([split_gamma_nll_of(np.sort(t), horizon, a0, eta, alpha, beta, split, weights, rates) for t in batch])
+
+    return run(times)
+
+
 def nll(times: Column, horizon: float, baseline, eta: float, kernel, bounded: bool = True) -> Column:
     """As a column over arrays of times, in Arrow batches: these kernels have no fold that Spark could express."""
 

@@ -5,8 +5,10 @@ Doubles are rounded on both sides where the order of a sum may show.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,9 +186,10 @@ def bootstrap_mean(spark, d):
     return stats.bootstrap_means(t(spark, d, "orders"), "o_totalprice", "o_orderkey", 20, 7)
 
 
-@query()
+@query("""SELECT event_id, round(CASE WHEN x = 0 THEN 0 ELSE list_sum(list_transform(range(400), lambda k: exp((shape + k) * ln(x) - x - lgamma(shape + k + 1)))) END, 9) AS p
+  FROM (SELECT event_id, abs(value) AS x, 0.5 + event_id % 40 / 2.0::DOUBLE AS shape FROM events)""")
 def gamma_cdf(spark, d):
-    return t(spark, d, "events").select("event_id", stats.gamma_cdf_regularized(F.lit(2.5), F.abs("value")).alias("p"))
+    return t(spark, d, "events").select("event_id", _r(stats.gamma_cdf_regularized(0.5 + F.col("event_id") % 40 / 2.0, F.abs("value")), 9).alias("p"))
 
 
 # Text.
@@ -415,20 +418,79 @@ def hawkes_weibull_by_join(spark, d):
     return events.weibull_nll_by_join(_timed(spark, d), "user_id", "t", "event_id", HORIZON, -0.5, 0.4, 1.5, 2.0).select("user_id", _r(F.col("nll"), 4).alias("nll"))
 
 
-@query()
+CONSTANT_SQL = ("exp(-0.5)", f"exp(-0.5) * {HORIZON}")
+_WAVE_SQL = f"exp(-0.5 + 0.1 * {{0}} / {HORIZON} + 0.2 * sin(2 * pi() / 365.25 * {{0}}) + 0.1 * cos(2 * pi() / 365.25 * {{0}}))"
+WAVE_SQL = (_WAVE_SQL.format("t"), f"(SELECT (sum(v) - (first(v ORDER BY k) + last(v ORDER BY k)) / 2) * {HORIZON} / 2000 FROM (SELECT k, {_WAVE_SQL.format(f'(k * {HORIZON} / 2000)')} AS v FROM range(2001) r(k)))")
+_SHARE = (0.3 + 0.1j) / (0.8 + 0.5j)
+#: Density of a lag u and its integral up to v, with the rate they go with.
+KERNELS_SQL = {
+    "weibull": ("0.75 * power(u / 2, 0.5) * exp(-power(u / 2, 1.5))", "1 - exp(-power(v / 2, 1.5))", CONSTANT_SQL),
+    "lomax": ("1.5 * power(u + 1, -2.5)", "1 - power(v + 1, -1.5)", CONSTANT_SQL),
+    "gamma": ("u * exp(-u)", "1 - (1 + v) * exp(-v)", CONSTANT_SQL),
+    "exponential_wave": ("0.9 * exp(-0.9 * u)", "1 - exp(-0.9 * v)", WAVE_SQL),
+    "weibull_wave": ("0.75 * power(u / 2, 0.5) * exp(-power(u / 2, 1.5))", "1 - exp(-power(v / 2, 1.5))", WAVE_SQL),
+    "lomax_wave": ("1.5 * power(u + 1, -2.5)", "1 - power(v + 1, -1.5)", WAVE_SQL),
+    "poles": ("2 * exp(-0.8 * u) * (0.3 * cos(0.5 * u) + 0.1 * sin(0.5 * u))", f"2 * ({_SHARE.real} - exp(-0.8 * v) * ({_SHARE.real} * cos(0.5 * v) + ({_SHARE.imag}) * sin(0.5 * v)))", CONSTANT_SQL),
+    "split_gamma": ("CASE WHEN u <= 3 THEN u * exp(-u) ELSE 0.1 * exp(-0.9 * (u - 3)) END", "CASE WHEN v <= 3 THEN 1 - (1 + v) * exp(-v) ELSE 1 - 4 * exp(-3) + 0.1 / 0.9 * (1 - exp(-0.9 * (v - 3))) END", CONSTANT_SQL),
+    "own": ("CASE WHEN u < 1 THEN 2 * (1 - u) ELSE 0 END", "least(v, 1) * (2 - least(v, 1))", CONSTANT_SQL),
+    "exponential_sum": ("0.5 * exp(-0.9 * u) + 0.2 * exp(-0.2 * u)", "0.5 / 0.9 * (1 - exp(-0.9 * v)) + (1 - exp(-0.2 * v))", ("0.6", f"0.6 * {HORIZON}")),
+}
+
+
+def _hawkes_sql(*names: str) -> str:
+    """Likelihoods from all pairs of a user's events, one column a kernel; a single one is called nll."""
+    kernels = {(n if len(names) > 1 else "nll"): KERNELS_SQL[n] for n in names}
+    sums = ", ".join(f"sum({g}) AS s_{n}" for n, (g, _, _) in kernels.items())
+    out = ", ".join(f"round({whole} + sum(0.4 * ({big})) - sum(ln({rate} + 0.4 * coalesce(s_{n}, 0))), 4) AS {n}" for n, (_, big, (rate, whole)) in kernels.items())
+    pairs = "SELECT user_id, a.event_id, a.t - b.t AS u FROM e a JOIN e b USING (user_id) WHERE b.t < a.t"
+    return f"WITH e AS ({DAYS_SQL}), p AS (SELECT user_id, event_id, {sums} FROM ({pairs}) GROUP BY ALL) SELECT user_id, {out} FROM (SELECT *, {HORIZON} - t AS v FROM e) LEFT JOIN p USING (user_id, event_id) GROUP BY user_id"
+
+
+def _sequences(spark, d) -> DataFrame:
+    return events.sequences(_timed(spark, d), "user_id", "t")
+
+
+@query(_hawkes_sql("exponential_sum"))
 def hawkes_exponential_sum(spark, d):
-    return events.sequences(_timed(spark, d), "user_id", "t").select("user_id", events.exponentials_nll(F.col("times"), HORIZON, 0.6, 0.4, [0.5, 0.2], [0.9, 0.2]).alias("nll"))
+    return _sequences(spark, d).select("user_id", _r(events.exponentials_nll(F.col("times"), HORIZON, 0.6, 0.4, [0.5, 0.2], [0.9, 0.2]), 4).alias("nll"))
 
 
-@query()
+@query(ORACLE_SQL["hawkes_exponential"])
+def hawkes_exponential_blocks(spark, d):
+    """As hawkes_exponential, from blocks of at most about two thousand events of any users."""
+    return events.exponential_nll_by_blocks(_timed(spark, d), "user_id", "t", HORIZON, -0.5, 0.4, 0.9, 2000).select("user_id", _r(F.col("nll"), 4).alias("nll"))
+
+
+@query(_hawkes_sql("exponential_sum"))
+def hawkes_exponential_sum_blocks(spark, d):
+    return events.exponentials_nll_by_blocks(_timed(spark, d), "user_id", "t", HORIZON, 0.6, 0.4, [0.5, 0.2], [0.9, 0.2], 2000).select("user_id", _r(F.col("nll"), 4).alias("nll"))
+
+
+@query(_hawkes_sql("exponential_wave"))
+def hawkes_exponential_wave(spark, d):
+    return _sequences(spark, d).select("user_id", _r(events.exponential_wave_nll(F.col("times"), HORIZON, -0.5, 0.1, 0.2, 0.1, 0.4, 0.9), 4).alias("nll"))
+
+
+@query(_hawkes_sql("poles"))
+def hawkes_poles(spark, d):
+    return _sequences(spark, d).select("user_id", _r(events.poles_nll(F.col("times"), HORIZON, math.exp(-0.5), 0.4, [0.3 + 0.1j, 0.3 - 0.1j], [0.8 + 0.5j, 0.8 - 0.5j]), 4).alias("nll"))
+
+
+@query(_hawkes_sql("split_gamma"))
+def hawkes_split_gamma(spark, d):
+    return _sequences(spark, d).select("user_id", _r(events.split_gamma_nll(F.col("times"), HORIZON, -0.5, 0.4, 2.0, 1.0, 3.0, [0.1], [0.9]), 4).alias("nll"))
+
+
+@query(_hawkes_sql("weibull", "lomax", "gamma", "exponential_wave", "weibull_wave", "lomax_wave", "poles", "split_gamma", "own"))
 def hawkes_kernels(spark, d):
     base, wave = events.constant(-0.5), events.sinusoidal(-0.5, 0.1, 0.2, 0.1)
+    own = events.custom(lambda u: np.where(u < 1, 2 * (1 - u), 0.0), lambda v: np.minimum(v, 1) * (2 - np.minimum(v, 1)), 1.0)
     kernels = {
         "weibull": (base, events.weibull(1.5, 2.0)), "lomax": (base, events.lomax(2.5, 1.0)), "gamma": (base, events.gamma(2.0, 1.0)), "exponential_wave": (wave, events.exponential(0.9)),
         "weibull_wave": (wave, events.weibull(1.5, 2.0)), "lomax_wave": (wave, events.lomax(2.5, 1.0)), "poles": (base, events.poles([0.3 + 0.1j, 0.3 - 0.1j], [0.8 + 0.5j, 0.8 - 0.5j])),
-        "split_gamma": (base, events.split_gamma(2.0, 1.0, 3.0, [0.1], [0.9])),
+        "split_gamma": (base, events.split_gamma(2.0, 1.0, 3.0, [0.1], [0.9])), "own": (base, own),
     }
-    return events.sequences(_timed(spark, d), "user_id", "t").select("user_id", *(events.nll(F.col("times"), HORIZON, b, 0.4, k).alias(n) for n, (b, k) in kernels.items()))
+    return _sequences(spark, d).select("user_id", *(_r(events.nll(F.col("times"), HORIZON, b, 0.4, k), 4).alias(n) for n, (b, k) in kernels.items()))
 
 
 # Synthetic tables, matching, effects, citations.
