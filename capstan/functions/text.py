@@ -38,9 +38,36 @@ def fold_latin(x: Column) -> Column:
     return F.regexp_replace(out, r"[^\x00-\x7F]", "")
 
 
+# Greek and Cyrillic letters and their Latin images without marks, place by place. Capitals follow from these.
+CYRILLIC, CYRILLIC_TO = "абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґўџљњћђј", "abvgdeezzijklmnoprstufhccss\"y'euaiiegudlnccj"
+GREEK, GREEK_TO = "αβγδεζηικλμνξοπρσςτυωϊϋ", "abgdezeiklmnxoprsstyoiy"
+GREEK_MARKED, GREEK_PLAIN = "άέήίόύώΐΰ", "αεηιουωϊϋ"
+# Letters that become two.
+GREEK_PAIRS = {"θ": "th", "φ": "ph", "χ": "ch", "ψ": "ps"}
+
+
+def romanise(x: Column) -> Column:
+    """Greek and Cyrillic letters in Latin ones without marks; all else as it is.
+
+    The longest match counts: `ου`, `αυ`, `ευ` and `ηυ` have a u, and `γ` before `γ`, `κ`, `ξ` or `χ` is an n; with a
+    diaeresis or an accent on the first vowel they are letters of their own.
+    """
+    both = lambda s: s + s.upper()
+    letter = {a: b for a, b in zip(GREEK + CYRILLIC, GREEK_TO + CYRILLIC_TO)}
+    capital = {a.upper(): b.upper() for a, b in letter.items() if len(a.upper()) == 1 and a.upper() != a and a != "ς"}
+    out = F.regexp_replace(x, "(?<=[αεηοΑΕΗΟ])[υύ]", "u")
+    out = F.regexp_replace(F.regexp_replace(out, "(?<=[αεηοΑΕΗΟ])[ΥΎ]", "U"), "γ(?=[γκξχΓΚΞΧ])", "n")
+    out = F.translate(F.regexp_replace(out, "Γ(?=[γκξχΓΚΞΧ])", "N"), both(GREEK_MARKED[:-2]) + GREEK_MARKED[-2:], both(GREEK_PLAIN[:-2]) + GREEK_PLAIN[-2:])
+    for a, b in GREEK_PAIRS.items():
+        out = F.replace(F.replace(out, F.lit(a), F.lit(b)), F.lit(a.upper()), F.lit(b.capitalize()))
+    table = letter | capital
+    out = F.translate(out, "".join(table), "".join(table.values()))
+    return F.when(x.rlike("[\\u0370-\\u03ff\\u0400-\\u04ff]"), out).otherwise(x)
+
+
 def to_ascii(x: Column) -> Column:
-    """Folded text of printable ASCII alone; null becomes empty."""
-    return F.regexp_replace(fold_latin(F.coalesce(x, F.lit(""))), r"[^\x20-\x7E]", "")
+    """Romanised and folded text of printable ASCII alone; null becomes empty, letters of other scripts are dropped."""
+    return F.regexp_replace(fold_latin(romanise(F.coalesce(x, F.lit("")))), r"[^\x20-\x7E]", "")
 
 
 def ascii_fallback(x: Column, force: bool = False) -> Column:

@@ -264,6 +264,55 @@ def csv_quoting(spark, d):
     return t(spark, d, "part").select("p_partkey", files.csv_field(v).alias("field"))
 
 
+_TO_CYRILLIC, _FROM_LATIN = "абвгдезийклмнопрстуфхц", "abvgdezijklmnoprstufhc"
+_TO_GREEK, _GREEK_LATIN, _GREEK_BACK = "αβγδεζηικλμνξοπρστω", "abgdezyiklmnxoprstw", "abgdezeiklmnxoprsto"
+
+
+@query(f"""SELECT p_partkey, p_name AS cyrillic, translate(p_name, '{_GREEK_LATIN}hfqu', '{_GREEK_BACK}') AS greek, 'Moskva, Athena' AS fixed FROM part""")
+def romanise_names(spark, d):
+    """Names spelled in Cyrillic and in Greek letters, and back."""
+    name = F.col("p_name")
+    cyrillic, greek = F.translate(name, _FROM_LATIN, _TO_CYRILLIC), F.translate(F.translate(name, "hfqu", ""), _GREEK_LATIN, _TO_GREEK)
+    greek = F.replace(greek, F.lit("γκ"), F.lit("γ́κ"))  # a letter of its own: no pair
+    return t(spark, d, "part").select("p_partkey", text.to_ascii(cyrillic).alias("cyrillic"), text.to_ascii(greek).alias("greek"), text.to_ascii(F.lit("Москва, Αθήνα")).alias("fixed"))
+
+
+@query("""SELECT p_partkey, upper(left(p_brand, 1)) || substr(p_brand, 2) AS first, trim(regexp_replace(p_type, '[^A-Za-z0-9]+', ' ', 'g')) AS words, lower(regexp_extract(f, '\\.([^.]+)$', 1)) AS extension, regexp_extract(f, '([^/]*)$', 1) AS base,
+  replace(url_encode(f), '+', '%20') AS encoded, f AS valid, strftime(TIMESTAMP '2026-01-02 03:04:05' + INTERVAL (p_partkey) SECOND, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM (SELECT *, 'data files/' || p_brand || '/é ' || p_partkey || '.Tar.GZ' AS f FROM part)""")
+def text_helpers(spark, d):
+    f = F.concat(F.lit("data files/"), "p_brand", F.lit("/é "), F.col("p_partkey").cast("string"), F.lit(".Tar.GZ"))
+    stamp = F.timestamp_add("SECOND", F.col("p_partkey"), F.lit("2026-01-02 03:04:05").cast("timestamp_ntz"))
+    return t(spark, d, "part").select(
+        "p_partkey", text.upper_first(F.col("p_brand")).alias("first"), text.words_only(F.col("p_type")).alias("words"), text.file_extension(f).alias("extension"), text.base_name(f).alias("base"),
+        text.url_encode(f).alias("encoded"), text.ascii_fallback(f).alias("valid"), text.utc_stamp(stamp).alias("stamp"),
+    )
+
+
+# Addresses: replies of portals, made from suppliers.
+
+
+@query("""SELECT s_suppkey, CASE WHEN k % 3 <> 0 THEN 'https://p.org/' || s_suppkey || '.csv' END AS shown, CASE WHEN k % 4 = 1 THEN 'https://p.org/x.csv' WHEN k % 4 = 3 THEN 'https://p.org/x.xlsx' END AS searched,
+  'https://p.org/api/3/action/package_search?q=' || replace(url_encode(trim(regexp_replace(s_name, '[^A-Za-z0-9]+', ' ', 'g'))), '+', '%20') AS search_request, CASE WHEN k % 2 = 0 THEN 'https://host.org/api/views/d-' || s_suppkey || '/rows.csv?accessType=DOWNLOAD' END AS socrata,
+  CASE WHEN k % 5 IN (0, 1) THEN 'https://gis.org/layer/' || s_suppkey || '/query?where=1%3D1&outFields=*&f=geojson' END AS arcgis, 'https://archive.org/wayback/available?url=https%3A%2F%2Fp.org%2F' || s_suppkey || CASE WHEN k % 2 = 0 THEN '&timestamp=20260102' ELSE '' END AS asked,
+  CASE WHEN k % 3 = 1 THEN 'https://web.archive.org/' || s_suppkey END AS snapshot, CASE WHEN s_suppkey - 5 > 0 THEN 'https://www.siu.on.ca/fr/directors_report_details.php?drid=' || (s_suppkey - 5) END AS report,
+  CASE WHEN k % 2 = 0 THEN 'https://p.org/a' ELSE 'https://q.org/a' END AS absolute FROM (SELECT *, s_suppkey AS k FROM supplier)""")
+def portal_addresses(spark, d):
+    k, n = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    c = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    show = c('{"success": ', F.when(k % 3 != 0, "true").otherwise("false"), ', "result": {"resources": [{"name": "Notes", "url": "no"}, {"name": "The DATA 2014", "format": "csv", "url": "https://p.org/', n, '.csv"}, {"name": "data", "url": "late"}]}}')
+    kind = F.when(k % 4 == 1, "CSV").when(k % 4 == 3, "XLSX").otherwise("PDF")
+    search = c('{"result": {"results": [{"resources": null}, {"resources": [{"name": "data", "format": "', kind, '", "url": "https://p.org/x.', F.lower(kind), '"}]}]}}')
+    closest = c('{"archived_snapshots": {', F.when(k % 3 != 0, c('"closest": {"available": ', F.when(k % 3 == 1, "true").otherwise("false"), ', "url": "http://web.archive.org/', n, '"}')).otherwise(""), "}}")
+    gis = F.when(k % 5 < 2, F.lit('{"name": "roads"}')).when(k % 5 == 2, '{"name": "roads", "error": {"code": 4}}').otherwise("{}")
+    return t(spark, d, "supplier").select(
+        "s_suppkey", portals.package_show_url(show, "data 20").alias("shown"), portals.package_search_url(search, "data", "xlsx").alias("searched"),
+        portals.search_address(F.lit("https://p.org/api/3/action/package_show?id=1"), F.lit(""), F.col("s_name")).alias("search_request"),
+        portals.socrata_url(F.when(k % 2 == 0, '{"id": "d"}').otherwise("{}"), F.lit("host.org"), c("d-", n)).alias("socrata"), portals.arcgis_url(gis, c("https://gis.org/layer/", n, "//")).alias("arcgis"),
+        portals.snapshot_address(c("https://p.org/", n), F.when(k % 2 == 0, "20260102")).alias("asked"), portals.snapshot_url(closest).alias("snapshot"), portals.report_address(k - 5, "fr").alias("report"),
+        portals.absolute(F.when(k % 2 == 0, "/a").otherwise("https://q.org/a"), "https://p.org").alias("absolute"),
+    )
+
+
 # Reports, made from customers so that all rules occur.
 
 CASES = (
@@ -324,6 +373,76 @@ def parse_reports(spark, d):
     return reports.parse_reports(t(spark, d, "pages").select("page_id", "html")).drop("html")
 
 
+# Whole reports, made from customers: every field is known beforehand from the customer's number k, and some reports leave it out.
+
+SERVICES, CITIES, SEXES = ("Harbour City Police", "North Vale Police Service", "Ontario Provincial Police"), ("Ashford", "Port Elm", "Grand Lake", "Stony Creek"), ("man", "woman", "boy", "youth")
+INJURIES, ACTS = ("fractured left wrist", "broken right arm", "lacerated lower leg"), ("Criminal Code", "Mental Health Act", "Highway Traffic Act")
+CLOSINGS = ("there are no reasonable grounds to proceed", "the driver was charged with assault", "the file remains with the office")
+
+
+def _pick(values: tuple[str, ...], by: Column) -> Column:
+    return F.get(F.array(*(F.lit(v) for v in values)), by.cast("int"))
+
+
+def _pick_sql(values: tuple[str, ...], by: str) -> str:
+    return "['" + "','".join(v.replace("'", "''") for v in values) + f"'][{by} + 1]"
+
+
+def report_html(k: Column) -> Column:
+    """A report page about case ``k``."""
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (k % 2000).cast("int"))
+    said = lambda d: F.date_format(d, "MMMM d, yyyy")
+    tagged = lambda tag, n: F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.concat(F.lit(f"<p>{tag} #"), i.cast("string"), F.lit(" Interviewed</p>"))), "")
+    part = lambda met, *body: F.when(met, F.concat(*(F.lit(b) if isinstance(b, str) else b.cast("string") for b in body))).otherwise("")
+    always = F.lit(True)
+    return F.concat(
+        F.lit("<html><head><style>p { color: red }</style><script>var Director = 'SO #9';</script></head><body><h2>The Investigation</h2>"),
+        part(always, "<p>On ", said(F.date_add(day, 1)), ", the ", _pick(SERVICES, k % 3), " notified the SIU of an injury in the City of ", _pick(CITIES, k % 4), ".</p>"),
+        part(always, "<h3>The Team</h3><p>Number of SIU Investigators assigned: ", k % 5 + 1, "</p>"),
+        part(k % 4 != 3, "<p>Number of SIU Forensic Investigators assigned:&nbsp;", k % 3, "</p>"),
+        part(k % 3 != 0, "<h3>Civilian Witnesses</h3>", tagged("CW", k % 3)),
+        part(always, "<h3>Subject Officials</h3>", tagged("SO", k % 2 + 1)),
+        part(k % 5 != 0, "<h3>Witness Officials</h3>", tagged("WO", k % 5)),
+        part(k % 5 == 0, "<h3>Witness Officials</h3><p>No police officers witnessed the event.</p>"),
+        part(always, "<h3>Incident Narrative</h3><p>The evidence of what took place is clear, and it can be told in a few words as set out here.</p><p>On ", said(day), ", at noon, a ", k % 60 + 18, "-year-old ", _pick(SEXES, k % 4), " fell from a wall."),
+        part(k % 6 != 5, " Doctors found a ", _pick(INJURIES, k % 3)),
+        part(always, "</p><h3>Evidence</h3><p>None.</p>"),
+        part(k % 7 != 0, "<h3>Relevant Legislation</h3><p>Section 25(1), ", _pick(ACTS, k % 3), " - Protection</p><p>Section 88, ", _pick(ACTS, (k + 1) % 3), "</p><p>Section 90, ", _pick(ACTS, k % 3), "</p>"),
+        part(always, "<h3>Analysis and Director&rsquo;s Decision</h3><p>On this evidence ", _pick(CLOSINGS, k % 3), ".</p><p>Date: ", F.when(k % 2 == 0, said(F.date_add(day, 90))).otherwise(F.date_format(F.date_add(day, 90), "yyyy-MM-dd")), "</p>"),
+        part(k % 8 != 7, "<p>Jane O'Brien-Quill<br/>Director<br/>Special Investigations Unit</p>"),
+        F.lit("<h3>Endnotes</h3><p>none</p></body></html>"),
+    )
+
+
+@query(f"""SELECT c_custkey, 'en' AS _language, {_pick_sql(SERVICES, "k % 3")} AS police_service, strftime(day, '%Y-%m-%d') AS date_of_incident_iso, strftime(day + 1, '%Y-%m-%d') AS date_siu_notified_iso, strftime(day + 90, '%Y-%m-%d') AS date_of_director_decision_iso,
+  CAST(k % 5 + 1 AS VARCHAR) AS siu_investigators, CASE WHEN k % 4 <> 3 THEN CAST(k % 3 AS VARCHAR) ELSE '' END AS siu_forensics_investigators, CAST(k % 2 + 1 AS VARCHAR) AS number_of_subject_officers, CAST(k % 5 AS VARCHAR) AS number_of_witness_officials,
+  CASE WHEN k % 3 = 0 THEN '' ELSE CAST(k % 3 AS VARCHAR) END AS number_of_civilian_witnesses, CAST(k % 60 + 18 AS VARCHAR) AS age_affected, {_pick_sql(SEXES, "k % 4")} AS sex_gender_affected, ['FALSE', 'TRUE', ''][k % 3 + 1] AS charges_recommended,
+  CASE WHEN k % 8 <> 7 THEN 'Jane O''Brien-Quill' ELSE '' END AS directors_name, 'City of ' || {_pick_sql(CITIES, "k % 4")} AS location_of_call, CASE WHEN k % 6 <> 5 THEN {_pick_sql(INJURIES, "k % 3")} ELSE '' END AS specific_injuries,
+  CASE WHEN k % 7 <> 0 THEN {_pick_sql(ACTS, "k % 3")} || '; ' || {_pick_sql(ACTS, "(k + 1) % 3")} ELSE '' END AS relevant_legislation FROM (SELECT c_custkey, c_custkey AS k, DATE '1995-01-01' + CAST(c_custkey % 2000 AS INTEGER) AS day FROM customer)""")
+def report_corpus(spark, d):
+    """All fields of whole pages, each against what the page was made from."""
+    pages = t(spark, d, "customer").select("c_custkey", report_html(F.col("c_custkey")).alias("html"))
+    return reports.parse_reports(pages).drop("html")
+
+
+REASONS = (
+    "section: max(ordinal 2, entries 1)", "singular present: 'the SO'x1 'the subject official'x0", "zero: witness-officer-only / 'not a subject official'", "UNRESOLVED: 'the SO'x0 'the subj off'x0",
+    "plural cue 'the three subject officials'", "max ordinal SO #4", "zero: witness-officer-only / 'not a subject official'",
+)
+
+
+@query(f"SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN NULL WHEN 4 THEN 3 WHEN 5 THEN 4 ELSE 0 END AS subject_officials, {_pick_sql(REASONS, 'o_orderkey % 7')} AS reason FROM orders")
+def subject_count_reasons(spark, d):
+    """Every rule with its reason, behind hard blanks, a privacy notice and a glossary line that must not count."""
+    blank, notice = "\u00a0", "This information may include the subject officer and SO #7 and evidence. "
+    cases = (
+        f"Subject{blank}Officials\nSO #1 Interviewed, SO #2 left\n\nWitness Officials\nSO #6\n", f"{notice}The{blank}SO sat down.", "There was no subject official here.", "Rain fell.",
+        "By then the three subject officials had gone.", "SO #1 saw SO #4.", "An officer who, in the opinion of the SIU Director, had a part is not a subject official. The force did not designate a subject official.",
+    )
+    found = reports.subject_officials(_pick(cases, F.col("o_orderkey") % 7))
+    return t(spark, d, "orders").select("o_orderkey", found["count"].alias("subject_officials"), found["reason"].alias("reason"))
+
+
 # Quality.
 
 
