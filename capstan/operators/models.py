@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .categories import levels_of, with_levels
 from .shared import kept
 
-#: Levels that a categorical covariate may have; each becomes a regressor.
-MOST_LEVELS = 1000
 #: Bounds of a linear predictor, steps of a fit, and when it has settled.
 _FAR, _STEPS, _SETTLED = 30.0, 50, 1e-10
 
@@ -37,7 +36,8 @@ class Design:
 
 
 def design(df: DataFrame, covariates: list[str]) -> Design:
-    """An intercept; each number less its mean, in standard deviations; an indicator of all levels but the first of everything else."""
+    """An intercept; each number less its mean, in standard deviations; an indicator of all levels but the first of everything else, in the
+    order of the levels that a column carries (see ``categories``) or else of its values."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     numbers = [c for c in covariates if isinstance(kinds[c], T.NumericType)]
     names, columns = ["intercept"], [F.lit(1.0)]
@@ -50,10 +50,8 @@ def design(df: DataFrame, covariates: list[str]) -> Design:
         if c in numbers:
             continue
         value = F.col(c).cast("string")
-        levels = [r[0] for r in df.select(value.alias("level")).distinct().orderBy("level").limit(MOST_LEVELS + 1).collect()]
-        if len(levels) > MOST_LEVELS:
-            raise ValueError(f"{c} has more than {MOST_LEVELS} levels")
-        for level in levels[1:]:
+        levels = levels_of(df, c)
+        for level in (levels_of(with_levels(df, c), c) if levels is None else levels)[1:]:
             names.append(f"{c}={level}")
             columns.append(value.eqNullSafe(F.lit(level)).cast("double"))
     return Design(tuple(names), tuple(columns))

@@ -32,6 +32,18 @@ class Panel:
     tie_break: tuple[str, ...] = ()
 
 
+def selected(df: DataFrame, names: dict[str, str], casts: dict[str, str] | None = None) -> DataFrame:
+    """The columns of a dictionary (new name to old one), renamed, in its order, as the types of ``casts`` where it has them.
+
+    Old names that the table does not have are listed in one error, before anything is read.
+    """
+    missing = [old for old in names.values() if old not in df.columns]
+    if missing:
+        raise ValueError("no such columns: " + ", ".join(missing))
+    casts = casts or {}
+    return df.select(*((F.col(f"`{old}`").cast(casts[new]) if new in casts else F.col(f"`{old}`")).alias(new) for new, old in names.items()))
+
+
 def combination(flags: tuple[str, str, str]) -> Column:
     """Code of the three flags; a null flag matches no code."""
     out = F.lit(OTHER)

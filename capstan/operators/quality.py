@@ -41,17 +41,36 @@ def as_value(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit("NA"))
 
 
+def _present(df: DataFrame, expected: Expected) -> dict[str, list]:
+    return {c: v for c, v in expected.value_sets.items() if c in df.columns}
+
+
+def _outside(column: str, allowed: list) -> Column:
+    """The value (as text) of a column where it is outside its set, else null."""
+    value = as_value(F.col(column))
+    return F.when(~value.isin(*map(_text, allowed)), value)
+
+
+def schema_facts(df: DataFrame, expected: Expected) -> DataFrame:
+    """column, value, rows: the row count (column null), and every distinct value outside its column's set with its rows.
+
+    One scan: a row gives one entry, and one more for each value outside its set, and entries are counted before the shuffle. The values
+    stay distributed, however many there are.
+    """
+    entry = lambda name, value: F.struct(F.lit(name).cast("string").alias("column"), value.alias("value"))
+    odd = F.filter(F.array(*(entry(c, _outside(c, v)) for c, v in _present(df, expected).items())), lambda e: e["value"].isNotNull()) if _present(df, expected) else F.array().cast("array<struct<column:string,value:string>>")
+    every = F.concat(F.array(entry(None, F.lit(None).cast("string"))), odd)
+    return df.select(F.explode(every).alias("e")).groupBy("e.column", "e.value").agg(F.count("*").alias("rows"))
+
+
 def validate_schema(df: DataFrame, expected: Expected) -> DataFrame:
     """issue, severity, message; no rows for a table that meets ``expected``.
 
-    One aggregate over the data: the row count, and for each listed column the values outside its set. Values
-    are collected after the allowed ones are dropped, so a clean column costs nothing. The message lists every one of
-    them; for a column that may hold very many use ``unexpected_values``, which leaves them distributed.
+    From ``schema_facts``: one scan, and values are made distinct before they meet in a message, which lists all of them. For a
+    column that may hold very many use ``unexpected_values`` or ``schema_facts``, which leave them distributed.
     """
     spark = df.sparkSession
-    present = {c: v for c, v in expected.value_sets.items() if c in df.columns}
-    odd = {c: F.collect_set(F.when(~as_value(F.col(c)).isin(*map(_text, v)), as_value(F.col(c)))) for c, v in present.items()}
-    facts = df.agg(F.count("*").alias("n"), *(F.array_sort(x).alias(f"odd_{i}") for i, x in enumerate(odd.values())))
+    present = _present(df, expected)
     issues = []
     missing = [c for c in expected.columns if c not in df.columns]
     if missing:
@@ -68,9 +87,54 @@ def validate_schema(df: DataFrame, expected: Expected) -> DataFrame:
         issues.append(issue(UNEXPECTED + c, F.size(f"odd_{i}") > 0, F.concat(F.lit(UNEXPECTED_TEXT.format(c)), F.array_join(f"odd_{i}", ", "))))
     if not issues:
         return spark.createDataFrame([], ISSUES)
+    odd = (F.array_sort(F.collect_list(F.when(F.col("column") == c, F.col("value")))).alias(f"odd_{i}") for i, c in enumerate(present))
+    facts = schema_facts(df, expected).agg(F.coalesce(F.sum(F.when(F.col("column").isNull(), F.col("rows"))), F.lit(0)).alias("n"), *odd)
     return facts.select(F.explode(F.array_compact(F.array(*issues))).alias("i")).select("i.*")
 
 
+@dataclass(frozen=True)
+class Written:
+    """What a checked write has found: rows, and for each column with values outside its set how many rows have one."""
+
+    path: str
+    rows: int
+    unexpected: dict[str, int]
+    issues: list[tuple[str, str, str]]
+
+
+def write_validated(df: DataFrame, expected: Expected, path: str, fatal: tuple[str, ...] = (), mode: str = "errorifexists") -> Written:
+    """Write ``df`` as Parquet and validate it on the way: one scan of the data for both.
+
+    Missing columns stop it before anything is read. Rows and values outside their sets are counted by an observation that rides on
+    the write. A value outside the set of a column of ``fatal`` raises in the plan, so the write fails as a whole and leaves
+    nothing. Other issues are warnings; the values themselves are left where they are, see ``unexpected_values``.
+    """
+    from pyspark.sql import Observation
+
+    missing = [c for c in expected.columns if c not in df.columns]
+    if missing:
+        raise ValueError(MISSING_TEXT + ", ".join(missing))
+    present = _present(df, expected)
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count(_outside(c, v)).alias(f"odd_{i}") for i, (c, v) in enumerate(present.items())))
+    for c in fatal:
+        if c in present:
+            value = _outside(c, present[c])
+            counted = counted.withColumn(c, F.when(value.isNotNull(), F.raise_error(F.concat(F.lit(UNEXPECTED_TEXT.format(c)), value)).cast(df.schema[c].dataType)).otherwise(F.col(c)))
+    counted.write.mode(mode).parquet(path)
+    found = seen.get
+    rows, odd = found["rows"], {c: found[f"odd_{i}"] for i, c in enumerate(present)}
+    issues = []
+    if expected.least_rows is not None and rows < expected.least_rows:
+        issues.append((LOW, "warning", LOW_TEXT.format(expected.least_rows) % rows))
+    if expected.most_rows is not None and rows > expected.most_rows:
+        issues.append((HIGH, "warning", HIGH_TEXT.format(expected.most_rows) % rows))
+    issues += [(UNEXPECTED + c, "warning", f"Column '{c}' has unexpected values in {n} rows") for c, n in odd.items() if n]
+    for name, _, message in issues:
+        warnings.warn(f"{name}: {message}", stacklevel=2)
+    return Written(path, rows, {c: n for c, n in odd.items() if n}, issues)
+
+
 def unexpected_values(df: DataFrame, column: str, allowed: list) -> DataFrame:
     """The distinct values (as text) of a column outside its set, with their rows: value, rows."""
     odd = df.select(as_value(F.col(column)).alias("value")).filter(~F.col("value").isin(*map(_text, allowed)))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import causal, events, matching, models, panel, quality, reports, synthetic
+from ..operators import categories, causal, events, matching, models, panel, quality, reports, synthetic
 from ..sources import files, portals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -499,6 +499,37 @@ def set_operations(spark, d):
     return out
 
 
+@query("""SELECT level, CAST(i AS INTEGER) AS index, count(o_orderkey) AS rows, CAST(CASE level WHEN '5-LOW' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '1-URGENT' THEN 3 END AS INTEGER) AS kept FROM (SELECT unnest(['5-LOW', 'none', '2-HIGH', '1-URGENT']) AS level, unnest(range(1, 5)) AS i)
+  LEFT JOIN orders ON o_orderpriority = level GROUP BY level, i""")
+def ordered_levels(spark, d):
+    """Orders by priority in an order of our own, and the indices that are left when the unused level goes."""
+    o = categories.with_levels(t(spark, d, "orders"), "o_orderpriority", ["5-LOW", "none", "2-HIGH", "1-URGENT"])
+    fewer = categories.drop_unused(o, "o_orderpriority")
+    kept = fewer.filter("o_orderpriority is not null").select(F.col("o_orderpriority").alias("level"), categories.level_index(fewer, "o_orderpriority").alias("kept")).distinct()
+    return categories.counts(o, "o_orderpriority").join(kept, "level", "left")
+
+
+@query("SELECT l_orderkey AS \"order\", CAST(l_quantity AS INTEGER) AS number, l_returnflag AS flag FROM lineitem")
+def renamed_columns(spark, d):
+    return panel.selected(t(spark, d, "lineitem"), {"order": "l_orderkey", "number": "l_quantity", "flag": "l_returnflag"}, {"number": "int"})
+
+
+@query("SELECT * FROM (SELECT CAST(NULL AS VARCHAR) AS \"column\", CAST(NULL AS VARCHAR) AS value, count(*) AS rows FROM lineitem UNION ALL SELECT 'l_returnflag', l_returnflag, count(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') GROUP BY l_returnflag UNION ALL SELECT 'l_quantity', CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), count(*) FROM lineitem WHERE l_quantity > 40 GROUP BY l_quantity)")
+def schema_facts(spark, d):
+    """Row count and every value outside its set, counted in one scan."""
+    lines = t(spark, d, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("int"))
+    return quality.schema_facts(lines, quality.Expected((), {"l_returnflag": ["A", "N"], "l_quantity": list(range(41))}))
+
+
+@query(f"SELECT name, CASE WHEN observed % 5 = 0 THEN 'INFO' WHEN observed % 4 = 1 THEN 'WARN' WHEN observed % 4 = 2 THEN 'INFO' WHEN abs(observed - expected) <= 0.0001 THEN 'PASS' ELSE 'DIFFER' END AS status FROM ({_CHECK_SQL})")
+def forced_status(spark, d):
+    """Statuses that are given, of values that are not finite or missing, and by difference."""
+    c = _checks(spark, d).withColumn("synthetic", F.lit(False))
+    odd = F.when(F.col("observed") % 4 == 1, float("inf")).when(F.col("observed") % 4 == 2, None).otherwise(F.col("observed"))
+    c = c.withColumn("force_status", F.when(F.col("observed") % 5 == 0, "INFO")).withColumn("expected", F.when(F.col("observed") % 4 == 1, float("inf")).otherwise(F.col("expected"))).withColumn("observed", odd)
+    return quality.record(c, warn_not_finite=True).select("name", "status")
+
+
 # Events.
 
 
