@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import stats, text
 from ..operators import categories, causal, events, matching, models, panel, quality, reports, synthetic
 from ..sources import files, portals
+from . import capsule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -568,6 +569,13 @@ def hawkes_weibull_by_join(spark, d):
     return events.weibull_nll_by_join(_timed(spark, d), "user_id", "t", "event_id", HORIZON, -0.5, 0.4, 1.5, 2.0).select("user_id", _r(F.col("nll"), 4).alias("nll"))
 
 
+@query(f"""WITH e AS ({DAYS_SQL}), p AS (SELECT a.user_id, a.event_id, sum(2 / 0.1 * ((a.t - b.t) / 0.1) * exp(-power((a.t - b.t) / 0.1, 2))) AS s FROM e a JOIN e b ON a.user_id = b.user_id AND b.t < a.t AND a.t - b.t <= 0.1 * sqrt(700) GROUP BY ALL)
+  SELECT user_id, round(exp(-0.5) * {HORIZON} + sum(0.4 * (1 - exp(-power(({HORIZON} - t) / 0.1, 2)))) - sum(ln(exp(-0.5) + 0.4 * coalesce(s, 0))), 4) AS nll FROM e LEFT JOIN p USING (user_id, event_id) GROUP BY user_id""")
+def hawkes_weibull_window(spark, d):
+    """A kernel that is 0 beyond 2.6 days: the band holds a small part of all pairs."""
+    return events.weibull_nll_by_join(_timed(spark, d), "user_id", "t", "event_id", HORIZON, -0.5, 0.4, 2.0, 0.1).select("user_id", _r(F.col("nll"), 4).alias("nll"))
+
+
 CONSTANT_SQL = ("exp(-0.5)", f"exp(-0.5) * {HORIZON}")
 _WAVE_SQL = f"exp(-0.5 + 0.1 * {{0}} / {HORIZON} + 0.2 * sin(2 * pi() / 365.25 * {{0}}) + 0.1 * cos(2 * pi() / 365.25 * {{0}}))"
 WAVE_SQL = (_WAVE_SQL.format("t"), f"(SELECT (sum(v) - (first(v ORDER BY k) + last(v ORDER BY k)) / 2) * {HORIZON} / 2000 FROM (SELECT k, {_WAVE_SQL.format(f'(k * {HORIZON} / 2000)')} AS v FROM range(2001) r(k)))")
@@ -658,6 +666,28 @@ RECIPE = {
 }
 
 
+_PERSONS_SQL = f"SELECT *, CASE WHEN treat = 1 THEN vm END AS v1, CASE WHEN treat = 0 THEN vm END AS v0, CASE WHEN treat = 1 THEN np END AS n1, CASE WHEN treat = 0 THEN np END AS n0 FROM ({PANEL_SQL})"
+_FACTS_SQL = {
+    "structural": {"person_year_n": "count(*)", "total_placements_sum": "sum(np)"},
+    "descriptive_full": {
+        "vm_full_unweighted_mean": "avg(vm)", "vm_full_unweighted_sd": "stddev_samp(vm)", "vm_full_unweighted_max": "max(vm)", "vm_full_np_weighted_mean": "sum(vm * np) / sum(np)",
+        "vm_full_np_weighted_sd": "sqrt((sum(np * vm * vm) - power(sum(np * vm), 2) / sum(np)) / (sum(np) - 1))", "D1_proportion_full": "avg(treat)",
+    },
+    "bivariate_full": {"vm_full_unweighted_D1_mean": "avg(v1)", "vm_full_unweighted_D0_mean": "avg(v0)", "vm_full_npweighted_D1_mean": "sum(v1 * n1) / sum(n1)", "vm_full_npweighted_D0_mean": "sum(v0 * n0) / sum(n0)"},
+    "matched": {k: f"{n} * least(sum(treat), sum(1 - treat))" for k, n in (("matched_sample_n", 2), ("matched_D1_count", 1), ("matched_D0_count", 1))},
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{g}' AS grp, '{n}' AS name, round(CAST({x} AS DOUBLE), 6) AS observed, CASE WHEN '{n}' = 'person_year_n' THEN 'PASS' WHEN '{n}' = 'D1_proportion_full' THEN 'DIFFER' ELSE 'INFO' END AS status FROM ({_PERSONS_SQL})" for g, f in _FACTS_SQL.items() for n, x in f.items()))
+def capsule_facts(spark, d):
+    """What a capsule's run records of the panel and the sizes of its matched sample; two of the facts have references."""
+    p = panel.person_period(panel_source(spark, d), PANEL)
+    matched = causal.nearest_match(p, "treat", ["age", "gender"], ["subject", "period"])
+    facts = capsule.facts_of(p, matched).filter(F.col("grp").isin(*_FACTS_SQL))
+    n = facts.filter("name = 'person_year_n'").first()["observed"]
+    return capsule.checked(facts, {"person_year_n": (n, 0), "D1_proportion_full": (2.0, 0.01)}).select("grp", "name", _r(F.col("observed")).alias("observed"), "status")
+
+
 @query()
 def synthetic_table(spark, d):
     return synthetic.make_table(spark, RECIPE, rows=5000, seed=42)
