@@ -1,7 +1,8 @@
 """Addresses of open-data resources from the metadata of their portals, as columns over JSON text, and fetching with
 a fallback to an archived copy.
 
-A column that resolves to nothing is null. Fetching runs on the driver; its transport is a parameter.
+A column that resolves to nothing is null. What is fetched here is fetched on the driver, for single files, or looked up on the workers;
+the transport is a parameter. Many pages are fetched by ``fetching``.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
@@ -116,14 +118,28 @@ def link_catalogue(pages: DataFrame, key: str, order: str, html: str = "html", l
     return first.select("url", "f.title", "f.format", "f.page")
 
 
-def with_snapshots(links: DataFrame, url: str = "url", get: Callable[[str, float], bytes] | None = None) -> DataFrame:
-    """``links`` with wayback_url, the archived copy of each address, looked up on the workers and once more where none came."""
+def with_snapshots(links: DataFrame, url: str = "url", get: Callable[[str, float], bytes] | None = None, pause: float = 1.0) -> DataFrame:
+    """``links`` with wayback_url, the archived copy of each address, looked up on the workers and once more where none came.
 
-    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for addresses in batches:
-            yield addresses.map(lambda a: a and (lookup_snapshot(a, get=get or http_get) or lookup_snapshot(a, get=get or http_get)))
+    Each distinct address is looked up once. A task waits ``pause`` seconds between requests; how many tasks ask at a time is the number
+    of partitions of the addresses, at most eight.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = float("-inf")
+
+        def paced(address: str, timeout: float) -> bytes:
+            nonlocal last
+            time.sleep(max(0.0, last + pause - time.monotonic()))
+            last = time.monotonic()
+            return (get or http_get)(address, timeout)
+
+        for b in batches:
+            yield b.assign(wayback_url=[lookup_snapshot(a, get=paced) or lookup_snapshot(a, get=paced) for a in b["_url"]])
 
-    return links.withColumn("wayback_url", F.pandas_udf(look, "string")(F.col(url)))
+    addresses = links.select(F.col(url).alias("_url")).filter("_url is not null and _url != ''").distinct().repartition(8, "_url")
+    found = addresses.mapInPandas(look, "_url string, wayback_url string")
+    return links.join(found, F.col(url) == F.col("_url"), "left").drop("_url")
 
 
 def absolute(url: Column, base: str) -> Column:
