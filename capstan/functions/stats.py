@@ -145,19 +145,20 @@ def gamma_cdf_regularized(shape: Column, x: Column) -> Column:
 
 
 def hash_uniform(*keys: Column) -> Column:
-    """A number in [0, 1) that depends on the keys alone, not on partitions."""
-    return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / float(1 << 53)
+    """A number in [0, 1) that depends on the keys alone, not on partitions: the first 52 bits of the MD5 of their texts, joined by
+    colons. Other engines have the same hash, so what is drawn here can be drawn again elsewhere."""
+    first = F.substring(F.md5(F.concat_ws(":", *(k.cast("string") for k in keys)).cast("binary")), 1, 13)
+    return F.conv(first, 16, 10).cast("double") / float(1 << 52)
+
+
+#: The first dozen values of the distribution function of a Poisson number of mean 1; the rest is less than one in 10^9.
+POISSON_ONE = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 
 
 def bootstrap_means(df: DataFrame, x: str, key: str, replicates: int, seed: int) -> DataFrame:
     """replicate, mean: the Poisson bootstrap. Each row weighs by a Poisson(1) draw hashed from its key, so a
     replicate needs no shuffle of rows but one combined sum."""
-    steps, p, total = [], math.exp(-1), 0.0
-    for k in range(12):
-        total += p
-        steps.append(total)
-        p /= k + 1
     rows = df.select(F.col(x).cast("double").alias("_x"), F.col(key).alias("_key")).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     u = hash_uniform(F.col("_key"), F.col("replicate"), F.lit(seed))
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
+    weight = sum((F.when(u >= s, 1).otherwise(0) for s in POISSON_ONE), F.lit(0))
     return rows.withColumn("_w", weight).groupBy("replicate").agg((F.sum(F.col("_x") * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0))).alias("mean"))

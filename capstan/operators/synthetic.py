@@ -109,12 +109,15 @@ def add_column(df: DataFrame, name: str, spec: dict, seed: int, built: list[str]
     return number_within(df, year, number).withColumn(name, make_column(name, spec, seed, built)).drop(number)
 
 
-def _rows_of(spark: SparkSession, recipe: dict, rows: int | None, seed: int | None) -> DataFrame:
-    """The recipe's columns, in its order, and ROW. With ``row_replication`` each row is repeated by a weighted random count and ids are
+def _rows_of(spark: SparkSession, recipe: dict, rows: int | DataFrame | None, seed: int | None) -> DataFrame:
+    """The recipe's columns, in its order, and ROW: the numbers up to ``rows``, or what a table of row numbers holds. With ``row_replication`` each row is repeated by a weighted random count and ids are
     given after that; ids without a year column cannot be replicated."""
-    n, seed = rows or recipe.get("n_rows") or DEFAULT_ROWS, recipe.get("seed", DEFAULT_SEED) if seed is None else seed
+    seed = recipe.get("seed", DEFAULT_SEED) if seed is None else seed
     columns: dict = recipe["columns"]
-    df = spark.range(n).withColumnRenamed("id", ROW)
+    if isinstance(rows, DataFrame):
+        df = rows.select(F.col(rows.columns[0]).cast("long").alias(ROW))
+    else:
+        df = spark.range(rows or recipe.get("n_rows") or DEFAULT_ROWS).withColumnRenamed("id", ROW)
     again = recipe.get("row_replication")
     late = [c for c, s in columns.items() if s.get("type") == "id_pattern"] if again else []
     built: list[str] = []
@@ -134,8 +137,9 @@ def _rows_of(spark: SparkSession, recipe: dict, rows: int | None, seed: int | No
     return df.select(ROW, *columns)
 
 
-def make_table(spark: SparkSession, recipe: dict, rows: int | None = None, seed: int | None = None) -> DataFrame:
-    """Columns in the recipe's order; see ``_rows_of`` for ``row_replication``."""
+def make_table(spark: SparkSession, recipe: dict, rows: int | DataFrame | None = None, seed: int | None = None) -> DataFrame:
+    """Columns in the recipe's order, for so many rows or for each row number (one column, all different) of a table; see
+    ``_rows_of`` for ``row_replication``."""
     return _rows_of(spark, recipe, rows, seed).drop(ROW)
 
 

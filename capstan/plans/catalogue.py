@@ -182,9 +182,10 @@ def ipw_weights(spark, d):
     return t(spark, d, "customer").select("c_custkey", _r(stats.trimmed_ipw_weights(F.col("c_nationkey") % 2, F.col("c_acctbal") / 10000, 0.05, 0.95)).alias("weight"))
 
 
-@query()
+@query(f"""SELECT CAST(k AS INTEGER) AS replicate, round(sum(x * w) / sum(w), 4) AS mean FROM (SELECT k, x, len(list_filter({stats.POISSON_ONE}, lambda s: u >= s)) AS w FROM (SELECT k, CAST(o_totalprice AS DOUBLE) AS x,
+  CAST(CAST('0x' || left(md5(o_orderkey || ':' || k || ':7'), 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u FROM orders, range(20) r(k))) GROUP BY k""")
 def bootstrap_mean(spark, d):
-    return stats.bootstrap_means(t(spark, d, "orders"), "o_totalprice", "o_orderkey", 20, 7)
+    return stats.bootstrap_means(t(spark, d, "orders"), "o_totalprice", "o_orderkey", 20, 7).select("replicate", _r(F.col("mean"), 4).alias("mean"))
 
 
 @query("""SELECT event_id, round(CASE WHEN x = 0 THEN 0 ELSE list_sum(list_transform(range(400), lambda k: exp((shape + k) * ln(x) - x - lgamma(shape + k + 1)))) END, 9) AS p
@@ -688,9 +689,24 @@ def capsule_facts(spark, d):
     return capsule.checked(facts, {"person_year_n": (n, 0), "D1_proportion_full": (2.0, 0.01)}).select("grp", "name", _r(F.col("observed")).alias("observed"), "status")
 
 
-@query()
+def _unit_sql(*keys: str) -> str:
+    return f"CAST(CAST('0x' || left(md5({' || chr(58) || '.join(keys)}), 13) AS BIGINT) AS DOUBLE) / 4503599627370496"
+
+
+def _poisson_sql(u: str, rate: float) -> str:
+    return f"len(list_filter({synthetic.poisson_steps(rate)}, lambda s: {u} >= s))"
+
+
+_ROW_UNIT = lambda name: _unit_sql("r", "42", f"'{name}'")
+
+
+@query(f"""WITH b AS (SELECT o_orderkey AS r FROM orders), u AS (SELECT r, CASE WHEN {_ROW_UNIT("year")} < 0.25 THEN 2023 WHEN {_ROW_UNIT("year")} < 0.75 THEN 2024 ELSE 2025 END AS year,
+  CASE WHEN {_ROW_UNIT("alert")} < 0.1 + 0.2 * {_ROW_UNIT("_baserate")} THEN 'Yes' ELSE 'No' END AS alert, CASE WHEN {_ROW_UNIT("watch")} < 0.05 + 0.2 * {_ROW_UNIT("_baserate")} THEN 'Yes' ELSE 'No' END AS watch,
+  greatest({_poisson_sql(_ROW_UNIT("placements"), 2.0)}, 1) AS placements, CASE WHEN {_ROW_UNIT("_copies")} < 5.0 / 9 THEN 1 WHEN {_ROW_UNIT("_copies")} < 8.0 / 9 THEN 2 ELSE 3 END AS copies FROM b)
+  SELECT CAST(year AS INTEGER) AS year, printf('%d-%05d', year, row_number() OVER (PARTITION BY year ORDER BY r, copy)) AS id, alert, watch, CAST(placements AS INTEGER) AS placements, r + 1 AS row FROM (SELECT *, unnest(range(copies)) AS copy FROM u)""")
 def synthetic_table(spark, d):
-    return synthetic.make_table(spark, RECIPE, rows=5000, seed=42)
+    """A made row, once or more, for each order."""
+    return synthetic.make_table(spark, RECIPE, rows=t(spark, d, "orders").select("o_orderkey"), seed=42)
 
 
 @query("""WITH x AS (SELECT c_nationkey AS cell, sum(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END) AS b FROM customer GROUP BY 1)
