@@ -188,7 +188,7 @@ def bootstrap_mean(spark, d):
     return stats.bootstrap_means(t(spark, d, "orders"), "o_totalprice", "o_orderkey", 20, 7).select("replicate", _r(F.col("mean"), 4).alias("mean"))
 
 
-@query("""SELECT event_id, round(CASE WHEN x = 0 THEN 0 ELSE list_sum(list_transform(range(400), lambda k: exp((shape + k) * ln(x) - x - lgamma(shape + k + 1)))) END, 9) AS p
+@query("""SELECT event_id, round(CASE WHEN x = 0 THEN 0 ELSE list_sum(list_transform(range(CAST(x + 12 * sqrt(x) + 80 AS BIGINT)), lambda k: exp((shape + k) * ln(x) - x - lgamma(shape + k + 1)))) END, 9) AS p
   FROM (SELECT event_id, abs(value) AS x, 0.5 + event_id % 40 / 2.0::DOUBLE AS shape FROM events)""")
 def gamma_cdf(spark, d):
     return t(spark, d, "events").select("event_id", _r(stats.gamma_cdf_regularized(0.5 + F.col("event_id") % 40 / 2.0, F.abs("value")), 9).alias("p"))
@@ -749,6 +749,17 @@ def _balances(spark, d) -> DataFrame:
     return t(spark, d, "customer").select("c_custkey", treat.alias("treat"), (F.col("c_acctbal").cast("double") / 1000).alias("balance"), "c_mktsegment")
 
 
+@query("""WITH RECURSIVE a AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS s, c_custkey % 3 = 0 AS d FROM customer), o AS (SELECT *, row_number() OVER (ORDER BY s DESC, d DESC, id) AS p FROM a), u AS (SELECT *, row_number() OVER (ORDER BY p) AS k FROM o WHERE d),
+  m AS (SELECT CAST(0 AS BIGINT) AS k, list({'s': s, 'p': p, 'id': id}) AS spare, CAST(NULL AS BIGINT) AS treated, CAST(NULL AS BIGINT) AS control FROM o WHERE NOT d UNION ALL
+  SELECT k, list_filter(spare, lambda x: x.id <> best.id), id, best.id FROM (SELECT u.k, u.id, spare, list_sort(list_transform(spare, lambda x: {'far': abs(x.s - u.s), 'above': x.s > u.s, 'places': abs(x.p - u.p), 'id': x.id}))[1] AS best FROM m JOIN u ON u.k = m.k + 1 WHERE len(spare) > 0))
+  SELECT treated, control FROM m WHERE k > 0""")
+def matched_on_score(spark, d):
+    """Every third customer and the customer with the nearest balance that is left; ranges of a few hundred rows."""
+    c = t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 3 == 0).cast("int").alias("treat"), F.col("c_acctbal").cast("double").alias("balance"))
+    pairs = matching.nearest_by_score(c, "treat", "balance", ["c_custkey"], range_rows=400)
+    return pairs.groupBy("pair").agg(F.max(F.when(F.col("treat") == 1, F.col("c_custkey"))).alias("treated"), F.max(F.when(F.col("treat") == 0, F.col("c_custkey"))).alias("control")).drop("pair")
+
+
 @query()
 def nearest_match_continuous(spark, d):
     """Customers matched on a score of their balance and segment."""
