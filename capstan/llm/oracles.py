@@ -136,3 +136,45 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 25 * count(*
 
 CONVERSATION_REPAIR = _conversation_repair()
 IMPORTANCE_RESAMPLING = _importance_resampling()
+
+_SPACES = r"\x20\x09-\x0D"
+
+QUALITY_BASE = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{_SPACES}]+') AS ws FROM documents),
+g AS (SELECT k, p, count(*) OVER (PARTITION BY k, g) AS times FROM (SELECT k, unnest(range(1, len(ws) - 1)) AS p, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM d)),
+r AS (SELECT k, count(DISTINCT q) AS n FROM (SELECT k, unnest([p, p + 1, p + 2]) AS q FROM g WHERE times > 1) GROUP BY k),
+l AS (SELECT k, sum(n - 1) AS n FROM (SELECT k, line, count(*) AS n FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^{_SPACES}]') GROUP BY k, line) GROUP BY k)
+SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  len(ws) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(ws) AS base_failed FROM d LEFT JOIN r USING (k) LEFT JOIN l USING (k)
+"""
+
+
+def _spans(kind: str, rank: int, pattern: str, keep: str) -> str:
+    """k, rank, kind, start, end of the matches of ``pattern`` that ``keep``, an expression of hit and grp (its first group)."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    upto = lambda n: f"coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hits[1:{n}], lambda h: length(h))), 0)"
+    return f"""SELECT k, {rank} AS rank, '{kind}' AS kind, a AS start, a + length(hit) AS stop FROM (SELECT k, unnest(hits) AS hit, unnest(grps) AS grp, unnest(list_transform(range(1, len(hits) + 1), lambda i: CAST({upto("i - 1")} AS BIGINT))) AS a
+    FROM (SELECT k, regexp_extract_all(t, {p}) AS hits, regexp_extract_all(t, {p}, 1) AS grps, string_split_regex(t, {p}) AS gaps FROM d)) WHERE {keep}"""
+
+
+def _base_spans(kinds: dict[str, tuple[str, str]], order: str) -> str:
+    every = " UNION ALL ".join(_spans(k, i, p, keep) for i, (k, (p, keep)) in enumerate(kinds.items()))
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS t FROM documents), s AS ({every})
+    SELECT doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY {order}), '')) AS base_sha256 FROM d LEFT JOIN s USING (k) GROUP BY d.k, doc_id"""
+
+
+SECRET_BASE = _base_spans(
+    {"assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(grp) >= 6"), "access": ("(AKIA[A-Z0-9]+)", "length(hit) >= 20"), "hex": ("([0-9a-f]{24,})", "true")}, "start, rank"
+)
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS BIGINT) ELSE (CAST(reverse({_DIGITS})[i] AS BIGINT) * 2) // 10 + (CAST(reverse({_DIGITS})[i] AS BIGINT) * 2) % 10 END)) % 10 = 0"
+PERSONAL_BASE = _base_spans(
+    {
+        "email": (r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", "true"),
+        "ip": (r"([0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+))", "len(list_filter(string_split(hit, '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT), 999) > 255)) = 0"),
+        "card": (r"([0-9](?:[\x20-]?[0-9])+)", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
+        "phone": (r"(\+[0-9][\x20().0-9-]+[0-9])", f"length({_DIGITS}) BETWEEN 8 AND 15"),
+    },
+    "rank, start",
+)

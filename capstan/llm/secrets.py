@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and multipart credentials linked by an interval join within scopes.
 
-The base spans are matches of three patterns. Besides them, weak candidates (identifiers, short or unlabelled
-secrets, endpoints) are collected with their positions; on their own they mean little. A scope is the interval between
-two blank lines. The intervals of parts and scopes are joined by one sorted sweep over a text's starts, and a weak
-candidate is reported only if its scope also holds parts of the complementary roles.
+The base spans are matches of three patterns. Besides them, weak candidates (identifiers such as account names and mail addresses, short
+or unlabelled secrets, endpoints such as addresses of services and machines) are collected with their positions; on their own they mean
+little. A scope is the interval between two blank lines, as far as REACH code points around a part. The intervals of parts and scopes
+are joined by one sorted sweep over a text's starts, and a weak candidate is reported only if its scope also holds a part
+of a complementary role: a secret beside an identifier or an endpoint, either of these beside a secret. Texts without any
+secret are not searched for the other parts.
 
 All of it is DataFrame functions. Positions come from the lengths of what lies between matches.
 
@@ -34,11 +36,15 @@ WEAK = {
     "credential": ("secret", r"""(?i:pwd|pass|private_?key|access_?key|auth|credential|signature)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}"""),
     "opaque": ("secret", r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{16,}={0,2}"),
     "endpoint": ("endpoint", r"""(?i:https?|ftp|ssh|jdbc:[a-z]{1,20}|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\x20\x09-\x0D"'<>]{3,}"""),
+    "mailbox": ("identifier", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"),
+    "machine": ("endpoint", r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])(?::[0-9]{1,5})?"),
 }
 ROLE_OF_BASE = {"assign": "secret", "access": "identifier", "hex": "secret"}
 ROLES = ("identifier", "secret", "endpoint")
 #: What a weak candidate of a role needs within reach: all roles of one of the sets.
-NEEDS = {"identifier": (("secret",),), "secret": (("identifier",), ("endpoint", "identifier")), "endpoint": (("identifier", "secret"),)}
+NEEDS = {"identifier": (("secret",),), "secret": (("identifier",), ("endpoint",)), "endpoint": (("secret",),)}
+#: Code points between a candidate and its complement.
+REACH = 400
 BLANK_LINE = r"\n[\x20\t]*\n"
 #: Outputs that are gathered at a time while an array is scanned.
 BLOCK = 128
@@ -106,15 +112,20 @@ def base_spans(text: Column) -> Column:
 
 def find_parts(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """own (the row without its text, as a struct), id, text_key, base, weak and breaks (where blank lines end a scope)."""
-    weak = F.concat(*(_named(spans_of(F.col("body"), p), kind, len(BASE_KINDS) + i) for i, (kind, (_, p)) in enumerate(WEAK.items())))
+    ranked = [(kind, role, p, len(BASE_KINDS) + i) for i, (kind, (role, p)) in enumerate(WEAK.items())]
+    some = lambda met: F.concat(*(_named(spans_of(F.col("body"), p), kind, i) for kind, role, p, i in ranked if met(role)))
     own = F.struct(*(c for c in docs.columns if c != text))
     texts = docs.select(own.alias("own"), F.col(id_column).alias("id"), F.xxhash64(F.col(text)).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    found = held(texts, base_spans(F.col("body")).alias("base"), weak.alias("weak"))
+    found = held(texts, base_spans(F.col("body")).alias("base"), some(lambda role: role == "secret").alias("secrets"))
+    # Without a secret nothing links.
+    any_secret = (F.size("secrets") > 0) | F.exists("base", lambda s: s["kind"].isin(*(k for k, r in ROLE_OF_BASE.items() if r == "secret")))
+    weak = F.when(any_secret, F.concat("secrets", some(lambda role: role != "secret"))).otherwise(F.slice("secrets", 1, 0))
+    found = held(found, weak.alias("weak")).drop("secrets")
     breaks = F.when(F.size("weak") > 0, _named(spans_of(F.col("body"), BLANK_LINE), "break", -1)).otherwise(F.slice("weak", 1, 0))
     return held(found, breaks.alias("breaks")).drop("body")
 
 
-def link(parts: DataFrame, reach: int | None = None) -> DataFrame:
+def link(parts: DataFrame, reach: int | None = REACH) -> DataFrame:
     """One row for each id and text_key with ``linked``, the weak candidates whose complements stand in their scope.
 
     ``reach`` bounds the code points between a candidate and its complement; None leaves it to the scope.

@@ -316,7 +316,7 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are absent")
-@pytest.mark.parametrize("name", ["op3_jaccard_join", "op9_decontamination", "op10_url_filters", "op11_conversation_repair", "op13_importance_resampling"])
+@pytest.mark.parametrize("name", ["op3_jaccard_join", "op9_decontamination", "op10_url_filters", "op11_conversation_repair", "op13_importance_resampling", "quality_base", "secret_base", "personal_base"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from capstan.llm import registry
