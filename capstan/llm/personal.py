@@ -1,12 +1,13 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
-The patterns give the base spans. The field, trained here from a small labelled table, labels every token of a
+The patterns give the base spans. The field, trained here from a small labelled table (its accuracy on rows that it has not seen is tested and in the README), labels every token of a
 text in the light of its neighbours and finds numbers and addresses in forms that the patterns miss (spelled-out
 addresses, national telephone numbers, identity and account numbers). Names have no label. Tokens that are plain
 on the best path whatever their neighbours are called need no search (see ``undecided``), so the best path of a
 whole text falls apart into short runs; runs of equal length go through Viterbi together as numpy arrays.
 
-Defined results: null counts as an empty text without spans; repeated rows give equal spans; empty tables give
+Defined results: null counts as an empty text without spans; repeated rows give equal spans; of two best paths of one score that with the
+lesser label numbers is taken (plain first); texts of any length are labelled whole, in chunks of whole texts; empty tables give
 empty tables; columns named like the outputs are replaced. Spans count code points, ends exclusive.
 """
 
@@ -164,6 +165,65 @@ follow @daily42 and @news24 there|.....
 was of the 42 inan 7 nd the|........
 mit 1995 und 12 der die|......
 de 300 la 45 les 6 en|.......
+call me at 555.123.4567 after lunch|...C..
+you can reach her at 416.555.0182 now|.....C.
+my number is 212-555-0147 for now|...C..
+his cell is 604.555.0119, he says|...C..
+her new number: 905 555 0163 please note|...CCC..
+text 647-555-0128 or knock|.C..
+write john_doe AT gmail DOT com soon|.AAAAA.
+ask mary_k AT web DOT de for it|.AAAAA..
+max_planck AT uni DOT example DOT de|AAAAAAA
+contact info_desk AT firma DOT net today|.AAAAA.
+mail p_smith (AT) corp (DOT) org twice|.AAAAA.
+the meeting is at bar dot next|.......
+she sat at table dot one all day|........
+he is at home dot he said|.......
+they met at noon dot that was all|........
+we are at sea and the dot moves|........
+it is at rest dot dot dot|.......
+the shop at the corner dot and line|........
+look at it and dot the i|.......
+iban FR76 3000 6000 0112 3456 7890 189 is used|.IIIIIII..
+iban DE89 3704 0044 0532 0130 00 for rent|.IIIIII..
+account GB29 NWBK 6016 1331 9268 19 was closed|.IIIIII..
+konto AT61 1904 3002 3457 3201 ist neu|.IIIII..
+her iban ES91 2100 0418 4502 0005 1332 there|..IIIIII.
+ssn 123 45 6789 on file|.III..
+his ssn is 078 05 1120 he wrote|...III..
+the ssn 219 09 9999 was void|..III..
+tax id 12 345 678 is noted|..III..
+passport no X4RTBPFW46 is lost|..I..
+dni 12345678Z de la casa|.I...
+nir 2 55 08 14 168 025 38 est faux|.IIIIIII..
+insurance number 15 070649 C 103 has lapsed|..IIII..
+the years 1990 1991 and 1995 were dry|........
+rooms 12 13 and 14 are free|.......
+lines 100 200 300 of the file|.......
+at 10 20 and 30 degrees it held|........
+in 3 of 45 cases 678 were lost|........
+the code is 1.234.567 lines long|......
+it cost 1.250.000 euros at most|......
+build 10.15.7 came at 9.30 today|......
+on 12.03.2014 at 14.30 we left|......
+the ratio 555.12 to 3.4567 is odd|.......
+about 416.5 units at 0.182 each|......
+sections 12-34-56 and 7 are new|......
+THE MEETING IS AT NOON AND THE DOT IS RED|..........
+ALL!! OF!! THE!! PEOPLE!! AT!! HOME!! IN!! THE!! HOUSE!!|.........
+LOOK.!! AT!! THE,!! MAP!! AND.!! THE!! DOT!! ON!! IT!!|.........
+WE!! MET,!! AT!! DE!! LA!! PUNTO!! ES!! COM|........
+ALLES!! IST!! AT!! DE!! DER!! PUNKT!! AM!! ENDE!!|........
+IN THE END DE LA CASA ES DE COM|.........
+NOT AT ALL, HE SAID AT LAST|.......
+THERE!! WHO.!! ANDTH!! OF!! RE!! ES!! IT!! NL!! RU!!|.........
+SEE THE REPORT OF 1995 AND PAGE 17|........
+THIS!! IS.!! THAT,!! OTHER!! NDLY!! THEST.!! AN!!|.......
+WAS!! FROM!! HEIN.!! EN!! ES!! DE!! UK!! IO|........
+a a a a a a a a a|.........
+at at at at at at at|.......
+de de de de de de de de|........
+An an a An at an de A es it|..........
 """
 #: The words that announce a number, by what they announce.
 CUES = {
