@@ -6,7 +6,8 @@ and replayed, all as numpy array steps without a regular expression. The byte sl
 boundaries go through a bounded cache of merged pieces. Token offsets (byte ends) are kept, so ids can
 be decoded whole or by byte range.
 
-Defined results: null counts as an empty text with no tokens; repeated rows are encoded alike; empty
+Defined results: null counts as an empty text with no tokens; repeated rows are encoded alike; of pairs with one rank, and of equal
+merges, the leftmost goes first, as in the library; texts of any length are encoded whole, a very long one in a chunk of its own; empty
 tables give empty tables; columns named like the outputs are replaced.
 """
 
