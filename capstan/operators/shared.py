@@ -13,7 +13,7 @@ def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = tempfile.mkdtemp(prefix="capstan-")
     spark.conf.set("spark.checkpoint.dir", base)
