@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from capstan.llm import byte_bpe, decontaminate, jaccard, language, secrets
 from capstan.llm.staging import staged, table
 
-#: Tables hold at least doc_id, text, lang, source and n_chars; all stages but the last keep a table's columns.
+#: Tables hold at least doc_id, text, lang, source and n_chars; all stages but the last keep a table's columns, whatever else it has: a row
+#: travels as one struct, so no helper meets a column of its name. An empty table stays one. Texts of any length are read whole. Rows
+#: that repeat, and several texts of one id, are each a row of their own, but where a stage says otherwise.
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is recognised; rejected ones go. The model learns from the rows at hand."""
+    """Keep the documents whose language is recognised; rejected ones go. The model learns from the rows at hand.
+
+    Null texts, and those without letters, have no language and go; without labelled rows nothing can be recognised, and all go.
+    """
     model = language.fit(docs)
     names = docs.columns
     # Predicted columns may not meet those of the table: only the text goes in beside the row.
@@ -22,9 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (five-word shingles, similarity from 0.8 on): the one with the least
-    id, null last, of equal ids the least text hash; of rows equal in both, one.
+    id, null last, of equal ids the least text hash; of rows equal in both, the first in the order of their other columns.
 
-    Documents without words are in no group and stay, and no id or text is taken for another's.
+    Documents without words (null and empty texts too) are in no group and stay, and no id or text is taken for another's.
     """
     found = jaccard.components(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), gram=5, percent=80)
     named = staged(found.select(F.col("doc_id").alias("id"), "key", "group"), "groups")  # texts do not travel with the groups
@@ -35,17 +40,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
     kept = rows.join(staged(first.unionByName(alone), "firsts"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
     # Rows equal in id and text are one document, unless they have no words.
-    again = Window.partitionBy("own_id", "own_key").orderBy(F.monotonically_increasing_id())
+    orderly = [f"row.{f.name}" for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.name not in ("doc_id", "text")]
+    again = Window.partitionBy("own_id", "own_key").orderBy(*(orderly or ["own_id"]))
     return kept.withColumn("nth", F.row_number().over(again)).filter("nth = 1 or not first").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that overlap with no benchmark item."""
+    """Keep the documents that overlap with no benchmark item; null and empty texts overlap with none, nor does anything with an empty benchmark."""
     return decontaminate.remove_overlapping(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret by a mark, spans that meet by one; all documents stay, n_chars follows the new text."""
+    """Replace every secret by a mark, spans that meet by one; all documents stay, null texts as they are, and n_chars follows the new text."""
     found = secrets.scan(docs.select("doc_id", "text"))
     some = found.filter((F.size("base") > 0) | (F.size("linked") > 0)).select("doc_id", "text_key", F.array_sort(F.concat("base", "linked")).alias("spans")).dropDuplicates(["doc_id", "text_key"])
     some = some.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "spans")
@@ -62,7 +68,7 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with a check that they decode to its bytes."""
+    """Token ids of every document, with a check that they decode to its bytes; null and empty texts have none."""
     path = byte_bpe.default_ranks()
     encoded = byte_bpe.encode(docs.select("doc_id", "text"), path).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).select("doc_id", "text_sha256", "token_ids")
     decoded = byte_bpe.decode(encoded, path)
