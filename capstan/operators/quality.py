@@ -54,13 +54,16 @@ def _outside(column: str, allowed: list) -> Column:
 def schema_facts(df: DataFrame, expected: Expected) -> DataFrame:
     """column, value, rows: the row count (column null), and every distinct value outside its column's set with its rows.
 
-    One scan: a row gives one entry, and one more for each value outside its set, and entries are counted before the shuffle. The values
-    stay distributed, however many there are.
+    One scan: rows are counted by what they have outside the sets, which is nothing for most, before the shuffle; only these counts are
+    taken apart by column. The values stay distributed, however many there are.
     """
-    entry = lambda name, value: F.struct(F.lit(name).cast("string").alias("column"), value.alias("value"))
-    odd = F.filter(F.array(*(entry(c, _outside(c, v)) for c, v in _present(df, expected).items())), lambda e: e["value"].isNotNull()) if _present(df, expected) else F.array().cast("array<struct<column:string,value:string>>")
-    every = F.concat(F.array(entry(None, F.lit(None).cast("string"))), odd)
-    return df.select(F.explode(every).alias("e")).groupBy("e.column", "e.value").agg(F.count("*").alias("rows"))
+    present = _present(df, expected)
+    names = [f"_odd_{i}" for i in range(len(present))]
+    counted = df.select(*(_outside(c, v).alias(n) for n, (c, v) in zip(names, present.items()))).groupBy(*names).agg(F.count("*").alias("rows"))
+    entry = lambda name, value: F.struct(F.lit(name).cast("string").alias("column"), value.cast("string").alias("value"))
+    every = F.array(entry(None, F.lit(None)), *(entry(c, F.col(n)) for n, c in zip(names, present)))
+    apart = counted.select(F.explode(F.filter(every, lambda e: e["column"].isNull() | e["value"].isNotNull())).alias("e"), "rows")
+    return apart.groupBy("e.column", "e.value").agg(F.sum("rows").alias("rows"))
 
 
 def validate_schema(df: DataFrame, expected: Expected) -> DataFrame:

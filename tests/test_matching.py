@@ -41,7 +41,7 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("size", [60, 100_000])
+@pytest.mark.parametrize("size", [200, 100_000])
 def test_matching_equals_a_plain_greedy(spark, name, size):
     rows = CASES[name]
     df = spark.createDataFrame(rows, "id long, d int, s double").repartition(5)
