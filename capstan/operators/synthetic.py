@@ -55,7 +55,8 @@ def poisson(name: str, spec: dict, seed: int, built: list[str]) -> Column:
     """The inverse of the distribution function, raised to the least value."""
     steps = F.array(*(F.lit(s) for s in poisson_steps(float(spec.get("lambda", 1.0)))))
     u = _unit(name, seed)
-    return F.greatest(F.size(F.filter(steps, lambda s: u >= s)), F.lit(int(spec.get("min", 0))))
+    count = F.get(F.transform(F.array(u), lambda x: F.size(F.filter(steps, lambda s: x >= s))), F.lit(0))  # u is drawn once, not for each step
+    return F.greatest(count, F.lit(int(spec.get("min", 0))))
 
 
 def sequence(name: str, spec: dict, seed: int, built: list[str]) -> Column:
