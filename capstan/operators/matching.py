@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -24,22 +25,26 @@ from pyspark.sql import functions as F
 from .models import propensity
 from .shared import kept
 
-#: Rows of a range.
+#: Rows of a range; ranges of a smaller number grow up to this one, as long as there are more than LEAST_RANGES of them.
 RANGE_ROWS = 1 << 16
+LEAST_RANGES = 64
 
-_SWEPT = "range int, kind int, place long, control long, score double, popped long"
+_SWEPT = "range int, kind int, place long, control long, score double, popped long, digest long"
 _PAIR, _LEFT, _END = 0, 1, 2
 
 
 @dataclass
 class _Range:
-    """What the driver knows of a range: its controls' numbers, how many treated it has, and how its last sweep went."""
+    """What the driver knows of a range: its controls' numbers, how many treated it has, how its last sweep went, and the round that first
+    left the controls that it leaves now."""
 
     begin: int
     end: int
     treated: int
     swept_with: tuple | None = None
     round: int = -1
+    left_round: int = -1
+    digest: int = 0
     next_control_in: int = 0
     next_control: int = 0
     popped: int = 0
@@ -47,12 +52,18 @@ class _Range:
     reach: list[tuple[int, int, int]] = field(default_factory=list)
 
 
+def ranges_of(rows: int, range_rows: int) -> int:
+    """How many ranges ``rows`` are cut into: the same rounds settle few large ranges and many small ones, but a round costs by the range."""
+    size = max(range_rows, min(RANGE_ROWS, -(-rows // LEAST_RANGES)))
+    return max(1, -(-rows // size))
+
+
 def ordered(df: DataFrame, treat: str, score: str, order: list[str], range_rows: int) -> tuple[DataFrame, DataFrame]:
     """The rows of ``df`` that have a score and a treatment: range, place, treated, score, row (a struct), by falling score, treated
     first, then ``order``; and the same without row, but with each control's number in the whole order."""
     held = df.select(F.struct(*df.columns).alias("row"), (F.col(treat) == 1).alias("treated"), F.col(score).cast("double").alias("score"), F.struct(*order).alias("key"))
     able = held.filter("treated is not null and score is not null and not isnan(score)")
-    ranges = max(1, -(-able.count() // range_rows))
+    ranges = ranges_of(able.count(), range_rows)
     by = [F.desc("score"), F.desc("treated"), "key"]
     dealt = able.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id())
     rows = kept(dealt.select(F.shiftright("at", 33).cast("int").alias("range"), F.expr("at & 8589934591").alias("place"), "treated", "score", "row"), "match-rows")
@@ -107,16 +118,18 @@ def _swept(light: DataFrame, active: dict[int, _Range], ahead: list[tuple], left
         k = int(group["range"].iloc[0])
         own, front, behind = (group[group["part"] == p] for p in range(3))
         pairs, rest, number, popped = sweep(own.sort_values("place"), front.sort_values("control"), behind.sort_values(["stretch", "place"]), starts[k])
-        out = [(k, _PAIR, p, c, None, None) for p, c in pairs] + [(k, _LEFT, i, c, s, None) for i, (c, s) in enumerate(rest)]
-        out.append((k, _END, len(rest), number, None, popped))
-        return pd.DataFrame(out, columns=["range", "kind", "place", "control", "score", "popped"])
+        out = [(k, _PAIR, p, c, None, None, None) for p, c in pairs] + [(k, _LEFT, i, c, s, None, None) for i, (c, s) in enumerate(rest)]
+        digest = int.from_bytes(blake2b(np.array([c for c, _ in rest], np.int64).tobytes(), digest_size=8).digest(), "big", signed=True)
+        out.append((k, _END, len(rest), number, None, popped, digest))
+        return pd.DataFrame(out, columns=["range", "kind", "place", "control", "score", "popped", "digest"])
 
-    return parts.groupBy("range").applyInPandas(run, _SWEPT)
+    # A sweep is long for its bytes: a task for each range, which Spark would put together otherwise.
+    return parts.repartition(len(active), "range").groupBy("range").applyInPandas(run, _SWEPT)
 
 
 def _reaching(ranges: dict[int, _Range]) -> list[int]:
     """Work out what reaches each range, as things stand; the ranges that were swept with something else."""
-    number, stack, active = 0, [], []  # stack: stretches [range, its round, from, to] of left controls, the nearest last
+    number, stack, active = 0, [], []  # stack: stretches [range, round that left them, from, to] of left controls, the nearest last
     for k in sorted(ranges):
         r = ranges[k]
         number = max(number, r.begin)
@@ -142,7 +155,7 @@ def _reaching(ranges: dict[int, _Range]) -> list[int]:
             if stack[-1][2] == stack[-1][3]:
                 stack.pop()
         if r.left:
-            stack.append([k, r.round, 0, r.left])
+            stack.append([k, r.left_round, 0, r.left])
         number = r.next_control
     return active
 
@@ -186,7 +199,9 @@ def pairs_of(light: DataFrame) -> DataFrame:
         for row in swept.filter(F.col("kind") == _END).collect():  # one row a range
             r = ranges[row["range"]]
             r.swept_with = (r.next_control_in, tuple(r.reach))
-            r.round, r.next_control, r.popped, r.left = len(rounds), row["control"], row["popped"], row["place"]
+            if r.left_round < 0 or (r.left, r.digest) != (row["place"], row["digest"]):  # else who was swept with them need not be again
+                r.left_round = len(rounds)
+            r.round, r.next_control, r.popped, r.left, r.digest = len(rounds), row["control"], row["popped"], row["place"], row["digest"]
         rounds.append(swept)
     last = F.broadcast(spark.createDataFrame([(k, r.round) for k, r in ranges.items()] or [(0, 0)], "range int, round int"))
     out = None

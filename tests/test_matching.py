@@ -58,3 +58,22 @@ def test_nulls_clashing_columns_and_nothing(spark):
     got = matching.nearest_by_score(df, "treated", "score", ["place"]).collect()
     assert sorted(r["place"] for r in got) == [1, 5] and {r["row"] for r in got} == {"x"}
     assert matching.nearest_by_score(df.limit(0), "treated", "score", ["place"]).count() == 0
+
+
+def test_few_rounds_settle_many_ranges(spark, monkeypatch):
+    """What a range is reached by counts by content: a range that is swept again and leaves the same moves no other."""
+    rows = drawn(9, 6000, 0.33, lambda r: r.random())
+    rounds, swept = [], matching._swept
+    monkeypatch.setattr(matching, "_swept", lambda *a: rounds.append(1) or swept(*a))
+    df = spark.createDataFrame(rows, "id long, d int, s double")
+    got = matching.nearest_by_score(df, "d", "s", ["id"], 200).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["pair"], [None, None])[1 - r["d"]] = r["id"]
+    assert sorted(map(tuple, by.values())) == greedy(rows)
+    assert len(rounds) < 10  # of 30 ranges
+
+
+def test_ranges_do_not_grow_with_the_rows_while_they_are_small():
+    assert [matching.ranges_of(n, 400) for n in (0, 400, 2000, 900_000, 4_000_000)] == [1, 1, 5, 64, 64]
+    assert matching.ranges_of(1 << 24, 400) == 1 << 8 and matching.ranges_of(1 << 24, 1 << 20) == 1 << 4
