@@ -5,6 +5,8 @@ All are column expressions; an empty string means "not stated".
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +69,18 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(text, pattern, group)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it stands there: searches are not copied into what reads them."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def _or_else(*options: Column) -> Column:
     """The first that is not empty, else empty."""
-    return F.coalesce(*(F.nullif(o, F.lit("")) for o in options), F.lit(""))
+    out = F.lit("")
+    for option in reversed(options):
+        rest = out
+        out = _once(option, lambda v: F.when(v != "", v).otherwise(rest))
+    return out
 
 
 def section(text: Column, header: str, ends: tuple[str, ...]) -> Column:
@@ -84,10 +95,12 @@ def team_count(text: Column, label: str) -> Column:
 
 def count_tagged(text: Column, prefix: str) -> Column:
     """The highest number of a tag such as `SO #2`; 1 for a bare mention, else empty."""
-    line = flat(text)
-    found = F.transform(F.regexp_extract_all(line, F.lit(rf"\b{prefix}\s*#?\s*(\d+)\b"), F.lit(1)), lambda n: n.try_cast("int"))
-    most = F.coalesce(F.array_max(found), F.lit(0))
-    return F.when(text == "", "").when(most > 0, most.cast("string")).when(line.rlike(rf"\b{prefix}\b"), "1").otherwise("")
+
+    def of(line: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(line, F.lit(rf"\b{prefix}\s*#?\s*(\d+)\b"), F.lit(1)), lambda n: n.try_cast("int"))
+        return _once(F.coalesce(F.array_max(found), F.lit(0)), lambda most: F.when(most > 0, most.cast("string")).when(line.rlike(rf"\b{prefix}\b"), "1").otherwise(""))
+
+    return _once(text, lambda t: F.when(t == "", "").otherwise(_once(flat(t), of)))
 
 
 def police_service(text: Column) -> Column:
@@ -100,11 +113,14 @@ def police_service(text: Column) -> Column:
         return name
 
     names = F.filter(F.transform(F.regexp_extract_all(text, F.lit(SERVICE), F.lit(1)), clean), lambda n: n != "")
-    ranked = F.transform(F.array_distinct(names), lambda n: F.struct((-F.size(F.filter(names, lambda m: m == n))).alias("times"), (-F.length(n)).alias("size"), n.alias("name")))
+
+    def ranked(found: Column) -> Column:
+        return F.transform(F.array_distinct(found), lambda n: F.struct((-F.size(F.filter(found, lambda m: m == n))).alias("times"), (-F.length(n)).alias("size"), n.alias("name")))
+
     short = F.lit("")
     for tag, full in reversed(SERVICE_SHORT):
         short = F.when(text.rlike(rf"\b{tag}\b"), F.lit(full)).otherwise(short)
-    return F.coalesce(F.array_min(ranked)["name"], short)
+    return F.coalesce(F.array_min(_once(names, ranked))["name"], short)
 
 
 def incident_date(text: Column) -> Column:
@@ -112,9 +128,7 @@ def incident_date(text: Column) -> Column:
     ends = ("Nature of Injuries", "Evidence", "The Team", "Analysis and Director", "Relevant Legislation")
     pattern = rf"\b[Oo]n\s+({DATE})"
 
-    def of(header: str) -> Column:
-        body = section(text, header, ends)
-
+    def of(body: Column) -> Column:
         def far(span: Column) -> Column:
             first = F.greatest(span["start"] - 50, F.lit(0))
             near = F.lower(F.substr(body, first + 1, span["end"] + 80 - first))
@@ -124,22 +138,24 @@ def incident_date(text: Column) -> Column:
             return clear
 
         spans = F.filter(match_spans(body, pattern), far)
-        one = F.get(spans, F.lit(0))
-        found = F.substr(body, one["start"] + 1, one["end"] - one["start"])
+        found = _once(F.get(spans, F.lit(0)), lambda one: F.substr(body, one["start"] + 1, one["end"] - one["start"]))
         return F.coalesce(F.replace(_first(found, pattern), F.lit(","), F.lit("")), F.lit(""))
 
-    return _or_else(of("Incident Narrative"), of("The Investigation"))
+    return _or_else(*(_once(section(text, header, ends), of) for header in ("Incident Narrative", "The Investigation")))
 
 
 def notified_date(text: Column) -> Column:
-    body = _or_else(section(text, "The Investigation", ("The Team", "Incident Narrative")), text)
     notice = section(text, "Notification of the SIU", ("The Team", "Incident Narrative", "Evidence"))
-    forms = (
-        _first(body, rf"\b[Oo]n\s+(?:[A-Z][a-z]+,?\s+)?({DATE})[^\n]{{0,200}}?(?:notified|contacted)\s+the\s+SIU"),
-        _first(body, rf"(?:notified|contacted)\s+the\s+SIU[^\n]{{0,200}}?[Oo]n\s+({DATE})"),
-        _first(notice, rf"On\s+({DATE})"),
-    )
-    return F.replace(_or_else(*forms), F.lit(","), F.lit(""))
+
+    def of(body: Column) -> Column:
+        forms = (
+            _first(body, rf"\b[Oo]n\s+(?:[A-Z][a-z]+,?\s+)?({DATE})[^\n]{{0,200}}?(?:notified|contacted)\s+the\s+SIU"),
+            _first(body, rf"(?:notified|contacted)\s+the\s+SIU[^\n]{{0,200}}?[Oo]n\s+({DATE})"),
+            _first(notice, rf"On\s+({DATE})"),
+        )
+        return F.replace(_or_else(*forms), F.lit(","), F.lit(""))
+
+    return _once(_or_else(section(text, "The Investigation", ("The Team", "Incident Narrative")), text), of)
 
 
 def decision_date(text: Column) -> Column:
@@ -148,8 +164,7 @@ def decision_date(text: Column) -> Column:
 
 def location(text: Column) -> Column:
     line = flat(_or_else(section(text, "The Investigation", ("The Team", "Incident Narrative")), text))
-    kind = _first(line, LOCATION)
-    return F.when(kind == "", "").otherwise(F.concat(kind, F.lit(" of "), trimmed(_first(line, LOCATION, 2))))
+    return _once(line, lambda x: _once(_first(x, LOCATION), lambda kind: F.when(kind == "", "").otherwise(F.concat(kind, F.lit(" of "), trimmed(_first(x, LOCATION, 2))))))
 
 
 def legislation(text: Column) -> Column:
@@ -165,8 +180,7 @@ def _has_any(text: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def charges_of_section(body: Column) -> Column:
-    low = F.lower(body)
-    return F.when(body == "", "").when(_has_any(low, NO_CHARGES), "FALSE").when(_has_any(low, CHARGES), "TRUE").otherwise("")
+    return _once(F.lower(body), lambda low: F.when(low == "", "").when(_has_any(low, NO_CHARGES), "FALSE").when(_has_any(low, CHARGES), "TRUE").otherwise(""))
 
 
 def charges(text: Column) -> Column:
@@ -175,8 +189,7 @@ def charges(text: Column) -> Column:
 
 
 def director(text: Column) -> Column:
-    name = trimmed(_first(text, DIRECTOR))
-    return F.when(F.contains(F.lower(name), F.lit("the")), "").otherwise(name)
+    return _once(trimmed(_first(text, DIRECTOR)), lambda name: F.when(F.contains(F.lower(name), F.lit("the")), "").otherwise(name))
 
 
 def language(text: Column) -> Column:
@@ -198,17 +211,17 @@ def fields(text: Column) -> dict[str, Column]:
         section(text, "Witness Officials", ("Incident Narrative", "Evidence", "Subject Officials")),
     )
     civilian = section(text, "Civilian Witnesses", ("Incident Narrative", "Evidence", "Witness Officers", "Witness Officials"))
-    none = (witness != "") & F.lower(flat(witness)).rlike("no police officers? witness")
+    nobody = lambda w: (w != "") & F.lower(flat(w)).rlike("no police officers? witness")
     return {
         "_language": language(text),
         "police_service": police_service(text),
-        "date_of_incident_iso": to_iso_date(incident_date(text)),
-        "date_siu_notified_iso": to_iso_date(notified_date(text)),
-        "date_of_director_decision_iso": to_iso_date(decision_date(text)),
+        "date_of_incident_iso": _once(incident_date(text), to_iso_date),
+        "date_siu_notified_iso": _once(notified_date(text), to_iso_date),
+        "date_of_director_decision_iso": _once(decision_date(text), to_iso_date),
         "siu_investigators": team_count(text, "SIU Investigators"),
         "siu_forensics_investigators": team_count(text, "SIU Forensic Investigators"),
         "number_of_subject_officers": count_tagged(_or_else(subject, text), "SO"),
-        "number_of_witness_officials": F.when(none, "0").otherwise(count_tagged(witness, "WO")),
+        "number_of_witness_officials": _once(witness, lambda w: F.when(nobody(w), "0").otherwise(count_tagged(w, "WO"))),
         "number_of_civilian_witnesses": count_tagged(civilian, "CW"),
         "age_affected": _first(text, AGE_SEX),
         "sex_gender_affected": F.lower(_first(text, AGE_SEX, 2)),

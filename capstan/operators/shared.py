@@ -25,3 +25,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/operators/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows_a_task: int) -> DataFrame:
+    """``df``, of narrow rows, dealt out evenly over as many tasks as its number of rows asks for."""
+    return df.repartition(max(1, -(-df.count() // rows_a_task)))

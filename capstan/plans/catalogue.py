@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import categories, causal, events, matching, models, panel, quality, reports, synthetic
+from ..operators import categories, causal, events, matching, models, panel, quality, reports, shared, synthetic
 from ..sources import files, portals
 from . import capsule
 
@@ -379,6 +379,8 @@ def parse_reports(spark, d):
 
 SERVICES, CITIES, SEXES = ("Harbour City Police", "North Vale Police Service", "Ontario Provincial Police"), ("Ashford", "Port Elm", "Grand Lake", "Stony Creek"), ("man", "woman", "boy", "youth")
 INJURIES, ACTS = ("fractured left wrist", "broken right arm", "lacerated lower leg"), ("Criminal Code", "Mental Health Act", "Highway Traffic Act")
+#: Pages that are made and read in one task: a small table of keys has few splits, its pages are long work.
+REPORTS_A_TASK = 2000
 CLOSINGS = ("there are no reasonable grounds to proceed", "the driver was charged with assault", "the file remains with the office")
 
 
@@ -423,7 +425,8 @@ def report_html(k: Column) -> Column:
   CASE WHEN k % 7 <> 0 THEN {_pick_sql(ACTS, "k % 3")} || '; ' || {_pick_sql(ACTS, "(k + 1) % 3")} ELSE '' END AS relevant_legislation FROM (SELECT c_custkey, c_custkey AS k, DATE '1995-01-01' + CAST(c_custkey % 2000 AS INTEGER) AS day FROM customer)""")
 def report_corpus(spark, d):
     """All fields of whole pages, each against what the page was made from."""
-    pages = t(spark, d, "customer").select("c_custkey", report_html(F.col("c_custkey")).alias("html"))
+    keys = shared.spread(t(spark, d, "customer").select("c_custkey"), REPORTS_A_TASK)
+    pages = keys.select("c_custkey", report_html(F.col("c_custkey")).alias("html"))
     return reports.parse_reports(pages).drop("html")
 
 
