@@ -83,6 +83,11 @@ def panel_source(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _persons(spark: SparkSession, d: str) -> DataFrame:
+    """The panel without its places, joined and shuffled once for all that reads it."""
+    return shared.kept(panel.person_period(panel_source(spark, d), PANEL).select("subject", "period", "treat", "gender", "age", "vm", "np"), "persons")
+
+
 @query(PANEL_SQL)
 def panel_person_period(spark, d):
     return panel.person_period(panel_source(spark, d), PANEL)
@@ -685,9 +690,9 @@ _FACTS_SQL = {
 @query(" UNION ALL ".join(f"SELECT '{g}' AS grp, '{n}' AS name, round(CAST({x} AS DOUBLE), 6) AS observed, CASE WHEN '{n}' = 'person_year_n' THEN 'PASS' WHEN '{n}' = 'D1_proportion_full' THEN 'DIFFER' ELSE 'INFO' END AS status FROM ({_PERSONS_SQL})" for g, f in _FACTS_SQL.items() for n, x in f.items()))
 def capsule_facts(spark, d):
     """What a capsule's run records of the panel and the sizes of its matched sample; two of the facts have references."""
-    p = panel.person_period(panel_source(spark, d), PANEL)
+    p = _persons(spark, d)
     matched = causal.nearest_match(p, "treat", ["age", "gender"], ["subject", "period"])
-    facts = capsule.facts_of(p, matched).filter(F.col("grp").isin(*_FACTS_SQL))
+    facts = shared.kept(capsule.facts_of(p, matched).filter(F.col("grp").isin(*_FACTS_SQL)), "facts")
     n = facts.filter("name = 'person_year_n'").first()["observed"]
     return capsule.checked(facts, {"person_year_n": (n, 0), "D1_proportion_full": (2.0, 0.01)}).select("grp", "name", _r(F.col("observed")).alias("observed"), "status")
 
@@ -721,9 +726,9 @@ def match_pairs(spark, d):
 
 @query()
 def nearest_match(spark, d):
-    p = panel.person_period(panel_source(spark, d), PANEL)
+    p = _persons(spark, d)
     p = p.withColumn("treat", (F.pmod(F.xxhash64("subject", "period"), F.lit(3)) == 0).cast("int"))
-    return causal.nearest_match(p.select("subject", "period", "treat", "gender", "age", "vm", "np"), "treat", ["age", "gender", "period"], ["subject", "period"])
+    return causal.nearest_match(p, "treat", ["age", "gender", "period"], ["subject", "period"])
 
 
 @query()

@@ -1,8 +1,14 @@
 """Steps whose cost must not grow faster than their input."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from capstan.operators import reports, shared
+from capstan.operators import panel, reports, shared
+from capstan.plans import catalogue
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_a_report_field_searches_its_section_once(spark):
@@ -16,3 +22,12 @@ def test_a_report_field_searches_its_section_once(spark):
 def test_narrow_rows_are_dealt_out_by_their_number(spark):
     assert shared.spread(spark.range(0, 1000, 1, 1), 100).rdd.getNumPartitions() == 10
     assert shared.spread(spark.range(0), 100).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are absent")
+@pytest.mark.parametrize("name", ["capsule_facts", "nearest_match"])
+def test_the_panel_is_made_once(spark, monkeypatch, name):
+    made, real = [], panel.person_period
+    monkeypatch.setattr(panel, "person_period", lambda *a: made.append(1) or real(*a))
+    out = catalogue.QUERIES[name](spark, DATA)
+    assert len(made) == 1 and not any("lineitem" in f for f in out.inputFiles())
