@@ -110,14 +110,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
     keyed = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_key"))
     hashed = held(keyed, word_hashes(F.col("text")).alias("hashes")).drop("text").filter(F.size("hashes") >= LEAST_WORDS).withColumn("bits", bits)
-    hashes, size = F.col("hashes"), F.size("hashes")
-    lists = []
+    # A row for each place, whose seeds and bits are compiled code: lambdas are interpreted, element by element. Most places go at once.
+    hashes, at = F.col("hashes"), F.col("at")
+    placed = hashed.select("id", "text_key", "hashes", "bits", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("at"))
+    seeds_here, marked = [], F.lit(False)
     for number, mask in enumerate((*MASKS, *SHORT_MASKS) if short else MASKS):
-        places = _places(hashes, size, mask, number)
-        lists.append(F.filter(places, lambda p: _is_set(F.col("bits"), _bit(p["seed"], bits_log2, 0)) & _is_set(F.col("bits"), _bit(p["seed"], bits_log2, 1))))
-    rows = held(hashed, F.concat(*lists).alias("places")).drop("bits").filter(F.size("places") > 0)
-    around = F.transform("places", lambda p: F.struct(p["seed"].alias("seed"), p["at"].alias("at"), _context(hashes, p["at"]).alias("context")))
-    places = rows.select("id", "text_key", F.explode(around).alias("p")).select("id", "text_key", "p.*")
+        seed = _seed(hashes, at, mask, number)
+        known = (at + len(mask) <= F.size("hashes")) & _is_set(F.col("bits"), _bit(seed, bits_log2, 0)) & _is_set(F.col("bits"), _bit(seed, bits_log2, 1))
+        marked = marked | known
+        seeds_here.append(F.when(known, seed))
+    found = placed.filter(marked).select("id", "text_key", "hashes", "at", F.explode(F.array_compact(F.array(*seeds_here))).alias("seed"))
+    places = found.select("id", "text_key", "seed", "at", _context(hashes, at).alias("context"))
 
     hits = places.join(F.broadcast(seeds) if count <= MOST_BROADCAST else seeds, "seed")
     same = F.zip_with("context", "item_context", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from capstan.llm import decontaminate
 from capstan.operators import panel, reports, shared
 from capstan.plans import catalogue
 
@@ -31,3 +32,12 @@ def test_the_panel_is_made_once(spark, monkeypatch, name):
     monkeypatch.setattr(panel, "person_period", lambda *a: made.append(1) or real(*a))
     out = catalogue.QUERIES[name](spark, DATA)
     assert len(made) == 1 and not any("lineitem" in f for f in out.inputFiles())
+
+
+def test_seeds_are_compiled_code(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q r s t")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "x y c d e f g h i j k l m n o p q z z z")], "item_id long, text string")
+    out = decontaminate.find_overlaps(docs, items)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, (size(hashes" in plan
+    assert [(r["doc_id"], r["item_id"], r["agreeing"]) for r in out.collect()] == [(1, 7, 13)]
