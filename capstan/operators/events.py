@@ -271,6 +271,25 @@ def sinusoidal(a0: float, a1: float, a2: float, a3: float, points: int = 2001) -
     return rate, integral, -20 < a0 < 20
 
 
+#: Lags whose densities are worked out at once.
+LAGS_AT_ONCE = 1 << 16
+
+
+def _excited(t: np.ndarray, first: np.ndarray, density: Callable) -> np.ndarray:
+    """For each event the sum of the densities of its lags to the events from ``first`` on before it, many events at a time."""
+    counts = np.arange(len(t)) - first
+    ends, out, i = np.cumsum(counts), np.zeros(len(t)), 0
+    while i < len(t):
+        k = max(i + 1, int(np.searchsorted(ends, ends[i] - counts[i] + LAGS_AT_ONCE, "right")))
+        own = counts[i:k]
+        row = np.repeat(np.arange(k - i), own)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(first[i:k], own)
+        if len(row):
+            out[i:k] = np.bincount(row, density(t[i:k][row] - t[at]), k - i)
+        i = k
+    return out
+
+
 def sequence_nll(t: np.ndarray, horizon: float, baseline, eta: float, kernel, bounded: bool = True) -> float:
     """Negative log-likelihood of one sorted sequence. Events beyond the kernel's cutoff are left out, which is exact."""
     rate, rate_integral, fine = baseline
@@ -279,7 +298,7 @@ def sequence_nll(t: np.ndarray, horizon: float, baseline, eta: float, kernel, bo
         return INFEASIBLE
     t = np.asarray(t, float)
     first = np.searchsorted(t, t - cutoff) if math.isfinite(cutoff) else np.zeros(len(t), np.int64)
-    excited = np.array([density(t[i] - t[first[i] : i]).sum() if i > first[i] else 0.0 for i in range(len(t))])
+    excited = _excited(t, first, density)
     lam = rate(t, horizon) + eta * excited
     if not np.isfinite(lam).all() or (lam <= 0).any():
         return INFEASIBLE

@@ -2,11 +2,12 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from capstan.llm import decontaminate
-from capstan.operators import panel, reports, shared
+from capstan.operators import events, panel, reports, shared
 from capstan.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -41,3 +42,16 @@ def test_seeds_are_compiled_code(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(0, (size(hashes" in plan
     assert [(r["doc_id"], r["item_id"], r["agreeing"]) for r in out.collect()] == [(1, 7, 13)]
+
+
+def test_densities_are_worked_out_for_many_events_at_once(monkeypatch):
+    t, calls = np.sort(np.random.default_rng(1).uniform(0, 400, 300)), []
+    kernel = events.custom(lambda u: calls.append(1) or np.exp(-u), lambda v: 1 - np.exp(-v))
+    plain = np.array([np.exp(-(t[i] - t[:i])).sum() for i in range(300)])
+    for lags in (1 << 16, 100, 1):
+        monkeypatch.setattr(events, "LAGS_AT_ONCE", lags)
+        assert np.allclose(events._excited(t, np.zeros(300, np.int64), kernel[0]), plain)
+    calls.clear()
+    monkeypatch.setattr(events, "LAGS_AT_ONCE", 1 << 16)
+    events.sequence_nll(t, 400.0, events.constant(-0.5), 0.4, kernel)
+    assert len(calls) == 1
